@@ -6,14 +6,27 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from marlstone.llm import bpe, secrets
+from marlstone.llm import bpe, decontaminate, imatch, langid, secrets
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_string_kernel_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held = langid.held_out()
+    rows = docs.select("doc_id", "text", "lang", held.alias("held_out"))
+    model = langid.fit(langid.labelled_sample(rows, ~F.col("held_out")))
+    return langid.predict(rows, model, keep=("held_out",))
+
+
+def op2_imatch_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.with_edits(_table(spark, sf_dir, "documents"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digest(secrets.scan_secrets(_table(spark, sf_dir, "documents")))
 
@@ -23,6 +36,11 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None
     return bpe.bpe_round_trip(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find_matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return decontaminate.decontamination_report(found)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
