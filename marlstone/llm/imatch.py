@@ -7,8 +7,8 @@ end: what is sent to the tasks has that bound, whatever the number of documents,
 
 A fingerprint has one hash for each of SUBSETS randomised lexicon subsets: the distinct terms of the document that the
 subset holds, sorted, hashed together. Subsets hold geometric shares of the lexicon, so long and short documents both
-have subsets that a local edit leaves alone. Likeness is the share of equal hashes among the subsets that hold a term of
-either document. A document with fewer than FEW lexicon terms uses all its terms instead.
+have subsets that a local edit leaves alone. Likeness is the share of equal hashes among the subsets of one size that hold a
+term of either document. A document with fewer than FEW lexicon terms uses all its terms instead.
 
 Neighbours: `with_edits` deals documents by ranges of doc_id (bounds are ids of the table, so each range's first document
 is known and goes to the range before it as well), sorted inside: no single task sees all documents.
@@ -35,9 +35,10 @@ from marlstone.llm.common import LOWER, chunks, mix, partitions, texts, word_has
 LEAST, MOST = 0.001, 0.2
 #: Terms that the lexicon may have; beyond that LEAST is doubled until it fits.
 LEXICON = 2_000_000
-SUBSETS, FEW = 32, 4
-#: Share of the lexicon in each subset: 2**-2 to 2**-9.
-SHARES = np.array([2.0 ** -(2 + k % 8) for k in range(SUBSETS)])
+LEVELS, EACH, FEW = 8, 8, 4
+SUBSETS = LEVELS * EACH
+#: Share of the lexicon in each subset: eight subsets each of 2**-2 to 2**-9.
+SHARES = np.array([2.0 ** -(2 + k // EACH) for k in range(SUBSETS)])
 SEEDS = mix(np.arange(1, SUBSETS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 LIMITS = (SHARES * 2.0**63).astype(np.uint64) * np.uint64(2)
 
@@ -124,10 +125,18 @@ def fingerprints(data: np.ndarray, offsets: np.ndarray, terms: np.ndarray) -> np
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Share of equal hashes among the subsets that hold a term of either row; 1 for equal fingerprints."""
-    used = (a != 0) | (b != 0)
-    equal = used & (a == b)
-    return np.where((a == b).all(axis=1), 1.0, equal.sum(axis=1) / np.maximum(used.sum(axis=1), 1))
+    """Share of equal hashes among the subsets, of one share of the lexicon, that hold a term of either row.
+
+    The share is the smallest one of which most subsets hold a term; there a hash covers a term or two, and the share of
+    equal hashes follows the overlap of the term sets. Equal fingerprints have likeness 1.
+    """
+    used = ((a != 0) | (b != 0)).reshape(-1, LEVELS, EACH)
+    equal = used & (a == b).reshape(used.shape)
+    n_used, n_equal = used.sum(axis=2), equal.sum(axis=2)
+    enough = n_used > EACH // 2
+    level = np.where(enough.any(axis=1), LEVELS - 1 - enough[:, ::-1].argmax(axis=1), n_used.argmax(axis=1))
+    row = np.arange(len(a))
+    return np.where((a == b).all(axis=1), 1.0, n_equal[row, level] / np.maximum(n_used[row, level], 1))
 
 
 def shown(prints: np.ndarray) -> list[str]:
