@@ -25,9 +25,9 @@ from pyspark.sql import DataFrame
 from marlstone.llm.common import texts
 
 #: Distinct words and pieces that a Python worker remembers with their ids.
-KNOWN_WORDS = 1_000_000
+KNOWN_WORDS = 500_000
 #: Characters of text whose new words are merged together.
-CHUNK_CHARS = 16 << 20
+CHUNK_CHARS = 4 << 20
 
 
 class Numbered(dict):
@@ -282,13 +282,17 @@ def bpe_round_trip(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "d
             all_texts = b.column("text").to_pylist()
             for s in blocks(all_texts):
                 ids, counts = own.encode(all_texts[s])
-                flat, ends = ids.tolist(), np.cumsum(counts).tolist()
-                each = [flat[a:z] for a, z in zip([0, *ends], ends)]
+                ends = np.cumsum(counts).tolist()
+                ids_sha, data_sha = [], []
+                for a, z in zip([0, *ends], ends):
+                    one = ids[a:z].tolist()
+                    ids_sha.append(sha(",".join(map(shown, one)).encode()))
+                    data_sha.append(sha(own.decode(one)))
                 columns = {
                     "doc_id": b.column("doc_id")[s.start : s.stop],
                     "n_tokens": pa.array(counts, pa.int64()),
-                    "ids_sha256": pa.array([sha(",".join(map(shown, x)).encode()) for x in each], pa.string()),
-                    "decoded_sha256": pa.array([sha(own.decode(x)) for x in each], pa.string()),
+                    "ids_sha256": pa.array(ids_sha, pa.string()),
+                    "decoded_sha256": pa.array(data_sha, pa.string()),
                 }
                 if keep_ids:
                     columns["ids"] = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(ids, pa.int32()))
