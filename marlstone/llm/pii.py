@@ -40,7 +40,7 @@ TABLE, KNOWN, TOKENS, EPOCHS, STEP, PENALTY = 50_000, 400_000, 400_000, 150, 0.1
 CUES = {
     "title": "mr mrs ms dr prof herr frau monsieur madame señor señora sir".split(),
     "call": "name contact signed named patient customer sincerely".split(),
-    "street": "street st road avenue lane drive straße strasse rue calle platz square boulevard".split(),
+    "street": "street road avenue lane drive straße strasse rue calle platz square boulevard".split(),
     "place": "address lives residing adresse dirección".split(),
     "number": "ssn passport iban id license licence tax account ausweis nif".split(),
 }
