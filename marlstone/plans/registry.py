@@ -22,3 +22,8 @@ def query(name: str, oracle: str | None = None):
         return f
 
     return put
+
+
+def load() -> None:
+    """Import the modules that register queries."""
+    from marlstone.plans import analysis, positional, scalar, statistics  # noqa: F401
