@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 BASE = 0x9E3779B97F4A7C15
 MIX_A, MIX_B = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 #: Bytes of text that a task holds as numpy columns at one time; a longer document is a chunk of its own.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

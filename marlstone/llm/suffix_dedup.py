@@ -37,7 +37,9 @@ from marlstone.llm.common import chunks, mix, partitions, powers, prefix_hash, w
 #: Bytes of a repeated string, of an anchor, and classes of an anchor that one task sorts together.
 LENGTH, K, HOT = 100, 36, 20_000
 #: Rows that a task holds before it hands out the first of each class.
-HELD_ROWS = 1_500_000
+HELD_ROWS = 500_000
+#: Bytes of text of which a task computes anchors at one time: about twenty columns of eight bytes each a byte.
+ANCHOR_BYTES = 1 << 20
 FIRST = -(1 << 63)
 ROWS = "key long, cover long, doc long, pos long"
 FOUND = "kind byte, key long, doc long, pos long, stop long"
@@ -154,7 +156,7 @@ def anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def each():
         for b in batches:
-            for rows, data, offsets in chunks(b):
+            for rows, data, offsets in chunks(b, ANCHOR_BYTES):
                 ids = b.column("doc")[rows.start : rows.stop].to_numpy(zero_copy_only=False)
                 r, start, off, count, key, cover = runs(data, offsets)
                 yield key.view(np.int64), cover.view(np.int64), ids[r], pack(start, off, count)
@@ -337,7 +339,7 @@ def sort_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
     for b in batches:
         held += zip(*(b.column(c).to_pylist() for c in ("key", "doc", "pos", "bytes")))
-        if len(held) > 20_000:
+        if len(held) > 10_000:
             cut = len(held)
             while cut > 0 and held[cut - 1][0] == held[-1][0]:
                 cut -= 1
