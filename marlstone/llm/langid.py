@@ -97,7 +97,8 @@ class Model:
 
 
 def fit(rows: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
-    """Model from (language, text) rows in a fixed order."""
+    """Model from (language, text) rows in a fixed order; texts without a letter teach nothing."""
+    rows = [r for r in rows if has_letter(r[1])]
     languages = sorted({lang for lang, _ in rows})
     data = [np.frombuffer(t.encode(), np.uint8) for _, t in rows]
     seen: dict[str, int] = {}
