@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -105,6 +106,12 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/marlstone-{uuid.uuid4().hex}"
 
 
+def released(spark: SparkSession) -> None:
+    """Let the shuffle files of finished steps go now; else they stay until the driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def written(df: DataFrame) -> DataFrame:
     """df cut from its lineage: written once as Parquet to the shared folder and read again."""
     path = shared_dir(df.sparkSession)

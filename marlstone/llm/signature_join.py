@@ -8,10 +8,12 @@ A document's set is its distinct SHINGLE-word shingles. Two sets link at Jaccard
    document frequencies add up to at most the mean set size over HEAVY), so common passages hardly enter prefixes.
 3. Representatives that share a prefix shingle meet in cells. A cell's members are leaves of a signature tree: nodes hold
    the OR of the token bitmaps below, the range of set sizes, and the most tokens a bitmap hides. The dual traversal of
-   two trees drops node pairs whose largest possible overlap is too small for the smallest sizes. First the least member
-   of each shingle's group is traversed against the group's tree; what it links to is verified and contracted. Then
-   groups that still hold several components are traversed against themselves, components apart: members of one
-   component need no further link. Large groups are cells of at most CELL members a side, every pair of parts a cell.
+   two trees drops node pairs whose largest possible overlap is too small for the smallest sizes. In ROUNDS rounds each
+   shingle's group is traversed against one member, another one for every shingle and round; what links is verified and
+   contracted, and groups that are one component are done. So a group of thousands of near copies is joined by random
+   partners, as many as it has rows. Groups that still hold several components are then traversed against themselves,
+   with wider bitmaps and token by token at the leaves, components apart: members of one component need no further link. Large groups are cells of at
+   most CELL members a side, every pair of parts a cell.
 4. What comes through is verified on the full sets. Links only prove components: every link between different texts is
    either verified or lies within a component that is already proven.
 
@@ -30,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import LOWER, chunks, mix, partitions, word_hashes, words, written
+from marlstone.llm.common import LOWER, chunks, mix, partitions, released, word_hashes, words, written
 from marlstone.llm.components import connected_components
 from marlstone.llm.suffix_dedup import packed
 
@@ -39,6 +41,8 @@ SHINGLE, PER_CENT = 4, 85
 HEAVY, HEAVY_LOCAL = 0.002, 0.001
 #: Members a side of a cell, children of a node.
 CELL, FANOUT = 4_000, 8
+#: Rounds of single members, bits a token of the bitmaps at first and at last.
+ROUNDS, BITS, WIDE = 1, 2, 16
 FIRST = -(1 << 63)
 
 # Word bytes: everything but ASCII white space, [^\x20\x09-\x0D].
@@ -103,10 +107,10 @@ def heavy_shingles(rows: DataFrame, size: int) -> np.ndarray:
     return found["s"].to_numpy(np.int64).view(np.uint64)
 
 
-def bitmap(s: np.ndarray) -> bytes:
-    """Token bitmap of 2 to 4 bits a token, a power of two long."""
+def bitmap(s: np.ndarray, each: int = BITS) -> bytes:
+    """Token bitmap of `each` bits a token up to twice as many, a power of two long."""
     bits = 64
-    while bits < 2 * len(s):
+    while bits < each * len(s):
         bits *= 2
     flags = np.zeros(bits, np.uint8)
     flags[(s >> np.uint64(20)).astype(np.int64) & (bits - 1)] = 1
@@ -253,18 +257,57 @@ def tree_candidates(cells: DataFrame, per_cent: int) -> DataFrame:
 
     side 0 meets side 1; a cell with side 0 only meets itself.
     """
+    return _by_cell(cells, lambda left, right: cell_pairs(left, right or None, per_cent))
+
+
+def tree_links(cells: DataFrame, per_cent: int) -> DataFrame:
+    """Distinct pairs of cells whose tokens overlap enough, as few as join each cell's components.
+
+    bits holds 32 bits of each token here; trees are built on wide bitmaps of them, and leaves that meet are compared
+    token by token (32 bits can only make an overlap too large). Pairs of a component, or of components that the cell
+    has joined by now, are passed over.
+    """
+
+    def pairs(left: list, right: list) -> Iterator[tuple[int, int]]:
+        tokens = {i: np.frombuffer(t, np.uint32) for i, _, _, t in left + right}
+        size = {i: n for i, _, n, _ in left + right}
+        component = {i: g for i, g, _, _ in left + right}
+        up: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while (y := up.get(x, x)) != x:
+                up[x] = up.get(y, y)
+                x = y
+            return x
+
+        signed = lambda rows: [(i, g, n, bitmap(tokens[i].astype(np.uint64) << np.uint64(20), WIDE)) for i, g, n, _ in rows]
+        for a, b in cell_pairs(signed(left), signed(right) if right else None, per_cent):
+            x, y = top(component[a]), top(component[b])
+            if x == y or a == b:
+                continue
+            hidden = min(size[a] - len(tokens[a]), size[b] - len(tokens[b]))
+            common = len(np.intersect1d(tokens[a], tokens[b], assume_unique=True)) + hidden
+            if 100 * common >= per_cent * (size[a] + size[b] - common):
+                up[max(x, y)] = min(x, y)
+                yield a, b
+
+    return _by_cell(cells, pairs)
+
+
+def _by_cell(cells: DataFrame, pairs) -> DataFrame:
+    """Distinct (a, b), a > b, that pairs(left, right) finds in each cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, left, right = None, [], []
         found: set = set()
 
         def out():
-            pairs = np.array(sorted(found), np.int64).reshape(-1, 2)
+            both = np.array(sorted(found), np.int64).reshape(-1, 2)
             found.clear()
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
 
         def done():
-            for x, y in cell_pairs(left, right or None, per_cent):
+            for x, y in pairs(left, right):
                 if x != y:
                     found.add((max(x, y), min(x, y)))
 
@@ -311,40 +354,44 @@ def verified(pairs: DataFrame, texts_: DataFrame, size: int, per_cent: int) -> D
     return pairs.join(one, "a").join(two, "b").select("a", "b", "za", "zb").mapInArrow(run, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, size: int = SHINGLE, per_cent: int = PER_CENT, id_col: str = "doc_id", text_col: str = "text", cell: int = CELL) -> DataFrame:
-    """(doc, n_shingles, component_id) for each row; null ids are FIRST."""
-    parts = partitions(docs.sparkSession)
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(FIRST)).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    sets = written(document_rows(rows, heavy_shingles(rows, size), size, per_cent))
-    classes = sets.where("n > 0").groupBy("one", "two").agg(F.min("doc").alias("rep"))
-    reps = written(
-        sets.where("n > 0").groupBy("one", "two").agg(F.min("doc").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits")).drop("one", "two")
-    )
-    signs = reps.select(F.col("rep").alias("id"), "n", "bits")
-    tokens = reps.select("rep", F.explode("prefix").alias("token"))
-    groups = tokens.groupBy("token").agg(F.min("rep").alias("head"), F.max("rep").alias("tail"), F.count("*").alias("members")).where("head < tail")
-    shared = written(tokens.join(groups.drop("tail"), "token"))
+def token_signatures(texts_: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """(id, n, bits) of the given ids with 32 bits of each token, from (doc, z)."""
 
-    # the head of each shingle's group against the group
-    met = written(shared.where("rep > head").groupBy("rep", "head").agg(F.lit(1).alias("one")).drop("one"))
-    active = met.select(F.col("rep").alias("doc")).union(met.select("head")).distinct()
-    texts_ = written(packed(rows).repartition(parts, "doc").join(active.repartition(parts, "doc").hint("shuffle_hash"), "doc", "left_semi"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        big = zstandard.ZstdDecompressor().decompress
+        for b in batches:
+            n, bits = [], []
+            for z in b.column("z").to_pylist():
+                raw = np.frombuffer(big(z), np.uint8)
+                s = shingle_sets(raw, np.array([0, len(raw)], np.int64), size)[1]
+                n.append(len(s))
+                bits.append(np.unique((s >> np.uint64(32)).astype(np.uint32)).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array(n, pa.int64()), pa.array(bits, pa.binary())], ["id", "n", "bits"])
+
+    return texts_.join(ids.withColumnRenamed("id", "doc"), "doc", "left_semi").mapInArrow(run, "id long, n long, bits binary")
+
+
+def _open_groups(at: DataFrame, turn: int) -> DataFrame:
+    """(token, head) of groups with several components; the head is the member of least hash in this turn."""
+    head = F.min(F.struct(F.xxhash64("token", "rep", F.lit(turn)).alias("h"), "rep", "component")).alias("head")
+    return at.groupBy("token").agg(head, F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("token", "head")
+
+
+def _head_cells(met: DataFrame, cell: int) -> DataFrame:
+    """(cell, side, id): each head (side 0) with the members it meets (side 1), at most about `cell` of them."""
     sizes = met.groupBy("head").agg(F.ceil(F.count("*") / cell).cast("int").alias("k"))
-    dealt = met.join(sizes, "head").select("head", "k", F.col("rep").alias("id"), F.pmod(F.xxhash64("rep"), F.col("k")).cast("int").alias("part"))
-    heads = sizes.select("head", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("part"))
-    cells = dealt.select(F.xxhash64("head", "part").alias("cell"), F.lit(1).alias("side"), "id").unionByName(
-        heads.select(F.xxhash64("head", "part").alias("cell"), F.lit(0).alias("side"), F.col("head").alias("id"))
+    members = met.join(sizes, "head").select(
+        F.xxhash64("head", F.pmod(F.xxhash64("rep"), F.col("k")).cast("int")).alias("cell"), F.lit(1).alias("side"), F.col("rep").alias("id")
     )
-    candidates = tree_candidates(cells.join(signs, "id").withColumn("component", F.col("id")), per_cent)
-    links = written(verified(candidates, texts_, size, per_cent))
-    first = written(connected_components(links))
-
-    # groups that still hold several components, heads apart
-    rest = shared.where("rep > head").join(first.withColumnRenamed("node", "rep"), "rep", "left").select("token", "rep", F.coalesce("component", "rep").alias("component"))
-    open_ = rest.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("members")).where("x < y")
-    inside = rest.join(open_.select("token", F.ceil(F.col("members") / cell).cast("int").alias("k")), "token")
+    heads = sizes.select("head", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("part"))
+    return members.unionByName(heads.select(F.xxhash64("head", "part").alias("cell"), F.lit(0).alias("side"), F.col("head").alias("id")))
+
+
+def _within_groups(at: DataFrame, open_: DataFrame, texts_: DataFrame, links: DataFrame, final: DataFrame, size: int, per_cent: int, cell: int) -> DataFrame:
+    """Components after groups of several components have been traversed against themselves."""
+    inside = at.join(open_.select("token", F.ceil(F.col("members") / cell).cast("int").alias("k")), "token")
     part = inside.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("k")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    at = part.select(
+    dealt = part.select(
         F.xxhash64("token", F.least("part", "other"), F.greatest("part", "other")).alias("cell"),
         (F.col("part") > F.col("other")).cast("int").alias("side"),
         F.col("rep").alias("id"),
@@ -352,13 +399,55 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, per_cent: int = PER
         "k",
     )
     # cells with the same members are one cell
-    small = at.where("k = 1")
+    small = dealt.where("k = 1")
     prints = small.groupBy("cell").agg(F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("m1"), F.bit_xor(F.xxhash64(F.lit(7), "id")).alias("m2"))
     chosen = prints.groupBy("m1", "m2").agg(F.min("cell").alias("cell")).select("cell")
-    kept = small.join(chosen, "cell", "left_semi").unionByName(at.where("k > 1")).drop("k")
-    more = tree_candidates(kept.join(signs, "id"), per_cent)
+    kept = written(small.join(chosen, "cell", "left_semi").unionByName(dealt.where("k > 1")).drop("k"))
+    more = written(tree_links(kept.join(token_signatures(texts_, kept.select("id").distinct(), size), "id"), per_cent))
     links2 = written(verified(more, texts_, size, per_cent))
-    final = connected_components(links.unionByName(links2)) if links2.limit(1).count() else first
+    return connected_components(links.unionByName(links2)) if links2.limit(1).count() else final
+
+
+def jaccard_components(docs: DataFrame, size: int = SHINGLE, per_cent: int = PER_CENT, id_col: str = "doc_id", text_col: str = "text", cell: int = CELL) -> DataFrame:
+    """(doc, n_shingles, component_id) for each row; null ids are FIRST."""
+    parts = partitions(docs.sparkSession)
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(FIRST)).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    sets = written(document_rows(rows, heavy_shingles(rows, size), size, per_cent))
+    classes = sets.where("n > 0").groupBy("one", "two").agg(F.min("doc").alias("rep"))
+    classes_ = sets.where("n > 0").groupBy("one", "two").agg(F.min("doc").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"))
+    reps = written(classes_.drop("one", "two"))
+    signs = reps.select(F.col("rep").alias("id"), "n", "bits")
+    tokens = reps.select("rep", F.explode("prefix").alias("token"))
+    groups = tokens.groupBy("token").agg(F.min("rep").alias("head"), F.max("rep").alias("tail")).where("head < tail").select("token")
+    shared = written(tokens.join(groups, "token"))
+    del tokens, groups, classes_
+    released(docs.sparkSession)
+    active = shared.select(F.col("rep").alias("doc")).distinct()
+    texts_ = written(packed(rows).repartition(parts, "doc").join(active.repartition(parts, "doc").hint("shuffle_hash"), "doc", "left_semi"))
+    del active
+    released(docs.sparkSession)
+    at = shared.withColumn("component", F.col("rep"))
+    links = shared.limit(0).select(F.col("rep").alias("a"), F.col("rep").alias("b"))
+    final = links.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    for k in range(ROUNDS):
+        open_ = written(_open_groups(at, k))
+        if not open_.limit(1).count():
+            break
+        met = at.join(open_, "token").where(F.col("component") != F.col("head.component")).groupBy("rep", F.col("head.rep").alias("head")).agg(F.lit(1).alias("one"))
+        pairs = written(tree_candidates(_head_cells(met.drop("one"), cell).join(signs, "id").withColumn("component", F.col("id")), per_cent))
+        found = written(verified(pairs, texts_, size, per_cent))
+        links = links.unionByName(found)
+        final = connected_components(links)
+        at = written(
+            at.join(open_.select("token"), "token", "left_semi").select("token", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left")
+            .select("token", "rep", F.coalesce("component", "rep").alias("component"))
+        )
+        del met, pairs, open_
+
+    # groups that still hold several components: against themselves
+    open_ = at.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("members")).where("x < y")
+    if open_.limit(1).count():
+        final = _within_groups(at, open_, texts_, links, final, size, per_cent, cell)
 
     named = sets.where("n > 0").select("doc", "n", "one", "two").join(classes, ["one", "two"])
     named = named.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("doc", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
