@@ -257,7 +257,7 @@ def _(spark, sf_dir):
     return table(spark, sf_dir, "nation").select("n_nationkey", F.sha2(F.to_json(F.struct("n_name", "n_regionkey")).cast("binary"), 256).alias("fingerprint"))
 
 
-@query("st9_json_flatten", "SELECT event_type, 'k' AS key, sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS total FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL GROUP BY 1")
+@query("st9_json_flatten", "SELECT event_type, 'k' AS key, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS total FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL GROUP BY 1")
 def _(spark, sf_dir):
     flat = table(spark, sf_dir, "events").select("event_type", F.explode(F.from_json("props", "map<string,string>")).alias("key", "value"))
     return flat.where("key = 'k'").groupBy("event_type", "key").agg(F.sum(F.col("value").cast("long")).alias("total"))
