@@ -6,14 +6,11 @@ A document's set is its distinct SHINGLE-word shingles. Two sets link at Jaccard
 2. In one order of all shingles the (1 - similarity) share of a set that comes first, plus one, is its prefix; linked
    sets have a prefix shingle in common. Shingles that many documents have come last (they are a short list: their
    document frequencies add up to at most the mean set size over HEAVY), so common passages hardly enter prefixes.
-3. Representatives that share a prefix shingle meet in cells. A cell's members are leaves of a signature tree: nodes hold
-   the OR of the token bitmaps below, the range of set sizes, and the most tokens a bitmap hides. The dual traversal of
-   two trees drops node pairs whose largest possible overlap is too small for the smallest sizes. In ROUNDS rounds each
-   shingle's group is traversed against one member, another one for every shingle and round; what links is verified and
-   contracted, and groups that are one component are done. So a group of thousands of near copies is joined by random
-   partners, as many as it has rows. Groups that still hold several components are then traversed against themselves,
-   with wider bitmaps and token by token at the leaves, components apart: members of one component need no further link. Large groups are cells of at
-   most CELL members a side, every pair of parts a cell.
+3. Representatives that share a prefix shingle meet in cells: all groups with one least member are one cell. A cell's
+   members are leaves of a signature tree: nodes hold the OR of the token bitmaps below, the range of set sizes, and the
+   most tokens a bitmap hides. The dual traversal drops node pairs whose largest possible overlap is too small for the
+   smallest sizes; leaves that meet are compared token by token, and pairs that the cell has joined already are passed
+   over. Large cells are split into parts of about CELL members, every pair of parts a cell.
 4. What comes through is verified on the full sets. Links only prove components: every link between different texts is
    either verified or lies within a component that is already proven.
 
@@ -40,9 +37,9 @@ SHINGLE, PER_CENT = 4, 85
 #: Share of the documents from which a shingle is heavy, and the same within what a task has read.
 HEAVY, HEAVY_LOCAL = 0.002, 0.001
 #: Members a side of a cell, children of a node.
-CELL, FANOUT = 4_000, 8
-#: Rounds of single members, bits a token of the bitmaps at first and at last.
-ROUNDS, BITS, WIDE = 1, 2, 16
+CELL, FANOUT = 1_000, 8
+#: Bits a token of the bitmaps, up to twice as many.
+BITS = 16
 FIRST = -(1 << 63)
 
 # Word bytes: everything but ASCII white space, [^\x20\x09-\x0D].
@@ -118,7 +115,7 @@ def bitmap(s: np.ndarray, each: int = BITS) -> bytes:
 
 
 def document_rows(rows: DataFrame, heavy: np.ndarray, size: int, per_cent: int) -> DataFrame:
-    """(doc, n, one, two, prefix, bits): set size, two hashes of the set, its prefix and its bitmap."""
+    """(doc, n, one, two, prefix): set size, two hashes of the set and its prefix."""
     by_hash = np.argsort(heavy)
     sorted_heavy = heavy[by_hash]
 
@@ -142,7 +139,6 @@ def document_rows(rows: DataFrame, heavy: np.ndarray, size: int, per_cent: int)
                 p = np.where(n > 0, prefix_size(n, per_cent), 0)
                 ends = np.cumsum(p)
                 take = np.arange(ends[-1] if m else 0) + np.repeat(low - (ends - p), p)
-                bits = [bitmap(s[x : x + k]) for x, k in zip(low.tolist(), n.tolist())]
                 prefix = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(ordered[take].view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -151,12 +147,11 @@ def document_rows(rows: DataFrame, heavy: np.ndarray, size: int, per_cent: int)
                         pa.array(one.view(np.int64)),
                         pa.array(two.view(np.int64)),
                         prefix,
-                        pa.array(bits, pa.binary()),
                     ],
-                    ["doc", "n", "one", "two", "prefix", "bits"],
+                    ["doc", "n", "one", "two", "prefix"],
                 )
 
-    return rows.mapInArrow(run, "doc long, n long, one long, two long, prefix array<long>, bits binary")
+    return rows.mapInArrow(run, "doc long, n long, one long, two long, prefix array<long>")
 
 
 # ---- signature trees -------------------------------------------------------------------------------------------
@@ -252,18 +247,11 @@ def cell_pairs(left: list, right: list | None, per_cent: int) -> Iterator[tuple[
             yield from traverse(x, x if same else built(1, v, to), same, per_cent)
 
 
-def tree_candidates(cells: DataFrame, per_cent: int) -> DataFrame:
-    """Distinct candidate pairs (a, b), a > b, of cells (cell, side, id, component, n, bits) dealt and sorted by cell.
-
-    side 0 meets side 1; a cell with side 0 only meets itself.
-    """
-    return _by_cell(cells, lambda left, right: cell_pairs(left, right or None, per_cent))
-
-
 def tree_links(cells: DataFrame, per_cent: int) -> DataFrame:
-    """Distinct pairs of cells whose tokens overlap enough, as few as join each cell's components.
+    """Distinct pairs (a, b), a > b, of cells (cell, side, id, component, n, bits) that overlap enough, as few as join each
+    cell's components. side 0 meets side 1; a cell with side 0 only meets itself.
 
-    bits holds 32 bits of each token here; trees are built on wide bitmaps of them, and leaves that meet are compared
+    bits holds 32 bits of each token; trees are built on wide bitmaps of them, and leaves that meet are compared
     token by token (32 bits can only make an overlap too large). Pairs of a component, or of components that the cell
     has joined by now, are passed over.
     """
@@ -280,7 +268,7 @@ def tree_links(cells: DataFrame, per_cent: int) -> DataFrame:
                 x = y
             return x
 
-        signed = lambda rows: [(i, g, n, bitmap(tokens[i].astype(np.uint64) << np.uint64(20), WIDE)) for i, g, n, _ in rows]
+        signed = lambda rows: [(i, g, n, bitmap(tokens[i].astype(np.uint64) << np.uint64(20))) for i, g, n, _ in rows]
         for a, b in cell_pairs(signed(left), signed(right) if right else None, per_cent):
             x, y = top(component[a]), top(component[b])
             if x == y or a == b:
@@ -354,8 +342,8 @@ def verified(pairs: DataFrame, texts_: DataFrame, size: int, per_cent: int) -> D
     return pairs.join(one, "a").join(two, "b").select("a", "b", "za", "zb").mapInArrow(run, "a long, b long")
 
 
-def token_signatures(texts_: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """(id, n, bits) of the given ids with 32 bits of each token, from (doc, z)."""
+def token_signatures(texts_: DataFrame, size: int) -> DataFrame:
+    """(id, n, bits) with 32 bits of each token, from (doc, z)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         big = zstandard.ZstdDecompressor().decompress
@@ -368,44 +356,21 @@ def token_signatures(texts_: DataFrame, ids: DataFrame, size: int) -> DataFrame:
                 bits.append(np.unique((s >> np.uint64(32)).astype(np.uint32)).tobytes())
             yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array(n, pa.int64()), pa.array(bits, pa.binary())], ["id", "n", "bits"])
 
-    return texts_.join(ids.withColumnRenamed("id", "doc"), "doc", "left_semi").mapInArrow(run, "id long, n long, bits binary")
-
-
-def _open_groups(at: DataFrame, turn: int) -> DataFrame:
-    """(token, head) of groups with several components; the head is the member of least hash in this turn."""
-    head = F.min(F.struct(F.xxhash64("token", "rep", F.lit(turn)).alias("h"), "rep", "component")).alias("head")
-    return at.groupBy("token").agg(head, F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("token", "head")
-
-
-def _head_cells(met: DataFrame, cell: int) -> DataFrame:
-    """(cell, side, id): each head (side 0) with the members it meets (side 1), at most about `cell` of them."""
-    sizes = met.groupBy("head").agg(F.ceil(F.count("*") / cell).cast("int").alias("k"))
-    members = met.join(sizes, "head").select(
-        F.xxhash64("head", F.pmod(F.xxhash64("rep"), F.col("k")).cast("int")).alias("cell"), F.lit(1).alias("side"), F.col("rep").alias("id")
-    )
-    heads = sizes.select("head", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("part"))
-    return members.unionByName(heads.select(F.xxhash64("head", "part").alias("cell"), F.lit(0).alias("side"), F.col("head").alias("id")))
+    return texts_.mapInArrow(run, "id long, n long, bits binary")
 
 
-def _within_groups(at: DataFrame, open_: DataFrame, texts_: DataFrame, links: DataFrame, final: DataFrame, size: int, per_cent: int, cell: int) -> DataFrame:
-    """Components after groups of several components have been traversed against themselves."""
-    inside = at.join(open_.select("token", F.ceil(F.col("members") / cell).cast("int").alias("k")), "token")
-    part = inside.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("k")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    dealt = part.select(
-        F.xxhash64("token", F.least("part", "other"), F.greatest("part", "other")).alias("cell"),
+def _cells(met: DataFrame, most: int) -> DataFrame:
+    """(cell, side, id, component) from (rep, head): a head's members in one cell, or beyond `most` of them in parts, every
+    pair of parts a cell."""
+    sizes = met.groupBy("head").agg(F.ceil(F.count("*") / most).cast("int").alias("k"))
+    part = met.join(sizes, "head").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("k")).cast("int"))
+    dealt = part.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    return dealt.select(
+        F.xxhash64("head", F.least("part", "other"), F.greatest("part", "other")).alias("cell"),
         (F.col("part") > F.col("other")).cast("int").alias("side"),
         F.col("rep").alias("id"),
-        "component",
-        "k",
+        F.col("rep").alias("component"),
     )
-    # cells with the same members are one cell
-    small = dealt.where("k = 1")
-    prints = small.groupBy("cell").agg(F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("m1"), F.bit_xor(F.xxhash64(F.lit(7), "id")).alias("m2"))
-    chosen = prints.groupBy("m1", "m2").agg(F.min("cell").alias("cell")).select("cell")
-    kept = written(small.join(chosen, "cell", "left_semi").unionByName(dealt.where("k > 1")).drop("k"))
-    more = written(tree_links(kept.join(token_signatures(texts_, kept.select("id").distinct(), size), "id"), per_cent))
-    links2 = written(verified(more, texts_, size, per_cent))
-    return connected_components(links.unionByName(links2)) if links2.limit(1).count() else final
 
 
 def jaccard_components(docs: DataFrame, size: int = SHINGLE, per_cent: int = PER_CENT, id_col: str = "doc_id", text_col: str = "text", cell: int = CELL) -> DataFrame:
@@ -414,40 +379,21 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, per_cent: int = PER
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(FIRST)).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     sets = written(document_rows(rows, heavy_shingles(rows, size), size, per_cent))
     classes = sets.where("n > 0").groupBy("one", "two").agg(F.min("doc").alias("rep"))
-    classes_ = sets.where("n > 0").groupBy("one", "two").agg(F.min("doc").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"))
+    classes_ = sets.where("n > 0").groupBy("one", "two").agg(F.min("doc").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     reps = written(classes_.drop("one", "two"))
-    signs = reps.select(F.col("rep").alias("id"), "n", "bits")
     tokens = reps.select("rep", F.explode("prefix").alias("token"))
-    groups = tokens.groupBy("token").agg(F.min("rep").alias("head"), F.max("rep").alias("tail")).where("head < tail").select("token")
-    shared = written(tokens.join(groups, "token"))
+    groups = tokens.groupBy("token").agg(F.min("rep").alias("head"), F.max("rep").alias("tail")).where("head < tail").select("token", "head")
+    # groups with one head are one cell: near copies share most of their prefixes, and meet once
+    met = written(tokens.join(groups, "token").groupBy("rep", "head").agg(F.lit(1).alias("one")).drop("one"))
     del tokens, groups, classes_
     released(docs.sparkSession)
-    active = shared.select(F.col("rep").alias("doc")).distinct()
+    active = met.select(F.col("rep").alias("doc")).distinct()
     texts_ = written(packed(rows).repartition(parts, "doc").join(active.repartition(parts, "doc").hint("shuffle_hash"), "doc", "left_semi"))
     del active
     released(docs.sparkSession)
-    at = shared.withColumn("component", F.col("rep"))
-    links = shared.limit(0).select(F.col("rep").alias("a"), F.col("rep").alias("b"))
-    final = links.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    for k in range(ROUNDS):
-        open_ = written(_open_groups(at, k))
-        if not open_.limit(1).count():
-            break
-        met = at.join(open_, "token").where(F.col("component") != F.col("head.component")).groupBy("rep", F.col("head.rep").alias("head")).agg(F.lit(1).alias("one"))
-        pairs = written(tree_candidates(_head_cells(met.drop("one"), cell).join(signs, "id").withColumn("component", F.col("id")), per_cent))
-        found = written(verified(pairs, texts_, size, per_cent))
-        links = links.unionByName(found)
-        final = connected_components(links)
-        at = written(
-            at.join(open_.select("token"), "token", "left_semi").select("token", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left")
-            .select("token", "rep", F.coalesce("component", "rep").alias("component"))
-        )
-        del met, pairs, open_
-
-    # groups that still hold several components: against themselves
-    open_ = at.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("members")).where("x < y")
-    if open_.limit(1).count():
-        final = _within_groups(at, open_, texts_, links, final, size, per_cent, cell)
+    signs = written(token_signatures(texts_, size))
+    links = written(verified(written(tree_links(_cells(met, cell).join(signs, "id"), per_cent)), texts_, size, per_cent))
+    final = connected_components(links)
 
     named = sets.where("n > 0").select("doc", "n", "one", "two").join(classes, ["one", "two"])
     named = named.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("doc", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))

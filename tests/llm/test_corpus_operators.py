@@ -97,7 +97,7 @@ def brute_components(rows):
     return {i: (len(sets[i]), top(i)) for i in ids}
 
 
-@pytest.mark.parametrize("cell", [4000, 3])
+@pytest.mark.parametrize("cell", [1000, 3])
 def test_jaccard_components(spark, cell):
     rng = random.Random(5)
     vocab = [f"w{i}" for i in range(300)]
