@@ -54,7 +54,7 @@ def test_repeated_bytes(spark, hot):
 
 
 def test_repeated_rows_and_null_ids(spark):
-    t = "".join(random.Random(1).choice("abcdefgh") for _ in range(300))
+    t = "".join(random.Random(1).choices("abcdefgh", k=300))
     got = sorted((r.doc_id is None, r.doc_id or 0, r.n_removed) for r in suffix_dedup.removal_report(frame(spark, [(5, t), (5, t), (None, t[:150])])).collect())
     assert got == [(False, 5, 150), (False, 5, 150), (True, 0, 0)]
     assert suffix_dedup.removal_report(frame(spark, [(1, "x")]).limit(0)).count() == 0
