@@ -9,7 +9,8 @@ A document's set is its distinct SHINGLE-word shingles. Two sets link at Jaccard
 3. Representatives that share a prefix shingle meet in cells: all groups with one least member are one cell. A cell's
    members are leaves of a signature tree: nodes hold the OR of the token bitmaps below, the range of set sizes, and the
    most tokens a bitmap hides. The dual traversal drops node pairs whose largest possible overlap is too small for the
-   smallest sizes; leaves that meet are compared token by token, and pairs that the cell has joined already are passed
+   smallest sizes. A first traversal, over small bitmaps, tells which members may have a link at all; their tokens then
+   travel to the cell, and in a second one leaves that meet are compared token by token, and pairs that the cell has joined already are passed
    over. Large cells are split into parts of about CELL members, every pair of parts a cell.
 4. What comes through is verified on the full sets. Links only prove components: every link between different texts is
    either verified or lies within a component that is already proven.
@@ -38,8 +39,8 @@ SHINGLE, PER_CENT = 4, 85
 HEAVY, HEAVY_LOCAL = 0.002, 0.001
 #: Members a side of a cell, children of a node.
 CELL, FANOUT = 1_000, 8
-#: Bits a token of the bitmaps, up to twice as many.
-BITS = 16
+#: Bits a token of the bitmaps where tokens are at hand, and of those that travel to all cells; up to twice as many.
+BITS, SMALL = 16, 2
 FIRST = -(1 << 63)
 
 # Word bytes: everything but ASCII white space, [^\x20\x09-\x0D].
@@ -314,6 +315,42 @@ def _by_cell(cells: DataFrame, pairs) -> DataFrame:
     return cells.repartition(parts, "cell").sortWithinPartitions("cell", "side").mapInArrow(run, "a long, b long").distinct()
 
 
+def possible_members(cells: DataFrame, per_cent: int) -> DataFrame:
+    """(cell, side, id, component) of cells (…, n, bits) for the members that some other member may be linked to, by small
+    bitmaps in bits. At most a row for each row of cells: only these members' tokens have to travel."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, left, right = None, [], []
+        out: list[tuple] = []
+
+        def done():
+            seen: set[int] = set()
+            for a, b in cell_pairs(left, right or None, per_cent):
+                if a != b:
+                    seen.update((a, b))
+            out.extend((now, side, i, g) for side, rows in enumerate((left, right)) for i, g, _, _ in rows if i in seen)
+
+        def batch():
+            columns = list(zip(*out)) or [()] * 4
+            out.clear()
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["cell", "side", "id", "component"])
+
+        for b in batches:
+            for cell, side, ident, group, n, bits in zip(*(b.column(c).to_pylist() for c in ("cell", "side", "id", "component", "n", "bits"))):
+                if cell != now:
+                    done()
+                    now, left, right = cell, [], []
+                    if len(out) > 50_000:
+                        yield batch()
+                (right if side else left).append((ident, group, n, bits))
+        done()
+        yield batch()
+
+    parts = partitions(cells.sparkSession)
+    return cells.repartition(parts, "cell").sortWithinPartitions("cell", "side").mapInArrow(run, "cell long, side int, id long, component long")
+
+
 def verified(pairs: DataFrame, texts_: DataFrame, size: int, per_cent: int) -> DataFrame:
     """Pairs (a, b) whose full sets reach the similarity; texts_ is (doc, z)."""
 
@@ -343,20 +380,21 @@ def verified(pairs: DataFrame, texts_: DataFrame, size: int, per_cent: int) -> D
 
 
 def token_signatures(texts_: DataFrame, size: int) -> DataFrame:
-    """(id, n, bits) with 32 bits of each token, from (doc, z)."""
+    """(id, n, small, tokens): a small bitmap, and 32 bits of each token, from (doc, z)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         big = zstandard.ZstdDecompressor().decompress
         for b in batches:
-            n, bits = [], []
+            n, small, tokens = [], [], []
             for z in b.column("z").to_pylist():
                 raw = np.frombuffer(big(z), np.uint8)
                 s = shingle_sets(raw, np.array([0, len(raw)], np.int64), size)[1]
                 n.append(len(s))
-                bits.append(np.unique((s >> np.uint64(32)).astype(np.uint32)).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array(n, pa.int64()), pa.array(bits, pa.binary())], ["id", "n", "bits"])
+                small.append(bitmap(s, SMALL))
+                tokens.append(np.unique((s >> np.uint64(32)).astype(np.uint32)).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array(n, pa.int64()), pa.array(small, pa.binary()), pa.array(tokens, pa.binary())], ["id", "n", "small", "tokens"])
 
-    return texts_.mapInArrow(run, "id long, n long, bits binary")
+    return texts_.mapInArrow(run, "id long, n long, small binary, tokens binary")
 
 
 def _cells(met: DataFrame, most: int) -> DataFrame:
@@ -392,7 +430,10 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, per_cent: int = PER
     del active
     released(docs.sparkSession)
     signs = written(token_signatures(texts_, size))
-    links = written(verified(written(tree_links(_cells(met, cell).join(signs, "id"), per_cent)), texts_, size, per_cent))
+    small, full = signs.select("id", "n", F.col("small").alias("bits")), signs.select("id", "n", F.col("tokens").alias("bits"))
+    possible = written(possible_members(_cells(met, cell).join(small, "id"), per_cent))
+    released(docs.sparkSession)
+    links = written(verified(written(tree_links(possible.join(full, "id"), per_cent)), texts_, size, per_cent))
     final = connected_components(links)
 
     named = sets.where("n > 0").select("doc", "n", "one", "two").join(classes, ["one", "two"])
