@@ -1,7 +1,7 @@
 """HTML extraction as a layout: a tree with implied tags, visibility rules, and all visible text with its block spacing.
 
 The tree builder closes what the next tag implies (p before a block, li before li, cells and rows of a table, options,
-dt and dd) and adds the rows that stray cells need. Hidden are the parts no browser shows: head, script, style, template
+dt and dd), ends a head at the first tag or text that can't stand in it, and adds the rows that stray cells need. Hidden are the parts no browser shows: head, script, style, template
 and the like, elements with `hidden`, and inline styles that hide. Blocks stand on lines of their own, paragraphs and
 headings apart by an empty line, list items behind their mark and indented by depth, table cells in aligned columns,
 `pre` as it is.
@@ -25,7 +25,11 @@ from pyspark.sql import functions as F
 # Tag names by role, after the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("head script style template noscript title datalist iframe object audio video canvas svg math noembed noframes".split())
+HIDDEN = frozenset("head script style template noscript title datalist iframe object audio video canvas noembed noframes".split())
+#: What may stand in head; any other start tag, or text, ends it.
+IN_HEAD = frozenset("base basefont bgsound link meta title style script noscript noframes template".split())
+#: Parts of svg and math that aren't drawn.
+UNDRAWN = frozenset("annotation annotation-xml clippath defs desc marker mask metadata pattern symbol".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table ul caption "
@@ -85,6 +89,8 @@ def build(html: str) -> Element:
 
     def text(s: str) -> None:
         if s:
+            while stack[-1].tag == "head" and s.strip(" \t\n\r\f"):
+                stack.pop()
             stack[-1].below.append(unescape(s) if "&" in s else s)
 
     while at < end:
@@ -105,6 +111,8 @@ def build(html: str) -> Element:
                 if stack[i].tag == "table" and tag not in ("body", "html"):  # an end tag doesn't reach out of its table
                     break
             continue
+        while stack[-1].tag == "head" and tag not in IN_HEAD:
+            stack.pop()
         if tag in CLOSES_P:
             close({"p"}, {"table", "td", "th", "li", "div", "section", "article", "blockquote"})
         if tag in IMPLIED:
@@ -114,6 +122,8 @@ def build(html: str) -> Element:
             stack[-1].below.append(row)
             stack.append(row)
         element = Element(tag, m[3])
+        drawing = tag in ("svg", "math") or any(x.tag in ("svg", "math") for x in stack) if tag in UNDRAWN or m[3].endswith("/") else False
+        element.hidden |= drawing and tag in UNDRAWN
         stack[-1].below.append(element)
         if tag in RAW:
             stop = re.compile(rf"</{tag}[\s/>]", re.I).search(html, at)
@@ -122,7 +132,7 @@ def build(html: str) -> Element:
             at = stop.start() if stop else end
             if stop:
                 at = html.find(">", at) + 1 or end
-        elif tag not in VOID and len(stack) < DEPTH:
+        elif tag not in VOID and len(stack) < DEPTH and not (drawing and m[3].endswith("/")):
             stack.append(element)
     return root
 
@@ -153,33 +163,47 @@ class Flow:
             self.gap = 0
 
 
-def cell_rows(table: Element) -> Iterator[Element]:
-    for x in table.below:
-        if isinstance(x, Element) and not x.hidden:
-            if x.tag == "tr":
-                yield x
-            elif x.tag in ("thead", "tbody", "tfoot"):
-                yield from cell_rows(x)
+def sorted_out(parts: list, kinds: tuple, through: tuple, stray: list) -> Iterator[Element]:
+    """Elements of these kinds among parts and within the wrappers there; what is neither goes to stray, in order.
+
+    A wrapper is an element of `through`, or one that has such an element below it, however deep but not in a table of its own.
+    """
+    for x in parts:
+        if isinstance(x, str):
+            stray.append(x)
+        elif x.hidden:
+            continue
+        elif x.tag in kinds:
+            yield x
+        elif x.tag in through or holds(x, kinds):
+            yield from sorted_out(x.below, kinds, through, stray)
+        else:
+            stray.append(x)
+
+
+def holds(x: Element, kinds: tuple) -> bool:
+    return x.tag != "table" and any(isinstance(y, Element) and not y.hidden and (y.tag in kinds or holds(y, kinds)) for y in x.below)
 
 
 def put_table(table: Element, flow: Flow) -> None:
-    for x in table.below:
-        if isinstance(x, Element) and x.tag == "caption" and not x.hidden:
-            flow.put(lines_of(x))
+    stray: list[Element | str] = []
     rows: list[list[list[str]]] = []
-    for tr in cell_rows(table):
+    loose: list[Element | str] = []
+    for x in sorted_out(table.below, ("tr", "caption"), ("thead", "tbody", "tfoot", "colgroup"), stray):
+        if x.tag == "caption":
+            flow.put(lines_of(x))
+            continue
         cells: list[list[str]] = []
-        for c in tr.below:
-            if isinstance(c, Element) and c.tag in ("td", "th") and not c.hidden:
-                cells += [lines_of(c), *([[]] * (c.span - 1))]
+        for c in sorted_out(x.below, ("td", "th"), (), loose):
+            cells += [lines_of(c), *([[]] * (c.span - 1))]
         rows.append(cells)
+        stray += loose
+        loose.clear()
     widths = [max((len(s) for r in rows for s in (r[i] if i < len(r) else ())), default=0) for i in range(max(map(len, rows), default=0))]
     for r in rows:
         flow.put(["  ".join(s.ljust(w) for s, w in zip(part, widths)).rstrip() for part in zip_longest(*r, fillvalue="")])
-    for x in table.below:  # what stands in a table outside its cells is shown after it
-        stray = [x] if isinstance(x, str) else [] if x.tag in ("tr", "thead", "tbody", "tfoot", "caption", "colgroup", "col") else [x]
-        for s in stray:
-            render(s, flow)
+    for x in stray:  # what stands in a table outside its cells is shown after it
+        render(x, flow)
     flow.end()
 
 
@@ -196,7 +220,7 @@ def render(x: Element | str, flow: Flow, depth: int = 0) -> None:
     if x.tag not in BLOCK:
         for y in x.below:
             render(y, flow, depth)
-        if x.tag in ("td", "th"):
+        if x.tag in ("td", "th", "text"):  # text is a label of an svg
             flow.add(" ")
         return
     gap = int(x.tag in APART and not (x.tag in ("ul", "ol") and depth))

@@ -253,6 +253,26 @@ def test_html(html, text):
     assert html_text.visible_text(html) == text
 
 
+@pytest.mark.parametrize(
+    "html,text",
+    [
+        ("<head><title>t</title><p>Hello", "Hello"),
+        ("<html><head><meta charset=x>\n<title>t</title>Hello <b>you</b>", "Hello you"),
+        ("<head><head><style>p{}</style><div>a</div></head>b", "a\nb"),
+        ("<table><tr><form><td>x</td></form></tr></table>", "x"),
+        ("<table><tbody><form><tr><td>x<td>y</tr></form><tr><td>1<td>2</tbody></table>", "x  y\n1  2"),
+        ("<table><tr>loose text<td>c</table>", "c\nloose text"),
+        ("<table><tbody>one<tr><td>two<div>in</div><tr><div>three</div><td hidden>no</tbody></table>", "two\nin\none\nthree"),
+        ("<table><colgroup>head<col><tr><td>a</table>", "a\nhead"),
+        ("a <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>no</annotation></math> b", "a x=1 b"),
+        ("<svg><title>no</title><defs/><path d=x /><text>one</text><text>two</text><defs><text>no</text></defs></svg>three", "one two three"),
+        ("<desc>shown</desc>", "shown"),
+    ],
+)
+def test_html_loses_no_visible_text(html, text):
+    assert html_text.visible_text(html) == text
+
+
 def test_html_rows(spark):
     df = spark.createDataFrame([(1, "<p>a"), (2, None), (3, ""), (1, "<p>a")], "page_id long, html string").withColumn("text", F.lit(0))
     assert sorted(((r.page_id, r.text) for r in html_text.extract_text(df).collect()), key=str) == [(1, "a"), (1, "a"), (2, None), (3, "")]
