@@ -7,10 +7,11 @@ the matching range of the array gives the locations, and neighbouring matches jo
 Matched words are compared byte for byte, so equal hashes of different words can't make a hit.
 
 The benchmark travels to the tasks in blocks of at most BLOCK_CHARS characters, so what is sent has a fixed bound; with
-more than one block the hits of the blocks are united per document. A document's own words never leave its task.
+more than one block every row gets a key of its own first, written with it, and the hits of the blocks are united by that
+key: rows are neither merged nor dropped, and a task holds one block at a time.
 
 Defined results: null or empty text has no words and no hits; items without words are no windows; repeated items count
-each by item_id; repeated documents and extra columns change nothing.
+each by item_id; each row, repeated or of a null doc_id, has a result row of its own; extra columns change nothing.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import LOWER, chunks, texts, word_hashes, words
+from marlstone.llm.common import LOWER, chunks, texts, word_hashes, words, written
 
 #: Words of a window.
 WINDOW = 13
@@ -35,6 +36,8 @@ SHARE = 20
 IS_WORD = np.zeros(256, bool)
 IS_WORD[48:58] = IS_WORD[65:91] = IS_WORD[97:123] = IS_WORD[128:] = True
 
+#: Key of an input row where the benchmark has several blocks.
+KEY = "__row_key"
 HITS = "n_words long, hits array<struct<start:int,end:int,items:array<string>>>"
 
 
@@ -142,10 +145,10 @@ def find_matches(
 ) -> DataFrame:
     """(doc_id, n_words, hits): word ranges of each document that repeat benchmark windows verbatim, with the items.
 
-    keep names further columns of docs that travel along (for one block only).
+    keep names further columns of docs that travel along.
     """
 
-    def search(test: TestSuffixes):
+    def search(test: TestSuffixes, keep: tuple[str, ...]):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("items", pa.list_(pa.string()))]))
             for b in batches:
@@ -166,18 +169,27 @@ def find_matches(
 
         return run
 
+    def searched(source: DataFrame, items: list[tuple[str, str]], keep: tuple[str, ...]) -> DataFrame:
+        source = source.select("doc_id", "text", *keep)
+        fields = [f for f in source.schema.fields if f.name != "text"]
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", " + HITS
+        return source.mapInArrow(search(TestSuffixes(items, window), keep), schema)
+
     source = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *(F.col(c) for c in keep))
-    fields = [f for f in source.schema.fields if f.name != "text"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", " + HITS
-    parts = [source.mapInArrow(search(TestSuffixes(items, window)), schema) for items in _blocks(benchmark, item_col, item_text_col, block_chars)]
-    if len(parts) == 1:
-        return parts[0]
-    # n_words is the same in every block; repeated documents of one id have their hits united
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    united = every.groupBy("doc_id", *keep).agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("hits")).alias("hits"))
-    return united.withColumn("hits", _join_hits(F.col("hits")))
+    blocks = _blocks(benchmark, item_col, item_text_col, block_chars)
+    first, rest = next(blocks), list(blocks)
+    if not rest:
+        return searched(source, first, keep)
+    # written, so that a row's key is the same in every block
+    source = written(source.withColumn(KEY, F.monotonically_increasing_id()))
+    found = searched(source, first, (*keep, KEY))
+    more = None
+    for items in rest:
+        part = searched(source, items, (KEY,)).where(F.size("hits") > 0).select(KEY, F.col("hits").alias("more"))
+        more = part if more is None else more.unionByName(part)
+    more = more.groupBy(KEY).agg(F.flatten(F.collect_list("more")).alias("more"))
+    both = F.when(F.col("more").isNull(), F.col("hits")).otherwise(_join_hits(F.concat("hits", "more")))
+    return found.join(more, KEY, "left").select("doc_id", *keep, "n_words", both.alias("hits"))
 
 
 def _join_hits(hits: Column) -> Column:

@@ -225,6 +225,17 @@ def test_decontamination(spark, sf, docs, block_chars):
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {d for d, x in want.items() if not x[4]}
 
 
+@pytest.mark.parametrize("block_chars", [16 << 20, 20])
+def test_decontamination_keeps_rows_apart(spark, block_chars):
+    bench = spark.createDataFrame([(i, f"w{i} x{i} y{i}") for i in range(12)], "item_id long, text string")
+    rows = [(None, "a b c d"), (None, "w1 x1 y1 z w2 x2 y2"), (None, None), (7, "w3 x3 y3"), (7, "q r"), (8, "e f"), (8, "e f"), (9, "w5 x5 y5 w6 x6 y6")]
+    found = decontaminate.find_matches(frame(spark, rows), bench, block_chars=block_chars)
+    got = sorted(((r.doc_id, r.n_words, r.n_hit, r.n_items, r.longest_match) for r in decontaminate.decontamination_report(found).collect()), key=str)
+    assert got == sorted([(None, 4, 0, 0, 0), (None, 7, 6, 2, 3), (None, 0, 0, 0, 0), (7, 3, 3, 1, 3), (7, 2, 0, 0, 0), (8, 2, 0, 0, 0), (8, 2, 0, 0, 0), (9, 6, 6, 2, 6)], key=str)
+    kept = decontaminate.remove_contaminated(frame(spark, rows), bench, block_chars=block_chars)
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(None, "a b c d"), (None, None), (7, "q r"), (8, "e f"), (8, "e f")], key=str)
+
+
 def test_decontamination_without_a_benchmark(spark):
     empty = spark.createDataFrame([], "item_id long, text string")
     got = decontaminate.decontamination_report(decontaminate.find_matches(frame(spark, [(1, "a b"), (2, None)]), empty)).collect()
