@@ -14,7 +14,7 @@ from marlstone.llm.common import written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts without a letter and texts that every language's scorer refuses."""
+    """Drops texts without a letter and texts that know too few n-grams of every learned language."""
     return langid.drop_rejected(docs)
 
 

@@ -10,6 +10,10 @@ Learning reads only text and non-null language of the rows the caller allows, at
 (those with the least hash of id, so any partitioning gives the same sample): a documented bound. Landmarks are the
 first `landmarks` of these a language. Texts are learned and scored whole.
 
+A margin says which language is likeliest, not whether any is: the margins of a text add up to 2 - L over L languages. What
+rejects junk, other scripts and languages that were not learned is the share of the text's n-grams that the landmarks know,
+against a line from the labelled rows (see JUDGED).
+
 Defined results: null text, or text without a letter, is `und` with score 0; ties between languages go to the first
 in alphabetical order; with no labelled row every text is `und`. Rows are scored one by one, so repeated rows and
 extra columns change nothing.
@@ -30,6 +34,10 @@ from marlstone.llm.common import LOWER, chunks, mix
 #: Labelled rows a language that are learned from, landmarks a language, and the ridge.
 PER_LANGUAGE, LANDMARKS, RIDGE = 200, 24, 0.02
 ORDERS = (1, 2, 3, 4)
+#: A text is junk where the share of its JUDGED-grams that the landmarks know is below a language's line: LINE times the
+#: share that all but FEWEST of the language's labelled rows reach. A language of fewer than LEAST rows has no line.
+#: A share counts as below only where it is by DEVIATIONS of chance, so a text of a few letters stays.
+JUDGED, LINE, FEWEST, LEAST, DEVIATIONS = 3, 0.75, 0.1, 10, 3.0
 #: Slots of the table that finds an n-gram's column.
 SLOTS = 1 << 20
 
@@ -58,6 +66,8 @@ class Model:
 
     def __init__(self, codes: np.ndarray, weights: np.ndarray, bias: np.ndarray, languages: list[str]):
         self.codes, self.weights, self.bias, self.languages = codes, weights.astype(np.float32), bias, languages
+        #: Least share of known n-grams of each language; 0 is no line.
+        self.lines = np.zeros(len(languages))
         # an open table: slot -> column; colliding n-grams go on to the next of a few slots
         self.slot = np.full(SLOTS, -1, np.int32)
         for i, h in enumerate((mix(codes.copy()) % np.uint64(SLOTS)).tolist()):
@@ -85,10 +95,20 @@ class Model:
             h, code = (h[go] + 1) % SLOTS, code[go]
         return np.concatenate(out)
 
-    def presence(self, data: np.ndarray, row: np.ndarray) -> None:
-        """Set the row's entry of every known n-gram of data to one."""
-        for code in grams(data):
-            row[self.columns(code)] = 1
+    def presence(self, data: np.ndarray, row: np.ndarray) -> tuple[int, int]:
+        """Set the row's entry of every known n-gram of data to one; how many of its JUDGED-grams are known, and of how many."""
+        known, total = 0, 0
+        for order, code in zip(ORDERS, grams(data)):
+            found = self.columns(code)
+            row[found] = 1
+            if order == JUDGED:
+                known, total = len(found), len(code)
+        return known, total
+
+    def refuses(self, language: np.ndarray, known: np.ndarray, total: np.ndarray) -> np.ndarray:
+        """Whether texts know too few n-grams for texts of these languages (by number)."""
+        line = self.lines[language]
+        return known + DEVIATIONS * np.sqrt(total * line * (1 - line)) < line * total
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         """Margins of each language for presence rows."""
@@ -130,7 +150,19 @@ def fit(rows: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float =
     centred = phi - mean_phi
     solved = np.linalg.solve(centred.T @ (w * centred) + ridge * len(rows) * np.eye(phi.shape[1]), centred.T @ (w * (y - mean_y)))
     folded = z.T.astype(np.float64) @ (root @ solved)
-    return Model(codes, folded, mean_y - mean_phi @ solved, languages)
+    out = Model(codes, folded, mean_y - mean_phi @ solved, languages)
+    # known shares of the labelled rows; a landmark's own n-grams are known where another landmark has them
+    owners, own = (z > 0).sum(axis=0), set(marks)
+    shares: dict[str, list[float]] = {c: [] for c in languages}
+    for i, (lang, _) in enumerate(rows):
+        code = (grams(data[i])[JUDGED - 1 :] or [np.zeros(0, np.uint64)])[0]
+        if len(code):
+            found = model.columns(code)
+            shares[lang].append(float((owners[found] > 1).sum() if i in own else len(found)) / len(code))
+    for k, c in enumerate(languages):
+        if len(shares[c]) >= LEAST:
+            out.lines[k] = LINE * np.quantile(shares[c], FEWEST)
+    return out
 
 
 def has_letter(text: str) -> bool:
@@ -162,15 +194,16 @@ def labelled_sample(docs: DataFrame, allowed: Column, per_language: int = PER_LA
     return out
 
 
-def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, lang_pred, score) for each whole text, with the columns named by keep."""
+def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), judge: bool = False) -> DataFrame:
+    """(doc_id, lang_pred, score) for each whole text, with the columns named by keep; with judge also refused: whether the
+    text is `und` or knows too few n-grams of the learned languages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = max(1, (32 << 20) // (4 * max(1, len(model.codes))))
         for b in batches:
             for rows, data, offsets in chunks(b):
                 n = len(offsets) - 1
-                names, score = np.full(n, "und", object), np.zeros(n)
+                names, score, refused = np.full(n, "und", object), np.zeros(n), np.ones(n, bool)
                 high = np.append(0, np.cumsum(data >= 128))[offsets]
                 plain = np.append(0, np.cumsum((LETTERS[data] != 32) & (data < 128)))[offsets]
                 ok = np.diff(plain) > 0
@@ -180,21 +213,22 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 for lo in range(0, len(todo), step):
                     part = todo[lo : lo + step]
                     x = np.zeros((len(part), len(model.codes)), np.float32)
-                    for j, i in enumerate(part):
-                        model.presence(data[offsets[i] : offsets[i + 1]], x[j])
+                    known = np.array([model.presence(data[offsets[i] : offsets[i + 1]], x[j]) for j, i in enumerate(part)])
                     margin = model.scores(x)
                     best = margin.argmax(axis=1)
                     names[part] = [model.languages[k] for k in best.tolist()]
                     score[part] = np.clip((margin[np.arange(len(part)), best] + 1) / 2, 0, 1)
+                    refused[part] = model.refuses(best, known[:, 0], known[:, 1])
                 part = b.slice(rows.start, rows.stop - rows.start)
+                last = [pa.array(refused)] if judge else []
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), *(part.column(c) for c in keep), pa.array(names, pa.string()), pa.array(score, pa.float64())],
-                    ["doc_id", *keep, "lang_pred", "score"],
+                    [part.column("doc_id"), *(part.column(c) for c in keep), pa.array(names, pa.string()), pa.array(score, pa.float64()), *last],
+                    ["doc_id", *keep, "lang_pred", "score"] + ["refused"] * judge,
                 )
 
     source = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *(F.col(c) for c in keep))
     fields = [f for f in source.schema.fields if f.name != "text"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", lang_pred string, score double"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", lang_pred string, score double" + ", refused boolean" * judge
     return source.mapInArrow(run, schema)
 
 
@@ -209,14 +243,9 @@ def identify(docs: DataFrame, allowed: Column | None = None, per_language: int =
     return predict(docs, fit(sample, landmarks), keep=keep)
 
 
-#: Score below which the pipeline rejects a text: even its best language's scorer is sure that it is not of the language.
-#: Short clean texts lie around 0.3, so the line is far below them.
-BELIEVED = 0.05
-
-
-def drop_rejected(docs: DataFrame, least: float = BELIEVED) -> DataFrame:
-    """docs without texts that are `und` or that no language claims; columns as they were."""
+def drop_rejected(docs: DataFrame) -> DataFrame:
+    """docs without texts that are `und` or know too few n-grams of every learned language; columns as they were."""
     names = docs.columns
     inner = docs.select(F.struct(*(F.col(c) for c in names)).alias("row"), "doc_id", "text", "lang")
     model = fit(labelled_sample(inner, F.lit(True)))
-    return predict(inner, model, keep=("row",)).where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("row.*")
+    return predict(inner, model, keep=("row",), judge=True).where("not refused").select("row.*")

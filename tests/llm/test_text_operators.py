@@ -180,6 +180,15 @@ def test_language_edges(spark):
     assert langid.identify(df.limit(0)).count() == 0
 
 
+def test_junk_and_unlearned_languages_are_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    junk = ["日本語の文章はここにあります。", "Привет как дела, это русский текст", "xqzj kwvp zzkq jjxw qqvw kzxj wvvq", "U3VwZXIgbG9uZyBiYXNlNjQgc3RyaW5nIHdpdGggbm8gc3BhY2Vz", "asdf jkl; asdfg hjkl qwerty uiop " * 3]
+    junk.append("Vaikka tämä on suomea, se ei ole opittu kieli ja sen tulee mennä pois, koska kukaan ei ole opettanut sitä tälle mallille " * 2)
+    more = [(-1 - i, t, None) for i, t in enumerate(junk)] + [(-100, "A.", None), (-101, "!", None)]
+    kept = {r.doc_id for r in langid.drop_rejected(docs.unionByName(spark.createDataFrame(more, docs.schema))).collect()}
+    assert kept == {r.doc_id for r in docs.collect() if langid.has_letter(r.text or "")} | {-100}
+
+
 def test_presence_doesnt_count():
     model = langid.fit([("a", "the cat sat"), ("b", "le chat noir")])
     one, many = (np.zeros((1, len(model.codes)), np.float32) for _ in range(2))
