@@ -10,8 +10,8 @@ A document's set is its distinct SHINGLE-word shingles. Two sets link at Jaccard
    members are leaves of a signature tree: nodes hold the OR of the token bitmaps below, the range of set sizes, and the
    most tokens a bitmap hides. The dual traversal drops node pairs whose largest possible overlap is too small for the
    smallest sizes. A first traversal, over small bitmaps, tells which members may have a link at all; their tokens then
-   travel to the cell, and in a second one leaves that meet are compared token by token, and pairs that the cell has joined already are passed
-   over. Large cells are split into parts of about CELL members, every pair of parts a cell.
+   travel to the cell, and in a second one leaves that meet are compared on their full sets, and pairs that the cell has
+   joined already are passed over. Large cells are split into parts of about CELL members, every pair of parts a cell.
 4. What comes through is verified on the full sets. Links only prove components: every link between different texts is
    either verified or lies within a component that is already proven.
 
@@ -252,14 +252,13 @@ def tree_links(cells: DataFrame, per_cent: int) -> DataFrame:
     """Distinct pairs (a, b), a > b, of cells (cell, side, id, component, n, bits) that overlap enough, as few as join each
     cell's components. side 0 meets side 1; a cell with side 0 only meets itself.
 
-    bits holds 32 bits of each token; trees are built on wide bitmaps of them, and leaves that meet are compared
-    token by token (32 bits can only make an overlap too large). Pairs of a component, or of components that the cell
-    has joined by now, are passed over.
+    bits holds the tokens in full, n of them; trees are built on wide bitmaps of them, and leaves that meet are compared
+    token by token, by the test of verified(): a pair that joins components here is a link, so the pairs of a component,
+    or of components that the cell has joined by now, can be passed over.
     """
 
     def pairs(left: list, right: list) -> Iterator[tuple[int, int]]:
-        tokens = {i: np.frombuffer(t, np.uint32) for i, _, _, t in left + right}
-        size = {i: n for i, _, n, _ in left + right}
+        tokens = {i: np.frombuffer(t, np.uint64) for i, _, _, t in left + right}
         component = {i: g for i, g, _, _ in left + right}
         up: dict[int, int] = {}
 
@@ -269,14 +268,13 @@ def tree_links(cells: DataFrame, per_cent: int) -> DataFrame:
                 x = y
             return x
 
-        signed = lambda rows: [(i, g, n, bitmap(tokens[i].astype(np.uint64) << np.uint64(20))) for i, g, n, _ in rows]
+        signed = lambda rows: [(i, g, n, bitmap(tokens[i])) for i, g, n, _ in rows]
         for a, b in cell_pairs(signed(left), signed(right) if right else None, per_cent):
             x, y = top(component[a]), top(component[b])
             if x == y or a == b:
                 continue
-            hidden = min(size[a] - len(tokens[a]), size[b] - len(tokens[b]))
-            common = len(np.intersect1d(tokens[a], tokens[b], assume_unique=True)) + hidden
-            if 100 * common >= per_cent * (size[a] + size[b] - common):
+            common = len(np.intersect1d(tokens[a], tokens[b], assume_unique=True))
+            if 100 * common >= per_cent * (len(tokens[a]) + len(tokens[b]) - common):
                 up[max(x, y)] = min(x, y)
                 yield a, b
 
@@ -380,7 +378,7 @@ def verified(pairs: DataFrame, texts_: DataFrame, size: int, per_cent: int) -> D
 
 
 def token_signatures(texts_: DataFrame, size: int) -> DataFrame:
-    """(id, n, small, tokens): a small bitmap, and 32 bits of each token, from (doc, z)."""
+    """(id, n, small, tokens): a small bitmap, and all tokens, from (doc, z)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         big = zstandard.ZstdDecompressor().decompress
@@ -391,7 +389,7 @@ def token_signatures(texts_: DataFrame, size: int) -> DataFrame:
                 s = shingle_sets(raw, np.array([0, len(raw)], np.int64), size)[1]
                 n.append(len(s))
                 small.append(bitmap(s, SMALL))
-                tokens.append(np.unique((s >> np.uint64(32)).astype(np.uint32)).tobytes())
+                tokens.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array(n, pa.int64()), pa.array(small, pa.binary()), pa.array(tokens, pa.binary())], ["id", "n", "small", "tokens"])
 
     return texts_.mapInArrow(run, "id long, n long, small binary, tokens binary")

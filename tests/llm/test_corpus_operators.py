@@ -141,6 +141,23 @@ def test_dual_traversal_loses_no_pair():
     assert len(found) < len(sets) * (len(sets) - 1) / 4
 
 
+def test_tokens_of_equal_halves_join_nothing(spark):
+    """Sets whose only differing shingles have the same upper 32 bits, of Jaccard similarity 5 / 7, and a true pair."""
+    from pyspark.sql import functions as F
+
+    names = [f"x{i}" for i in range(400_000)]
+    offsets = np.append(0, np.cumsum([len(x) for x in names]))
+    _, s = signature_join.shingle_sets(np.frombuffer("".join(names).encode(), np.uint8), offsets, 1)
+    order = np.argsort(s)
+    high = s[order] >> np.uint64(32)
+    k = int(np.flatnonzero(high[1:] == high[:-1])[0])
+    x, y = names[order[k]], names[order[k + 1]]
+    texts = spark.createDataFrame([(1, f"a b c d e {x}"), (2, f"a b c d e {y}"), (3, "p q r s t u v"), (4, "p q r s t u v w")], "doc long, text string")
+    signs = signature_join.token_signatures(signature_join.packed(texts), 1)
+    cells = signs.select(F.lit(1).cast("long").alias("cell"), F.lit(0).alias("side"), "id", F.col("id").alias("component"), "n", F.col("tokens").alias("bits"))
+    assert [tuple(r) for r in signature_join.tree_links(cells, 85).collect()] == [(4, 3)]
+
+
 def test_components_of_long_paths(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (200, 200)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
