@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -100,23 +99,40 @@ LOWER[65:91] += 32
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder for one intermediate table, under the folder that driver and executors share.
 
-    The cluster names it in spark.checkpoint.dir; where that is unset (tests on one machine) /tmp/checkpoints is used.
+    The cluster names it in spark.checkpoint.dir; only a local master may do without, and then /tmp/checkpoints is used.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "file:///tmp/checkpoints"
     return f"{root.rstrip('/')}/marlstone-{uuid.uuid4().hex}"
 
 
-def released(spark: SparkSession) -> None:
-    """Let the shuffle files of finished steps go now; else they stay until the driver happens to collect its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+class Scratch:
+    """Tables of one operator in the shared folder: each cuts the lineage, and goes when its last reader has run."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def table(self, df: DataFrame) -> DataFrame:
+        """df written once as Parquet and read again."""
+        path = shared_dir(self.spark)
+        df.write.option("compression", "zstd").parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = (path, out)
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Empty the folders of tables that no later step reads."""
+        for t in tables:
+            path, _ = self.paths.pop(id(t))
+            t.limit(0).coalesce(1).write.mode("overwrite").parquet(path)
 
 
 def written(df: DataFrame) -> DataFrame:
-    """df cut from its lineage: written once as Parquet to the shared folder and read again."""
-    path = shared_dir(df.sparkSession)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """df cut from its lineage, for results that the caller reads later."""
+    return Scratch(df.sparkSession).table(df)
 
 
 def partitions(spark: SparkSession, least: int = 1) -> int:

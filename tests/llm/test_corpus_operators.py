@@ -97,8 +97,8 @@ def brute_components(rows):
     return {i: (len(sets[i]), top(i)) for i in ids}
 
 
-@pytest.mark.parametrize("cell", [1000, 3])
-def test_jaccard_components(spark, cell):
+@pytest.mark.parametrize("cell_tokens,near", [(4_000_000, 8192), (300, 4)])
+def test_jaccard_components(spark, cell_tokens, near):
     rng = random.Random(5)
     vocab = [f"w{i}" for i in range(300)]
     passages = [[rng.choice(vocab) for _ in range(40)] for _ in range(6)]
@@ -114,7 +114,7 @@ def test_jaccard_components(spark, cell):
             texts.append(" ".join(t))
     rng.shuffle(texts)
     rows = [*enumerate(texts), (900, None), (901, ""), (902, "A b"), (903, "a B"), (904, " \t"), (905, "one")]
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in signature_join.components_report(frame(spark, rows), cell=cell).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in signature_join.components_report(frame(spark, rows), cell_tokens=cell_tokens, near=near).collect()}
     assert got == brute_components(rows)
 
 
@@ -126,36 +126,103 @@ def test_jaccard_edges(spark):
 
 def test_dual_traversal_loses_no_pair():
     rng = np.random.default_rng(1)
-    sets = [np.unique(rng.integers(0, 1 << 63, rng.integers(5, 200)).astype(np.uint64)) for _ in range(20)]
+    sets = [np.unique(rng.integers(0, 1 << 63, rng.integers(5, 200)).astype(np.uint64)) for _ in range(40)]
     for s in list(sets):
         for _ in range(4):
             keep = rng.random(len(s)) > rng.choice([0.02, 0.08, 0.2])
             sets.append(np.unique(np.append(s[keep], rng.integers(0, 1 << 63, rng.integers(0, 4)).astype(np.uint64))))
-    members = [(i, i, len(s), signature_join.bitmap(s)) for i, s in enumerate(sets)]
-    found = {(max(p), min(p)) for p in signature_join.cell_pairs(members, None, 85)}
+    n = np.array([len(s) for s in sets])
+    linked = lambda a, b: 100 * (k := len(np.intersect1d(sets[a], sets[b]))) >= 85 * (n[a] + n[b] - k) and k > 0
+    _, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    own = [np.sort(c) for c in np.split(codes, np.cumsum(n)[:-1])]
+    root = signature_join.tree(np.arange(len(sets)), n, own, codes.max() + 1)
+    met = {frozenset(map(id, p)) for p in signature_join.traverse(root, root, 85)}
+    leaves, todo = [], [root]
+    while todo:
+        x = todo.pop()
+        todo += x.below
+        leaves += [x] * (x.members is not None)
+    home = {int(i): id(x) for x in leaves for i in x.members}
+    assert all(frozenset((home[i], home[j])) in met for i in range(len(sets)) for j in range(i) if linked(i, j))
+    assert len(met) < len(leaves) * (len(leaves) + 1) / 2
+
+
+def brute_sets(sets):
+    up = list(range(len(sets)))
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
     for i in range(len(sets)):
         for j in range(i):
             k = len(np.intersect1d(sets[i], sets[j]))
             if k and 100 * k >= 85 * (len(sets[i]) + len(sets[j]) - k):
-                assert (i, j) in found
-    assert len(found) < len(sets) * (len(sets) - 1) / 4
-
-
-def test_tokens_of_equal_halves_join_nothing(spark):
-    """Sets whose only differing shingles have the same upper 32 bits, of Jaccard similarity 5 / 7, and a true pair."""
-    from pyspark.sql import functions as F
-
-    names = [f"x{i}" for i in range(400_000)]
-    offsets = np.append(0, np.cumsum([len(x) for x in names]))
-    _, s = signature_join.shingle_sets(np.frombuffer("".join(names).encode(), np.uint8), offsets, 1)
-    order = np.argsort(s)
-    high = s[order] >> np.uint64(32)
-    k = int(np.flatnonzero(high[1:] == high[:-1])[0])
-    x, y = names[order[k]], names[order[k + 1]]
-    texts = spark.createDataFrame([(1, f"a b c d e {x}"), (2, f"a b c d e {y}"), (3, "p q r s t u v"), (4, "p q r s t u v w")], "doc long, text string")
-    signs = signature_join.token_signatures(signature_join.packed(texts), 1)
-    cells = signs.select(F.lit(1).cast("long").alias("cell"), F.lit(0).alias("side"), "id", F.col("id").alias("component"), "n", F.col("tokens").alias("bits"))
-    assert [tuple(r) for r in signature_join.tree_links(cells, 85).collect()] == [(4, 3)]
+                x, y = top(i), top(j)
+                up[max(x, y)] = min(x, y)
+    return [top(i) for i in range(len(sets))]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_cells_near_the_threshold(seed):
+    """Families whose pairs lie just below and just above the threshold, with tokens that agree in all but their low bits."""
+    rng = np.random.default_rng(seed)
+    base = rng.integers(0, 1 << 62, 63).astype(np.uint64)
+    sets = []
+    for _ in range(70):
+        lost = rng.choice(63, rng.integers(0, 6), replace=False)
+        s = np.delete(base, lost)
+        s = np.append(s, base[rng.choice(63, rng.integers(0, 3), replace=False)] ^ np.uint64(1))  # another token, equal above
+        sets.append(np.unique(np.append(s, rng.integers(0, 1 << 62, rng.integers(0, 5)).astype(np.uint64))))
+    want = brute_sets(sets)
+    for p in (range(70), rng.permutation(70)):
+        p = np.array(list(p))
+        got = signature_join.cell_links([sets[i] for i in p], p.astype(np.int64), None, 85)
+        assert got.tolist() == [want[i] for i in p]
+    # two sides: only pairs across count
+    got = signature_join.cell_links(sets, np.arange(70), 30, 85)
+    for i in range(30):
+        for j in range(30, 70):
+            k = len(np.intersect1d(sets[i], sets[j]))
+            assert got[i] == got[j] or not 100 * k >= 85 * (len(sets[i]) + len(sets[j]) - k)
+    # sketches never part a link
+    m, n = len(sets), np.array([len(s) for s in sets])
+    data, cuts = signature_join.parity_sketches(np.repeat(np.arange(m), n), np.concatenate(sets), n)
+    root = signature_join.near_roots(n, [data[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], 85)
+    assert all(root[i] == root[want[i]] for i in range(m))
+
+
+def test_collision_triples_stay_together(spark):
+    """a-b just misses, a-c and b-c link, in every order of ids: no component depends on the order of traversal."""
+    base = [f"b{i}" for i in range(63)]
+    rows, want = [], {}
+    for k in range(12):
+        own = [[f"{k}{x}{i}" for i in range(6)] for x in "ab"]
+        a, b, c = base[:60] + own[0], base[:60] + own[1], base + own[0][:1]
+        ids = [3 * k, 3 * k + 1, 3 * k + 2]
+        random.Random(k).shuffle(ids)
+        rows += [(i, " ".join(f"{k}_{w}" for w in t)) for i, t in zip(ids, (a, b, c))]
+    want = brute_components(rows)
+    assert len({c for _, c in want.values()}) < len(rows)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in signature_join.components_report(frame(spark, rows)).collect()}
+    assert got == want
+
+
+def test_jaccard_of_long_texts_text_ids_and_repeats(spark):
+    long = " ".join(f"w{i % 9973}" for i in range(40_000))
+    rows = [("b", long), ("a", long + " more"), ("c", "x y z"), ("c", "p q r s"), ("d", "p q r s"), (None, "p q r s t"), (None, "other words here now"), ("e", None)]
+    df = spark.createDataFrame(rows * 2, "name string, body string").withColumn("text", F.lit("n")).withColumn("uid", F.lit(1)).withColumn("key", F.lit(2))
+    got = sorted({(r.doc_id or "", r.n_shingles, r.component_id) for r in signature_join.components_report(df, "name", "body").collect()})
+    one, more = 9973, 9974
+    assert got == [("", 1, None), ("", 2, None), ("a", more, "a"), ("b", one, "a"), ("c", 1, "c"), ("d", 1, "c"), ("e", 0, "e")]
+
+
+def test_one_of_a_group_stays(spark):
+    df = frame(spark, [(None, "p q r s"), (None, "u v w x"), (4, "u v w x"), (5, "a b"), (6, "a b"), (6, "a b"), (7, None), (8, ""), (9, "k l m")])
+    kept = signature_join.keep_one(df)
+    assert kept.columns == df.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(None, "p q r s"), (None, "u v w x"), (5, "a b"), (7, None), (8, ""), (9, "k l m")], key=str)
 
 
 def test_components_of_long_paths(spark):
