@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,8 +39,8 @@ ORDERS = (1, 2, 3, 4)
 #: share that all but FEWEST of the language's labelled rows reach. A language of fewer than LEAST rows has no line.
 #: A share counts as below only where it is by DEVIATIONS of chance, so a text of a few letters stays.
 JUDGED, LINE, FEWEST, LEAST, DEVIATIONS = 3, 0.75, 0.1, 10, 3.0
-#: Slots of the table that finds an n-gram's column.
-SLOTS = 1 << 20
+#: Presence rows that learning holds at a time.
+BLOCK = 64
 
 # Bytes that count: ASCII letters, lower-cased, and the bytes of characters above ASCII; every other byte is a space.
 LETTERS = np.full(256, 32, np.uint8)
@@ -69,21 +70,22 @@ class Model:
         #: Least share of known n-grams of each language; 0 is no line.
         self.lines = np.zeros(len(languages))
         # an open table: slot -> column; colliding n-grams go on to the next of a few slots
-        self.slot = np.full(SLOTS, -1, np.int32)
-        for i, h in enumerate((mix(codes.copy()) % np.uint64(SLOTS)).tolist()):
+        self.slots = 1 << max(10, (4 * len(codes)).bit_length())
+        self.slot = np.full(self.slots, -1, np.int32)
+        for i, h in enumerate((mix(codes.copy()) % np.uint64(self.slots)).tolist()):
             while self.slot[h] >= 0:
-                h = (h + 1) % SLOTS
+                h = (h + 1) % self.slots
             self.slot[h] = i
         self.chain = 1
-        for i, h in enumerate((mix(codes.copy()) % np.uint64(SLOTS)).tolist()):
+        for i, h in enumerate((mix(codes.copy()) % np.uint64(self.slots)).tolist()):
             d = 1
             while self.slot[h] != i:
-                h, d = (h + 1) % SLOTS, d + 1
+                h, d = (h + 1) % self.slots, d + 1
             self.chain = max(self.chain, d)
 
     def columns(self, code: np.ndarray) -> np.ndarray:
         """Columns of the known n-grams among code."""
-        h = (mix(code.copy()) % np.uint64(SLOTS)).astype(np.int64)
+        h = (mix(code.copy()) % np.uint64(self.slots)).astype(np.int64)
         out = []
         for _ in range(self.chain):
             c = self.slot[h]
@@ -92,7 +94,7 @@ class Model:
             go = (c >= 0) & ~hit
             if not go.any():
                 break
-            h, code = (h[go] + 1) % SLOTS, code[go]
+            h, code = (h[go] + 1) % self.slots, code[go]
         return np.concatenate(out)
 
     def presence(self, data: np.ndarray, row: np.ndarray) -> tuple[int, int]:
@@ -132,15 +134,19 @@ def fit(rows: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float =
     model = Model(codes, np.zeros((len(codes), len(languages))), np.zeros(len(languages)), languages)
     if not rows or not len(codes):
         return model
-    x = np.zeros((len(rows), len(codes)), np.float32)
-    for i, d in enumerate(data):
-        model.presence(d, x[i])
-    x /= np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
-    z = x[marks]
+
+    def unit_rows(which: list[int]) -> np.ndarray:
+        x = np.zeros((len(which), len(codes)), np.float32)
+        for j, i in enumerate(which):
+            model.presence(data[i], x[j])
+        return x / np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
+
+    z = unit_rows(marks)
     values, vectors = np.linalg.eigh((z @ z.T).astype(np.float64))
     good = values > 1e-6 * max(values.max(), 1e-12)
     root = vectors[:, good] / np.sqrt(values[good])  # K_ZZ^(-1/2) on its range
-    phi = (x @ z.T).astype(np.float64) @ root
+    # only the landmarks' rows are kept; the others pass in blocks
+    phi = np.concatenate([unit_rows(list(range(lo, min(lo + BLOCK, len(rows))))) @ z.T for lo in range(0, len(rows), BLOCK)]).astype(np.float64) @ root
     y = np.array([[1.0 if lang == c else -1.0 for c in languages] for lang, _ in rows])
     # each language weighs the same, however many rows it has
     count = {c: sum(lang == c for lang, _ in rows) for c in languages}
@@ -194,31 +200,37 @@ def labelled_sample(docs: DataFrame, allowed: Column, per_language: int = PER_LA
     return out
 
 
+def scored(model: Model, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Language, score and whether the model refuses it, of each text of a chunk."""
+    n = len(offsets) - 1
+    step = max(1, (32 << 20) // (4 * max(1, len(model.codes))))
+    names, score, refused = np.full(n, "und", object), np.zeros(n), np.ones(n, bool)
+    high = np.append(0, np.cumsum(data >= 128))[offsets]
+    plain = np.append(0, np.cumsum((LETTERS[data] != 32) & (data < 128)))[offsets]
+    ok = np.diff(plain) > 0
+    for i in np.flatnonzero(~ok & (np.diff(high) > 0)).tolist():
+        ok[i] = has_letter(bytes(data[offsets[i] : offsets[i + 1]]).decode())
+    todo = np.flatnonzero(ok).tolist() if model.languages else []
+    for lo in range(0, len(todo), step):
+        part = todo[lo : lo + step]
+        x = np.zeros((len(part), len(model.codes)), np.float32)
+        known = np.array([model.presence(data[offsets[i] : offsets[i + 1]], x[j]) for j, i in enumerate(part)])
+        margin = model.scores(x)
+        best = margin.argmax(axis=1)
+        names[part] = [model.languages[k] for k in best.tolist()]
+        score[part] = np.clip((margin[np.arange(len(part)), best] + 1) / 2, 0, 1)
+        refused[part] = model.refuses(best, known[:, 0], known[:, 1])
+    return names, score, refused
+
+
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), judge: bool = False) -> DataFrame:
     """(doc_id, lang_pred, score) for each whole text, with the columns named by keep; with judge also refused: whether the
     text is `und` or knows too few n-grams of the learned languages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step = max(1, (32 << 20) // (4 * max(1, len(model.codes))))
         for b in batches:
             for rows, data, offsets in chunks(b):
-                n = len(offsets) - 1
-                names, score, refused = np.full(n, "und", object), np.zeros(n), np.ones(n, bool)
-                high = np.append(0, np.cumsum(data >= 128))[offsets]
-                plain = np.append(0, np.cumsum((LETTERS[data] != 32) & (data < 128)))[offsets]
-                ok = np.diff(plain) > 0
-                for i in np.flatnonzero(~ok & (np.diff(high) > 0)).tolist():
-                    ok[i] = has_letter(bytes(data[offsets[i] : offsets[i + 1]]).decode())
-                todo = np.flatnonzero(ok).tolist() if model.languages else []
-                for lo in range(0, len(todo), step):
-                    part = todo[lo : lo + step]
-                    x = np.zeros((len(part), len(model.codes)), np.float32)
-                    known = np.array([model.presence(data[offsets[i] : offsets[i + 1]], x[j]) for j, i in enumerate(part)])
-                    margin = model.scores(x)
-                    best = margin.argmax(axis=1)
-                    names[part] = [model.languages[k] for k in best.tolist()]
-                    score[part] = np.clip((margin[np.arange(len(part)), best] + 1) / 2, 0, 1)
-                    refused[part] = model.refuses(best, known[:, 0], known[:, 1])
+                names, score, refused = scored(model, data, offsets)
                 part = b.slice(rows.start, rows.stop - rows.start)
                 last = [pa.array(refused)] if judge else []
                 yield pa.RecordBatch.from_arrays(
@@ -233,8 +245,8 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 
 def held_out(id_col: str = "doc_id") -> Column:
-    """The contract's held-out rows: crc32 of the id as text, modulo 5."""
-    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0
+    """The contract's held-out rows: crc32 of the id as text, modulo 5; a row without an id isn't one."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
 def identify(docs: DataFrame, allowed: Column | None = None, per_language: int = PER_LANGUAGE, landmarks: int = LANDMARKS, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -243,9 +255,17 @@ def identify(docs: DataFrame, allowed: Column | None = None, per_language: int =
     return predict(docs, fit(sample, landmarks), keep=keep)
 
 
-def drop_rejected(docs: DataFrame) -> DataFrame:
-    """docs without texts that are `und` or know too few n-grams of every learned language; columns as they were."""
-    names = docs.columns
-    inner = docs.select(F.struct(*(F.col(c) for c in names)).alias("row"), "doc_id", "text", "lang")
-    model = fit(labelled_sample(inner, F.lit(True)))
-    return predict(inner, model, keep=("row",), judge=True).where("not refused").select("row.*")
+def drop_rejected(docs: DataFrame, languages: tuple[str, ...] | None = None) -> DataFrame:
+    """docs without texts that are `und`, know too few n-grams of every learned language, or are of a language that is not
+    wanted (all learned ones are, if languages is None); columns as they were. Rows pass once, whole, and are filtered in place."""
+    model = fit(labelled_sample(docs, F.lit(True)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            text = pa.RecordBatch.from_arrays([pc.fill_null(b.column("text"), "")], ["text"])
+            for rows, data, offsets in chunks(text):
+                names, _, refused = scored(model, data, offsets)
+                keep = ~refused if languages is None else ~refused & np.isin(names.astype(str), languages)
+                yield b.slice(rows.start, rows.stop - rows.start).filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
