@@ -29,12 +29,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import LOWER, chunks, mix, partitions, texts, word_hashes, words
+from marlstone.llm.common import LOWER, chunks, mix, partitions, powers, texts, word_hashes, words
 
 #: Shares of the documents between which a term's document frequency lies; with few documents two are asked for.
 LEAST, MOST = 0.001, 0.2
-#: Terms that the lexicon may have; beyond that LEAST is doubled until it fits.
-LEXICON = 2_000_000
+#: Terms that the lexicon may have; more are an error that asks for another band, not a silent change of it.
+LEXICON = 8_000_000
 LEVELS, EACH, FEW = 8, 8, 4
 SUBSETS = LEVELS * EACH
 #: Share of the lexicon in each subset: eight subsets each of 2**-2 to 2**-9.
@@ -98,7 +98,7 @@ def lexicon(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     found = document_frequencies(docs, id_col, text_col).where((F.col("n") >= lowest) & (F.col("n") <= max(2, most * n)))
     terms = found.select("term").limit(LEXICON + 1).toPandas()["term"].to_numpy(np.int64) if n else np.zeros(0, np.int64)
     if len(terms) > LEXICON:
-        return lexicon(docs, id_col, text_col, 2 * least, most)
+        raise ValueError(f"over {LEXICON} terms are in more than {lowest} of {n} documents: raise `least`, now {least}")
     return np.sort(terms.view(np.uint64))
 
 
@@ -115,11 +115,15 @@ def fingerprints(data: np.ndarray, offsets: np.ndarray, terms: np.ndarray) -> np
     out = np.zeros((n, SUBSETS), np.uint64)
     if not len(h):
         return out.astype(np.uint32)
-    first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
     for k in range(SUBSETS):
-        x = mix(h ^ SEEDS[k])
-        # a set's hash: the sum of its sorted distinct terms' mixed hashes modulo 2**64
-        out[row[first], k] = np.add.reduceat(np.where(x < LIMITS[k], mix(x) | np.uint64(1), np.uint64(0)), first)
+        # the row's terms that the subset holds stand sorted; their hash is a polynomial in that order
+        held = np.flatnonzero(mix(h ^ SEEDS[k]) < LIMITS[k])
+        if not len(held):
+            continue
+        of = row[held]
+        first = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+        rank = np.arange(len(held)) - np.repeat(first, np.diff(np.append(first, len(held))))
+        out[of[first], k] = mix(np.add.reduceat((h[held] | np.uint64(1)) * powers(int(rank.max()) + 1)[0][rank], first)) | np.uint64(1)
     small = (mix(out.ravel()) >> np.uint64(32)).astype(np.uint32).reshape(out.shape)
     return np.where(out == 0, np.uint32(0), np.maximum(small, np.uint32(1)))
 
