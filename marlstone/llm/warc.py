@@ -10,8 +10,9 @@ has stay, and fields that describe the payload are taken from the response alone
 
 Defined results: a null URL matches nothing; a revisit without an earlier full response is `unresolved`; one whose
 validator (ETag, else Last-Modified, else payload digest) differs from the response's is `mismatch`; without validators on
-either side it is `unverified` and merged; ties in time are broken by record id. Repeated records resolve each to the
-same response.
+either side it is `unverified` and merged; ties in time are broken by record id. Each revisit row, repeated or without a
+record id, has one result row; a response that is repeated counts once (of differing copies the one of least digest and
+payload hash), one without a record id can't be named and is passed over. Extra columns aren't read.
 """
 
 from __future__ import annotations
@@ -20,9 +21,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Fields that describe the payload or the connection, never taken from a 304.
-NOT_UPDATED = ("content-encoding", "content-length", "content-range", "content-type", "transfer-encoding", "connection")
-#: Spans of time of a URL.
-SPANS = 64
+NOT_UPDATED = (
+    "content-encoding content-length content-range content-type transfer-encoding connection keep-alive "
+    "proxy-authenticate proxy-authorization proxy-connection te trailer upgrade"
+).split()
+#: Records to a span of time, were all of one URL.
+SPAN_ROWS = 20_000
 
 
 def canonical_url(url: Column) -> Column:
@@ -35,13 +39,14 @@ def canonical_url(url: Column) -> Column:
 
 
 def merge_headers(response: Column, revisit: Column) -> Column:
-    """Header maps (names in lower case) of a stored response and of its 304."""
-    fresh = F.map_filter(revisit, lambda k, v: ~k.isin(*NOT_UPDATED))
+    """Header maps (names in lower case) of a stored response and of its 304; what the 304's Connection names is its own."""
+    hop = F.split(F.regexp_replace(F.lower(F.coalesce(F.try_element_at(revisit, F.lit("connection")), F.lit(""))), r"\s", ""), ",")
+    fresh = F.map_filter(revisit, lambda k, v: ~k.isin(*NOT_UPDATED) & ~F.array_contains(hop, k))
     stored = F.map_filter(response, lambda k, v: ~F.map_contains_key(fresh, k))
     return F.map_concat(stored, fresh)
 
 
-def resolve_revisits(records: DataFrame, spans: int = SPANS) -> DataFrame:
+def resolve_revisits(records: DataFrame, spans: int | None = None) -> DataFrame:
     """Revisits of records (record_id, url, at, kind 'response' or 'revisit', headers map, digest, payload) resolved.
 
     Returns record_id, canonical, response_id, status, headers, payload for each revisit.
@@ -50,28 +55,37 @@ def resolve_revisits(records: DataFrame, spans: int = SPANS) -> DataFrame:
         "record_id", canonical_url(F.col("url")).alias("canonical"), "at", "kind", "headers", "digest", "payload"
     )
     slim = rows.select("record_id", "canonical", "at", "kind").where(F.col("canonical").isNotNull())
-    bounds = slim.agg(F.min("at").cast("double").alias("lo"), F.max("at").cast("double").alias("hi"))
-    width = F.when(F.col("hi") > F.col("lo"), (F.col("hi") - F.col("lo")) / spans)
+    bounds = slim.agg(F.min("at").cast("double").alias("lo"), F.max("at").cast("double").alias("hi"), F.count("*").alias("n"))
+    many = F.ceil(F.col("n") / SPAN_ROWS) if spans is None else F.lit(spans)
+    width = F.when(F.col("hi") > F.col("lo"), (F.col("hi") - F.col("lo")) / many)
     slim = slim.crossJoin(F.broadcast(bounds)).withColumn(  # one row
-        "span", F.coalesce(F.least(F.floor((F.col("at").cast("double") - F.col("lo")) / width), F.lit(spans - 1)), F.lit(0)).cast("int")
+        "span", F.coalesce(F.least(F.floor((F.col("at").cast("double") - F.col("lo")) / width), many - 1), F.lit(0)).cast("int")
     )
     order = ("at", F.expr("kind = 'revisit'"), "record_id")
-    full = F.when(F.col("kind") == "response", F.struct("at", "record_id"))
+    full = F.when((F.col("kind") == "response") & F.col("record_id").isNotNull(), F.struct("at", "record_id"))
     inside = Window.partitionBy("canonical", "span").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    near = slim.select("record_id", "canonical", "span", "kind", F.last(full, ignorenulls=True).over(inside).alias("own")).where("kind = 'revisit'")
-    ends = slim.where("kind = 'response'").groupBy("canonical", "span").agg(F.max(F.struct("at", "record_id")).alias("end"))
+    near = slim.select("record_id", "at", "canonical", "span", "kind", F.last(full, ignorenulls=True).over(inside).alias("own")).where("kind = 'revisit'")
+    ends = slim.where("kind = 'response' and record_id is not null").groupBy("canonical", "span").agg(F.max(F.struct("at", "record_id")).alias("end"))
     spans_of = near.select("canonical", "span").distinct().join(ends, ["canonical", "span"], "full")
     before = Window.partitionBy("canonical").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
     carried = spans_of.select("canonical", "span", F.last("end", ignorenulls=True).over(before).alias("carried"))
-    found = near.join(carried, ["canonical", "span"], "left").select(
-        "record_id", F.coalesce(F.col("own.record_id"), F.col("carried.record_id")).alias("response_id")
+    # one row for what repeated records have in common; they meet it again by id, time and URL
+    found = (
+        near.join(carried, ["canonical", "span"], "left")
+        .groupBy(F.col("record_id").alias("f_id"), F.col("at").alias("f_at"), F.col("canonical").alias("f_canonical"))
+        .agg(F.max(F.coalesce("own", "carried")).alias("best"))
+        .select("f_id", "f_at", "f_canonical", F.col("best.record_id").alias("response_id"), F.col("best.at").alias("response_at"))
     )
     visits = rows.where("kind = 'revisit'").select(
-        "record_id", "canonical", F.col("headers").alias("h2"), F.col("digest").alias("d2")
-    ).join(found, "record_id", "left")
-    stored = rows.where("kind = 'response'").select(
-        F.col("record_id").alias("response_id"), F.col("headers").alias("h1"), F.col("digest").alias("d1"), "payload"
+        "record_id", "at", "canonical", F.col("headers").alias("h2"), F.col("digest").alias("d2")
     )
+    same = visits["record_id"].eqNullSafe(found["f_id"]) & visits["at"].eqNullSafe(found["f_at"]) & (visits["canonical"] == found["f_canonical"])
+    visits = visits.join(found, same, "left").drop("f_id", "f_at", "f_canonical", "at")
+    stored = rows.where("kind = 'response' and record_id is not null").select(
+        F.col("record_id").alias("response_id"), F.col("at").alias("response_at"), F.col("headers").alias("h1"), F.col("digest").alias("d1"), "payload"
+    )
+    copies = Window.partitionBy("response_id", "response_at").orderBy("d1", F.xxhash64("payload"), F.to_json("h1"))
+    stored = stored.withColumn("copy", F.row_number().over(copies)).where("copy = 1").drop("copy")
     h = lambda side, name: F.try_element_at(F.col(side), F.lit(name))
     left = F.coalesce(h("h1", "etag"), h("h1", "last-modified"), F.col("d1"))
     by = F.when(h("h1", "etag").isNotNull() & h("h2", "etag").isNotNull(), h("h1", "etag").eqNullSafe(h("h2", "etag")))
@@ -82,7 +96,7 @@ def resolve_revisits(records: DataFrame, spans: int = SPANS) -> DataFrame:
     )
     good = F.col("status").isin("resolved", "unverified")
     return (
-        visits.join(stored, "response_id", "left")
+        visits.join(stored, ["response_id", "response_at"], "left")
         .withColumn("status", status)
         .select(
             "record_id",
