@@ -95,7 +95,9 @@ def spans(text: str, allow: Sequence[str] = ALLOW, classes: dict = CLASSES) -> l
         kind = char_class(s)
         if kind is None or any(re.fullmatch(p, s, re.DOTALL) for p in allow):
             continue
-        for a, b in high_windows(s, *classes[kind]):
+        width, least = classes[kind]
+        size = min(width, len(s))  # a shorter candidate is one window, of the same share of what its length can reach
+        for a, b in high_windows(s, size, least * log2(size) / log2(width)):
             a, b = a + m.start(), b + m.start()
             if not any(x <= a and b <= y for _, x, y in base):
                 out.append(("entropy", a, b))
