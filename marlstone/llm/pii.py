@@ -80,9 +80,9 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def shape(word: str) -> str:
-    """Capital letters as X, others as x, digits as d, the rest as it is; runs collapse, at most eight signs."""
-    signs = ("X" if c.isupper() else "x" if c.isalpha() else "d" if c.isdigit() else c for c in word[:40])
-    return "".join(k for k, _ in itertools.groupby(signs))[:8]
+    """Capital letters as X, others as x, digits as d, the rest as it is; runs collapse."""
+    signs = ("X" if c.isupper() else "x" if c.isalpha() else "d" if c.isdigit() else c for c in word)
+    return "".join(k for k, _ in itertools.groupby(signs))
 
 
 def features(token: str) -> tuple[str, ...]:
@@ -413,7 +413,7 @@ def find_personal_data(docs: DataFrame, field: Field | None = None, id_col: str
                     spans = base_spans(text)
                     own = labels[a:z]
                     if own.any():
-                        extra = [x for x in field_spans(text, own) if not any(x[1] < e and s < x[2] for _, s, e in spans)]
+                        extra = [x for x in field_spans(text, own) if not any(s <= x[1] and x[2] <= e for _, s, e in spans)]
                         spans = sorted(spans + extra, key=lambda x: (x[1], KINDS.index(x[0])))
                     found.append([{"kind": k, "start": s, "end": e} for k, s, e in spans])
                 yield pa.RecordBatch.from_arrays([b.column("doc_id")[lo:hi], pa.array(found, kind)], ["doc_id", "spans"])
