@@ -1,19 +1,24 @@
 """HTML extraction as a layout: a tree with implied tags, visibility rules, and all visible text with its block spacing.
 
 The tree builder closes what the next tag implies (p before a block, li before li, cells and rows of a table, options,
-dt and dd), ends a head at the first tag or text that can't stand in it, and adds the rows that stray cells need. Hidden are the parts no browser shows: head, script, style, template
-and the like, elements with `hidden`, and inline styles that hide. Blocks stand on lines of their own, paragraphs and
-headings apart by an empty line, list items behind their mark and indented by depth, table cells in aligned columns,
-`pre` as it is.
-
-Defined results: null html has null text; empty html has empty text; an unclosed tag or comment ends with the document;
-beyond DEPTH open elements a new one is its parent's sibling, so its text stays. Pages are rendered one by one:
-repeated rows, ties and extra columns change nothing.
+dt and dd), ends a head at the first tag or text that can't stand in it, and adds the rows that stray cells need. Hidden are
+the parts no browser shows: head, script, style, template and the like, elements with `hidden`, and inline styles that hide
+(what an invisible element holds is shown again where it is made visible). Scripts don't run, so noscript is shown. Blocks
+stand on lines of their own, paragraphs and headings apart by an empty line, list items behind their mark and indented by
+depth, table cells in aligned columns and rows, `pre` as it is.
+
+A page is read in one pass: no position is searched twice for the same end, and elements may be nested to any depth.
+
+Defined results: null html has null text; empty html has empty text; an unclosed tag or comment ends with the document and
+shows nothing; a quote that is never closed is a plain sign of its tag. Pages are rendered one by one: repeated rows, ties
+and extra columns change nothing.
 """
 
 from __future__ import annotations
 
 import re
+import sys
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 from itertools import zip_longest
@@ -25,7 +30,7 @@ from pyspark.sql import functions as F
 # Tag names by role, after the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("head script style template noscript title datalist iframe object audio video canvas noembed noframes".split())
+HIDDEN = frozenset("head script style template title datalist iframe object audio video canvas noembed noframes".split())
 #: What may stand in head; any other start tag, or text, ends it.
 IN_HEAD = frozenset("base basefont bgsound link meta title style script noscript noframes template".split())
 #: Parts of svg and math that aren't drawn.
@@ -35,6 +40,8 @@ BLOCK = frozenset(
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table ul caption "
     "thead tbody tfoot tr".split()
 )
+#: Parts of a table, looked for through wrappers.
+PARTS = frozenset("tr caption td th".split())
 APART = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure form article section".split())
 CLOSES_P = BLOCK - frozenset("body html caption thead tbody tfoot tr".split())
 #: Tag -> (tags that it closes, tags that stop the search).
@@ -51,89 +58,172 @@ IMPLIED = {
     "option": ({"option"}, {"select", "datalist"}),
     "body": ({"head"}, {"html"}),
 }
-DEPTH = 200
+#: Fixed values of the HTML standard: the most columns and rows of a cell.
+MOST_COLUMNS, MOST_ROWS = 1000, 65534
 
-TOKEN = re.compile(r"""<!--(?:.*?-->|.*)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*(?:>|$)""", re.S)
+NAME = re.compile(r"[^\s/>]+")
+SIGN = re.compile("""[>"']""")
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
-HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+HIDING = re.compile(r"display\s*:\s*none", re.I)
+VISIBILITY = re.compile(r"visibility\s*:\s*([a-z]+)", re.I)
+WHOLE = re.compile(r"\s*([+-]?[0-9]{1,9})")
 SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
 class Element:
-    __slots__ = ("tag", "below", "hidden", "span", "start")
+    """see: visible or not by its own style, else None; lines, span: rows and columns of a cell; start: number of a list or
+    of its item; held: kinds of table parts somewhere below, not in a table of its own."""
+
+    __slots__ = ("tag", "below", "hidden", "see", "span", "lines", "start", "held")
 
     def __init__(self, tag: str, attributes: str = ""):
-        self.tag, self.below, self.hidden, self.span, self.start = tag, [], tag in HIDDEN, 1, 1
+        self.tag, self.below, self.hidden, self.see = tag, [], tag in HIDDEN, None
+        self.span, self.lines, self.start, self.held = 1, 1, None, frozenset()
         if attributes and ("=" in attributes or "hidden" in attributes.lower()):
             named = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)}
-            self.hidden |= "hidden" in named or bool(HIDING.search(named.get("style", ""))) or (tag == "input")
-            for name, field in (("colspan", "span"), ("start", "start")):
-                if re.fullmatch(r"[0-9]{1,3}", named.get(name, "")):
-                    setattr(self, field, max(1, int(named[name])))
+            style = named.get("style", "")
+            self.hidden |= "hidden" in named or bool(HIDING.search(style)) or tag == "input"
+            if m := VISIBILITY.search(style):
+                self.see = m[1].lower() not in ("hidden", "collapse")
+            number = lambda name: int(m[1]) if (m := WHOLE.match(named.get(name, ""))) else None
+            self.span = min(max(1, number("colspan") or 1), MOST_COLUMNS)
+            self.lines = min(max(1, number("rowspan") or 1), MOST_ROWS)
+            self.start = number("start" if tag == "ol" else "value")
+
+
+class Tags:
+    """Tags of a page in order; what was looked for once and isn't there isn't looked for again."""
+
+    def __init__(self, html: str):
+        self.html, self.gone = html, {}
+
+    def find(self, what: str, at: int) -> int:
+        if at >= self.gone.get(what, len(self.html) + 1):
+            return -1
+        k = self.html.find(what, at)
+        if k < 0:
+            self.gone[what] = at
+        return k
+
+    def close(self, at: int) -> int:
+        """Where the tag that is open at `at` ends, -1 if nowhere; quotes count behind an equals sign."""
+        while m := SIGN.search(self.html, at):
+            if m[0] == ">":
+                return m.start()
+            at = m.end()
+            k = m.start() - 1
+            while k >= 0 and self.html[k] in " \t\n\r\f":
+                k -= 1
+            if self.html[k] == "=" and (end := self.find(m[0], at)) >= 0:
+                at = end + 1
+        return -1
+
+    def next(self, at: int) -> tuple[int, int, str, bool, str] | None:
+        """(start, end, name, whether an end tag, attributes) of the next tag from `at` on; name is empty for comments."""
+        html = self.html
+        while (k := html.find("<", at)) >= 0:
+            head = html[k + 1 : k + 2]
+            if html.startswith("!--", k + 1):
+                end = self.find("-->", k + 4)
+                return k, end + 3 if end >= 0 else len(html), "", False, ""
+            if head in ("!", "?"):
+                end = self.find(">", k)
+                return k, end + 1 if end >= 0 else len(html), "", False, ""
+            name = k + 1 + (head == "/")
+            if html[name : name + 1].isascii() and html[name : name + 1].isalpha():
+                m = NAME.match(html, name)
+                end = self.close(m.end())
+                if end < 0:
+                    return k, len(html), "", False, ""
+                return k, end + 1, m[0].lower(), head == "/", html[m.end() : end]
+            at = k + 1
+        return None
 
 
 def build(html: str) -> Element:
     """Tree of a page; text is str among the elements below."""
     root = Element("#root")
-    stack = [root]
-    at, end = 0, len(html)
-
-    def close(tags: set, stops: set) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in tags:
-                del stack[i:]
-                return close(tags, stops)
-            if stack[i].tag in stops:
-                return None
-        return None
+    stack, open_, drawn = [root], Counter(), 0
+    tags, at, end = Tags(html), 0, len(html)
+
+    def push(x: Element) -> None:
+        nonlocal drawn
+        stack.append(x)
+        open_[x.tag] += 1
+        drawn += x.tag in ("svg", "math")
+
+    def pop(to: int) -> None:
+        nonlocal drawn
+        for x in stack[to:]:
+            open_[x.tag] -= 1
+            drawn -= x.tag in ("svg", "math")
+        del stack[to:]
+
+    def close(which: set, stops: set) -> None:
+        while any(open_[t] for t in which):
+            for i in range(len(stack) - 1, 0, -1):
+                if stack[i].tag in which:
+                    pop(i)
+                    break
+                if stack[i].tag in stops:
+                    return
 
     def text(s: str) -> None:
         if s:
             while stack[-1].tag == "head" and s.strip(" \t\n\r\f"):
-                stack.pop()
+                pop(len(stack) - 1)
             stack[-1].below.append(unescape(s) if "&" in s else s)
 
+    def put(x: Element) -> None:
+        stack[-1].below.append(x)
+        if x.tag in PARTS and not x.hidden:
+            for up in reversed(stack):
+                if up.hidden or x.tag in up.held or up.tag == "table":
+                    break
+                up.held |= {x.tag}
+
     while at < end:
-        m = TOKEN.search(html, at)
-        if m is None:
+        found = tags.next(at)
+        if found is None:
             text(html[at:])
             break
-        text(html[at : m.start()])
-        at = m.end()
-        if m[2] is None:
+        start, after, tag, ends, attributes = found
+        text(html[at:start])
+        at = after
+        if not tag:
             continue
-        tag = m[2].lower()
-        if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
-                if stack[i].tag == "table" and tag not in ("body", "html"):  # an end tag doesn't reach out of its table
-                    break
+        if ends:
+            if open_[tag]:
+                for i in range(len(stack) - 1, 0, -1):
+                    if stack[i].tag == tag:
+                        pop(i)
+                        break
+                    if stack[i].tag == "table" and tag not in ("body", "html"):  # an end tag doesn't reach out of its table
+                        break
             continue
         while stack[-1].tag == "head" and tag not in IN_HEAD:
-            stack.pop()
+            pop(len(stack) - 1)
         if tag in CLOSES_P:
             close({"p"}, {"table", "td", "th", "li", "div", "section", "article", "blockquote"})
         if tag in IMPLIED:
             close(*IMPLIED[tag])
         if tag in ("td", "th") and stack[-1].tag in ("table", "thead", "tbody", "tfoot"):
             row = Element("tr")
-            stack[-1].below.append(row)
-            stack.append(row)
-        element = Element(tag, m[3])
-        drawing = tag in ("svg", "math") or any(x.tag in ("svg", "math") for x in stack) if tag in UNDRAWN or m[3].endswith("/") else False
+            put(row)
+            push(row)
+        element = Element(tag, attributes)
+        drawing = tag in ("svg", "math") or drawn > 0
         element.hidden |= drawing and tag in UNDRAWN
-        stack[-1].below.append(element)
+        put(element)
         if tag in RAW:
-            stop = re.compile(rf"</{tag}[\s/>]", re.I).search(html, at)
+            stop = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(html, at)
             if not element.hidden:
                 element.below.append(unescape(html[at : stop.start() if stop else end]))
             at = stop.start() if stop else end
             if stop:
                 at = html.find(">", at) + 1 or end
-        elif tag not in VOID and len(stack) < DEPTH and not (drawing and m[3].endswith("/")):
-            stack.append(element)
+        elif tag not in VOID and not (drawing and attributes.endswith("/")):
+            push(element)
     return root
 
 
@@ -163,108 +253,135 @@ class Flow:
             self.gap = 0
 
 
-def sorted_out(parts: list, kinds: tuple, through: tuple, stray: list) -> Iterator[Element]:
-    """Elements of these kinds among parts and within the wrappers there; what is neither goes to stray, in order.
+def sorted_out(x: Element, kinds: tuple, through: tuple, see: bool, stray: list) -> Iterator[tuple[Element, bool]]:
+    """Elements of these kinds below x and within the wrappers there, and whether they are visible; what is neither goes to
+    stray, in order.
 
     A wrapper is an element of `through`, or one that has such an element below it, however deep but not in a table of its own.
     """
-    for x in parts:
-        if isinstance(x, str):
-            stray.append(x)
-        elif x.hidden:
+    todo = [(y, see) for y in reversed(x.below)]
+    while todo:
+        y, see = todo.pop()
+        if isinstance(y, str):
+            stray.append((y, see))
             continue
-        elif x.tag in kinds:
-            yield x
-        elif x.tag in through or holds(x, kinds):
-            yield from sorted_out(x.below, kinds, through, stray)
+        if y.hidden:
+            continue
+        inner = see if y.see is None else y.see
+        if y.tag in kinds:
+            yield y, inner
+        elif y.tag in through or (y.tag != "table" and not y.held.isdisjoint(kinds)):
+            todo += [(z, inner) for z in reversed(y.below)]
         else:
-            stray.append(x)
-
+            stray.append((y, see))
 
-def holds(x: Element, kinds: tuple) -> bool:
-    return x.tag != "table" and any(isinstance(y, Element) and not y.hidden and (y.tag in kinds or holds(y, kinds)) for y in x.below)
 
-
-def put_table(table: Element, flow: Flow) -> None:
-    stray: list[Element | str] = []
+def put_table(table: Element, flow: Flow, see: bool) -> None:
+    stray: list[tuple[Element | str, bool]] = []
     rows: list[list[list[str]]] = []
-    loose: list[Element | str] = []
-    for x in sorted_out(table.below, ("tr", "caption"), ("thead", "tbody", "tfoot", "colgroup"), stray):
+    below: dict[int, int] = {}  # column -> rows that a cell above still covers
+    for x, shown in sorted_out(table, ("tr", "caption"), ("thead", "tbody", "tfoot", "colgroup"), see, stray):
         if x.tag == "caption":
-            flow.put(lines_of(x))
+            flow.put(lines_of(x, see=shown))
             continue
         cells: list[list[str]] = []
-        for c in sorted_out(x.below, ("td", "th"), (), loose):
-            cells += [lines_of(c), *([[]] * (c.span - 1))]
+        taken, below = below, {k: n - 1 for k, n in below.items() if n > 1}
+
+        def pass_over() -> None:
+            while len(cells) in taken:
+                cells.append([])
+
+        loose: list[tuple[Element | str, bool]] = []
+        for c, seen in sorted_out(x, ("td", "th"), (), shown, loose):
+            pass_over()
+            if c.lines > 1:
+                below |= {k: c.lines - 1 for k in range(len(cells), len(cells) + c.span)}
+            cells += [lines_of(c, see=seen), *([[]] * (c.span - 1))]
+        pass_over()
         rows.append(cells)
         stray += loose
-        loose.clear()
     widths = [max((len(s) for r in rows for s in (r[i] if i < len(r) else ())), default=0) for i in range(max(map(len, rows), default=0))]
     for r in rows:
         flow.put(["  ".join(s.ljust(w) for s, w in zip(part, widths)).rstrip() for part in zip_longest(*r, fillvalue="")])
-    for x in stray:  # what stands in a table outside its cells is shown after it
-        render(x, flow)
+    for x, shown in stray:  # what stands in a table outside its cells is shown after it
+        render(x, flow, 0, shown)
     flow.end()
 
 
-def render(x: Element | str, flow: Flow, depth: int = 0) -> None:
+def render(x: Element | str, flow: Flow, depth: int = 0, see: bool = True) -> None:
     if isinstance(x, str):
-        flow.add(x)
+        if see:
+            flow.add(x)
         return
     if x.hidden:
         return
+    if x.see is not None:
+        see = x.see
     if x.tag == "br":
         flow.put([flow.now.rstrip(" ")])
         flow.now = ""
         return
     if x.tag not in BLOCK:
         for y in x.below:
-            render(y, flow, depth)
+            render(y, flow, depth, see)
         if x.tag in ("td", "th", "text"):  # text is a label of an svg
             flow.add(" ")
         return
     gap = int(x.tag in APART and not (x.tag in ("ul", "ol") and depth))
     flow.end(gap)
     if x.tag in ("ul", "ol", "menu", "dir"):
-        number = x.start
+        number = 1 if x.start is None or x.tag != "ol" else x.start
         for y in x.below:
             if isinstance(y, Element) and y.tag == "li" and not y.hidden:
+                number = number if y.start is None else y.start
                 mark = f"{number}. " if x.tag == "ol" else "- "
                 number += 1
-                inner = lines_of(y, depth + 1)
+                inner = lines_of(y, depth + 1, see if y.see is None else y.see)
                 flow.end()
                 flow.put([(mark if not i else " " * len(mark) * bool(s)) + s for i, s in enumerate(inner)])
             else:
-                render(y, flow, depth)
+                render(y, flow, depth, see)
     elif x.tag == "table":
-        put_table(x, flow)
+        put_table(x, flow, see)
     elif x.tag == "pre":
-        raw = "".join(plain(x)).strip("\n")
+        raw = "".join(plain(x, see)).strip("\n")
         flow.put(raw.split("\n") if raw else [])
     else:
         for y in x.below:
-            render(y, flow, depth)
+            render(y, flow, depth, see)
     flow.end(gap)
 
 
-def plain(x: Element) -> Iterator[str]:
-    for y in x.below:
+def plain(x: Element, see: bool) -> Iterator[str]:
+    todo = [(y, see) for y in reversed(x.below)]
+    while todo:
+        y, see = todo.pop()
         if isinstance(y, str):
-            yield y
+            if see:
+                yield y
+        elif y.tag == "br":
+            yield "\n"
         elif not y.hidden:
-            yield from plain(y) if y.tag != "br" else ["\n"]
+            inner = see if y.see is None else y.see
+            todo += [(z, inner) for z in reversed(y.below)]
 
 
-def lines_of(x: Element, depth: int = 0) -> list[str]:
+def lines_of(x: Element, depth: int = 0, see: bool = True) -> list[str]:
     flow = Flow()
     for y in x.below:
-        render(y, flow, depth)
+        render(y, flow, depth, see)
     flow.end()
     return flow.lines
 
 
 def visible_text(html: str) -> str:
-    return "\n".join(lines_of(build(html)))
+    before = sys.getrecursionlimit()
+    # calls follow the nesting of elements, of which there are fewer than "<" signs
+    sys.setrecursionlimit(max(before, 1000 + 4 * html.count("<")))
+    try:
+        return "\n".join(lines_of(build(html)))
+    finally:
+        sys.setrecursionlimit(before)
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
