@@ -3,11 +3,12 @@
 Every chunk of documents that a task holds is a shard. Its words become numbers of the benchmark's vocabulary; only
 suffixes that can start a window (as many benchmark words in a row as the shortest window has) enter the shard's suffix
 array, which is sorted on the window's words. Every suffix of every benchmark item is then looked for by binary search;
-the matching range of the array gives the locations, and neighbouring matches join to the longest verbatim matches.
-Matched words are compared byte for byte, so equal hashes of different words can't make a hit.
+the matching range of the array gives the locations. Windows that follow each other in the document and in one item
+join to the longest verbatim matches, each with its place in both. Matched words are compared byte for byte, so equal
+hashes of different words can't make a hit.
 
 The benchmark travels to the tasks in blocks of at most BLOCK_CHARS characters, so what is sent has a fixed bound; with
-more than one block every row gets a key of its own first, written with it, and the hits of the blocks are united by that
+more than one block every row gets a key of its own first, written with it, and the matches of the blocks are united by that
 key: rows are neither merged nor dropped, and a task holds one block at a time.
 
 Defined results: null or empty text has no words and no hits; items without words are no windows; repeated items count
@@ -20,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,7 +40,7 @@ IS_WORD[48:58] = IS_WORD[65:91] = IS_WORD[97:123] = IS_WORD[128:] = True
 
 #: Key of an input row where the benchmark has several blocks.
 KEY = "__row_key"
-HITS = "n_words long, hits array<struct<start:int,end:int,items:array<string>>>"
+HITS = "n_words long, hits array<struct<start:int,end:int,item:string,at:int>>"
 
 
 class TestSuffixes:
@@ -55,8 +57,8 @@ class TestSuffixes:
         self.items, self.window = [i for i, _ in items], window
         counts = np.bincount(row, minlength=len(items)) if len(row) else np.zeros(len(items), np.int64)
         lows = np.cumsum(counts) - counts
-        #: length -> (sorted distinct windows as rows of word numbers, items of each)
-        self.by_length: dict[int, tuple[np.ndarray, list[np.ndarray]]] = {}
+        #: length -> (sorted distinct windows as rows of word numbers, where the occurrences of each begin, item and word of each occurrence)
+        self.by_length: dict[int, tuple[np.ndarray, ...]] = {}
         for size in sorted({min(int(c), window) for c in counts.tolist() if c}):
             rows = np.flatnonzero(np.minimum(counts, window) == size)
             n = counts[rows] - size + 1
@@ -66,7 +68,7 @@ class TestSuffixes:
             distinct, which = np.unique(as_keys(grid), return_inverse=True)
             order = np.argsort(which, kind="stable")
             cuts = np.searchsorted(which[order], np.arange(len(distinct) + 1))
-            self.by_length[size] = (distinct, [np.unique(item[order[a:b]]) for a, b in zip(cuts, cuts[1:])])
+            self.by_length[size] = (distinct, cuts, item[order], (at - lows[item])[order])
 
 
 def as_keys(grid: np.ndarray) -> np.ndarray:
@@ -75,14 +77,14 @@ def as_keys(grid: np.ndarray) -> np.ndarray:
     return big.view(f"V{4 * grid.shape[1]}").ravel() if len(big) else np.zeros(0, f"V{4 * grid.shape[1]}")
 
 
-def search_shard(data: np.ndarray, offsets: np.ndarray, test: TestSuffixes) -> tuple[np.ndarray, list[tuple[int, int, int, np.ndarray]]]:
-    """Words of each row, and its hits as (row, first word, word after the last, items)."""
+def search_shard(data: np.ndarray, offsets: np.ndarray, test: TestSuffixes) -> tuple[np.ndarray, np.ndarray]:
+    """Words of each row, and the longest matches as rows (row, first word, word after the last, item, word of the item)."""
     data = LOWER[data]
     starts, ends, row = words(data, offsets, IS_WORD)
     n_words = np.bincount(row, minlength=len(offsets) - 1) if len(row) else np.zeros(len(offsets) - 1, np.int64)
-    found: list[tuple[int, int, int, np.ndarray]] = []
+    found: list[np.ndarray] = []
     if not len(starts) or not test.by_length:
-        return n_words, found
+        return n_words, np.zeros((0, 5), np.int64)
     hashes = word_hashes(data, starts, ends)
     number = np.searchsorted(test.vocab, hashes)
     number[number == len(test.vocab)] = 0
@@ -93,7 +95,7 @@ def search_shard(data: np.ndarray, offsets: np.ndarray, test: TestSuffixes) -> t
     nearest = stop[np.searchsorted(stop, np.arange(n))]
     run = nearest - np.arange(n) + known[nearest]
     lows = np.cumsum(n_words) - n_words
-    for size, (distinct, items) in test.by_length.items():
+    for size, (distinct, cuts, item, word) in test.by_length.items():
         suffix = np.flatnonzero(run >= size)
         if not len(suffix):
             continue
@@ -101,25 +103,38 @@ def search_shard(data: np.ndarray, offsets: np.ndarray, test: TestSuffixes) -> t
         order = np.argsort(keys, kind="stable")  # the shard's suffix array over these suffixes
         keys, suffix = keys[order], suffix[order]
         lo, hi = np.searchsorted(keys, distinct, side="left"), np.searchsorted(keys, distinct, side="right")
+        hits = []
         for k in np.flatnonzero(hi > lo).tolist():
             want = [test.word[x] for x in np.frombuffer(distinct[k].tobytes(), ">i4").tolist()]
             for p in suffix[lo[k] : hi[k]].tolist():
                 if all(bytes(data[starts[p + j] : ends[p + j]]) == w for j, w in enumerate(want)):
-                    r = int(row[p])
-                    found.append((r, int(p - lows[r]), int(p - lows[r]) + size, items[k]))
-    return n_words, found
-
-
-def joined(hits: list[tuple[int, int, np.ndarray]]) -> list[tuple[int, int, set[int]]]:
-    """Overlapping windows as maximal verbatim matches."""
-    out: list[list] = []
-    for a, b, items in sorted(hits, key=lambda x: x[:2]):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(b, out[-1][1])
-            out[-1][2].update(items.tolist())
-        else:
-            out.append([a, b, set(items.tolist())])
-    return [tuple(x) for x in out]
+                    hits.append((p, k))
+        if hits:
+            p, k = np.array(hits, np.int64).T
+            n_at = cuts[k + 1] - cuts[k]
+            at = np.repeat(cuts[k] - (np.cumsum(n_at) - n_at), n_at) + np.arange(n_at.sum())
+            found.append(longest(np.repeat(row[p], n_at), np.repeat(p - lows[row[p]], n_at), item[at], word[at], size))
+    return n_words, np.concatenate(found) if found else np.zeros((0, 5), np.int64)
+
+
+def longest(row: np.ndarray, start: np.ndarray, item: np.ndarray, word: np.ndarray, size: int) -> np.ndarray:
+    """Windows of `size` words at start of a row and at word of an item, as maximal matches (row, start, end, item, word)."""
+    o = np.lexsort((start, start - word, item, row))
+    row, start, item, word = row[o], start[o], item[o], word[o]
+    ahead = (np.diff(row) == 0) & (np.diff(item) == 0) & (np.diff(start) == 1) & (np.diff(word) == 1)
+    first = np.flatnonzero(np.append(True, ~ahead))
+    last = np.append(first[1:], len(row)) - 1
+    return np.stack([row[first], start[first], start[last] + size, item[first], word[first]], 1)
+
+
+def covered(found: np.ndarray, n: int) -> np.ndarray:
+    """Words of each of n rows that matches (row, start, end, ..) cover."""
+    out = np.zeros(n, np.int64)
+    at = np.zeros(n, np.int64)
+    for row, start, end in found[np.lexsort((found[:, 1], found[:, 0]))][:, :3].tolist():
+        out[row] += max(0, end - max(start, at[row]))
+        at[row] = max(at[row], end)
+    return out
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_chars: int) -> Iterator[list[tuple[str, str]]]:
@@ -143,27 +158,24 @@ def find_matches(
     block_chars: int = BLOCK_CHARS,
     keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """(doc_id, n_words, hits): word ranges of each document that repeat benchmark windows verbatim, with the items.
+    """(doc_id, n_words, hits): for each document the longest verbatim matches with each item, as ranges of its words, and
+    the item's word at which the match begins.
 
     keep names further columns of docs that travel along.
     """
 
     def search(test: TestSuffixes, keep: tuple[str, ...]):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("items", pa.list_(pa.string()))]))
             for b in batches:
                 for rows, data, offsets in chunks(b):
                     n_words, found = search_shard(data, offsets, test)
-                    per: dict[int, list] = {}
-                    for r, lo, hi, items in found:
-                        per.setdefault(r, []).append((lo, hi, items))
-                    hits = [
-                        [{"start": x, "end": y, "items": sorted(test.items[i] for i in z)} for x, y, z in joined(per.get(r, []))]
-                        for r in range(len(n_words))
-                    ]
+                    found = found[np.lexsort((found[:, 3], found[:, 2], found[:, 1], found[:, 0]))]
+                    parts = [pa.array(found[:, 1], pa.int32()), pa.array(found[:, 2], pa.int32()), pa.array([test.items[i] for i in found[:, 3].tolist()], pa.string()), pa.array(found[:, 4], pa.int32())]
+                    cuts = np.searchsorted(found[:, 0], np.arange(len(n_words) + 1))
+                    hits = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.StructArray.from_arrays(parts, ["start", "end", "item", "at"]))
                     part = b.slice(rows.start, rows.stop - rows.start)
                     yield pa.RecordBatch.from_arrays(
-                        [part.column("doc_id"), *(part.column(c) for c in keep), pa.array(n_words, pa.int64()), pa.array(hits, kind)],
+                        [part.column("doc_id"), *(part.column(c) for c in keep), pa.array(n_words, pa.int64()), hits],
                         ["doc_id", *keep, "n_words", "hits"],
                     )
 
@@ -188,38 +200,28 @@ def find_matches(
         part = searched(source, items, (KEY,)).where(F.size("hits") > 0).select(KEY, F.col("hits").alias("more"))
         more = part if more is None else more.unionByName(part)
     more = more.groupBy(KEY).agg(F.flatten(F.collect_list("more")).alias("more"))
-    both = F.when(F.col("more").isNull(), F.col("hits")).otherwise(_join_hits(F.concat("hits", "more")))
+    both = F.when(F.col("more").isNull(), F.col("hits")).otherwise(F.array_sort(F.concat("hits", "more")))
     return found.join(more, KEY, "left").select("doc_id", *keep, "n_words", both.alias("hits"))
 
 
-def _join_hits(hits: Column) -> Column:
-    """joined() as an expression, for hits of several blocks."""
-    empty = F.expr("cast(array() as array<struct<start:int,end:int,items:array<string>>>)")
-    last = lambda acc: F.element_at(acc, -1)
-
-    def step(acc, x):
-        wide = F.struct(
-            last(acc)["start"].alias("start"),
-            F.greatest(last(acc)["end"], x["end"]).alias("end"),
-            F.array_sort(F.array_union(last(acc)["items"], x["items"])).alias("items"),
-        )
-        touch = (F.size(acc) > 0) & (x["start"] <= F.try_element_at(acc, F.lit(-1))["end"])
-        return F.when(touch, F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(wide))).otherwise(F.concat(acc, F.array(x)))
-
-    return F.aggregate(F.array_sort(hits), empty, step)
-
-
 def is_contaminated(n_hit: Column, n_words: Column, share: int = SHARE) -> Column:
     return (n_hit > 0) & (share * n_hit >= n_words)
 
 
 def hit_words(hits: Column) -> Column:
-    return F.aggregate(hits, F.lit(0).cast("long"), lambda acc, x: acc + (x["end"] - x["start"]).cast("long"))
+    """Words that the matches cover, each once; hits come in order of their start."""
+    begin = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("at"))
+
+    def step(acc: Column, x: Column) -> Column:
+        more = F.greatest(F.lit(0), x["end"] - F.greatest(x["start"], acc["at"]))
+        return F.struct((acc["n"] + more).alias("n"), F.greatest(acc["at"], x["end"]).alias("at"))
+
+    return F.aggregate(hits, begin, step, lambda acc: acc["n"])
 
 
 def decontamination_report(matches: DataFrame) -> DataFrame:
     """The contract's columns from find_matches."""
-    items = F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda x: x["items"]))))
+    items = F.array_sort(F.array_distinct(F.transform("hits", lambda x: x["item"])))
     return (
         matches.withColumn("n_hit", hit_words(F.col("hits")))
         .withColumn("items", items)
@@ -236,11 +238,25 @@ def decontamination_report(matches: DataFrame) -> DataFrame:
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = SHARE, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """docs without the contaminated ones; columns as they were. The whole row travels through the search, no join back."""
+    """docs without the contaminated ones; columns as they were. Whole rows pass the search, no join back; with one block
+    they are filtered in place."""
     names = docs.columns
-    inner = docs.select(F.struct(*(F.col(c) for c in names)).alias("row"), "doc_id", "text")
-    found = find_matches(inner, benchmark, window, block_chars=block_chars, keep=("row",))
-    return found.where(~is_contaminated(hit_words(F.col("hits")), F.col("n_words"), share)).select("row.*")
+    blocks = list(_blocks(benchmark, "item_id", "text", block_chars))
+    if len(blocks) > 1:
+        inner = docs.select(F.struct(*(F.col(c) for c in names)).alias("row"), "doc_id", "text")
+        found = find_matches(inner, benchmark, window, block_chars=block_chars, keep=("row",))
+        return found.where(~is_contaminated(hit_words(F.col("hits")), F.col("n_words"), share)).select("row.*")
+    test = TestSuffixes(blocks[0], window)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            text = pa.RecordBatch.from_arrays([pc.fill_null(b.column("text"), "")], ["text"])
+            for rows, data, offsets in chunks(text):
+                n_words, found = search_shard(data, offsets, test)
+                n_hit = covered(found, len(n_words))
+                yield b.slice(rows.start, rows.stop - rows.start).filter(pa.array((n_hit == 0) | (share * n_hit < n_words)))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 __all__ = ["find_matches", "decontamination_report", "remove_contaminated", "texts"]
