@@ -240,11 +240,25 @@ def test_decontamination_keeps_rows_apart(spark, block_chars):
     rows = [(None, "a b c d"), (None, "w1 x1 y1 z w2 x2 y2"), (None, None), (7, "w3 x3 y3"), (7, "q r"), (8, "e f"), (8, "e f"), (9, "w5 x5 y5 w6 x6 y6")]
     found = decontaminate.find_matches(frame(spark, rows), bench, block_chars=block_chars)
     got = sorted(((r.doc_id, r.n_words, r.n_hit, r.n_items, r.longest_match) for r in decontaminate.decontamination_report(found).collect()), key=str)
-    assert got == sorted([(None, 4, 0, 0, 0), (None, 7, 6, 2, 3), (None, 0, 0, 0, 0), (7, 3, 3, 1, 3), (7, 2, 0, 0, 0), (8, 2, 0, 0, 0), (8, 2, 0, 0, 0), (9, 6, 6, 2, 6)], key=str)
+    assert got == sorted([(None, 4, 0, 0, 0), (None, 7, 6, 2, 3), (None, 0, 0, 0, 0), (7, 3, 3, 1, 3), (7, 2, 0, 0, 0), (8, 2, 0, 0, 0), (8, 2, 0, 0, 0), (9, 6, 6, 2, 3)], key=str)
     kept = decontaminate.remove_contaminated(frame(spark, rows), bench, block_chars=block_chars)
     assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(None, "a b c d"), (None, None), (7, "q r"), (8, "e f"), (8, "e f")], key=str)
 
 
+def test_longest_matches_are_those_of_one_item(spark):
+    """Touching windows of two items stay apart; what repeats in one item is found in full, with its place."""
+    words = [f"w{i}" for i in range(60)]
+    bench = spark.createDataFrame([(1, " ".join(words[:30])), (2, " ".join(words[30:60])), (3, "x y z"), (4, "p q r")], "item_id long, text string")
+    rows = [(1, "start " + " ".join(words[5:50]) + " end"), (2, "x y z p q r"), (3, "x y z x y z"), (3, "x y z x y z"), (None, " ".join(["q", *words[2:17]]))]
+    for size in (16 << 20, 40):
+        found = decontaminate.find_matches(frame(spark, rows), bench, block_chars=size).collect()
+        got = sorted(((r.doc_id, [(h.start, h.end, h.item, h.at) for h in r.hits]) for r in found), key=str)
+        twice = (3, [(0, 3, "3", 0), (3, 6, "3", 0)])
+        assert got == sorted([(1, [(1, 26, "1", 5), (26, 46, "2", 0)]), (2, [(0, 3, "3", 0), (3, 6, "4", 0)]), twice, twice, (None, [(1, 16, "1", 2)])], key=str)
+        kept = decontaminate.remove_contaminated(frame(spark, rows + [(8, "clean"), (8, "clean"), (9, None)]), bench, block_chars=size)
+        assert sorted(r.doc_id for r in kept.collect()) == [8, 8, 9]
+
+
 def test_decontamination_without_a_benchmark(spark):
     empty = spark.createDataFrame([], "item_id long, text string")
     got = decontaminate.decontamination_report(decontaminate.find_matches(frame(spark, [(1, "a b"), (2, None)]), empty)).collect()
@@ -293,6 +307,38 @@ def test_html_loses_no_visible_text(html, text):
     assert html_text.visible_text(html) == text
 
 
+@pytest.mark.parametrize(
+    "html,text",
+    [
+        ("<div>" * 250 + "<div hidden>SECRET</div>seen" + "</div>" * 250, "seen"),
+        ("<b>" * 30_000 + "deep" + "</b>" * 30_000 + "<div>" * 30_000 + "<p hidden>no</p>yes", "deep\nyes"),
+        ("<ol start=1000><li>a<li value=7>b<li>c</ol>", "1000. a\n7. b\n8. c"),
+        ("<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td colspan=1001>d</table>", "a  b\n   c\nd"),
+        ("<div style='visibility:hidden'>no<b style='visibility: visible'>yes</b>no</div>", "yes"),
+        ("<noscript>shown</noscript>", "shown"),
+        ("a <b title='x>y'>c</b> <i title=\"never>d</i>", "a c d"),
+        ("kept <a href=x", "kept"),
+        ("1 < 2 <3 </ x", "1 < 2 <3 </ x"),
+        ("<table><tr><td>" * 300 + "x", "x"),
+    ],
+)
+def test_html_depth_spans_and_open_tags(html, text):
+    assert html_text.visible_text(html) == text
+
+
+def test_html_is_read_in_linear_time():
+    from time import perf_counter
+
+    def took(html):
+        t = perf_counter()
+        html_text.visible_text(html)
+        return perf_counter() - t
+
+    for part in ("<a ", "<a b='", "<!-- ", "</x>", "<b></i>", '<a b="c>', "<li>", "<table>"):
+        took(part * 2000)
+        assert took(part * 40_000) < 60 * max(took(part * 2000), 0.004), part
+
+
 def test_html_rows(spark):
     df = spark.createDataFrame([(1, "<p>a"), (2, None), (3, ""), (1, "<p>a")], "page_id long, html string").withColumn("text", F.lit(0))
     assert sorted(((r.page_id, r.text) for r in html_text.extract_text(df).collect()), key=str) == [(1, "a"), (1, "a"), (2, None), (3, "")]
@@ -328,3 +374,94 @@ def test_revisits_without_validators_or_rows(spark):
     got = warc.resolve_revisits(records(spark, [(1, "http://a", 1, "response", None, None, "p"), (2, "http://a", 2, "revisit", None, None, None)])).collect()
     assert [(r.status, r.payload, r.headers) for r in got] == [("unverified", "p", {})]
     assert warc.resolve_revisits(records(spark, [(1, "u", 1, "response", None, None, "p")]).limit(0)).count() == 0
+
+
+def test_repeated_and_nameless_records(spark):
+    a, b, c, d = ((1, "http://a", 1, "response", {"etag": "x"}, None, "p"), (2, "http://a", 2, "revisit", {"etag": "x", "connection": "X-Own, close", "x-own": "1", "x": "2"}, None, None), (None, "http://a", 3, "revisit", None, None, None), (None, "http://a", 2, "response", None, None, "q"))
+    got = warc.resolve_revisits(records(spark, [a, a, b, b, c, c, d])).collect()
+    assert sorted((r.record_id or 0, r.response_id, r.status, r.payload) for r in got) == [(0, 1, "unverified", "p")] * 2 + [(2, 1, "resolved", "p")] * 2
+    assert all(r.headers == {"etag": "x", "x": "2"} for r in got if r.record_id == 2)
+
+
+def test_kernel_ridge_equals_a_plain_one():
+    """The folded weights give the margins of kernel ridge regression on Nystroem features, computed the long way."""
+    rng = random.Random(4)
+    words = {"a": ["the", "cat", "sat", "on"], "b": ["le", "chat", "est", "sur"], "c": ["der", "hund", "und", "katze"]}
+    rows = [(lang, " ".join(rng.choices(words[lang], k=12))) for lang in "abc" for _ in range(8)]
+    model = langid.fit(rows, landmarks=3, ridge=0.1)
+
+    def grams(t):
+        x = re.sub("[^a-z]+", " ", t.lower())
+        return {x[i : i + n] for n in (1, 2, 3, 4) for i in range(len(x) - n + 1)}
+
+    marks = [t for i, (lang, t) in enumerate(rows) if sum(x == lang for x, _ in rows[:i]) < 3]
+    known = set().union(*map(grams, marks))
+    kernel = lambda s, t: len((p := grams(s) & known) & (q := grams(t) & known)) / (len(p) * len(q)) ** 0.5
+    kzz = np.array([[kernel(s, t) for t in marks] for s in marks])
+    w, v = np.linalg.eigh(kzz)
+    good = w > 1e-6 * w.max()
+    phi = np.array([[kernel(t, z) for z in marks] for _, t in rows]) @ (v[:, good] / np.sqrt(w[good]))
+    y = np.array([[1.0 if lang == c else -1.0 for c in "abc"] for lang, _ in rows])
+    x = phi - phi.mean(0)
+    beta = np.linalg.solve(x.T @ x + 0.1 * len(rows) * np.eye(x.shape[1]), x.T @ (y - y.mean(0)))
+    want = y.mean(0) + x @ beta
+    for (_, t), m in zip(rows, want):
+        row = np.zeros((1, len(model.codes)), np.float32)
+        model.presence(np.frombuffer(t.encode(), np.uint8), row[0])
+        assert np.allclose(model.scores(row)[0], m, atol=1e-3)
+
+
+def test_a_table_of_many_ngrams_ends():
+    codes = np.unique(np.random.default_rng(0).integers(0, 1 << 62, 1_100_000).astype(np.uint64))
+    model = langid.Model(codes, np.zeros((len(codes), 1)), np.zeros(1), ["a"])
+    assert sorted(model.columns(codes[:1000]).tolist()) == list(range(1000))
+
+
+def test_language_rejects_unwanted_repeats_and_long_texts(spark):
+    en, fr = "the cat and the dog sat in the house ", "le chat et le chien sont dans la maison "
+    rows = [(1, en * 3, "en"), (1, en * 3, "en"), (2, fr * 3, "fr"), (None, fr * 3, None), (3, en * 20_000, None), (4, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert sorted(r.lang_pred for r in langid.identify(df).collect()) == ["en"] * 3 + ["fr"] * 2 + ["und"]
+    assert sorted(r.doc_id for r in langid.drop_rejected(df, ("en",)).collect()) == [1, 1, 3]
+    assert langid.drop_rejected(df.limit(0)).count() == 0
+    assert df.where("doc_id is null").select(langid.held_out().alias("h")).first().h is False
+
+
+def test_fingerprints_equal_those_of_a_plain_i_match(spark):
+    """Subsets of two documents have equal hashes exactly where they hold the same lexicon terms, by plain sets."""
+    rng = random.Random(8)
+    vocab = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join(rng.choices(vocab[: rng.randint(5, 40)], k=rng.randint(0, 30)))) for i in range(40)] + [(50, " ".join(vocab * 500)), (51, None), (52, " ".join(vocab[::-1]))]
+    df = frame(spark, rows)
+    terms = imatch.lexicon(df, least=0.1, most=0.6)
+    sets = {d: set((t or "").split()) for d, t in rows}
+    n = {w: sum(w in x for x in sets.values()) for w in vocab}
+    hashed = lambda w: int(imatch.distinct_terms(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)]))[1][0])
+    band = {w for w in vocab if max(2, np.ceil(0.1 * len(rows))) <= n[w] <= 0.6 * len(rows)}
+    assert set(terms.tolist()) == {hashed(w) for w in band}
+    prints = {r.doc_id: [r.fingerprint[8 * k : 8 * k + 8] for k in range(imatch.SUBSETS)] for r in imatch.fingerprint(df, terms=terms).collect()}
+    held = {}
+    for d, x in sets.items():
+        mine = x & band if len(x & band) >= imatch.FEW else x
+        codes = np.array(sorted(hashed(w) for w in mine), np.uint64)
+        held[d] = [tuple(codes[imatch.mix(codes ^ imatch.SEEDS[k]) < imatch.LIMITS[k]].tolist()) for k in range(imatch.SUBSETS)]
+    for a in sets:
+        for b in sets:
+            assert [x == y for x, y in zip(prints[a], prints[b])] == [x == y for x, y in zip(held[a], held[b])]
+
+
+def test_entropy_finds_random_keys_and_leaves_words():
+    rng = random.Random(5)
+    kinds = ["0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"]
+    keys = [" ".join(["see", "".join(rng.choices(rng.choice(kinds), k=rng.randint(16, 31))), "here"]) for _ in range(600)]
+    found = sum(any(k == "entropy" for k, _, _ in secrets.spans(t)) for t in keys)
+    plain = ["version-2024-01-31-final", "http/docs/page/12345678/index", "1234567890123456", "aaaaaaaaaaaaaaaaaaaa1", "internationalization2"]
+    assert found / len(keys) >= 0.9 and not any(secrets.spans(t) for t in plain)
+
+
+def test_empty_tables(spark):
+    none = frame(spark, [(1, "x")]).limit(0)
+    assert secrets.scan_secrets(none).count() == secrets.redact_secrets(none).count() == pii.find_personal_data(none).count() == 0
+    raw = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    assert bpe.bpe_round_trip(none, raw, public_tokenizers.PATTERN).count() == 0
+    assert html_text.extract_text(spark.createDataFrame([], "page_id long, html string")).count() == 0
