@@ -24,10 +24,10 @@ from pyspark.sql import DataFrame
 
 from marlstone.llm.common import texts
 
-#: Distinct words and pieces that a Python worker remembers with their ids.
-KNOWN_WORDS = 500_000
+#: Distinct words and pieces that a task remembers with their ids.
+KNOWN_WORDS = 200_000
 #: Characters of text whose new words are merged together.
-CHUNK_CHARS = 4 << 20
+CHUNK_CHARS = 2 << 20
 
 
 class Numbered(dict):
@@ -223,11 +223,12 @@ _codecs: dict[str, Codec] = {}
 
 
 def codec(ranks: bytes, pattern: str) -> Codec:
-    """One codec a Python worker; the next task of the worker finds it with the words it knows."""
+    """One codec a Python worker, for the next task as well; the words it knows go with the task."""
     key = hashlib.sha256(ranks + pattern.encode()).hexdigest()
     if key not in _codecs:
         _codecs.clear()
         _codecs[key] = Codec(ranks, pattern)
+    _codecs[key].forget()
     return _codecs[key]
 
 
@@ -253,6 +254,7 @@ def bpe_encode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_i
                 ids, counts = own.encode(all_texts[s])
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id")[s.start : s.stop], lists], ["doc_id", "ids"])
+        own.forget()
 
     rows = texts(docs, id_col, text_col)
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>")
@@ -297,6 +299,7 @@ def bpe_round_trip(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "d
                 if keep_ids:
                     columns["ids"] = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+        own.forget()
 
     rows = texts(docs, id_col, text_col)
     kind = rows.schema["doc_id"].dataType.simpleString()

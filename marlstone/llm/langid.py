@@ -203,7 +203,7 @@ def labelled_sample(docs: DataFrame, allowed: Column, per_language: int = PER_LA
 def scored(model: Model, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Language, score and whether the model refuses it, of each text of a chunk."""
     n = len(offsets) - 1
-    step = max(1, (32 << 20) // (4 * max(1, len(model.codes))))
+    step = max(1, (8 << 20) // (4 * max(1, len(model.codes))))
     names, score, refused = np.full(n, "und", object), np.zeros(n), np.ones(n, bool)
     high = np.append(0, np.cumsum(data >= 128))[offsets]
     plain = np.append(0, np.cumsum((LETTERS[data] != 32) & (data < 128)))[offsets]
