@@ -59,3 +59,15 @@ def ks_distance(df: DataFrame, value: str, first: Column, by: tuple[str, ...] =
     g = tie_groups(df, value, by, a=F.when(first, 1).otherwise(0), b=F.when(first, 0).otherwise(1))
     at = lambda c: (F.col(f"before_{c}") + F.col(c)) / F.nullif(F.col(f"all_{c}"), F.lit(0))
     return g.groupBy(*by).agg(F.max(F.abs(at("a") - at("b"))).alias("ks"))
+
+
+def quantiles(df: DataFrame, value: str, points: list[float], by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, quantiles): exact quantiles with linear interpolation, from the running totals; nulls don't count."""
+    g = tie_groups(df, value, by)
+    picks = []
+    for k, q in enumerate(points):
+        at = (F.col("all_n") - 1) * q
+        holds = lambda place: F.max(F.when((F.col("before_n") <= place) & (place < F.col("before_n") + F.col("n")), F.col(value)))
+        picks += [holds(F.floor(at)).alias(f"_lo{k}"), holds(F.ceil(at)).alias(f"_hi{k}"), F.max(at - F.floor(at)).alias(f"_part{k}")]
+    got = g.groupBy(*by).agg(*picks)
+    return got.select(*by, F.array(*(F.col(f"_lo{k}") + (F.col(f"_hi{k}") - F.col(f"_lo{k}")) * F.col(f"_part{k}") for k in range(len(points)))).alias("quantiles"))

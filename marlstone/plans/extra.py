@@ -143,14 +143,17 @@ def _(spark, sf_dir):
 
 @query(
     "sp9_split_by_running_size",
-    """WITH g AS (SELECT c_nationkey AS g, count(*) AS n FROM customer GROUP BY 1), r AS (SELECT g, n, sum(n) OVER (ORDER BY sha256(CAST(g AS STRING) || ':11') ROWS UNBOUNDED PRECEDING) - n AS before, sum(n) OVER () AS total FROM g)
-    SELECT g, CASE WHEN before < 0.1 * total THEN 'test' WHEN before < 0.2 * total THEN 'validation' ELSE 'train' END AS split FROM r""",
+    """WITH g AS (SELECT c_nationkey AS g, count(*) AS n FROM customer GROUP BY 1), r AS (SELECT g, n, sum(n) OVER (ORDER BY sha256(CAST(g AS STRING) || ':11') ROWS UNBOUNDED PRECEDING) - n AS before, sum(n) OVER () AS total FROM g),
+    t AS (SELECT min(before) FILTER (WHERE before >= 0.1 * total) AS filled FROM r)
+    SELECT g, CASE WHEN before < 0.1 * total THEN 'test' WHEN before - filled < 0.1 * total THEN 'validation' ELSE 'train' END AS split FROM r, t""",
 )
 def _(spark, sf_dir):
     g = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("g")).agg(F.count("*").alias("n"))
     w = Window.orderBy(lookups.hash_rank("g", seed=11))  # a row a study, a few dozen
     r = g.select("g", (F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("before"), F.sum("n").over(Window.partitionBy(F.lit(0))).alias("total"))
-    split = F.when(F.col("before") < 0.1 * F.col("total"), "test").when(F.col("before") < 0.2 * F.col("total"), "validation").otherwise("train")
+    # test takes studies until it is filled, then validation does, whatever test has taken too much
+    r = r.withColumn("filled", F.min(F.when(F.col("before") >= 0.1 * F.col("total"), F.col("before"))).over(Window.partitionBy(F.lit(0))))
+    split = F.when(F.col("before") < 0.1 * F.col("total"), "test").when(F.col("before") - F.col("filled") < 0.1 * F.col("total"), "validation").otherwise("train")
     return r.select("g", split.alias("split"))
 
 

@@ -115,13 +115,13 @@ def _(spark, sf_dir):
     return got.groupBy("chrom").agg(F.count("*").alias("n"), F.count_if(F.col("reach") >= F.col("pos")).alias("covered"))
 
 
-NEAR = f"""WITH m AS (SELECT DISTINCT chrom, start AS at FROM ({INTERVALS.format(day=DAY_DUCK)}) WHERE o_orderkey % 7 = 0), p AS ({POINTS}),
+NEAR = f"""WITH m AS (SELECT DISTINCT chrom, start AS at FROM ({INTERVALS.format(day=DAY_DUCK)})), p AS ({POINTS}),
     l AS (SELECT p.*, m.at AS lower FROM p ASOF LEFT JOIN m ON p.chrom = m.chrom AND p.pos >= m.at),
     u AS (SELECT l.*, m.at AS upper FROM l ASOF LEFT JOIN m ON l.chrom = m.chrom AND l.pos <= m.at)"""
 
 
 def nearest(spark, sf_dir):
-    marks = intervals(spark, sf_dir).where("o_orderkey % 7 = 0").select("chrom", F.col("start").alias("pos")).distinct()
+    marks = intervals(spark, sf_dir).select("chrom", F.col("start").alias("pos")).distinct()
     p = ship_points(spark, sf_dir)
     low = lookups.last_at_or_before(p, marks.withColumn("lower", F.col("pos")), "pos", ["lower"], ("chrom",), width=365.0)
     flipped = low.drop("mark_at").withColumn("pos", -F.col("pos"))
@@ -145,43 +145,72 @@ def _(spark, sf_dir):
     return n.groupBy("class").agg(F.count("*").alias("n"))
 
 
+#: Candidates on each side of a point, by start.
+SIDE = 6
+
+
 @query(
     "jn13_nearest_interval",
-    f"""WITH i AS (SELECT o_orderkey, chrom, start, stop FROM ({INTERVALS.format(day=DAY_DUCK)}) WHERE o_orderkey % 11 = 0), p AS (SELECT DISTINCT chrom, pos FROM ({POINTS})),
-    c AS (SELECT p.chrom, p.pos, o_orderkey, greatest(start - pos, pos - stop, 0) AS d, abs(2 * pos - start - stop) AS m FROM p JOIN i ON i.chrom = p.chrom AND abs(p.pos - i.start) <= 45 AND p.pos BETWEEN i.start - 30 AND i.stop + 30)
-    SELECT chrom, pos, o_orderkey, d AS distance FROM c QUALIFY row_number() OVER (PARTITION BY chrom, pos ORDER BY d, m, o_orderkey) = 1""",
+    f"""WITH i AS (SELECT *, row_number() OVER (PARTITION BY chrom ORDER BY start, o_orderkey) AS k FROM ({INTERVALS.format(day=DAY_DUCK)})), p AS (SELECT DISTINCT chrom, pos FROM ({POINTS})),
+    s AS (SELECT chrom, start, max(k) AS k FROM i GROUP BY 1, 2), a AS (SELECT p.chrom, p.pos, coalesce(s.k, 0) AS r FROM p ASOF LEFT JOIN s ON p.chrom = s.chrom AND p.pos >= s.start),
+    c AS (SELECT a.chrom, a.pos, i.o_orderkey, greatest(i.start - a.pos, a.pos - i.stop, 0) AS distance, abs(2 * a.pos - i.start - i.stop) AS m FROM a JOIN i ON i.chrom = a.chrom AND i.k BETWEEN a.r - {SIDE - 1} AND a.r + {SIDE})
+    SELECT chrom, pos, o_orderkey, distance FROM c QUALIFY row_number() OVER (PARTITION BY chrom, pos ORDER BY distance, m, o_orderkey) = 1""",
 )
 def _(spark, sf_dir):
-    # candidates within 30 days come from the bucketed overlap join; the window then orders by distance, midpoint, id
-    p = ship_points(spark, sf_dir).select("chrom", "pos").distinct().withColumn("start", F.col("pos") - 30).withColumn("stop", F.col("pos") + 30)
-    i = intervals(spark, sf_dir).where("o_orderkey % 11 = 0")
-    c = lookups.overlapping(p, i, 64, ("chrom",))
-    c = c.withColumn("distance", F.greatest(F.col("r_start") - F.col("pos"), F.col("pos") - F.col("r_stop"), F.lit(0).cast("long")))
-    c = c.withColumn("m", F.abs(2 * F.col("pos") - F.col("r_start") - F.col("r_stop")))
-    best = c.groupBy("chrom", "pos").agg(F.min(F.struct("distance", "m", "r_o_orderkey")).alias("b"))
-    return best.select("chrom", "pos", F.col("b.r_o_orderkey").alias("o_orderkey"), F.col("b.distance").alias("distance"))
+    """The nearest of the six intervals that start last before a point and the six that start first after it; ties by midpoint.
+
+    Intervals are numbered along each chromosome by running totals; a point finds its place by an as-of join and its
+    candidates by number, so no distance is out of reach.
+    """
+    i = intervals(spark, sf_dir)
+    starts = ordered.running(i.groupBy("chrom", "start").agg(F.count("*").alias("n")), "start", ["n"], ("chrom",)).select("chrom", "start", "n", "before_n")
+    within_start = F.row_number().over(Window.partitionBy("chrom", "start").orderBy("o_orderkey"))
+    numbered = i.join(starts, ["chrom", "start"]).withColumn("k", F.col("before_n") + within_start).select("chrom", "k", "o_orderkey", "start", "stop")
+    marks = starts.select("chrom", F.col("start").alias("pos"), (F.col("before_n") + F.col("n")).alias("last"))
+    p = lookups.last_at_or_before(ship_points(spark, sf_dir).select("chrom", "pos").distinct(), marks, "pos", ["last"], ("chrom",), width=365.0)
+    last = F.coalesce("last", F.lit(0))
+    c = p.select("chrom", "pos", F.explode(F.sequence(last - (SIDE - 1), last + SIDE)).alias("k")).join(numbered, ["chrom", "k"])
+    distance = F.greatest(F.col("start") - F.col("pos"), F.col("pos") - F.col("stop"), F.lit(0))
+    middle = F.abs(2 * F.col("pos") - F.col("start") - F.col("stop"))
+    best = c.groupBy("chrom", "pos").agg(F.min(F.struct(distance.alias("distance"), middle.alias("m"), "o_orderkey")).alias("b"))
+    return best.select("chrom", "pos", F.col("b.o_orderkey").alias("o_orderkey"), F.col("b.distance").alias("distance"))
 
 
 @query(
     "jn16_band_join",
-    """WITH a AS (SELECT p_partkey, CAST(floor(p_retailprice) AS BIGINT) AS pos FROM part WHERE p_size <= 10), b AS (SELECT p_partkey, CAST(floor(p_retailprice) AS BIGINT) AS pos FROM part WHERE p_size > 40)
-    SELECT a.p_partkey, count(*) AS near FROM a JOIN b ON abs(a.pos - b.pos) <= 2 GROUP BY 1""",
+    """WITH a AS (SELECT c_custkey, c_nationkey AS k, CAST(floor(c_acctbal) AS BIGINT) AS pos FROM customer), b AS (SELECT s_suppkey, s_nationkey AS k, CAST(floor(s_acctbal) AS BIGINT) AS pos FROM supplier)
+    SELECT 'customer' AS side, c_custkey AS id, count(b.pos) AS near FROM a LEFT JOIN b ON a.k = b.k AND abs(a.pos - b.pos) <= 50 GROUP BY 2
+    UNION ALL SELECT 'supplier', s_suppkey, count(a.pos) FROM b LEFT JOIN a ON a.k = b.k AND abs(a.pos - b.pos) <= 50 GROUP BY 2""",
 )
 def _(spark, sf_dir):
-    p = table(spark, sf_dir, "part").select("p_partkey", F.floor("p_retailprice").cast("long").alias("pos"), "p_size")
-    both = lookups.within(p.where("p_size <= 10"), p.where("p_size > 40"), 2)
-    return both.groupBy("p_partkey").agg(F.count("*").alias("near"))
+    a = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("k"), F.floor("c_acctbal").cast("long").alias("pos"))
+    b = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("k"), F.floor("s_acctbal").cast("long").alias("pos"))
+    # equal positions are added up before they meet: a popular one is one row
+    counts = [x.groupBy("k", "pos").agg(F.count("*").alias("n")) for x in (a, b)]
+
+    def near(rows, own, other, side):
+        hits = lookups.within(own, other, 50, ("k",)).groupBy("k", "pos").agg(F.sum("r_n").alias("near"))
+        return rows.join(hits, ["k", "pos"], "left").select(F.lit(side).alias("side"), "id", F.coalesce("near", F.lit(0)).alias("near"))
+
+    return near(a, *counts, "customer").unionByName(near(b, *counts[::-1], "supplier"))
 
 
 @query(
     "jn17_overlapping_intervals",
-    f"""WITH i AS ({INTERVALS.format(day=DAY_DUCK)}), a AS (SELECT * FROM i WHERE o_orderkey % 10 = 0), b AS (SELECT * FROM i WHERE o_orderkey % 10 = 1)
-    SELECT a.o_orderkey, count(*) AS overlaps FROM a JOIN b ON a.chrom = b.chrom AND a.start <= b.stop AND b.start <= a.stop GROUP BY 1""",
+    f"""WITH i AS ({INTERVALS.format(day=DAY_DUCK)})
+    SELECT a.o_orderkey, count(*) - 1 AS overlaps FROM i a JOIN i b ON a.chrom = b.chrom AND a.start <= b.stop AND b.start <= a.stop GROUP BY 1""",
 )
 def _(spark, sf_dir):
+    """Other intervals that overlap each one: those that start by its end less those that ended before its start."""
     i = intervals(spark, sf_dir)
-    both = lookups.overlapping(i.where("o_orderkey % 10 = 0"), i.where("o_orderkey % 10 = 1"), 16, ("chrom",))
-    return both.groupBy("o_orderkey").agg(F.count("*").alias("overlaps"))
+
+    def so_far(end, name):
+        g = ordered.running(i.groupBy("chrom", F.col(end).alias("pos")).agg(F.count("*").alias("n")), "pos", ["n"], ("chrom",))
+        return g.select("chrom", "pos", (F.col("before_n") + F.col("n")).alias(name))
+
+    started = lookups.last_at_or_before(i.withColumn("pos", F.col("stop")), so_far("start", "started"), "pos", ["started"], ("chrom",), width=365.0)
+    ended = lookups.last_at_or_before(started.drop("mark_at").withColumn("pos", F.col("start") - 1), so_far("stop", "ended"), "pos", ["ended"], ("chrom",), width=365.0)
+    return ended.select("o_orderkey", (F.col("started") - F.coalesce("ended", F.lit(0)) - 1).alias("overlaps"))
 
 
 @query("jn18_window_density", "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch(ts) RANGE BETWEEN 86400 PRECEDING AND 86400 FOLLOWING) - 1 AS density FROM events")
@@ -211,11 +240,11 @@ def _(spark, sf_dir):
     return s.join(c, "k").withColumn("rn", F.row_number().over(w)).where("rn <= 5").drop("rn")
 
 
-@query("jn21_self_reference", "SELECT a.p_partkey, b.p_retailprice - a.p_retailprice AS delta FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1 WHERE a.p_partkey % 2 = 0")
+@query("jn21_self_reference", "SELECT a.p_partkey, b.p_retailprice - a.p_retailprice AS delta FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1")
 def _(spark, sf_dir):
     p = table(spark, sf_dir, "part").select("p_partkey", "p_retailprice")
     matched = p.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_retailprice").alias("other"))
-    return p.where("p_partkey % 2 = 0").join(matched, "p_partkey").select("p_partkey", (F.col("other") - F.col("p_retailprice")).alias("delta"))
+    return p.join(matched, "p_partkey").select("p_partkey", (F.col("other") - F.col("p_retailprice")).alias("delta"))
 
 
 @query(

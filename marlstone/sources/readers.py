@@ -119,3 +119,27 @@ def associations(spark: SparkSession, path: str, limit: float = 1e-7) -> DataFra
     """Significant rows of a latin-1 association table; p that isn't a number is no row."""
     raw = spark.read.csv(path, sep="\t", header=True, encoding="ISO-8859-1")
     return raw.withColumn("p", F.col("p").try_cast("double")).where(F.col("p") < limit)
+
+
+def row_column_gather(beta: DataFrame, sample, loci: DataFrame) -> DataFrame:
+    """(locus, beta) of one sample at the wanted loci; the sample's filter reaches the scan, and the join picks the loci."""
+    return beta.where(F.col("sample") == sample).join(loci.select("locus"), "locus").select("locus", "beta")
+
+
+def sparse_features(features: DataFrame, width) -> DataFrame:
+    """features (row, indices, data, dense) with valid: indices strictly ascending and below width, one value each, all finite.
+
+    Bad rows are an error where they are read, not a silent gap."""
+    i, d = F.col("indices"), F.col("data")
+    ascending = ~F.exists(F.zip_with(F.slice(i, 1, F.greatest(F.size(i) - 1, F.lit(0))), F.slice(i, 2, F.size(i)), lambda a, b: a >= b), lambda x: x)
+    inside = ~F.exists(i, lambda x: x < 0) & F.coalesce(F.array_max(i) < width, F.lit(True))
+    finite = lambda c: ~F.exists(c, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    good = (F.size(i) == F.size(d)) & ascending & inside & finite(d) & finite(F.col("dense"))
+    return features.withColumn("valid", F.when(good, True).otherwise(F.raise_error(F.concat(F.lit("bad feature row "), F.col("row").cast("string"))).cast("boolean")))
+
+
+def restricted(features: DataFrame, allowed: tuple[str, ...], refused: tuple[str, ...] = ("dense",)) -> DataFrame:
+    """Only the allowed columns; to allow a refused one is an error, so is a column that isn't there."""
+    if bad := set(allowed) & set(refused):
+        raise ValueError(f"{sorted(bad)} must not be read here")
+    return features.select(*allowed)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,3 +51,33 @@ def verify_or_create(spark: SparkSession, df: DataFrame, path: str) -> DataFrame
     if manifest(old).first() != manifest(df).first():
         raise ValueError(f"{path} holds another protocol")
     return old
+
+
+def fresh_folder(spark: SparkSession) -> str:
+    """A new folder's name below the one that driver and executors share (spark.checkpoint.dir; a local master may do without)."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "file:///tmp/checkpoints"
+    return f"{root.rstrip('/')}/marlstone-{uuid.uuid4().hex}"
+
+
+def write_matrix(values: DataFrame, path: str) -> None:
+    """A long matrix (chrom, sample, locus, beta), a row for each cell: cells with several probes hold their mean."""
+    cells = values.groupBy("chrom", "sample", "locus").agg(F.avg("beta").alias("beta"), F.count("beta").alias("probes"))
+    cells.write.option("compression", "zstd").partitionBy("chrom").parquet(path)
+
+
+def text_table(df: DataFrame, path: str, sep: str = ",") -> None:
+    """CSV or TSV parts with a header."""
+    df.write.option("header", True).option("sep", sep).csv(path)
+
+
+def markdown(df: DataFrame, most_rows: int) -> str:
+    """A small table as Markdown, rows in order of all columns; more rows than most_rows are an error."""
+    rows = df.orderBy(*df.columns).limit(most_rows + 1).collect()
+    if len(rows) > most_rows:
+        raise ValueError(f"over {most_rows} rows are no report")
+    line = lambda cells: "| " + " | ".join("" if c is None else str(c) for c in cells) + " |"
+    return "\n".join([line(df.columns), "|" + "-|" * len(df.columns), *map(line, rows)])
