@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import LOWER, chunks, texts, word_hashes, words, written
+from marlstone.llm.common import LOWER, chunks, small_batches, texts, word_hashes, words, written
 
 #: Words of a window.
 WINDOW = 13
@@ -187,6 +187,7 @@ def find_matches(
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", " + HITS
         return source.mapInArrow(search(TestSuffixes(items, window), keep), schema)
 
+    small_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *(F.col(c) for c in keep))
     blocks = _blocks(benchmark, item_col, item_text_col, block_chars)
     first, rest = next(blocks), list(blocks)
@@ -241,6 +242,7 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WIN
     """docs without the contaminated ones; columns as they were. Whole rows pass the search, no join back; with one block
     they are filtered in place."""
     names = docs.columns
+    small_batches(docs.sparkSession)
     blocks = list(_blocks(benchmark, "item_id", "text", block_chars))
     if len(blocks) > 1:
         inner = docs.select(F.struct(*(F.col(c) for c in names)).alias("row"), "doc_id", "text")

@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import LOWER, chunks, mix
+from marlstone.llm.common import chunks, mix, small_batches
 
 #: Labelled rows a language that are learned from, landmarks a language, and the ridge.
 PER_LANGUAGE, LANDMARKS, RIDGE = 200, 24, 0.02
@@ -238,6 +238,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                     ["doc_id", *keep, "lang_pred", "score"] + ["refused"] * judge,
                 )
 
+    small_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *(F.col(c) for c in keep))
     fields = [f for f in source.schema.fields if f.name != "text"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", lang_pred string, score double" + ", refused boolean" * judge
@@ -258,6 +259,7 @@ def identify(docs: DataFrame, allowed: Column | None = None, per_language: int =
 def drop_rejected(docs: DataFrame, languages: tuple[str, ...] | None = None) -> DataFrame:
     """docs without texts that are `und`, know too few n-grams of every learned language, or are of a language that is not
     wanted (all learned ones are, if languages is None); columns as they were. Rows pass once, whole, and are filtered in place."""
+    small_batches(docs.sparkSession)
     model = fit(labelled_sample(docs, F.lit(True)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -33,12 +33,12 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import LOWER, Scratch, chunks, mix, partitions, word_hashes, words
+from marlstone.llm.common import LOWER, Scratch, chunks, mix, partitions, small_batches, word_hashes, words
 from marlstone.llm.components import connected_components
 
 SHINGLE, PER_CENT = 4, 85
 #: Share of the documents from which a shingle is heavy, and the same within what a task has read at a time (HELD hashes).
-HEAVY, HEAVY_LOCAL, HELD = 0.002, 0.001, 1_500_000
+HEAVY, HEAVY_LOCAL, HELD = 0.002, 0.001, 1_000_000
 #: Classes under one head whose sketches are compared; a larger head's classes are one family as they are.
 NEAR = 8_192
 #: Shingles of a cell, common members of a large family's parts.
@@ -493,6 +493,7 @@ def jaccard_components(
     near: int = NEAR,
 ) -> DataFrame:
     """(id, n_shingles, component): for each row a struct of its id, its set's size, a struct of its component's least id."""
+    small_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.struct(F.col(id_col).alias("id")).alias("id"), F.xxhash64(F.col(id_col), text).alias("key"), text.alias("text"))
