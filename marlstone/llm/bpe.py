@@ -1,21 +1,20 @@
-"""Byte-level BPE: merges replayed over the distinct words of the whole corpus, in rank order.
-
-1. Texts are taken apart into units, numbered within a chunk of documents; a document becomes the list of its numbers
-   (`_taken_apart`, written once as a table). A unit is what stands between single spaces, or a match of the pattern.
-2. The distinct units of all chunks are one table, dealt by unit. In its tasks the distinct words lie in one array of
-   symbols with links to the previous and next symbol. An inverted index holds, for each rank, the positions where the
-   adjacent pair makes that token. The least rank is taken again and again: every word merges its leftmost position of
-   that rank, and only the pairs at the touched neighbours enter the index anew. Per word that is the order of the public
-   library: the least rank first, leftmost among equals. A word that is a token as a whole is that token.
-3. The ids are joined back to (chunk, number), one row for each chunk that has the unit and not for each place, and
-   meet the chunk's documents, which gather them.
-
-A unit of every chunk has as many rows as there are chunks (CHUNK_CHARS each); the join splits such a key at run time
-(adaptive skew join), or broadcasts the table of units where Spark's own size check allows it. Tasks hold one chunk's
-units, or BLOCK_CHARS of distinct units.
+"""Byte-level BPE: merges replayed in rank order, for the common words once over the whole corpus.
+
+1. `word_counts` counts the words (matches of the pattern) of all documents. A count is chosen so that at most
+   TABLE_WORDS words reach it, whatever the corpus (`common_words`).
+2. Their merges are replayed over all of them, dealt by word. The words of a task lie in one array of symbols with links
+   to the previous and next symbol. An inverted index holds, for each rank, the positions where the adjacent pair makes
+   that token. The least rank is taken again and again: every word merges its leftmost position of that rank, and only
+   the pairs at the touched neighbours enter the index anew. Per word that is the order of the public library: the least
+   rank first, leftmost among equals. A word that is a token as a whole is that token.
+3. The result is broadcast: at most TABLE_WORDS words of WORD_CHARS characters or less. Each task looks its words up
+   there and replays the merges of the other ones, together for a chunk of documents, by the same index.
+
+Ids don't depend on what the table holds. Looking every word up in a joined table of all words was built and measured
+too: the words of each chunk, their ids and the documents as word numbers are several times the input (see README).
 
 Defined results: null text is the empty text, with no ids; documents are handled one by one, so ties, repeats and extra
-columns don't matter. An empty table gives an empty table. A document longer than a chunk is a chunk of its own.
+columns don't matter. Memory is bounded by the chunk; the table of known words is emptied when it is full.
 """
 
 from __future__ import annotations
@@ -23,23 +22,25 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-from collections.abc import Callable, Iterator
+from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm.common import Scratch, texts
 
-#: Characters of text whose units are numbered together.
-CHUNK_CHARS = 4 << 20
-#: Characters of distinct units that are merged together, and places that are gathered at one time.
-BLOCK_CHARS = 1 << 20
-#: Texts with a longer run without a space are taken apart by the pattern: units travel, and should be short.
-LONG_UNIT = 256
+#: Words of the corpus-wide table at most, and characters of such a word at most.
+TABLE_WORDS, WORD_CHARS = 300_000, 64
+#: Distinct pieces that a task counts before it passes their words on.
+COUNTED = 400_000
+#: Distinct words and pieces beyond that table that a task remembers with their ids.
+KNOWN_WORDS = 200_000
+#: Characters of text whose new words are merged together.
+CHUNK_CHARS = 2 << 20
 
 
 class Numbered(dict):
@@ -59,10 +60,9 @@ class Numbered(dict):
 class Codec:
     """Ranks (lines of base64 token and rank) with the pattern that splits text before the merges."""
 
-    def __init__(self, ranks: bytes, pattern: str):
+    def __init__(self, ranks: bytes, pattern: str, known: int = KNOWN_WORDS, common: pa.Table | None = None):
         self.token = {int(r): base64.b64decode(t) for t, r in (x.split() for x in ranks.splitlines() if x)}
         self.rank = {t: r for r, t in self.token.items()}
-        self.shown = {r: str(r) for r in self.token}
         self.split = regex.compile(pattern).findall
         self.base = np.array([self.rank[bytes([b])] for b in range(256)], np.int64)
         width = self.width = max(self.token) + 1
@@ -74,6 +74,36 @@ class Codec:
         ]
         codes = np.array(sorted(pairs), np.int64).reshape(-1, 2)
         self.pair, self.made = np.append(codes[:, 0], -1), np.append(codes[:, 1], -1)
+        self.known = known
+        self.common: dict[str, int] = {}
+        self.common_ids, self.common_size = np.zeros(0, np.int32), np.zeros(0, np.int64)
+        if common is not None and len(common):
+            ids = common.column("ids").combine_chunks()
+            self.common = {w: i for i, w in enumerate(common.column("word").to_pylist())}
+            self.common_ids, self.common_size = ids.flatten().to_numpy(), ids.value_lengths().to_numpy().astype(np.int64)
+        self.forget()
+
+    def forget(self) -> None:
+        """Drop the known words and pieces but for the common words; self.pool holds their ids, self.at and self.size
+        say where."""
+        self.word, self.piece = Numbered(self.common), Numbered()
+        self.word_entry, self.piece_entry, self.odd = np.arange(len(self.common)), np.zeros(0, np.int64), np.zeros(0, bool)
+        self.pool, self.size = self.common_ids, self.common_size
+        self.at = np.cumsum(self.size) - self.size
+
+    def _add(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Put ids into the pool; the numbers of the new entries."""
+        n = len(self.at)
+        self.at = np.concatenate([self.at, len(self.pool) + np.cumsum(sizes) - sizes])
+        self.size = np.concatenate([self.size, sizes])
+        self.pool = np.concatenate([self.pool, ids])
+        return np.arange(n, n + len(sizes))
+
+    def _gather(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the entries in one array, and how many each has."""
+        size = self.size[entries]
+        ends = np.cumsum(size)
+        return self.pool[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.at[entries] - (ends - size), size)], size
 
     def ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of the token that each pair makes, -1 where it makes none."""
@@ -160,12 +190,51 @@ class Codec:
             alive[lo], sym[lo] = True, whole[i]
         return sym[alive].astype(np.int32), np.bincount(word[alive], minlength=len(words))
 
-    def ids_of_units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all units in one array, and how many each has; a word that several units share is merged once."""
-        split = [[u[1:]] if u[0] == WORD else self.split(u[1:]) for u in units]
-        numbers, distinct = Numbered().numbers([w for x in split for w in x])
-        ids, sizes = gathered(*self.merge([w.encode() for w in distinct]), numbers)
-        return ids, np.diff(upto(sizes)[upto([len(x) for x in split])])
+    def ids_of_words(self, words: list[str]) -> np.ndarray:
+        """Entries of the words; the new ones among them are merged together."""
+        numbers, new = self.word.numbers(words)
+        if new:
+            self.word_entry = np.append(self.word_entry, self._add(*self.merge([w.encode() for w in new])))
+        return self.word_entry[numbers]
+
+    def learn(self, pieces: list) -> None:
+        """Give new pieces their ids. A piece is what stands between single spaces, with the space before it; as a
+        one-tuple it stands at a text's start. No match of the pattern goes over a single space with other characters on
+        both sides, so a piece has the same ids wherever it stands. A piece that is empty or has white space at an end
+        is odd: there the rule doesn't hold."""
+        strings = [p[0] if isinstance(p, tuple) else " " + p for p in pieces]
+        split = [self.split(x) for x in strings]
+        ids, sizes = self._gather(self.ids_of_words([w for x in split for w in x]))
+        ends = np.append(0, np.cumsum(sizes))[np.append(0, np.cumsum([len(x) for x in split])).astype(np.int64)]
+        raw = [p[0] if isinstance(p, tuple) else p for p in pieces]
+        self.odd = np.append(self.odd, np.fromiter((not x or x[0].isspace() or x[-1].isspace() for x in raw), bool, len(raw)))
+        self.piece_entry = np.append(self.piece_entry, self._add(ids, np.diff(ends)))
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in one array, and how many each has."""
+        if len(self.piece) + len(self.word) - len(self.common) > self.known:
+            self.forget()
+        pieces, counts = [], []
+        for t in texts:
+            got = t.split(" ")
+            got[0] = (got[0],)
+            pieces += got
+            counts.append(len(got))
+        i, new = self.piece.numbers(pieces)
+        if new:
+            self.learn(new)
+        lows = (np.cumsum(counts) - counts).astype(np.int64)
+        odd = np.logical_or.reduceat(self.odd[i], lows) if len(i) else np.zeros(0, bool)
+        i = self.piece_entry[i]
+        if odd.any():  # the whole pattern goes over these texts
+            counts = np.array(counts, np.int64)
+            whole = {k: self.ids_of_words(self.split(texts[k])) for k in np.flatnonzero(odd).tolist()}
+            i = np.concatenate([whole[k] if k in whole else i[lows[k] : lows[k] + counts[k]] for k in range(len(texts))])
+            for k, x in whole.items():
+                counts[k] = len(x)
+        ids, sizes = self._gather(i)
+        upto = np.append(0, np.cumsum(sizes))[np.append(0, np.cumsum(counts)).astype(np.int64)]
+        return ids, np.diff(upto)
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.token.__getitem__, ids))
@@ -174,196 +243,113 @@ class Codec:
 _codecs: dict[str, Codec] = {}
 
 
-def codec(ranks: bytes, pattern: str) -> Codec:
-    """One codec a Python worker, for the next task as well."""
-    key = hashlib.sha256(ranks + pattern.encode()).hexdigest()
+def codec(ranks: bytes, pattern: str, common: pa.Table | None = None, name: str = "") -> Codec:
+    """One codec a Python worker, for the next task with the same table as well; the other words go with the task."""
+    key = hashlib.sha256(ranks + pattern.encode() + name.encode()).hexdigest()
     if key not in _codecs:
         _codecs.clear()
-        _codecs[key] = Codec(ranks, pattern)
+        _codecs[key] = Codec(ranks, pattern, common=common)
+    _codecs[key].forget()
     return _codecs[key]
 
 
-def upto(sizes) -> np.ndarray:
-    """0 and the running sums."""
-    return np.append(0, np.cumsum(np.asarray(sizes, np.int64)))
-
-
-def gathered(pool: np.ndarray, sizes: np.ndarray, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The entries' runs of a pool in which run i has sizes[i] values, in one array, and how many each has."""
-    starts, size = upto(sizes)[:-1][entries], sizes[entries]
-    ends = np.cumsum(size)
-    return pool[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - size), size)], size
-
-
-def blocks(sizes, limit: int) -> Iterator[slice]:
-    """Consecutive rows of about limit in size; a larger row is a block of its own."""
-    lo = total = 0
-    for i, n in enumerate(sizes):
-        if i > lo and total + n > limit:
-            yield slice(lo, i)
-            lo, total = i, 0
-        total += n
-    if lo < len(sizes):
-        yield slice(lo, len(sizes))
-
-
-#: First sign of a unit: one match of the pattern, or a stretch to be split by it.
-WORD, STRETCH = "=", "+"
-
-
-class Chunk:
-    """Numbers of the units of some documents. What stands between single spaces is a unit with the space before it:
-    no match of the pattern goes over a single space with other characters on both sides, so it has the same ids
-    wherever it stands. Where a stretch is empty, long, or has white space at an end, the matches of the whole text are
-    the units instead."""
-
-    def __init__(self, split: Callable[[str], list[str]]):
-        self.split, self.chars = split, 0
-        self.number, self.odd = Numbered(), np.zeros(0, bool)
-
-    def numbers(self, texts: list[str]) -> list[np.ndarray]:
-        """Each text as the numbers of its units. A key is a string (after a space) or a sign with the unit."""
-        keys, counts = [], []
-        for t in texts:
-            got = t.split(" ")
-            got[0] = (STRETCH, got[0])
-            keys += got
-            counts.append(len(got))
-            self.chars += len(t)
-        found = self._look_up(keys)
-        lows = upto(counts)
-        odd = np.logical_or.reduceat(self.odd[found], lows[:-1]) if len(counts) else []
-        return [
-            self._look_up([(WORD, w) for w in self.split(texts[k])]) if odd[k] else found[lows[k] : lows[k + 1]]
-            for k in range(len(texts))
-        ]
-
-    def _look_up(self, keys: list) -> np.ndarray:
-        found, new = self.number.numbers(keys)
-        if new:
-            plain = [k if isinstance(k, str) else k[1] for k in new]
-            odd = [not x or len(x) > LONG_UNIT or x[0].isspace() or x[-1].isspace() for x in plain]
-            self.odd = np.append(self.odd, np.array(odd, bool))
-        return found
-
-    def units(self, used: np.ndarray) -> list[str]:
-        keys = list(self.number)
-        return [STRETCH + " " + k if isinstance(k, str) else k[0] + k[1] for k in map(keys.__getitem__, used.tolist())]
-
-
-def _taken_apart(rows: DataFrame, pattern: str, chunk_chars: int) -> DataFrame:
-    """(chunk, doc_id, numbers) for each document and (chunk, n, unit) for each distinct unit of a chunk."""
+def word_counts(docs: DataFrame, pattern: str, text_col: str = "text") -> DataFrame:
+    """(word, n): how often each word of at most WORD_CHARS characters stands in the documents' stretches between single
+    spaces, each taken with the space before it. Each task adds up what it can hold; the rest is a grouped sum."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = regex.compile(pattern).findall
-        name = TaskContext.get().partitionId() << 32
-        chunk, used = Chunk(split), []
-
-        def units() -> pa.RecordBatch:
-            n = np.unique(np.concatenate([np.zeros(0, np.int64), *used]))
-            return table(len(n), n=pa.array(n, pa.int32()), unit=pa.array(chunk.units(n), pa.string()))
+        pieces, starts = Counter(), Counter()
+
+        def added_up() -> pa.RecordBatch:
+            words: Counter = Counter()
+            for space, counted in ((" ", pieces), ("", starts)):
+                for p, n in counted.items():
+                    for w in split(space + p):
+                        words[w] += n
+                counted.clear()
+            short = [w for w in words if len(w) <= WORD_CHARS]
+            return pa.RecordBatch.from_arrays([pa.array(short, pa.string()), pa.array([words[w] for w in short], pa.int64())], ["word", "n"])
 
-        def table(size: int, **columns) -> pa.RecordBatch:
-            columns["chunk"] = pa.array(np.full(size, name), pa.int64())
-            return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(size, f.type)) for f in schema], schema=schema)
-
-        schema = None
         for b in batches:
-            if schema is None:
-                kinds = {"chunk": pa.int64(), "doc_id": b.schema.field("doc_id").type, "numbers": pa.list_(pa.int32())}
-                schema = pa.schema({**kinds, "n": pa.int32(), "unit": pa.string()})
-            all_texts = b.column("text").to_pylist()
-            for s in blocks(list(map(len, all_texts)), BLOCK_CHARS):
-                got = chunk.numbers(all_texts[s])
-                flat = np.concatenate(got)
-                used.append(np.unique(flat))
-                lists = id_lists(flat, list(map(len, got)))
-                yield table(len(got), doc_id=b.column("doc_id")[s.start : s.stop], numbers=lists)
-                if chunk.chars >= chunk_chars:
-                    yield units()
-                    chunk, used, name = Chunk(split), [], name + 1
-        if used:
-            yield units()
-
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"chunk long, doc_id {kind}, numbers array<int>, n int, unit string")
-
-
-def _merged(units: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
-    """(unit, ids) of distinct units."""
+            for t in b.column("text").to_pylist():
+                first, _, rest = t.partition(" ")
+                starts[first] += 1
+                if rest:
+                    pieces.update(rest.split(" "))
+                if len(pieces) + len(starts) > COUNTED:
+                    yield added_up()
+        yield added_up()
+
+    rows = texts(docs, text_col, text_col).select("text")
+    return rows.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def common_words(docs: DataFrame, ranks: bytes, pattern: str, text_col: str = "text", most: int = TABLE_WORDS) -> pa.Table:
+    """(word, ids) of the words that reach the least count which at most `most` words reach."""
+    scratch = Scratch(docs.sparkSession)
+    counts = scratch.table(word_counts(docs, pattern, text_col))
+    step = F.floor(F.log2("n") * 8)  # a few hundred steps at any size
+    least, taken = None, 0
+    for r in sorted(counts.groupBy(step.alias("step")).agg(F.count("*").alias("k"), F.min("n").alias("n")).collect(), reverse=True):
+        taken += r.k
+        if taken > most:
+            break
+        least = r.n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(ranks, pattern)
+        own = Codec(ranks, pattern)
         for b in batches:
-            all_units = b.column("unit").to_pylist()
-            for s in blocks(list(map(len, all_units)), BLOCK_CHARS):
-                ids, sizes = own.ids_of_units(all_units[s])
-                lists = id_lists(ids, sizes)
-                yield pa.RecordBatch.from_arrays([b.column("unit")[s.start : s.stop], lists], ["unit", "ids"])
-
-    return units.mapInArrow(run, "unit string, ids array<int>")
-
-
-def _encoded(docs: DataFrame, ranks: bytes, pattern: str, id_col: str, text_col: str, make: Callable, columns: str, chunk_chars: int) -> DataFrame:
-    """What make(doc_ids, ids, counts) gives, over all documents."""
-    rows = texts(docs, id_col, text_col)
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    apart = Scratch(docs.sparkSession).table(_taken_apart(rows, pattern, chunk_chars))
-    units = apart.where(F.col("unit").isNotNull()).select("chunk", "n", "unit")
-    merged = _merged(units.select("unit").distinct(), ranks, pattern)
-    known = units.join(merged, "unit").select("chunk", "n", "ids", F.lit(None).cast(kind).alias("doc_id"), F.lit(None).cast("array<int>").alias("numbers"))
-    members = apart.where(F.col("unit").isNull()).select(
-        "chunk", F.lit(None).cast("int").alias("n"), F.lit(None).cast("array<int>").alias("ids"), "doc_id", "numbers"
-    )
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, parts, pool = None, [], None
-        for b in batches:
-            chunk = b.column("chunk").to_numpy()
-            member = b.column("numbers").is_valid().to_numpy(zero_copy_only=False)
-            cuts = np.flatnonzero((chunk[1:] != chunk[:-1]) | (member[1:] != member[:-1])) + 1
-            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(chunk)]):
-                if lo == hi:
-                    continue
-                if chunk[lo] != current:
-                    current, parts, pool = chunk[lo], [], None
-                part = b.slice(lo, hi - lo)
-                if not member[lo]:
-                    ids = part.column("ids")
-                    parts.append((part.column("n").to_numpy(), ids.flatten().to_numpy(), ids.value_lengths().to_numpy()))
-                    continue
-                if pool is None:  # all units of a chunk stand before its documents
-                    pool, parts = _pool(parts), []
-                lengths = part.column("numbers").value_lengths().to_numpy()
-                for s in blocks(lengths.tolist(), BLOCK_CHARS):
-                    numbers = part.column("numbers").slice(s.start, s.stop - s.start).flatten().to_numpy()
-                    ids, sizes = gathered(*pool[1:], np.searchsorted(pool[0], numbers))
-                    yield make(part.column("doc_id").slice(s.start, s.stop - s.start), ids, np.diff(upto(sizes)[upto(lengths[s])]))
-
-    both = known.unionByName(members).repartition("chunk").sortWithinPartitions("chunk", F.col("n").asc_nulls_last())
-    return both.mapInArrow(run, f"doc_id {kind}, {columns}")
-
-
-def _pool(parts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(numbers ascending, ids of all in one array, how many each has); the rows come in order of the numbers."""
-    if not parts:
-        return np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64)
-    return tuple(np.concatenate(x) for x in zip(*parts))
-
-
-def id_lists(ids: np.ndarray, counts: np.ndarray) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(upto(counts), pa.int32()), pa.array(ids, pa.int32()))
+            ids, sizes = own.merge([w.encode() for w in b.column("word").to_pylist()])
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(ids, pa.int32()))
+            yield pa.RecordBatch.from_arrays([b.column("word"), lists], ["word", "ids"])
+
+    chosen = counts.where(F.col("n") >= F.lit(least)).select("word").repartition(docs.sparkSession.sparkContext.defaultParallelism, "word")
+    out = chosen.mapInArrow(run, "word string, ids array<int>").toArrow()
+    scratch.drop(counts)
+    return out
+
+
+def shared_codec(docs: DataFrame, ranks: bytes, pattern: str, text_col: str, most: int):
+    """A function that gives a task its codec with the broadcast table of common words."""
+    table = common_words(docs, ranks, pattern, text_col, most)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    data = sink.getvalue().to_pybytes()
+    name, shared = hashlib.sha256(data).hexdigest(), docs.sparkSession.sparkContext.broadcast(data)
+    return lambda: codec(ranks, pattern, pa.ipc.open_stream(shared.value).read_all(), name)
+
+
+def blocks(texts: list[str], limit: int = CHUNK_CHARS) -> Iterator[slice]:
+    lo = size = 0
+    for i, t in enumerate(texts):
+        if size and size + len(t) > limit:
+            yield slice(lo, i)
+            lo, size = i, 0
+        size += len(t)
+    if lo < len(texts):
+        yield slice(lo, len(texts))
 
 
 def bpe_encode(
-    docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = CHUNK_CHARS
+    docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text", most: int = TABLE_WORDS
 ) -> DataFrame:
     """(doc_id, ids): the ids of each whole text. The ranks (about a megabyte) travel with the function."""
+    given = shared_codec(docs, ranks, pattern, text_col, most)
 
-    def make(doc_ids: pa.Array, ids: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([doc_ids, id_lists(ids, counts)], ["doc_id", "ids"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = given()
+        for b in batches:
+            all_texts = b.column("text").to_pylist()
+            for s in blocks(all_texts):
+                ids, counts = own.encode(all_texts[s])
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(ids, pa.int32()))
+                yield pa.RecordBatch.from_arrays([b.column("doc_id")[s.start : s.stop], lists], ["doc_id", "ids"])
+        own.forget()
 
-    return _encoded(docs, ranks, pattern, id_col, text_col, make, "ids array<int>", chunk_chars)
+    rows = texts(docs, id_col, text_col)
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>")
 
 
 def bpe_decode(encoded: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
@@ -386,26 +372,39 @@ def bpe_round_trip(
     id_col: str = "doc_id",
     text_col: str = "text",
     keep_ids: bool = False,
-    chunk_chars: int = CHUNK_CHARS,
+    most: int = TABLE_WORDS,
 ) -> DataFrame:
-    """Encode, decode and digest: (doc_id, n_tokens, ids_sha256, decoded_sha256[, ids])."""
+    """Encode, decode and digest in one pass: (doc_id, n_tokens, ids_sha256, decoded_sha256[, ids])."""
+    given = shared_codec(docs, ranks, pattern, text_col, most)
 
-    def make(doc_ids: pa.Array, ids: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-        own = codec(ranks, pattern)
-        ends = upto(counts).tolist()
-        ids_sha, data_sha = [], []
-        for a, z in zip(ends, ends[1:]):
-            one = ids[a:z].tolist()
-            ids_sha.append(hashlib.sha256(",".join(map(own.shown.__getitem__, one)).encode()).hexdigest())
-            data_sha.append(hashlib.sha256(own.decode(one)).hexdigest())
-        columns = {"doc_id": doc_ids, "n_tokens": pa.array(counts, pa.int64()), "ids_sha256": pa.array(ids_sha, pa.string())}
-        columns["decoded_sha256"] = pa.array(data_sha, pa.string())
-        if keep_ids:
-            columns["ids"] = id_lists(ids, counts)
-        return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
-
-    out = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
-    return _encoded(docs, ranks, pattern, id_col, text_col, make, out, chunk_chars)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = given()
+        shown = {r: str(r) for r in own.token}.__getitem__
+        sha = lambda x: hashlib.sha256(x).hexdigest()
+        for b in batches:
+            all_texts = b.column("text").to_pylist()
+            for s in blocks(all_texts):
+                ids, counts = own.encode(all_texts[s])
+                ends = np.cumsum(counts).tolist()
+                ids_sha, data_sha = [], []
+                for a, z in zip([0, *ends], ends):
+                    one = ids[a:z].tolist()
+                    ids_sha.append(sha(",".join(map(shown, one)).encode()))
+                    data_sha.append(sha(own.decode(one)))
+                columns = {
+                    "doc_id": b.column("doc_id")[s.start : s.stop],
+                    "n_tokens": pa.array(counts, pa.int64()),
+                    "ids_sha256": pa.array(ids_sha, pa.string()),
+                    "decoded_sha256": pa.array(data_sha, pa.string()),
+                }
+                if keep_ids:
+                    columns["ids"] = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(ids, pa.int32()))
+                yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+        own.forget()
+
+    rows = texts(docs, id_col, text_col)
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids)
 
 
 def read_ranks(path: str) -> bytes:

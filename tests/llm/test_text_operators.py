@@ -135,8 +135,8 @@ def test_viterbi_is_the_best_path():
         assert tuple(got[i, :n]) == best
 
 
-@pytest.mark.parametrize("chunk_chars", [bpe.CHUNK_CHARS, 500])
-def test_bpe_equals_the_library(spark, docs, chunk_chars):
+@pytest.mark.parametrize("most", [bpe.TABLE_WORDS, 300, 0])
+def test_bpe_equals_the_library(spark, docs, most):
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -145,7 +145,7 @@ def test_bpe_equals_the_library(spark, docs, chunk_chars):
     rows = docs + EDGES + [(2000 + i, t) for i, t in enumerate([*odd, "bcbc" * 40, " a  b ", "a \n b", "<|endoftext|>", "don't  'S"])]
     raw = bpe.read_ranks(path)
     df = frame(spark, rows)
-    got = {r.doc_id: r for r in bpe.bpe_round_trip(df, raw, public_tokenizers.PATTERN, keep_ids=True, chunk_chars=chunk_chars).collect()}
+    got = {r.doc_id: r for r in bpe.bpe_round_trip(df, raw, public_tokenizers.PATTERN, keep_ids=True, most=most).collect()}
     assert len(got) == len(rows)
     for d, t in rows:
         want = library.encode_ordinary(t or "")
@@ -155,6 +155,22 @@ def test_bpe_equals_the_library(spark, docs, chunk_chars):
     assert all(bytes(r.data).decode() == (dict(rows)[r.doc_id] or "") for r in back.collect())
 
 
+def test_known_words_can_be_forgotten():
+    raw = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    a, b = bpe.Codec(raw, public_tokenizers.PATTERN, known=3), bpe.Codec(raw, public_tokenizers.PATTERN)
+    for t in (["one two three four"], ["two  five", "one"], ["six two"]):
+        assert a.encode(t)[0].tolist() == b.encode(t)[0].tolist()
+
+
+def test_the_common_words_are_the_most_frequent(spark):
+    raw = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    rows = [(1, "aa bb aa bb aa cc"), (2, None), (3, "aa bb " + "x" * 100), (3, "aa bb")]
+    got = {r["word"]: r["n"] for r in bpe.word_counts(frame(spark, rows), public_tokenizers.PATTERN).collect()}
+    assert got == {"aa": 3, " aa": 2, " bb": 4, " cc": 1, " ": 1} or got == {"aa": 3, " aa": 2, " bb": 4, " cc": 1}
+    table = bpe.common_words(frame(spark, rows), raw, public_tokenizers.PATTERN, most=2)
+    assert sorted(table.column("word").to_pylist()) == [" bb", "aa"]
+
+
 def test_language_of_held_out_rows(spark):
     sf = "/root/testdata/sf0.01"
     got = registered.op1_string_kernel_language(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id").collect()
