@@ -34,9 +34,9 @@ from pyspark.sql import functions as F
 from marlstone.llm.common import Scratch, texts
 
 #: Words of the corpus-wide table at most, and characters of such a word at most.
-TABLE_WORDS, WORD_CHARS = 300_000, 64
+TABLE_WORDS, WORD_CHARS = 150_000, 64
 #: Distinct pieces that a task counts before it passes their words on.
-COUNTED = 400_000
+COUNTED = 150_000
 #: Distinct words and pieces beyond that table that a task remembers with their ids.
 KNOWN_WORDS = 200_000
 #: Characters of text whose new words are merged together.
