@@ -26,4 +26,4 @@ def query(name: str, oracle: str | None = None):
 
 def load() -> None:
     """Import the modules that register queries."""
-    from marlstone.plans import analysis, complete, endpoints, extra, positional, scalar, statistics  # noqa: F401
+    from marlstone.plans import analysis, complete, endpoints, extra, positional, probes, scalar, statistics  # noqa: F401
