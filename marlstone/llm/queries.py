@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import bpe, decontaminate, html_text, imatch, langid, pii, secrets, signature_join, suffix_dedup, warc
+from marlstone.llm import bpe, decontaminate, exact_dedup, html_text, imatch, langid, pii, secrets, signature_join, suffix_dedup, vector_codes, warc, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,9 +61,21 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontamination_report(found)
 
 
+def op11_elkan_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.code_report(*vector_codes.compress(_table(spark, sf_dir, "embeddings")))
+
+
+def op12_extendible_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"))
+
+
+def op13_lobpcg_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_revisit_resolution": warc.REPORT_SQL}
+    return {"op3_revisit_resolution": warc.REPORT_SQL, "op11_elkan_codes": vector_codes.REPORT_SQL, "op12_extendible_dedup": exact_dedup.REPORT_SQL}
