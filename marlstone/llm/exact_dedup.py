@@ -36,8 +36,8 @@ def directory(keys: DataFrame, rows: int, owners: int, capacity: int) -> tuple[D
     cells = keys.groupBy(F.shiftrightunsigned("key", 64 - depth).alias("cell")).agg(F.count("*").alias("n"), F.sum("held").alias("held"))
     levels = cells.withColumn("d", F.explode(F.sequence(F.lit(0), F.lit(depth)))).withColumn("prefix", F.expr(f"shiftrightunsigned(cell, cast({depth} - d as int))"))
     fits = levels.groupBy("d", "prefix").agg(F.sum("n").alias("n")).where((F.col("n") <= capacity) | (F.col("d") == depth)).select("d", "prefix")
-    local = levels.join(fits, ["d", "prefix"]).groupBy("cell").agg(F.min("d").alias("d"), F.first("held").alias("held"))
-    # the number of a bucket is its place in the heap of all prefixes
+    local = levels.join(F.broadcast(fits), ["d", "prefix"]).groupBy("cell").agg(F.min("d").alias("d"), F.first("held").alias("held"))
+    # fits has fewer than 2 ** (MOST_DEPTH + 1) rows; the number of a bucket is its place in the heap of all prefixes
     placed = local.withColumn("bucket", F.expr(f"shiftleft(1L, d) + shiftrightunsigned(cell, cast({depth} - d as int))"))
     before = Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # over cells, 2**MOST_DEPTH at most
     dealt = placed.withColumn("_sum", F.sum("held").over(before)).withColumn("_all", F.sum("held").over(Window.partitionBy(F.lit(0))))
