@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
     """df checkpointed in the folder that the cluster names; one is set only where none is (tests)."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
@@ -19,13 +19,13 @@ def _cut(df: DataFrame) -> DataFrame:
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component): the least id that each id of nodes reaches over edges (a, b)."""
-    both = _cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = _cut(nodes.select("id", F.col("id").alias("component")).distinct())
+    both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = cut(nodes.select("id", F.col("id").alias("component")).distinct())
     while True:
         near = both.join(labels.select(F.col("id").alias("b"), "component"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("m"))
         step = labels.join(near, "id", "left").select("id", F.least("component", F.coalesce("m", "component")).alias("component"))
         jump = step.select(F.col("id").alias("component"), F.col("component").alias("up"))
-        new = _cut(step.join(jump, "component").select("id", F.least("component", "up").alias("component")))
+        new = cut(step.join(jump, "component").select("id", F.least("component", "up").alias("component")))
         changed = new.join(labels.withColumnRenamed("component", "old"), "id").where("component <> old").limit(1).count()
         labels = new
         if not changed:

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from marlstone.functions import maths, vectors
-from marlstone.operators import inference, linear, lookups, matching, ordered
+from marlstone.operators import case_control, inference, linear, lookups, matching, ordered
 from marlstone.plans.registry import query
 from marlstone.session import table
 
@@ -135,10 +135,31 @@ def _(spark, sf_dir):
     return n.select("query", "rank", "neighbour", F.round(-F.col("similarity"), 5).alias("distance"))
 
 
+def customer_matching(spark, sf_dir):
+    """(cases, pool, matches): customers of five nations with two others of their segment each, near in balance and nation number."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_nationkey", F.col("c_acctbal").cast("double").alias("balance"))
+    cases, pool = c.where("c_nationkey < 5"), c.where("c_nationkey >= 5")
+    return cases, pool, case_control.match_controls(cases, pool, "c_custkey", ("c_mktsegment",), {"balance": 400.0, "c_nationkey": None}, n=2, seed=17)
+
+
 @query("jn25_greedy_matching")
 def _(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").withColumn("is_case", F.col("c_nationkey") < 5)
-    return matching.greedy_controls(c, "c_custkey", "is_case", ["c_mktsegment"], "c_acctbal", 0.1, 2, seed=17)
+    pairs = customer_matching(spark, sf_dir)[2].pairs
+    return pairs.select(F.col("case").alias("case_id"), F.col("control").alias("control_id"), "rank", F.round("distance", 6).alias("distance"))
+
+
+@query("jn25_unmatched_cases")
+def _(spark, sf_dir):
+    cases, _, m = customer_matching(spark, sf_dir)
+    told = cases.select(F.col("c_custkey").alias("case")).join(m.unmatched, "case", "left").join(m.pairs.select("case").distinct().withColumn("matched", F.lit(True)), "case", "left")
+    return told.groupBy(F.coalesce("reason", F.when(F.col("matched"), "matched")).alias("outcome")).agg(F.count("*").alias("cases"))
+
+
+@query("cq33_matching_balance")
+def _(spark, sf_dir):
+    cases, pool, m = customer_matching(spark, sf_dir)
+    b = case_control.balance(cases, pool, m.pairs, "c_custkey", ["balance", "c_nationkey"], ["c_mktsegment"])
+    return b.select("covariate", "level", F.round("smd_before", 6).alias("smd_before"), F.round("smd_after", 6).alias("smd_after"))
 
 
 @query("me12_me13_block_bootstrap")
