@@ -50,14 +50,3 @@ def block_bootstrap(cells: DataFrame, arm: str, block: str, total: str, count: s
     kind = cells.schema[arm].dataType.simpleString()
     return cells.groupBy(arm).applyInPandas(run, f"{arm} {kind}, replicate long, mean double")
 
-
-def crossed_bootstrap(cells: DataFrame, row: str, column: str, total: str, count: str, replicates: int, seed: int) -> DataFrame:
-    """(replicate, mean): rows and columns of a table of cells drawn independently with replacement.
-
-    Weights come from a hash of (replicate, unit, seed) as exponential draws (a Bayesian bootstrap), so each cell's weight
-    is an expression and the whole is one aggregation, with no table on the driver.
-    """
-    draws = cells.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    unit = lambda c, salt: -F.log((F.pmod(F.xxhash64("replicate", F.col(c), F.lit(seed + salt)), F.lit(1 << 30)) + 1) / float(1 << 30))
-    w = unit(row, 0) * unit(column, 1)
-    return draws.groupBy("replicate").agg((F.sum(w * F.col(total)) / F.sum(w * F.col(count))).alias("mean"))

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from marlstone.functions import maths, vectors
-from marlstone.operators import graph, inference, linear, lookups, matching, ordered
+from marlstone.operators import bootstrap, graph, linear, lookups, matching, ordered
 from marlstone.plans.registry import query
 from marlstone.session import table
 
@@ -206,12 +206,28 @@ def _(spark, sf_dir):
     return t.select(r2.alias("r2")).agg(F.round(F.percentile("r2", 0.025), 5).alias("lo"), F.round(F.percentile("r2", 0.5), 5).alias("mid"), F.round(F.percentile("r2", 0.975), 5).alias("hi"))
 
 
-@query("me16_paired_mixture_bootstrap")
+@query(
+    "me16_paired_mixture_bootstrap",
+    """WITH n AS (SELECT l_linenumber % 3 AS ms, l_returnflag AS block, l_orderkey * 8 + l_linenumber AS pair, l_discount AS pa, l_tax AS na, l_quantity / 500 AS pb, l_tax AS nb, row_number() OVER (PARTITION BY l_linenumber % 3, l_returnflag ORDER BY l_orderkey * 8 + l_linenumber) - 1 AS k, count(*) OVER (PARTITION BY l_linenumber % 3, l_returnflag) AS m
+      FROM (SELECT l_linenumber, l_returnflag, l_orderkey, max(l_discount) AS l_discount, max(l_tax) AS l_tax, max(l_quantity) AS l_quantity FROM lineitem GROUP BY 1, 2, 3)),
+    s AS (SELECT ms, row_number() OVER (ORDER BY ms) - 1 AS i, count(*) OVER () AS c FROM (SELECT DISTINCT ms FROM n)),
+    h AS (SELECT r, ms FROM range(24) t(r), s WHERE i = ('0x' || substr(sha256('5:seed:' || r), 1, 12))::BIGINT % c),
+    w AS (SELECT r, ms, block, ('0x' || substr(sha256('5:' || r || ':' || block || ':' || k), 1, 12))::BIGINT % m AS k, count(*) AS w FROM n JOIN h USING (ms) GROUP BY ALL UNION ALL SELECT -1 - ms, ms, block, k, 1 FROM n),
+    p AS (SELECT r, w, pa, na, pb, nb FROM w JOIN n USING (ms, block, k)),
+    l AS (SELECT 'one' AS arm, r, pa AS x, w AS p, 0 AS q FROM p UNION ALL SELECT 'one', r, na, 0, w FROM p UNION ALL SELECT 'two', r, pb, w, 0 FROM p UNION ALL SELECT 'two', r, nb, 0, w FROM p),
+    g AS (SELECT arm, r, x, sum(p) AS p, sum(q) AS q, sum(sum(q)) OVER (PARTITION BY arm, r ORDER BY x) - sum(q) / 2 AS below FROM l GROUP BY arm, r, x),
+    a AS (SELECT arm, r, sum(p * below) / (sum(p) * sum(q)) AS v FROM g GROUP BY arm, r),
+    t AS (SELECT 'auc' AS kind, arm, '' AS comparison, r, v FROM a UNION ALL SELECT 'delta', 'one', 'one - two', x.r, x.v - y.v FROM a x JOIN a y ON x.r = y.r AND x.arm = 'one' AND y.arm = 'two')
+    SELECT kind, arm, comparison, round(avg(v) FILTER (WHERE r < 0), 5) AS estimate, round(stddev_samp(v) FILTER (WHERE r < 0), 5) AS between_seed_sd, round(min(v) FILTER (WHERE r < 0), 5) AS seed_min, round(max(v) FILTER (WHERE r < 0), 5) AS seed_max,
+    round(quantile_cont(v, 0.025) FILTER (WHERE r >= 0), 5) AS ci_lo, round(quantile_cont(v, 0.975) FILTER (WHERE r >= 0), 5) AS ci_hi,
+    CASE WHEN kind = 'delta' THEN round(least(1, 2 * (least(count(*) FILTER (WHERE r >= 0 AND v <= 0), count(*) FILTER (WHERE r >= 0 AND v >= 0)) / count(*) FILTER (WHERE r >= 0) + 1 / (count(*) FILTER (WHERE r >= 0) + 1))), 5) END AS p FROM t GROUP BY kind, arm, comparison""",
+)
 def _(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").where(F.col("l_returnflag").isin("A", "R"))
-    cells = li.groupBy(F.concat_ws("/", "l_returnflag", "l_linestatus").alias("arm"), (F.col("l_suppkey") % 20).alias("block")).agg(F.sum("l_tax").alias("total"), F.count("*").alias("n"))
-    reps = inference.block_bootstrap(cells, "arm", "block", "total", "n", 300, seed=5)
-    return reps.groupBy("replicate").pivot("arm", ["A/F", "R/F"]).agg(F.first("mean")).select((F.col("A/F") - F.col("R/F")).alias("d")).agg(F.round(inference.two_sided_p("d"), 4).alias("p"))
+    """Two scores of matched pairs; a replicate takes one match seed, and draws its pairs within each block."""
+    li = table(spark, sf_dir, "lineitem").groupBy("l_linenumber", "l_returnflag", "l_orderkey").agg(*(F.max(c).alias(c) for c in ("l_discount", "l_tax", "l_quantity")))
+    pairs = li.select((F.col("l_linenumber") % 3).alias("ms"), F.col("l_returnflag").alias("block"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("pair"), F.col("l_discount").alias("pa"), F.col("l_tax").alias("na"), (F.col("l_quantity") / 500).alias("pb"))
+    told = bootstrap.mixture_report(pairs, "ms", "block", "pair", {"one": ("pa", "na"), "two": ("pb", "na")}, 24, 5, [("one", "two")])
+    return told.select("kind", "arm", "comparison", *(F.round(c, 5).alias(c) for c in ("estimate", "between_seed_sd", "seed_min", "seed_max", "ci_lo", "ci_hi", "p")))
 
 
 @query("me25_concordance", "SELECT l_linenumber, count(*) AS n, round(covar_pop(l_discount, l_tax) / nullif(stddev_pop(l_discount) * stddev_pop(l_tax), 0), 6) AS r, round(avg(abs(l_discount - l_tax)), 6) AS mae FROM lineitem GROUP BY 1")

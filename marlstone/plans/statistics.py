@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from marlstone.functions import maths, vectors
-from marlstone.operators import case_control, inference, linear, lookups, matching, ordered
+from marlstone.operators import bootstrap, case_control, inference, linear, lookups, matching, ordered
 from marlstone.plans.registry import query
 from marlstone.session import table
 
@@ -170,12 +170,50 @@ def _(spark, sf_dir):
     return reps.groupBy("arm").agg(F.round(F.avg("mean"), 6).alias("mean"), F.round(F.percentile("mean", 0.025), 6).alias("lo"), F.round(F.percentile("mean", 0.975), 6).alias("hi"))
 
 
-@query("me14_crossed_bootstrap")
+#: A number below n from the leading 48 bits of a sha256, as operators.bootstrap draws it.
+DRAWN = "(('0x' || substr(sha256({text}), 1, 12))::BIGINT % {n})"
+
+
+@query(
+    "me13_rank_bootstrap",
+    f"""WITH d AS (SELECT r, {DRAWN.format(text="'17:block:' || r || ':' || k", n=25)} AS b FROM range(200) a(r), range(25) c(k)), m AS (SELECT r, b, count(*) AS w FROM d GROUP BY ALL UNION ALL SELECT -1, b, 1 FROM range(25) t(b)),
+    c AS (SELECT l_returnflag AS arm, s_nationkey AS b, l_discount AS x, l_tax AS y, count(*) FILTER (WHERE l_quantity > 25) AS p, count(*) AS n FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY ALL),
+    w AS (SELECT r, arm, x, y, sum(w * p) AS p, sum(w * n) AS n FROM c JOIN m USING (b) GROUP BY ALL),
+    g AS (SELECT r, arm, x, sum(p) AS p, sum(n) - sum(p) AS q, sum(sum(n)) OVER (PARTITION BY r, arm ORDER BY x) - sum(n) / 2 AS u, sum(sum(n) - sum(p)) OVER (PARTITION BY r, arm ORDER BY x) - (sum(n) - sum(p)) / 2 AS below FROM w GROUP BY r, arm, x),
+    h AS (SELECT r, arm, y, sum(sum(n)) OVER (PARTITION BY r, arm ORDER BY y) - sum(n) / 2 AS v FROM w GROUP BY r, arm, y),
+    s AS (SELECT r, arm, sum(n) AS t, sum(n * u) / sum(n) AS mu, sum(n * v) / sum(n) AS mv, sum(n * u * v) / sum(n) AS uv, sum(n * u * u) / sum(n) AS uu, sum(n * v * v) / sum(n) AS vv FROM w JOIN g USING (r, arm, x) JOIN h USING (r, arm, y) GROUP BY r, arm),
+    z AS (SELECT r, arm, 'auroc' AS statistic, sum(p * below) / nullif(sum(p) * sum(q), 0) AS z FROM g GROUP BY r, arm UNION ALL SELECT r, arm, 'spearman', (uv - mu * mv) / sqrt((uu - mu * mu) * (vv - mv * mv)) FROM s)
+    SELECT arm, statistic, round(max(z) FILTER (WHERE r = -1), 5) AS value, round(quantile_cont(z, 0.025) FILTER (WHERE r >= 0), 5) AS lo, round(quantile_cont(z, 0.975) FILTER (WHERE r >= 0), 5) AS hi FROM z GROUP BY arm, statistic""",
+)
 def _(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem")
-    cells = li.groupBy((F.col("l_suppkey") % 50).alias("patient"), F.col("l_linenumber").alias("block")).agg(F.sum("l_discount").alias("total"), F.count("l_discount").alias("n"))
-    reps = inference.crossed_bootstrap(cells, "patient", "block", "total", "n", 200, seed=17)
-    return reps.agg(F.round(F.avg("mean"), 6).alias("mean"), F.round(F.percentile("mean", 0.025), 6).alias("lo"), F.round(F.percentile("mean", 0.975), 6).alias("hi"))
+    """Shared draws of 25 blocks: both statistics of three arms under 200 draws from one ordering of each column."""
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
+    li = table(spark, sf_dir, "lineitem").select("l_suppkey", F.col("l_returnflag").alias("arm"), F.col("l_discount").cast("double").alias("x"), F.col("l_tax").cast("double").alias("y"), "l_quantity").join(s, "l_suppkey")
+    draws, blocks = bootstrap.hash_draws(spark, 25, 200, 17), list(range(25))
+    found = {"auroc": bootstrap.auroc_replicates(li, "arm", "x", F.col("l_quantity") > 25, "s_nationkey", blocks, draws), "spearman": bootstrap.spearman_replicates(li, "arm", "x", "y", "s_nationkey", blocks, draws)}
+    rows = [(arm, name, round(v, 5), *(round(c, 5) for c in bootstrap.interval(reps))) for name, arms in found.items() for arm, (v, reps) in arms.items()]
+    return spark.createDataFrame(rows, "arm string, statistic string, value double, lo double, hi double")
+
+
+@query(
+    "me14_crossed_bootstrap",
+    f"""WITH l AS (SELECT l_suppkey % 50 AS patient, l_partkey AS item, l_linenumber AS block, avg(l_discount) AS target, avg(power(l_discount - 0.05, 2)) AS r, avg(power(l_discount - l_tax, 2)) AS a, count(*) AS n FROM lineitem GROUP BY 1, 2, 3),
+    c AS (SELECT patient, block, sum(n * (a - r)) AS d, sum(n * r) AS base, sum(n) AS n, count(*) AS pairs FROM l GROUP BY 1, 2),
+    pu AS (SELECT patient, row_number() OVER (ORDER BY sha256(patient || ':17')) - 1 AS u, count(*) OVER () AS k FROM (SELECT DISTINCT patient FROM c)), bu AS (SELECT block, row_number() OVER (ORDER BY sha256(block || ':17')) - 1 AS u, count(*) OVER () AS k FROM (SELECT DISTINCT block FROM c)),
+    pw AS (SELECT r, {DRAWN.format(text="'17:unit:' || r || ':' || u", n="k")} AS u, count(*) AS wp FROM range(200) t(r), pu GROUP BY ALL), bw AS (SELECT r, {DRAWN.format(text="'17:block:' || r || ':' || u", n="k")} AS u, count(*) AS wb FROM range(200) t(r), bu GROUP BY ALL),
+    e AS (SELECT pw.r, sum(wp * wb * d) / nullif(sum(wp * wb * n), 0) AS e, sum(wp * wb * d) / nullif(sum(wp * wb * base), 0) AS q FROM c JOIN pu USING (patient) JOIN bu USING (block) JOIN pw ON pw.u = pu.u JOIN bw ON bw.u = bu.u AND bw.r = pw.r GROUP BY 1),
+    t AS (SELECT sum(d) / sum(n) AS point, sum(d) / sum(base) AS relative, sum(pairs) AS n_pairs, sum(n) AS n_observations FROM c)
+    SELECT round(point, 6) AS delta_mse, round(relative, 6) AS relative_delta_mse, CAST(n_pairs AS BIGINT) AS n_pairs, CAST(n_observations AS BIGINT) AS n_observations, round(quantile_cont(e, 0.025), 6) AS ci_lo, round(quantile_cont(e, 0.975), 6) AS ci_hi,
+    round(quantile_cont(q, 0.025), 6) AS relative_ci_lo, round(quantile_cont(q, 0.975), 6) AS relative_ci_hi, round((1 + count(*) FILTER (WHERE abs(e - point) >= abs(point))) / (1 + count(e)), 6) AS p,
+    (SELECT count(*) FROM pu) AS n_units, (SELECT count(*) FROM bu) AS n_blocks FROM e, t GROUP BY point, relative, n_pairs, n_observations""",
+)
+def _(spark, sf_dir):
+    """Panel evaluations of a cell are averaged, then two predictions are compared under crossed multinomial draws."""
+    d, key = F.col("l_discount").cast("double"), ["patient", "item", "block"]
+    li = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 50).alias("patient"), F.col("l_partkey").alias("item"), F.col("l_linenumber").alias("block"), d.alias("d"), F.col("l_tax").cast("double").alias("t"))
+    arm = lambda prediction: li.groupBy(*key).agg(F.avg("d").alias("target"), F.avg(F.pow(F.col("d") - prediction, F.lit(2.0))).alias("squared_error"), F.count("*").alias("n"))
+    out = bootstrap.paired_crossed(arm(F.lit(0.05)), arm(F.col("t")), *key, replicates=200, seed=17)
+    return out.select(*(F.round(c, 6).alias(c) for c in ("delta_mse", "relative_delta_mse", "ci_lo", "ci_hi", "relative_ci_lo", "relative_ci_hi", "p")), *(F.col(c).cast("long").alias(c) for c in ("n_pairs", "n_observations", "n_units", "n_blocks")))
 
 
 @query(
