@@ -1,94 +1,8 @@
-"""Case-control matching and neighbours over vectors."""
+"""Greedy choice over small tables of tracks."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-
-def greedy_controls(rows: DataFrame, key: str, case: str, exact: list[str], value: str, caliper: float, n: int, seed: int) -> DataFrame:
-    """(case_id, control_id, distance): up to n controls a case without replacement.
-
-    Greedy in hash order of the cases, nearest control first, hash ties; exact strata never share a control, so each is
-    one group. Within a stratum only (key, value) rows meet; controls beyond the caliper are never looked at.
-    """
-    sd = rows.agg(F.stddev_samp(value).alias("_sd"))  # over the whole pool, before the strata
-    h = F.sha2(F.concat_ws(":", key, F.lit(seed)).cast("binary"), 256)
-    ready = rows.crossJoin(F.broadcast(sd)).select(*exact, F.col(key).alias("k"), F.col(case).alias("is_case"), (F.col(value) / F.nullif("_sd", F.lit(0.0))).alias("v"), h.alias("h"))
-
-    def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        pool = pdf[~pdf.is_case & pdf.v.notna()].sort_values(["v", "h"])
-        v, ids = pool.v.to_numpy(), pool.k.to_numpy()
-        nxt, prv = np.arange(1, len(v) + 1), np.arange(-1, len(v) - 1)  # live neighbours; a used control is unlinked
-        used = np.zeros(len(v), bool)
-        out = []
-        for c in pdf[pdf.is_case & pdf.v.notna()].sort_values("h").itertuples():
-            at = int(np.searchsorted(v, c.v))
-            lo, hi = at - 1, at
-            for _ in range(n):
-                while lo >= 0 and used[lo]:
-                    lo = prv[lo]
-                while hi < len(v) and used[hi]:
-                    hi = nxt[hi]
-                left = c.v - v[lo] if lo >= 0 else np.inf
-                right = v[hi] - c.v if hi < len(v) else np.inf
-                best = min(left, right)
-                if not best <= caliper:
-                    break
-                i = lo if left <= right else hi
-                used[i] = True
-                if prv[i] >= 0:
-                    nxt[prv[i]] = nxt[i]
-                if nxt[i] < len(v):
-                    prv[nxt[i]] = prv[i]
-                out.append((c.k, ids[i], float(best)))
-        return pd.DataFrame(out, columns=["case_id", "control_id", "distance"])
-
-    kind = rows.schema[key].dataType.simpleString()
-    return ready.groupBy(*exact).applyInPandas(match, f"case_id {kind}, control_id {kind}, distance double")
-
-
-#: Rows of one side's block.
-BLOCK = 2_000
-
-
-def nearest_vectors(vectors: DataFrame, key: str, vector: str, k: int, queries: DataFrame | None = None, metric: str = "cosine") -> DataFrame:
-    """(query, neighbour, similarity): the exact k nearest other rows of each query, by blocked matrix products.
-
-    Query and base rows are dealt into blocks of about BLOCK rows; each pair of blocks is one group (the products of an
-    exact search are quadratic by nature; this keeps each task's share and memory fixed), keeps k a query, and one more
-    aggregation keeps the best k over blocks.
-    """
-    queries = vectors if queries is None else queries
-    nq, nb = max(1, queries.count() // BLOCK), max(1, vectors.count() // BLOCK)
-    a = queries.select(F.col(key).alias("id"), F.col(vector).alias("v"), F.pmod(F.xxhash64(key), F.lit(nq)).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(nb - 1))).alias("bb"), F.lit(True).alias("q"))
-    b = vectors.select(F.col(key).alias("id"), F.col(vector).alias("v"), F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("qb"), F.pmod(F.xxhash64(key), F.lit(nb)).alias("bb"), F.lit(False).alias("q"))
-
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        q, base = pdf[pdf.q], pdf[~pdf.q].sort_values("id")
-        if not len(q) or not len(base):
-            return pd.DataFrame({"query": [], "neighbour": [], "similarity": []})
-        x, y = np.stack(q.v).astype(np.float64), np.stack(base.v).astype(np.float64)
-        if metric == "cosine":
-            x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-            y /= np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-300)
-            s = x @ y.T
-        else:
-            s = -np.sqrt(np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * x @ y.T, 0))
-        ids = base.id.to_numpy()
-        s[q.id.to_numpy()[:, None] == ids[None]] = -np.inf
-        top = np.argsort(-s, axis=1, kind="stable")[:, :k]
-        rows = np.repeat(np.arange(len(q)), top.shape[1])
-        out = pd.DataFrame({"query": q.id.to_numpy()[rows], "neighbour": ids[top.ravel()], "similarity": s[rows, top.ravel()]})
-        return out[np.isfinite(out.similarity)]
-
-    found = a.unionByName(b).groupBy("qb", "bb").applyInPandas(search, "query long, neighbour long, similarity double")
-    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("s"), "neighbour"))), 1, k)
-    return found.groupBy("query").agg(best.alias("b")).select("query", F.posexplode("b").alias("rank", "n")).select(
-        "query", (F.col("rank") + 1).cast("long").alias("rank"), F.col("n.neighbour").alias("neighbour"), (-F.col("n.s")).alias("similarity")
-    )
 
 
 def greedy_redundancy(tracks: DataFrame, corr: DataFrame, k: int) -> list[str]:

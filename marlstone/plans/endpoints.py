@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from marlstone.functions import maths, vectors
-from marlstone.operators import lookups, matching, ordered
+from marlstone.operators import lookups, neighbours, ordered
 from marlstone.plans.registry import query
 from marlstone.session import table
 
@@ -78,7 +78,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     m = markers(spark, sf_dir).select(F.col("id").alias("vec_id"), "marker")
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding").join(m, "vec_id")
-    near = matching.nearest_vectors(e, "vec_id", "embedding", 5)
+    near = neighbours.nearest_vectors(e, "vec_id", "embedding", 5)
     near = near.join(m.withColumnRenamed("vec_id", "query"), "query").join(m.select(F.col("vec_id").alias("neighbour"), F.col("marker").alias("other")), "neighbour")
     o = near.groupBy("marker").agg(F.avg((F.col("marker") == F.col("other")).cast("double")).alias("observed"))
     c = e.groupBy("marker").agg(F.count("*").alias("n"))

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from marlstone.functions import maths, vectors
-from marlstone.operators import bootstrap, graph, linear, lookups, matching, ordered
+from marlstone.operators import bootstrap, graph, linear, lookups, matching, neighbours, ordered, pair_space
 from marlstone.plans.registry import query
 from marlstone.session import table
 
@@ -66,7 +66,7 @@ def _(spark, sf_dir):
     SELECT query, count(*) AS far FROM k WHERE abs(query - neighbour) >= 50 GROUP BY 1""",
 )
 def _(spark, sf_dir):
-    n = matching.nearest_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 10)
+    n = neighbours.nearest_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 10)
     return n.where(F.abs(F.col("query") - F.col("neighbour")) >= 50).groupBy("query").agg(F.count("*").alias("far"))
 
 
@@ -157,17 +157,35 @@ def _(spark, sf_dir):
     return r.select("g", split.alias("split"))
 
 
+#: The first `wanted` different draws of each group g (k, total), or hash order where that is half the space or more.
+PICKED = """d AS (SELECT k, t AS o, ('0x' || substr(sha256('17:' || k || ':' || t), 1, 12))::BIGINT % total AS r FROM g, range(4 * {wanted} + 64) x(t) WHERE total > 2 * {wanted}
+      UNION ALL SELECT k, ('0x' || substr(sha256('17:order:' || k || ':' || t), 1, 12))::BIGINT % 1099511627776, t FROM g, range(2 * {wanted}) x(t) WHERE total <= 2 * {wanted} AND t < total),
+    f AS (SELECT k, r FROM (SELECT k, r, min(o) AS o FROM d GROUP BY k, r) QUALIFY row_number() OVER (PARTITION BY k ORDER BY o, r) <= {wanted})"""
+
+
 @query(
     "sp13_distance_binned_pairs",
-    """WITH p AS (SELECT p_partkey AS id, p_brand AS chrom, CAST(floor(p_retailprice) AS BIGINT) AS pos FROM part), c AS (SELECT a.id AS i, b.id AS j, CAST((b.pos - a.pos) // 5 AS BIGINT) AS bin FROM p a JOIN p b ON a.chrom = b.chrom AND b.pos > a.pos AND b.pos - a.pos < 20)
-    SELECT i, j, bin FROM c QUALIFY row_number() OVER (PARTITION BY bin ORDER BY sha256(CAST(i AS STRING) || ':' || CAST(j AS STRING) || ':17')) <= 40""",
+    f"""WITH p AS (SELECT p_partkey AS id, p_brand AS chrom, CAST(floor(p_retailprice) AS BIGINT) AS pos FROM part),
+    c AS (SELECT a.id AS a, b.id AS b, CAST((b.pos - a.pos) // 5 AS BIGINT) AS k, b.pos - a.pos AS distance, row_number() OVER (PARTITION BY (b.pos - a.pos) // 5 ORDER BY a.id, b.pos, b.id) - 1 AS r
+      FROM p a JOIN p b ON a.chrom = b.chrom AND (b.pos > a.pos OR b.pos = a.pos AND b.id > a.id) AND b.pos - a.pos < 20),
+    g AS (SELECT k, count(*) AS total FROM c GROUP BY 1), {PICKED.format(wanted=40)}
+    SELECT least(a, b) AS i, greatest(a, b) AS j, CAST(k AS INTEGER) AS bin, distance FROM c JOIN f USING (k, r)""",
 )
 def _(spark, sf_dir):
-    # forty sampled pairs a distance bin is the operator
+    """Forty sampled pairs a distance bin; only they are looked up."""
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("chrom"), F.floor("p_retailprice").cast("long").alias("pos"))
-    c = lookups.within(p, p, 19, ("chrom",)).where("r_pos > pos").select(F.col("id").alias("i"), F.col("r_id").alias("j"), F.floor((F.col("r_pos") - F.col("pos")) / 5).cast("long").alias("bin"))
-    w = Window.partitionBy("bin").orderBy(lookups.hash_rank("i", "j", seed=17))
-    return c.withColumn("rn", F.row_number().over(w)).where("rn <= 40").drop("rn")
+    return pair_space.binned_pairs(p, [0, 5, 10, 15, 20], 40, seed=17, stretch=100.0)
+
+
+@query(
+    "sp13_crossing_pairs",
+    f"""WITH c AS (SELECT 0 AS k, a.p_partkey AS a, b.p_partkey AS b, row_number() OVER (ORDER BY a.p_brand, a.p_partkey, b.p_brand, b.p_partkey) - 1 AS r FROM part a JOIN part b ON b.p_brand > a.p_brand),
+    g AS (SELECT k, count(*) AS total FROM c GROUP BY 1), {PICKED.format(wanted=100)}
+    SELECT least(a, b) AS i, greatest(a, b) AS j FROM c JOIN f USING (k, r)""",
+)
+def _(spark, sf_dir):
+    """A hundred sampled pairs of different chromosomes."""
+    return pair_space.crossing_pairs(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("chrom")), 100, seed=17)
 
 
 @query(

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from marlstone.operators import contracts, lookups, ordered
+from marlstone.operators import contracts, lookups, ordered, pair_space
+from marlstone.operators import intervals as spans
 from marlstone.plans.registry import query
 from marlstone.session import table
 
@@ -226,18 +227,63 @@ def _(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").withColumn("bin", F.floor(F.col("l_orderkey") / 1).cast("long")).join(bins, "bin").select("l_orderkey", "l_linenumber", "o_orderpriority")
 
 
+#: Intervals with their order's priority as type; those of filled orders are the other side.
+TYPED = f"i AS (SELECT n.*, o_orderpriority AS type, o_orderstatus = 'F' AS filled FROM ({INTERVALS.format(day=DAY_DUCK)}) n JOIN orders USING (o_orderkey))"
+MEET = "a.chrom = b.chrom AND a.type = b.type AND a.start <= b.stop AND b.start <= a.stop"
+
+
+def typed_intervals(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderpriority").alias("type"), (F.col("o_orderstatus") == "F").alias("filled"))
+    return intervals(spark, sf_dir).join(o, "o_orderkey")
+
+
+@query("jn17_overlap_pairs", f"WITH {TYPED} SELECT a.o_orderkey AS a, b.o_orderkey AS b FROM i a JOIN i b ON {MEET} WHERE NOT a.filled AND b.filled")
+def _(spark, sf_dir):
+    i = typed_intervals(spark, sf_dir)
+    got = spans.overlap_pairs(i.where("not filled"), i.where("filled"), ("chrom", "type"))
+    return got.select(F.col("o_orderkey").alias("a"), F.col("r_o_orderkey").alias("b"))
+
+
+@query("jn17_typed_exists", f"WITH {TYPED} SELECT a.o_orderkey, EXISTS (SELECT 1 FROM i b WHERE b.filled AND {MEET}) AS overlaps FROM i a WHERE NOT a.filled")
+def _(spark, sf_dir):
+    i = typed_intervals(spark, sf_dir)
+    return spans.with_overlap_flag(i.where("not filled"), i.where("filled"), ("chrom", "type"), 365.0).select("o_orderkey", "overlaps")
+
+
+@query(
+    "jn17_block_loci",
+    f"""WITH i AS ({INTERVALS.format(day=DAY_DUCK)}), p AS (SELECT chrom, pos, count(*) AS n FROM ({POINTS}) GROUP BY 1, 2)
+    SELECT o_orderkey, pos, n FROM i JOIN p ON p.chrom = i.chrom AND pos BETWEEN start AND stop""",
+)
+def _(spark, sf_dir):
+    """Each interval with every shipment day inside it."""
+    loci = ship_points(spark, sf_dir).groupBy("chrom", "pos").agg(F.count("*").alias("n"))
+    return spans.expand_blocks(intervals(spark, sf_dir), loci, ("chrom",)).select("o_orderkey", F.col("r_pos").alias("pos"), F.col("r_n").alias("n"))
+
+
+def _floyd(most: int) -> str:
+    """SQL of Floyd's sampling: a step a wanted number, from the groups z (k, m, t) with more pairs than that."""
+    text = f"f0 AS (SELECT k, m, t, CAST([] AS BIGINT[]) AS p FROM z WHERE t > {most})"
+    for s in range(most):
+        at = f"(t - {most - s})"
+        text += f""",
+    f{s + 1} AS (SELECT k, m, t, CASE WHEN list_contains(p, d) THEN list_append(p, {at}) ELSE list_append(p, d) END AS p FROM (SELECT *, ('0x' || substr(sha256('17:' || k || ':' || {at}), 1, 12))::BIGINT % ({at} + 1) AS d FROM f{s}))"""
+    return text
+
+
 @query(
     "jn20_capped_pairs",
-    """WITH r AS (SELECT s_nationkey AS k, s_suppkey, c_custkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY sha256(CAST(s_suppkey AS STRING) || ':' || CAST(c_custkey AS STRING) || ':17')) AS rn
-    FROM supplier JOIN customer ON c_nationkey = s_nationkey) SELECT k, s_suppkey, c_custkey FROM r WHERE rn <= 5""",
+    f"""WITH a AS (SELECT s_nationkey AS k, s_suppkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS i, count(*) OVER (PARTITION BY s_nationkey) AS n FROM supplier),
+    b AS (SELECT c_nationkey AS k, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS j, count(*) OVER (PARTITION BY c_nationkey) AS m FROM customer),
+    z AS (SELECT k, m, CAST(n * m AS BIGINT) AS t FROM (SELECT DISTINCT k, n FROM a) JOIN (SELECT DISTINCT k, m FROM b) USING (k)), {_floyd(5)},
+    c AS (SELECT k, m, unnest(p) AS q FROM f5 UNION ALL SELECT k, m, unnest(range(t)) FROM z WHERE t <= 5)
+    SELECT c.k, s_suppkey, c_custkey FROM c JOIN a ON a.k = c.k AND a.i = q // c.m JOIN b ON b.k = c.k AND b.j = q % c.m""",
 )
 def _(spark, sf_dir):
-    # at most five projected pairs a bin is the operator; the pairs of a bin are ranked by hash
+    """At most five projected pairs a bin, drawn from the numbered products of its two sides."""
     s = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("k"), "s_suppkey")
     c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k"), "c_custkey")
-    h = lookups.hash_rank("s_suppkey", "c_custkey", seed=17)
-    w = Window.partitionBy("k").orderBy(h)
-    return s.join(c, "k").withColumn("rn", F.row_number().over(w)).where("rn <= 5").drop("rn")
+    return pair_space.capped_products(s, c, "k", "s_suppkey", "c_custkey", 5, seed=17)
 
 
 @query("jn21_self_reference", "SELECT a.p_partkey, b.p_retailprice - a.p_retailprice AS delta FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from marlstone.functions import maths, vectors
-from marlstone.operators import bootstrap, case_control, inference, linear, lookups, matching, ordered
+from marlstone.operators import bootstrap, case_control, inference, linear, lookups, neighbours, ordered
 from marlstone.plans.registry import query
 from marlstone.session import table
 
@@ -108,7 +108,7 @@ def _(spark, sf_dir):
 )
 def _(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    near = matching.nearest_vectors(e, "vec_id", "embedding", 5)
+    near = neighbours.nearest_vectors(e, "vec_id", "embedding", 5)
     l = e.select(F.col("vec_id").alias("query"), "label")  # noqa: E741
     m = e.select(F.col("vec_id").alias("neighbour"), F.col("label").alias("other"))
     share = e.groupBy("label").agg(F.count("*").alias("c")).crossJoin(F.broadcast(e.agg(F.count("*").alias("n")))).select("label", (F.col("c") / F.col("n")).alias("share"))
@@ -122,7 +122,7 @@ def _(spark, sf_dir):
     r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY s DESC, neighbour) AS rank FROM d) SELECT query, rank, neighbour, round(s, 6) AS similarity FROM r WHERE rank <= 3""",
 )
 def _(spark, sf_dir):
-    return matching.nearest_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 3).withColumn("similarity", F.round("similarity", 6))
+    return neighbours.nearest_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 3).withColumn("similarity", F.round("similarity", 6))
 
 
 @query(
@@ -131,7 +131,7 @@ def _(spark, sf_dir):
     r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY d, neighbour) AS rank FROM d) SELECT query, rank, neighbour, round(d, 5) AS distance FROM r WHERE rank <= 3""",
 )
 def _(spark, sf_dir):
-    n = matching.nearest_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 3, metric="euclidean")
+    n = neighbours.nearest_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 3, metric="euclidean")
     return n.select("query", "rank", "neighbour", F.round(-F.col("similarity"), 5).alias("distance"))
 
 

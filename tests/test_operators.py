@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marlstone.functions import coords
-from marlstone.operators import contracts, inference, linear, lookups, matching, ordered
+from marlstone.operators import contracts, inference, linear, lookups, ordered
 from marlstone.sources import readers, sinks
 from marlstone.streaming import moments
 
@@ -60,26 +60,6 @@ def test_axes_are_those_of_the_covariance(spark):
     assert all(a[np.abs(a).argmax()] > 0 for a in axes)
 
 
-def test_neighbours_match_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(matching, "BLOCK", 30)
-    x = np.random.default_rng(2).normal(size=(100, 8))
-    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
-    n = x / np.linalg.norm(x, axis=1, keepdims=True)
-    s = n @ n.T
-    np.fill_diagonal(s, -2)
-    got = {(r.query, r.rank): r.neighbour for r in matching.nearest_vectors(df, "id", "v", 4).collect()}
-    for i in range(100):
-        assert [got[i, k + 1] for k in range(4)] == np.argsort(-s[i])[:4].tolist()
-
-
-def test_matching_uses_each_control_once(spark):
-    rows = [(i, i % 5 == 0, "ab"[i % 2], float(i % 17)) for i in range(120)] + [(500, True, "a", None)]
-    df = spark.createDataFrame(rows, "k long, case boolean, s string, x double")
-    got = matching.greedy_controls(df, "k", "case", ["s"], "x", 0.5, 2, seed=1).collect()
-    assert len({r.control_id for r in got}) == len(got) > 0
-    assert all(r.distance <= 0.5 and r.case_id % 5 == 0 and r.control_id % 5 for r in got)
-
-
 def test_bootstrap_draws_are_shared_between_arms(spark):
     cells = spark.createDataFrame([(a, b, float(b + (a == "y")), 1.0) for a in "xy" for b in range(10)], "arm string, block int, total double, n double")
     got = {(r.arm, r.replicate): r.mean for r in inference.block_bootstrap(cells, "arm", "block", "total", "n", 50, 3).collect()}
