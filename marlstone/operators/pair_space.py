@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from marlstone.operators import lookups, ordered
 from marlstone.operators.bootstrap import drawn
+from marlstone.operators.graph import cut
 
 #: Numbers drawn for each one wanted, and on top: each new draw is new with a chance of a half at least, so a shortfall is
 #: as good as impossible (under 1e-9); it is an error all the same.
@@ -62,7 +63,8 @@ def binned_pairs(points: DataFrame, edges: list[float], wanted: int, seed: int,
     at = p.groupBy("chrom", "pos").agg(F.count("*").alias("n"))
     run = ordered.running(at, "pos", ["n"], ("chrom",)).select("chrom", "pos", "before_n", "all_n", "n")
     inside = F.row_number().over(Window.partitionBy("chrom", "pos").orderBy("id")) - 1
-    numbered = p.withColumn("_in", inside).join(run, ["chrom", "pos"]).select("chrom", "id", "pos", (F.col("before_n") + F.col("_in")).alias("place"), "all_n")
+    run = cut(run)
+    numbered = cut(p.withColumn("_in", inside).join(run, ["chrom", "pos"]).select("chrom", "id", "pos", (F.col("before_n") + F.col("_in")).alias("place"), "all_n"))
     # how many points lie below pos + edge, for all edges at once
     asks = numbered.withColumn("_e", F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.lit(float(e)).alias("e")) for k, e in enumerate(edges) if not math.isinf(e)))))
     asks = asks.select("chrom", "id", "_e.k", F.col("pos").alias("_from"), (F.ceil(F.col("pos") + F.col("_e.e")) - 1).cast(points.schema["pos"].dataType).alias("pos"))
@@ -71,6 +73,7 @@ def binned_pairs(points: DataFrame, edges: list[float], wanted: int, seed: int,
     end = lambda k: F.col("all_n") if math.isinf(edges[k]) else F.col("_b")[k]
     bins = F.explode(F.array(*(F.struct(F.lit(k).alias("bin"), F.greatest(F.col("place") + 1, F.col("_b")[k]).alias("first"), end(k + 1).alias("last")) for k in range(len(edges) - 1))))
     spans = numbered.join(reach, ["chrom", "id"]).select("chrom", "id", "pos", bins.alias("_s")).select("chrom", "id", "pos", "_s.*", (F.col("_s.last") - F.col("_s.first")).alias("cnt")).where("cnt > 0")
+    spans = cut(spans)
     counted = ordered.running(spans, "id", ["cnt"], ("bin",))
     sizes = spans.groupBy("bin").agg(F.sum("cnt").alias("total"))
     most = sizes.agg(F.max("total")).first()[0]

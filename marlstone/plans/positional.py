@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from marlstone.operators import contracts, lookups, ordered, pair_space
+from marlstone.operators import contracts, lookups, ordered, pair_space, stopping
 from marlstone.operators import intervals as spans
 from marlstone.plans.registry import query
 from marlstone.session import table
@@ -434,21 +434,15 @@ def _(spark, sf_dir):
 
 @query(
     "wn12_early_stopping",
-    None,
+    """WITH RECURSIVE e AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events WHERE value IS NOT NULL),
+    s AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS k, CAST('inf' AS DOUBLE) AS ref, 0 AS bad FROM e
+      UNION ALL SELECT s.user_id, e.k, CASE WHEN value < ref * 0.95 THEN value ELSE ref END, CASE WHEN value < ref * 0.95 THEN 0 ELSE bad + 1 END FROM s JOIN e ON e.user_id = s.user_id AND e.k = s.k + 1 WHERE bad < 5)
+    SELECT user_id, max(k) AS steps, round(arg_max(ref, k), 6) AS reference, max(bad) = 5 AS stopped FROM s GROUP BY 1""",
 )
 def _(spark, sf_dir):
-    """Fold over each user's events in order: the reference value is reset by a relative improvement of 5 %, and five
-    events without one stop the scan."""
-    seq = table(spark, sf_dir, "events").where("value is not null").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))).alias("s"))
-    start = F.struct(F.lit(float("inf")).alias("ref"), F.lit(0).alias("bad"), F.lit(0).alias("steps"), F.lit(False).alias("done"))
-
-    def step(acc, x):
-        better = x["value"] < acc["ref"] * 0.95
-        bad = F.when(better, 0).otherwise(acc["bad"] + 1)
-        nxt = F.struct(F.when(better, x["value"]).otherwise(acc["ref"]).alias("ref"), bad.alias("bad"), (acc["steps"] + 1).alias("steps"), (bad >= 5).alias("done"))
-        return F.when(acc["done"], acc).otherwise(nxt)
-
-    return seq.select("user_id", F.aggregate("s", start, step).alias("a")).select("user_id", F.col("a.steps").alias("steps"), F.round("a.ref", 6).alias("reference"), F.col("a.done").alias("stopped"))
+    """Each user's events in order: the reference is reset by an improvement of 5 %, and five events without one stop the scan."""
+    told = stopping.early_stopping(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "value", 5, 0.05)
+    return told.select("user_id", "steps", F.round("reference", 6).alias("reference"), "stopped")
 
 
 @query("wn16_masked_selection", "SELECT l_suppkey, l_orderkey, l_linenumber FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY sha256(CAST(l_orderkey AS STRING) || ':' || CAST(l_linenumber AS STRING) || ':17')) <= 10")
