@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from marlstone.operators import sparse
 from marlstone.plans.registry import query
 from marlstone.session import table
 from marlstone.sources import ledger, sequences, sinks
@@ -65,3 +66,33 @@ def _(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
     kept = ledger.materialise(orders, "o_orderpriority", sinks.fresh_folder(spark), sinks.manifest(orders).first().fingerprint)
     return kept.groupBy(F.col("o_orderpriority").alias("chunk")).agg(F.count("*").alias("rows"), F.round(F.sum("o_totalprice"), 2).alias("price"))
+
+
+#: Sparse columns of a supplier's features: the parts it ships, by a number below this.
+WIDE = 400
+
+
+def supplier_features(spark, sf_dir):
+    """(id, fold, target, indices, dense): which parts a supplier ships, and three numbers about its lines."""
+    li = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(
+        F.sort_array(F.collect_set(F.col("l_partkey") % WIDE)).alias("indices"),  # WIDE entries at most
+        F.array(F.count("*").cast("double"), F.avg("l_quantity"), F.avg("l_discount")).alias("dense"),
+    )
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_nationkey") % 5).alias("fold"), F.col("s_acctbal").alias("target"))
+    return li.join(s, "s_suppkey").withColumnRenamed("s_suppkey", "id")
+
+
+@query("ml6_sparse_components")
+def _(spark, sf_dir):
+    """Leading components of sparse and standardised dense columns, fitted on four folds; spread of all rows along each."""
+    f = supplier_features(spark, sf_dir)
+    m = sparse.fit_transform_map(f.where("fold > 0"), "indices", None, "dense", WIDE, 8, balanced=True)
+    e = m.apply(f, "indices", None, "dense").select("id", "fold", F.posexplode("embedding").alias("axis", "v"))
+    return e.groupBy("axis", (F.col("fold") > 0).alias("fitted")).agg(F.count("*").alias("n"), F.round(F.var_pop("v"), 4).alias("variance")).withColumn("explained", F.lit(round(m.explained, 5)))
+
+
+@query("ml5_residual_associations")
+def _(spark, sf_dir):
+    """The association of each sparse column with the account balance beyond the dense covariates."""
+    r = sparse.residual_associations(supplier_features(spark, sf_dir), "indices", None, "dense", WIDE, "target", "fold")
+    return spark.createDataFrame([(i, round(float(v), 6)) for i, v in enumerate(r)], "feature int, association double")
