@@ -18,6 +18,7 @@ each by item_id; each row, repeated or of a null doc_id, has a result row of its
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -25,12 +26,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import LOWER, chunks, small_batches, texts, word_hashes, words, written
+from marlstone.llm.common import LOWER, chunks, mix, powers, small_batches, texts, word_hashes, words, written
 
 #: Words of a window.
 WINDOW = 13
 #: Characters of benchmark text that one pass over the documents takes along.
 BLOCK_CHARS = 16 << 20
+#: Pairs of a place in a document and one in an item that a task extends at one time.
+PAIRS = 1 << 18
 #: A document is contaminated where at least one of this many of its words is hit.
 SHARE = 20
 
@@ -43,6 +46,20 @@ KEY = "__row_key"
 HITS = "n_words long, hits array<struct<start:int,end:int,item:string,at:int>>"
 
 
+@dataclass
+class Windows:
+    """Windows of one length: the sorted distinct ones as rows of word numbers, and all occurrences, item by item."""
+
+    distinct: np.ndarray
+    which: np.ndarray  #: of each occurrence, its distinct window
+    order: np.ndarray  #: occurrences by window
+    cuts: np.ndarray  #: where those of each window begin in order
+    item: np.ndarray
+    word: np.ndarray  #: place in the item
+    before: np.ndarray  #: the window one word earlier in the item, -2 at its start
+    end: np.ndarray  #: the occurrence after the item's last one
+
+
 class TestSuffixes:
     """The windows of a block of items, grouped by their length in words."""
 
@@ -57,8 +74,8 @@ class TestSuffixes:
         self.items, self.window = [i for i, _ in items], window
         counts = np.bincount(row, minlength=len(items)) if len(row) else np.zeros(len(items), np.int64)
         lows = np.cumsum(counts) - counts
-        #: length -> (sorted distinct windows as rows of word numbers, where the occurrences of each begin, item and word of each occurrence)
-        self.by_length: dict[int, tuple[np.ndarray, ...]] = {}
+        #: length -> its windows
+        self.by_length: dict[int, Windows] = {}
         for size in sorted({min(int(c), window) for c in counts.tolist() if c}):
             rows = np.flatnonzero(np.minimum(counts, window) == size)
             n = counts[rows] - size + 1
@@ -68,7 +85,10 @@ class TestSuffixes:
             distinct, which = np.unique(as_keys(grid), return_inverse=True)
             order = np.argsort(which, kind="stable")
             cuts = np.searchsorted(which[order], np.arange(len(distinct) + 1))
-            self.by_length[size] = (distinct, cuts, item[order], (at - lows[item])[order])
+            new = np.append(True, item[1:] != item[:-1])
+            before = np.where(new, -2, np.append(-2, which[:-1]))
+            end = np.repeat(np.append(np.flatnonzero(new)[1:], len(item)), np.diff(np.append(np.flatnonzero(new), len(item))))
+            self.by_length[size] = Windows(distinct, which, order, cuts, item, at - lows[item], before, end)
 
 
 def as_keys(grid: np.ndarray) -> np.ndarray:
@@ -95,36 +115,78 @@ def search_shard(data: np.ndarray, offsets: np.ndarray, test: TestSuffixes) -> t
     nearest = stop[np.searchsorted(stop, np.arange(n))]
     run = nearest - np.arange(n) + known[nearest]
     lows = np.cumsum(n_words) - n_words
-    for size, (distinct, cuts, item, word) in test.by_length.items():
+    for size, w in test.by_length.items():
         suffix = np.flatnonzero(run >= size)
         if not len(suffix):
             continue
         keys = as_keys(number[suffix[:, None] + np.arange(size)])
         order = np.argsort(keys, kind="stable")  # the shard's suffix array over these suffixes
         keys, suffix = keys[order], suffix[order]
-        lo, hi = np.searchsorted(keys, distinct, side="left"), np.searchsorted(keys, distinct, side="right")
+        lo, hi = np.searchsorted(keys, w.distinct, side="left"), np.searchsorted(keys, w.distinct, side="right")
         hits = []
         for k in np.flatnonzero(hi > lo).tolist():
-            want = [test.word[x] for x in np.frombuffer(distinct[k].tobytes(), ">i4").tolist()]
+            want = [test.word[x] for x in np.frombuffer(w.distinct[k].tobytes(), ">i4").tolist()]
             for p in suffix[lo[k] : hi[k]].tolist():
-                if all(bytes(data[starts[p + j] : ends[p + j]]) == w for j, w in enumerate(want)):
+                if all(bytes(data[starts[p + j] : ends[p + j]]) == x for j, x in enumerate(want)):
                     hits.append((p, k))
         if hits:
-            p, k = np.array(hits, np.int64).T
-            n_at = cuts[k + 1] - cuts[k]
-            at = np.repeat(cuts[k] - (np.cumsum(n_at) - n_at), n_at) + np.arange(n_at.sum())
-            found.append(longest(np.repeat(row[p], n_at), np.repeat(p - lows[row[p]], n_at), item[at], word[at], size))
+            p, k = np.array(sorted(hits), np.int64).T
+            found.append(longest(row[p], p - lows[row[p]], k, w, size))
     return n_words, np.concatenate(found) if found else np.zeros((0, 5), np.int64)
 
 
-def longest(row: np.ndarray, start: np.ndarray, item: np.ndarray, word: np.ndarray, size: int) -> np.ndarray:
-    """Windows of `size` words at start of a row and at word of an item, as maximal matches (row, start, end, item, word)."""
-    o = np.lexsort((start, start - word, item, row))
-    row, start, item, word = row[o], start[o], item[o], word[o]
-    ahead = (np.diff(row) == 0) & (np.diff(item) == 0) & (np.diff(start) == 1) & (np.diff(word) == 1)
-    first = np.flatnonzero(np.append(True, ~ahead))
-    last = np.append(first[1:], len(row)) - 1
-    return np.stack([row[first], start[first], start[last] + size, item[first], word[first]], 1)
+def longest(row: np.ndarray, start: np.ndarray, k: np.ndarray, w: Windows, size: int) -> np.ndarray:
+    """Longest matches (row, start, end, item, word) from the windows k at start of each row, in order of row and start.
+
+    A match begins where the windows before differ, so only such pairs of places are met, PAIRS at a time, not all places
+    of a window in the document times all in the items. Of those from one word to one item the longest stays, at
+    its first place in the item. How far a match goes is found by binary search on prefix hashes of windows (whose bytes
+    have been compared).
+    """
+    n = len(k)
+    joined = np.append(False, (row[1:] == row[:-1]) & (start[1:] == start[:-1] + 1))
+    before = np.where(joined, np.append(-1, k[:-1]), -1)
+    run = np.flatnonzero(~joined)
+    stop = np.repeat(np.append(run[1:], n), np.diff(np.append(run, n)))
+    mine, theirs = (np.append(np.uint64(0), np.cumsum(mix(v.astype(np.uint64) + np.uint64(1)) * powers(len(v))[0], dtype=np.uint64)) for v in (k, w.which))
+    inverse = powers(max(n, len(w.which)) + 1)[1]
+
+    def reach(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        lo, hi = np.ones(len(i), np.int64), np.minimum(stop[i] - i, w.end[j] - j)
+        while (lo < hi).any():
+            mid = (lo + hi + 1) // 2
+            same = (mine[i + mid] - mine[i]) * inverse[i] == (theirs[j + mid] - theirs[j]) * inverse[j]
+            lo, hi = np.where(same, mid, lo), np.where(same, hi, mid - 1)
+        return lo
+
+    def best(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        length = reach(i, j)
+        o = np.lexsort((w.word[j], -length, w.item[j], i))
+        i, j, length = i[o], j[o], length[o]
+        first = np.append(True, (i[1:] != i[:-1]) | (w.item[j[1:]] != w.item[j[:-1]]))
+        i, j, length = i[first], j[first], length[first]
+        return np.stack([row[i], start[i], start[i] + length - 1 + size, w.item[j], w.word[j]], 1)
+
+    out, held, many = [], [], 0
+    by = np.lexsort((before, k))
+    groups = np.flatnonzero(np.append(True, (k[by][1:] != k[by][:-1]) | (before[by][1:] != before[by][:-1]))) if n else []
+    for lo, hi in zip(groups, np.append(groups[1:], n)):
+        i = by[lo:hi]
+        places = w.order[w.cuts[k[i[0]]] : w.cuts[k[i[0]] + 1]]
+        places = places[w.before[places] != before[i[0]]]
+        if not len(places):
+            continue
+        step = max(1, PAIRS // len(places))
+        for at in range(0, len(i), step):
+            part = i[at : at + step]
+            held.append((np.repeat(part, len(places)), np.tile(places, len(part))))
+            many += len(held[-1][0])
+            if many >= PAIRS:
+                out.append(best(*(np.concatenate(x) for x in zip(*held))))
+                held, many = [], 0
+    if held:
+        out.append(best(*(np.concatenate(x) for x in zip(*held))))
+    return np.concatenate(out) if out else np.zeros((0, 5), np.int64)
 
 
 def covered(found: np.ndarray, n: int) -> np.ndarray:
@@ -138,12 +200,12 @@ def covered(found: np.ndarray, n: int) -> np.ndarray:
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_chars: int) -> Iterator[list[tuple[str, str]]]:
-    """Items in blocks of bounded text; an item is read by one task and sent in one block."""
+    """Items in blocks of bounded text, one at a time; rows of a repeated id may lie in several blocks."""
     rows = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     total = rows.agg(F.sum(F.length("t"))).first()[0] or 0
     n = 1 + total // block_chars
     for k in range(n):
-        part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("i"), F.lit(n)) == k)
+        part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k)
         yield [(r.i, r.t) for r in part.collect()]
 
 
@@ -159,7 +221,8 @@ def find_matches(
     keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """(doc_id, n_words, hits): for each document the longest verbatim matches with each item, as ranges of its words, and
-    the item's word at which the match begins.
+    the item's word at which the match begins: from each word on that doesn't go on a longer match, the longest with
+    each item, at its first place there.
 
     keep names further columns of docs that travel along.
     """
@@ -190,16 +253,17 @@ def find_matches(
     small_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *(F.col(c) for c in keep))
     blocks = _blocks(benchmark, item_col, item_text_col, block_chars)
-    first, rest = next(blocks), list(blocks)
-    if not rest:
+    first, items = next(blocks), next(blocks, None)
+    if items is None:
         return searched(source, first, keep)
     # written, so that a row's key is the same in every block
     source = written(source.withColumn(KEY, F.monotonically_increasing_id()))
     found = searched(source, first, (*keep, KEY))
     more = None
-    for items in rest:
-        part = searched(source, items, (KEY,)).where(F.size("hits") > 0).select(KEY, F.col("hits").alias("more"))
+    while items is not None:  # a block's hits are written before the next block is read: the driver holds two at most
+        part = written(searched(source, items, (KEY,)).where(F.size("hits") > 0).select(KEY, F.col("hits").alias("more")))
         more = part if more is None else more.unionByName(part)
+        items = next(blocks, None)
     more = more.groupBy(KEY).agg(F.flatten(F.collect_list("more")).alias("more"))
     both = F.when(F.col("more").isNull(), F.col("hits")).otherwise(F.array_sort(F.concat("hits", "more")))
     return found.join(more, KEY, "left").select("doc_id", *keep, "n_words", both.alias("hits"))
@@ -243,12 +307,13 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WIN
     they are filtered in place."""
     names = docs.columns
     small_batches(docs.sparkSession)
-    blocks = list(_blocks(benchmark, "item_id", "text", block_chars))
-    if len(blocks) > 1:
+    blocks = _blocks(benchmark, "item_id", "text", block_chars)
+    first = next(blocks)
+    if next(blocks, None) is not None:
         inner = docs.select(F.struct(*(F.col(c) for c in names)).alias("row"), "doc_id", "text")
         found = find_matches(inner, benchmark, window, block_chars=block_chars, keep=("row",))
         return found.where(~is_contaminated(hit_words(F.col("hits")), F.col("n_words"), share)).select("row.*")
-    test = TestSuffixes(blocks[0], window)
+    test = TestSuffixes(first, window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import re
 import sys
-from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 from itertools import zip_longest
@@ -143,30 +142,30 @@ class Tags:
 def build(html: str) -> Element:
     """Tree of a page; text is str among the elements below."""
     root = Element("#root")
-    stack, open_, drawn = [root], Counter(), 0
+    stack, drawn = [root], 0
+    places: dict[str, list[int]] = {}  # where in the stack elements of each tag are open, so that no scan of it is needed
     tags, at, end = Tags(html), 0, len(html)
 
     def push(x: Element) -> None:
         nonlocal drawn
+        places.setdefault(x.tag, []).append(len(stack))
         stack.append(x)
-        open_[x.tag] += 1
         drawn += x.tag in ("svg", "math")
 
     def pop(to: int) -> None:
         nonlocal drawn
-        for x in stack[to:]:
-            open_[x.tag] -= 1
+        for x in reversed(stack[to:]):
+            places[x.tag].pop()
             drawn -= x.tag in ("svg", "math")
         del stack[to:]
 
+    def innermost(tags) -> int:
+        """Place of the innermost open element of these tags, 0 if none is."""
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
     def close(which: set, stops: set) -> None:
-        while any(open_[t] for t in which):
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in which:
-                    pop(i)
-                    break
-                if stack[i].tag in stops:
-                    return
+        while 0 < (i := innermost(which)) >= innermost(stops):
+            pop(i)
 
     def text(s: str) -> None:
         if s:
@@ -193,13 +192,9 @@ def build(html: str) -> Element:
         if not tag:
             continue
         if ends:
-            if open_[tag]:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag == tag:
-                        pop(i)
-                        break
-                    if stack[i].tag == "table" and tag not in ("body", "html"):  # an end tag doesn't reach out of its table
-                        break
+            # an end tag doesn't reach out of its table
+            if (i := innermost((tag,))) and (tag in ("body", "html") or i >= innermost(("table",))):
+                pop(i)
             continue
         while stack[-1].tag == "head" and tag not in IN_HEAD:
             pop(len(stack) - 1)

@@ -8,7 +8,7 @@ end: what is sent to the tasks has that bound, whatever the number of documents,
 A fingerprint has one hash for each of SUBSETS randomised lexicon subsets: the distinct terms of the document that the
 subset holds, sorted, hashed together. Subsets hold geometric shares of the lexicon, so long and short documents both
 have subsets that a local edit leaves alone. Likeness is the share of equal hashes among the subsets of one size that hold a
-term of either document. A document with fewer than FEW lexicon terms uses all its terms instead.
+term of either document. One more hash, of all terms, keeps unlike documents without lexicon terms apart.
 
 Neighbours: `with_edits` deals documents by ranges of doc_id (bounds are ids of the table, so each range's first document
 is known and goes to the range before it as well), sorted inside: no single task sees all documents.
@@ -35,7 +35,7 @@ from marlstone.llm.common import LOWER, chunks, mix, partitions, powers, texts,
 LEAST, MOST = 0.001, 0.2
 #: Terms that the lexicon may have; more are an error that asks for another band, not a silent change of it.
 LEXICON = 8_000_000
-LEVELS, EACH, FEW = 8, 8, 4
+LEVELS, EACH = 8, 8
 SUBSETS = LEVELS * EACH
 #: Share of the lexicon in each subset: eight subsets each of 2**-2 to 2**-9.
 SHARES = np.array([2.0 ** -(2 + k // EACH) for k in range(SUBSETS)])
@@ -103,21 +103,18 @@ def lexicon(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
 
 
 def fingerprints(data: np.ndarray, offsets: np.ndarray, terms: np.ndarray) -> np.ndarray:
-    """Rows x SUBSETS hashes of 32 bits; 0 where the subset holds no term of the row."""
+    """Rows x (SUBSETS + 1) hashes of 32 bits; 0 where the subset holds no term of the row.
+
+    The last one is of all terms, in the lexicon or not: rows of no lexicon term are equal only if their terms are."""
     row, h = distinct_terms(data, offsets)
     n = len(offsets) - 1
     i = np.searchsorted(terms, h)
     i[i == len(terms)] = 0
     inside = terms[i] == h if len(terms) else np.zeros(len(h), bool)
-    few = np.bincount(row[inside], minlength=n) < FEW
-    take = inside | few[row]
-    row, h = row[take], h[take]
-    out = np.zeros((n, SUBSETS), np.uint64)
-    if not len(h):
-        return out.astype(np.uint32)
-    for k in range(SUBSETS):
+    out = np.zeros((n, SUBSETS + 1), np.uint64)
+    for k in range(SUBSETS + 1):
         # the row's terms that the subset holds stand sorted; their hash is a polynomial in that order
-        held = np.flatnonzero(mix(h ^ SEEDS[k]) < LIMITS[k])
+        held = np.flatnonzero(inside & (mix(h ^ SEEDS[k]) < LIMITS[k])) if k < SUBSETS else np.arange(len(h))
         if not len(held):
             continue
         of = row[held]
@@ -134,8 +131,8 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     The share is the smallest one of which most subsets hold a term; there a hash covers a term or two, and the share of
     equal hashes follows the overlap of the term sets. Equal fingerprints have likeness 1.
     """
-    used = ((a != 0) | (b != 0)).reshape(-1, LEVELS, EACH)
-    equal = used & (a == b).reshape(used.shape)
+    used = ((a != 0) | (b != 0))[:, :SUBSETS].reshape(-1, LEVELS, EACH)
+    equal = used & (a == b)[:, :SUBSETS].reshape(used.shape)
     n_used, n_equal = used.sum(axis=2), equal.sum(axis=2)
     enough = n_used > EACH // 2
     level = np.where(enough.any(axis=1), LEVELS - 1 - enough[:, ::-1].argmax(axis=1), n_used.argmax(axis=1))

@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from marlstone.llm.common import texts
 
 # The base rules of the contract. An address can't begin inside a run of digits: it would fail at the run's start.
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
@@ -56,11 +57,25 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def emails(text: str) -> Iterator[tuple[int, int]]:
+    """Addresses as the rule's pattern finds them: from each "@" the domain on the right, then back to what precedes it.
+
+    Searching from the left would read a run of word characters again from each of its characters."""
+    done, at = 0, text.find("@")
+    while at >= 0:
+        start = at
+        while start > done and text[start - 1] in LOCAL:
+            start -= 1
+        if start < at and (m := DOMAIN.match(text, at + 1)):
+            yield start, m.end()
+            done = m.end()
+        at = text.find("@", max(at + 1, done))
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """Spans of the four base rules, by start, then kind."""
     out = []
-    if "@" in text:
-        out += [("email", m.start(), m.end()) for m in EMAIL.finditer(text)]
+    out += [("email", *span) for span in emails(text)]
     for m in IP.finditer(text) if "." in text else ():
         parts = [p.lstrip("0") for p in m.group().split(".")]
         if all(len(p) <= 3 and int(p or 0) <= 255 for p in parts):

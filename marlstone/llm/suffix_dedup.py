@@ -17,8 +17,9 @@ content:
    of its bytes, and follows the way of step 1.
 
 The texts are shuffled by doc_id, compressed, to fetch the bytes of step 2 and to apply the removed intervals. Defined
-results: null or short text loses nothing; rows of one doc_id are one document (a repeated row has the same result, it
-doesn't count as earlier than itself); null doc_id is the least id.
+results: null or short text loses nothing; rows that repeat both doc_id and text are one document (each has the same result,
+none counts as earlier than the other); unlike texts of one doc_id are documents of their own, in order of their sha256; null
+doc_id is the least id.
 """
 
 from __future__ import annotations
@@ -29,10 +30,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.llm.common import chunks, mix, partitions, powers, prefix_hash, written
+from marlstone.operators.ordered import running
 
 #: Bytes of a repeated string, of an anchor, and classes of an anchor that one task sorts together.
 LENGTH, K, HOT = 100, 36, 20_000
@@ -350,17 +352,45 @@ def sort_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield from solve(held)
 
 
+def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc, doc_id, text): doc is one number for each different (doc_id, text), in order of doc_id.
+
+    Where no id has several texts, it is the id itself (the least long for null), and no text moves. Else ids are spread
+    out, each by as many numbers as the most texts of one id, and texts of such ids are numbered by their digest.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    counts = rows.groupBy("doc_id").agg(F.count("*").alias("n"))
+    shared = counts.where("n > 1").select("doc_id")
+    if shared.isEmpty():
+        return rows.select(F.coalesce("doc_id", F.lit(FIRST)).alias("doc"), "doc_id", "text")
+    # null is one below the least id; ids are ranked first, so that spreading them can't overflow
+    least = counts.agg(F.min("doc_id")).first()[0]
+    base = (0 if least is None else least) - 1
+    ids = counts.select("doc_id", F.coalesce("doc_id", F.lit(base)).alias("_id"))
+    ranks = running(ids.withColumn("_one", F.lit(1).cast("long")), "_id", ["_one"]).select("_id", F.col("before__one").alias("_rank"))
+    digest = F.sha2("text", 256)
+    several = rows.join(shared.withColumnRenamed("doc_id", "_s"), F.col("doc_id").eqNullSafe(F.col("_s")), "left_semi")
+    texts = several.select(F.coalesce("doc_id", F.lit(base)).alias("_id"), digest.alias("_digest")).distinct()
+    texts = texts.withColumn("_key", F.conv(F.substring("_digest", 1, 15), 16, 10).cast("long"))  # 60 bits order them, the rest breaks ties
+    at = running(texts.groupBy("_id", "_key").agg(F.count("*").alias("n")), "_key", ["n"], ("_id",)).select("_id", "_key", "before_n", "all_n")
+    inside = F.row_number().over(Window.partitionBy("_id", "_key").orderBy("_digest")) - 1
+    places = written(texts.join(at, ["_id", "_key"]).select("_id", "_digest", (F.col("before_n") + inside).alias("_sub"), "all_n"))
+    most = places.agg(F.max("all_n")).first()[0]
+    told = rows.withColumns({"_id": F.coalesce("doc_id", F.lit(base)), "_digest": digest}).join(ranks, "_id").join(places, ["_id", "_digest"], "left")
+    return written(told.select((F.col("_rank") * most + F.coalesce("_sub", F.lit(0))).alias("doc"), "doc_id", "text"))
+
+
 def packed(docs: DataFrame) -> DataFrame:
-    """(doc, z): the texts compressed, for the shuffles by document."""
+    """(doc, doc_id, z): the texts compressed, for the shuffles by document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         small = zstandard.ZstdCompressor(level=3).compress
         for b in batches:
             for rows, data, offsets in chunks(b):
                 z = [small(data[x:y].tobytes()) for x, y in zip(offsets.tolist(), offsets[1:].tolist())]
-                yield pa.RecordBatch.from_arrays([b.column("doc")[rows.start : rows.stop], pa.array(z, pa.binary())], ["doc", "z"])
+                yield pa.RecordBatch.from_arrays([*(b.column(c)[rows.start : rows.stop] for c in ("doc", "doc_id")), pa.array(z, pa.binary())], ["doc", "doc_id", "z"])
 
-    return docs.mapInArrow(run, "doc long, z binary")
+    return docs.mapInArrow(run, "doc long, doc_id long, z binary")
 
 
 def with_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -373,11 +403,10 @@ def with_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for e in edges:
                 start, count = e["pos"] >> 16, e["pos"] & 255
                 part = text[start : start + count - 1 + LENGTH]
-                if len(part) == count - 1 + LENGTH:  # else another row of the same id
-                    key.append(e["key"])
-                    doc.append(d)
-                    pos.append(e["pos"])
-                    data.append(part)
+                key.append(e["key"])
+                doc.append(d)
+                pos.append(e["pos"])
+                data.append(part)
         yield pa.RecordBatch.from_arrays(
             [pa.array(key, pa.int64()), pa.array(doc, pa.int64()), pa.array(pos, pa.int64()), pa.array(data, pa.binary())], ["key", "doc", "pos", "bytes"]
         )
@@ -407,10 +436,9 @@ def window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return held_out(each())
 
 
-def repeated_intervals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_classes: int = HOT) -> DataFrame:
-    """(doc, start, stop): byte intervals that repeated strings cover, possibly overlapping; null id as the least."""
-    n = partitions(docs.sparkSession)
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(FIRST)).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+def repeated_intervals(rows: DataFrame, hot_classes: int = HOT) -> DataFrame:
+    """(doc, start, stop): byte intervals that repeated strings cover, possibly overlapping; rows are those of numbered()."""
+    n = partitions(rows.sparkSession)
     order = ("key", "cover", "doc", "pos")
     found = written(rows.mapInArrow(anchor_rows, ROWS).repartition(n, "key").sortWithinPartitions(*order).mapInArrow(settle(hot_classes), FOUND))
 
@@ -431,7 +459,7 @@ def apply_intervals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     big = zstandard.ZstdDecompressor().decompress
     for b in batches:
         out = []
-        for doc, z, cuts in zip(b.column("doc").to_pylist(), b.column("z").to_pylist(), b.column("cuts").to_pylist()):
+        for doc_id, z, cuts in zip(b.column("doc_id").to_pylist(), b.column("z").to_pylist(), b.column("cuts").to_pylist()):
             text = big(z)
             lo = np.array([c["start"] for c in cuts or ()], np.int64)
             hi = np.minimum(np.array([c["stop"] for c in cuts or ()], np.int64), len(text))
@@ -442,7 +470,7 @@ def apply_intervals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                 kept.append(text[done:a])
                 done = z_
             kept.append(text[done:])
-            out.append((None if doc == FIRST else doc, len(text), int((hi - lo).sum()), len(lo), b"".join(kept)))
+            out.append((doc_id, len(text), int((hi - lo).sum()), len(lo), b"".join(kept)))
         ids, size, gone, spans, kept = zip(*out) if out else ((),) * 5
         yield pa.RecordBatch.from_arrays(
             [pa.array(ids, pa.int64()), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())],
@@ -453,8 +481,8 @@ def apply_intervals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def removal_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_classes: int = HOT) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for each document."""
     n = partitions(docs.sparkSession)
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(FIRST)).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    cuts = repeated_intervals(docs, id_col, text_col, hot_classes).groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("cuts"))
+    rows = numbered(docs, id_col, text_col)
+    cuts = repeated_intervals(rows, hot_classes).groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("cuts"))
     return (
         packed(rows)
         .repartition(n, "doc")

@@ -60,6 +60,20 @@ def test_repeated_rows_and_null_ids(spark):
     assert suffix_dedup.removal_report(frame(spark, [(1, "x")]).limit(0)).count() == 0
 
 
+def test_rows_of_one_id_with_unlike_texts_are_documents_of_their_own(spark):
+    rng = random.Random(2)
+    text = lambda n: "".join(rng.choices("abcdefgh", k=n))
+    a, b, c = text(400), text(500), text(300)
+    rows = [(1, a), (9, a[:200] + text(150)), (9, b), (None, c), (None, c + a[:150]), (None, text(200)), (12, b[:250]), (12, b[:250]), ((1 << 63) - 1, b[100:300])]
+    # the same documents with plain numbers in the defined order: by id (null first), then by the text's digest
+    order = sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0, sha(r[1].encode())))
+    want = brute_repeats([(i, t) for i, (_, t) in enumerate(order)])
+    got = sorted((r.doc_id is not None, r.doc_id or 0, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.removal_report(frame(spark, rows)).collect())
+    assert got == sorted((d is not None, d or 0, *want[order.index((d, t))]) for d, t in rows)
+    fresh = [g for g in got if g[1] == 9 and g[2] == 500]
+    assert len(fresh) == 1 and fresh[0][3] == 0  # b is new, whatever the other row of its id repeats
+
+
 def test_suffix_sort_is_a_sort():
     rng = np.random.default_rng(0)
     data = rng.integers(97, 99, 4000).astype(np.uint8)

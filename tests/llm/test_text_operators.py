@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -270,6 +271,50 @@ def test_longest_matches_are_those_of_one_item(spark):
         assert sorted(r.doc_id for r in kept.collect()) == [8, 8, 9]
 
 
+def brute_longest(doc, items, window=13):
+    """(start, end, item, at): maximal common runs of words that hold a window, the longest of each start and item."""
+    out = {}
+    for name, item in items.items():
+        k = min(window, len(item))
+        for p in range(len(doc)):
+            for q in range(len(item)):
+                if p and q and doc[p - 1] == item[q - 1] and p - 1 + k <= len(doc) and q - 1 + k <= len(item) and doc[p - 1 : p - 1 + k] == item[q - 1 : q - 1 + k]:
+                    continue
+                n = 0
+                while p + n < len(doc) and q + n < len(item) and doc[p + n] == item[q + n]:
+                    n += 1
+                if n >= k and n > out.get((p, name), (0, 0))[0]:
+                    out[p, name] = (n, q)
+    return sorted((p, p + n, name, q) for (p, name), (n, q) in out.items())
+
+
+def test_longest_matches_equal_brute_force_where_words_repeat(spark):
+    rng = random.Random(4)
+    items = {str(i): [rng.choice("ab") for _ in range(rng.choice([1, 4, 14, 40]))] for i in range(8)} | {"z": ["a"] * 30}
+    docs = [(i, [rng.choice("abbbbc") if i % 2 else rng.choice("ab") for _ in range(80)]) for i in range(6)] + [(9, ["a"] * 60)]
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id string, text string")
+    found = decontaminate.find_matches(spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string"), bench).collect()
+    for r in found:
+        assert sorted((h.start, h.end, h.item, h.at) for h in r.hits) == brute_longest(dict(docs)[r.doc_id], items)
+
+
+def test_one_word_thousands_of_times_in_item_and_document():
+    """All places of a window times all places in the item would be 400 million rows."""
+    import tracemalloc
+
+    from marlstone.llm.common import prefix_hash
+
+    prefix_hash(np.zeros(50_000, np.uint8))  # tables of powers stay
+    text = ("a " * 20_000).encode()
+    test = decontaminate.TestSuffixes([("i", "a " * 20_000)], 13)
+    tracemalloc.start()
+    n, found = decontaminate.search_shard(np.frombuffer(text, np.uint8), np.array([0, len(text)]), test)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n.tolist() == [20_000] and len(found) == 19_988 and peak < 300e6
+    assert (found[:, 2] <= 20_000).all() and found[0].tolist() == [0, 0, 20_000, 0, 0]
+
+
 def test_decontamination_without_a_benchmark(spark):
     empty = spark.createDataFrame([], "item_id long, text string")
     got = decontaminate.decontamination_report(decontaminate.find_matches(frame(spark, [(1, "a b"), (2, None)]), empty)).collect()
@@ -453,14 +498,45 @@ def test_fingerprints_equal_those_of_a_plain_i_match(spark):
     prints = {r.doc_id: [r.fingerprint[8 * k : 8 * k + 8] for k in range(imatch.SUBSETS)] for r in imatch.fingerprint(df, terms=terms).collect()}
     held = {}
     for d, x in sets.items():
-        mine = x & band if len(x & band) >= imatch.FEW else x
-        codes = np.array(sorted(hashed(w) for w in mine), np.uint64)
+        codes = np.array(sorted(hashed(w) for w in x & band), np.uint64)
         held[d] = [tuple(codes[imatch.mix(codes ^ imatch.SEEDS[k]) < imatch.LIMITS[k]].tolist()) for k in range(imatch.SUBSETS)]
     for a in sets:
         for b in sets:
             assert [x == y for x, y in zip(prints[a], prints[b])] == [x == y for x, y in zip(held[a], held[b])]
 
 
+def test_unlike_texts_without_lexicon_terms_are_not_alike(spark):
+    rows = [(i, f"w{i}") for i in range(300)] + [(400, ""), (401, None)]
+    got = {r.doc_id: r for r in imatch.with_edits(frame(spark, rows)).collect()}
+    assert len({got[i].fingerprint for i in range(300)}) == 300 and got[400].fingerprint == got[401].fingerprint
+    assert all(got[i].near_next == 0 for i in range(299)) and got[400].near_next == 1.0
+
+
+def test_likeness_tells_edited_texts_from_the_next_ones(spark, sf):
+    """Long texts with their last quarter replaced stay nearer to themselves than to their neighbours."""
+    got = [r for r in registered.op2_imatch_fingerprint(spark, sf).collect() if r.n_chars >= 600]
+    edited, other = np.mean([r.near_edited for r in got]), np.mean([r.near_next for r in got])
+    assert len(got) > 40 and edited > 0.4 and other < 0.1
+    assert np.mean([r.near_edited > r.near_next for r in got]) > 0.85
+
+
+def test_addresses_equal_the_pattern_and_take_linear_time():
+    rule = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+    rng = random.Random(3)
+    for _ in range(3000):
+        t = "".join(rng.choices("ab.@-+ é", weights=[4, 4, 3, 3, 1, 1, 1, 1], k=rng.randint(0, 40)))
+        assert list(pii.emails(t)) == [m.span() for m in rule.finditer(t)], t
+    began = time.process_time()
+    assert list(pii.emails("a" * 2_000_000 + " @ " + "b@c." * 200_000)) and time.process_time() - began < 3
+
+
+@pytest.mark.parametrize("head,more", [("<x><table>", "<b></x>"), ("<option><select>", "<b><option></option>"), ("<p><div>", "<i></p>"), ("<table><tr><td><li>", "<b></tr>")])
+def test_nested_scopes_are_closed_in_linear_time(head, more):
+    began = time.process_time()
+    html_text.build(head + more * 40_000)
+    assert time.process_time() - began < 6
+
+
 def test_entropy_finds_random_keys_and_leaves_words():
     rng = random.Random(5)
     kinds = ["0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"]
