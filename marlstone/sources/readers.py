@@ -68,8 +68,8 @@ def series_matrix_samples(spark: SparkSession, path: str) -> DataFrame:
     """(sample, key, value) of the characteristics lines of a series matrix: 'key: value' cells under sample ids."""
     lines = spark.read.text(path).select(F.split("value", "\t").alias("c"))
     clean = lambda c: F.btrim(c, F.lit('"'))
-    ids = lines.where(F.col("c")[0] == "!Sample_geo_accession").select(F.posexplode(F.slice("c", 2, 100_000)).alias("at", "sample"))
-    traits = lines.where(F.col("c")[0].startswith("!Sample_characteristics")).select(F.posexplode(F.slice("c", 2, 100_000)).alias("at", "cell"))
+    ids = lines.where(F.col("c")[0] == "!Sample_geo_accession").select(F.posexplode(F.slice("c", F.lit(2), F.size("c"))).alias("at", "sample"))
+    traits = lines.where(F.col("c")[0].startswith("!Sample_characteristics")).select(F.posexplode(F.slice("c", F.lit(2), F.size("c"))).alias("at", "cell"))
     parts = F.split(clean(F.col("cell")), ":", 2)
     key = F.btrim(F.regexp_replace(F.lower(parts[0]), "[^a-z0-9]+", "_"), F.lit("_"))
     return traits.join(ids, "at").select(clean(F.col("sample")).alias("sample"), key.alias("key"), F.trim(F.get(parts, F.lit(1))).alias("value")).where("key <> ''")
@@ -78,7 +78,7 @@ def series_matrix_samples(spark: SparkSession, path: str) -> DataFrame:
 def series_matrix_values(spark: SparkSession, path: str) -> DataFrame:
     """(probe, at, value) of the table between the matrix' begin and end marks."""
     cells = spark.read.text(path).where(~F.col("value").startswith("!") & (F.col("value") != "")).select(F.split("value", "\t").alias("c")).where(F.col("c")[0] != '"ID_REF"')
-    return cells.select(F.btrim(F.col("c")[0], F.lit('"')).alias("probe"), F.posexplode(F.slice("c", 2, 100_000)).alias("at", "v")).select("probe", "at", F.col("v").try_cast("double").alias("value"))
+    return cells.select(F.btrim(F.col("c")[0], F.lit('"')).alias("probe"), F.posexplode(F.slice("c", F.lit(2), F.size("c"))).alias("at", "v")).select("probe", "at", F.col("v").try_cast("double").alias("value"))
 
 
 def run_summaries(spark: SparkSession, folder: str) -> DataFrame:
