@@ -9,11 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGES = 64
+#: Ranges at least, and at most; between them as many as the session has shuffle partitions, which follow the data.
+RANGES, MOST_RANGES = 64, 512
 
 
-def running(df: DataFrame, key: str, values: list[str], by: tuple[str, ...] = (), ranges: int = RANGES) -> DataFrame:
+def running(df: DataFrame, key: str, values: list[str], by: tuple[str, ...] = (), ranges: int | None = None) -> DataFrame:
     """df (one row a key within by) with before_<v>: the sum of v over smaller keys, and all_<v>: over all keys of by."""
+    ranges = ranges or max(RANGES, min(MOST_RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     points = F.array(*(F.lit(i / ranges) for i in range(1, ranges)))
     bounds = df.agg(F.percentile_approx(key, points, 10_000).alias("_bounds"))
     dealt = df.crossJoin(F.broadcast(bounds)).withColumn("_range", F.size(F.filter("_bounds", lambda b: b < F.col(key)))).drop("_bounds")

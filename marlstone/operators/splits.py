@@ -12,14 +12,14 @@ from marlstone.operators.lookups import hash_rank
 from marlstone.operators.ordered import running
 
 
-def hash_positions(ids: DataFrame, key: str, seed: int) -> DataFrame:
-    """ids (unique) with _rn, the zero-based place in hash order, and _n, how many there are."""
+def hash_positions(ids: DataFrame, key: str, seed: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """ids (unique within by) with _rn, the zero-based place in hash order within by, and _n, how many there are."""
     h = hash_rank(key, seed=seed)
     # the first 60 bits order the ranges; equal ones (never at these sizes, but defined) are ordered by the whole hash
     keyed = ids.withColumn("_h", F.conv(F.substring(h, 1, 15), 16, 10).cast("long")).withColumn("_full", h)
-    groups = running(keyed.groupBy("_h").agg(F.count("*").alias("n")), "_h", ["n"]).select("_h", "before_n", "all_n")
-    w = Window.partitionBy("_h").orderBy("_full")
-    return keyed.join(groups, "_h").withColumn("_rn", F.col("before_n") + F.row_number().over(w) - 1).withColumn("_n", F.col("all_n")).drop("_h", "_full", "before_n", "all_n")
+    groups = running(keyed.groupBy(*by, "_h").agg(F.count("*").alias("n")), "_h", ["n"], by).select(*by, "_h", "before_n", "all_n")
+    w = Window.partitionBy(*by, "_h").orderBy("_full")
+    return keyed.join(groups, [*by, "_h"]).withColumn("_rn", F.col("before_n") + F.row_number().over(w) - 1).withColumn("_n", F.col("all_n")).drop("_h", "_full", "before_n", "all_n")
 
 
 def group_split(groups: DataFrame, key: str, seed: int, train: float = 0.8, validation: float = 0.1) -> DataFrame:
@@ -47,5 +47,5 @@ def stratified(rows: DataFrame, key: str, stratum: str, share: float, seed: int)
     extra = q.agg((F.bround(F.sum("want")) - F.sum("base")).cast("long").alias("extra"))
     order = Window.orderBy(F.desc(F.col("want") - F.col("base")), stratum)  # one row a stratum
     quota = q.crossJoin(F.broadcast(extra)).withColumn("quota", F.col("base") + (F.row_number().over(order) <= F.col("extra")).cast("int"))
-    r = rows.withColumn("_rn", F.row_number().over(Window.partitionBy(stratum).orderBy(hash_rank(key, seed=seed))))
-    return r.join(quota.select(stratum, "quota"), stratum).select(key, F.when(F.col("_rn") <= F.col("quota"), "test").otherwise("train").alias("split"))
+    r = hash_positions(rows, key, seed, (stratum,))
+    return r.join(quota.select(stratum, "quota"), stratum).select(key, F.when(F.col("_rn") < F.col("quota"), "test").otherwise("train").alias("split"))

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from marlstone.functions import maths
-from marlstone.operators import lookups, ordered, splits
+from marlstone.operators import lookups, ordered, pair_space, splits
 from marlstone.plans.registry import query
 from marlstone.session import table
 
@@ -193,7 +193,9 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     d = F.col("l_discount")
     share = lambda c: F.round(F.avg(F.when(c, 1.0).otherwise(0.0)), 6)
-    q = table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.percentile(d, F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95))).alias("q"), share(d == 0).alias("zero"), share((d < 0) | (d > 1)).alias("outside"))
+    li = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_discount")
+    q = ordered.quantiles(li, "l_discount", [0.05, 0.5, 0.95], ("l_returnflag",)).withColumnRenamed("quantiles", "q")
+    q = q.join(F.broadcast(li.groupBy("l_returnflag").agg(share(d == 0).alias("zero"), share((d < 0) | (d > 1)).alias("outside"))), "l_returnflag")  # a row a flag
     return q.select("l_returnflag", *(F.round(F.col("q")[i], 6).alias(n) for i, n in enumerate(("q05", "q50", "q95"))), "zero", "outside")
 
 
@@ -350,8 +352,8 @@ def _(spark, sf_dir):
     SELECT c_custkey, CASE WHEN rn <= n // 2 THEN 0 ELSE 1 END AS half FROM r WHERE rn <= 2 * (n // 2)""",
 )
 def _(spark, sf_dir):
-    p = Window.partitionBy("c_nationkey")
-    r = table(spark, sf_dir, "customer").select("c_custkey", F.row_number().over(p.orderBy(lookups.hash_rank("c_custkey", seed=5))).alias("rn"), F.floor(F.count("*").over(p) / 2).alias("h"))
+    r = splits.hash_positions(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), "c_custkey", 5, ("c_nationkey",))
+    r = r.select("c_custkey", (F.col("_rn") + 1).alias("rn"), F.floor(F.col("_n") / 2).alias("h"))
     return r.where(F.col("rn") <= 2 * F.col("h")).select("c_custkey", F.when(F.col("rn") <= F.col("h"), 0).otherwise(1).alias("half"))
 
 
@@ -361,7 +363,7 @@ def _(spark, sf_dir):
     SELECT x.c_custkey, y.c_mktsegment AS permuted FROM o x JOIN o y ON x.c_nationkey = y.c_nationkey AND x.a = y.b""",
 )
 def _(spark, sf_dir):
-    p = Window.partitionBy("c_nationkey")
-    o = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment", F.row_number().over(p.orderBy("c_custkey")).alias("a"), F.row_number().over(p.orderBy(lookups.hash_rank("c_custkey", seed=3))).alias("b"))
-    y = o.select("c_nationkey", F.col("b").alias("a"), F.col("c_mktsegment").alias("permuted"))
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+    o = pair_space.places(c, "c_custkey", ("c_nationkey",), "a", "n")
+    y = splits.hash_positions(c, "c_custkey", 3, ("c_nationkey",)).select("c_nationkey", F.col("_rn").alias("a"), F.col("c_mktsegment").alias("permuted"))
     return o.select("c_custkey", "c_nationkey", "a").join(y, ["c_nationkey", "a"]).select("c_custkey", "permuted")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from marlstone.functions import maths, vectors
-from marlstone.operators import bootstrap, graph, linear, lookups, matching, neighbours, ordered, pair_space
+from marlstone.operators import bootstrap, graph, linear, lookups, matching, neighbours, ordered, pair_space, splits
 from marlstone.plans.registry import query
 from marlstone.session import table
 
@@ -77,7 +77,7 @@ def _(spark, sf_dir):
 )
 def _(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderpriority").alias("g"), F.least(F.floor(F.col("o_totalprice") / 50000), F.lit(9)).alias("bin"), (F.col("o_orderstatus") == "F").alias("pos"))
-    r = o.withColumn("rn", F.row_number().over(Window.partitionBy("g", "bin", "pos").orderBy(lookups.hash_rank("o_orderkey", seed=17))))
+    r = splits.hash_positions(o, "o_orderkey", 17, ("g", "bin", "pos")).withColumnRenamed("_rn", "rn")
     side = lambda pos, name: r.where(F.col("pos") == pos).select("g", "bin", "rn", F.col("o_orderkey").alias(name))
     return side(True, "a").join(side(False, "b"), ["g", "bin", "rn"]).select("a", "b")
 
@@ -92,8 +92,8 @@ def _(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").where(F.col("l_returnflag").isin("R", "A"))
     p = li.groupBy("l_partkey", (F.col("l_returnflag") == "R").alias("g")).agg(F.floor(F.log(F.count("*")) / F.log(F.lit(2.0))).alias("bin"))
     k = p.groupBy("bin").agg(F.least(F.count_if("g"), F.count_if(~F.col("g"))).alias("k"))
-    r = p.withColumn("rn", F.row_number().over(Window.partitionBy("bin", "g").orderBy(lookups.hash_rank("l_partkey", seed=3)))).join(k, "bin")
-    return r.where("rn <= k").select("l_partkey", "g")
+    r = splits.hash_positions(p, "l_partkey", 3, ("bin", "g")).join(k, "bin")
+    return r.where("_rn < k").select("l_partkey", "g")
 
 
 @query(
@@ -206,8 +206,8 @@ def _(spark, sf_dir):
     "SELECT c_custkey, CAST((row_number() OVER (PARTITION BY c_mktsegment ORDER BY sha256(CAST(c_custkey AS STRING) || ':17')) - 1) % 5 AS INTEGER) AS fold FROM customer",
 )
 def _(spark, sf_dir):
-    w = Window.partitionBy("c_mktsegment").orderBy(lookups.hash_rank("c_custkey", seed=17))
-    return table(spark, sf_dir, "customer").select("c_custkey", ((F.row_number().over(w) - 1) % 5).alias("fold"))
+    c = splits.hash_positions(table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), "c_custkey", 17, ("c_mktsegment",))
+    return c.select("c_custkey", (F.col("_rn") % 5).cast("int").alias("fold"))
 
 
 @query("me15_sample_bootstrap")

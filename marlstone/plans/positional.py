@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from marlstone.operators import contracts, lookups, ordered, pair_space, stopping
+from marlstone.operators import contracts, lookups, ordered, pair_space, splits, stopping
 from marlstone.operators import intervals as spans
 from marlstone.plans.registry import query
 from marlstone.session import table
@@ -300,7 +300,7 @@ def _(spark, sf_dir):
 )
 def _(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", (F.col("c_acctbal") < 0).alias("pos"))
-    r = c.withColumn("rn", F.row_number().over(Window.partitionBy("c_mktsegment", "pos").orderBy(lookups.hash_rank("c_custkey", seed=17))))
+    r = splits.hash_positions(c, "c_custkey", 17, ("c_mktsegment", "pos")).select("c_custkey", "c_mktsegment", "pos", F.col("_rn").alias("rn"))
     p, n = r.where("pos").withColumnRenamed("c_custkey", "positive").drop("pos"), r.where("not pos").withColumnRenamed("c_custkey", "negative").drop("pos")
     return p.join(n, ["c_mktsegment", "rn"]).select("positive", "negative")
 
@@ -384,7 +384,7 @@ def _(spark, sf_dir):
 )
 def _(spark, sf_dir):
     p = table(spark, sf_dir, "part").select("p_partkey", "p_retailprice")
-    q = p.agg(F.percentile("p_retailprice", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("e"))
+    q = ordered.quantiles(p, "p_retailprice", [0.25, 0.5, 0.75]).withColumnRenamed("quantiles", "e")
     v = F.col("p_retailprice")
     side = lambda op: sum((op(F.col("e")[i]).cast("int") for i in range(1, 3)), op(F.col("e")[0]).cast("int"))
     return p.crossJoin(F.broadcast(q)).select("p_partkey", side(lambda e: v >= e).alias("right_bin"), side(lambda e: v > e).alias("left_bin"))

@@ -274,7 +274,7 @@ def _(spark, sf_dir):
 )
 def _(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_totalprice", "o_orderstatus")
-    q = o.agg(F.percentile("o_totalprice", 0.99).alias("hi"), F.percentile("o_totalprice", 0.01).alias("lo"))
+    q = ordered.quantiles(o, "o_totalprice", [0.99, 0.01]).select(F.col("quantiles")[0].alias("hi"), F.col("quantiles")[1].alias("lo"))
     band = F.when(F.col("o_totalprice") >= F.col("hi"), "top").when(F.col("o_totalprice") <= F.col("lo"), "bottom").otherwise("middle")
     return o.crossJoin(F.broadcast(q)).groupBy(band.alias("band")).agg(F.count("*").alias("n"), F.round(F.avg((F.col("o_orderstatus") == "F").cast("double")), 6).alias("share"))
 
@@ -291,7 +291,8 @@ def _(spark, sf_dir):
     order = ordered.running(e.select("vec_id").withColumn("one", F.lit(1)), "vec_id", ["one"]).select("vec_id", F.col("before_one").alias("i"))
     mixed = hash_positions(e, "vec_id", 17).select(F.col("_rn").alias("i"), F.col("embedding").alias("other"))
     s = e.join(order, "vec_id").join(mixed, "i").select(vectors.cosine(F.col("embedding"), F.col("other")).alias("s"))
-    return s.agg(F.round(F.avg("s"), 6).alias("mean"), F.round(F.percentile("s", 0.975), 6).alias("null_hi"))
+    high = ordered.quantiles(s, "s", [0.975]).select(F.round(F.col("quantiles")[0], 6).alias("null_hi"))
+    return s.agg(F.round(F.avg("s"), 6).alias("mean")).crossJoin(F.broadcast(high))  # a row each
 
 
 # ---- estimators ------------------------------------------------------------------------------------------------
