@@ -25,6 +25,15 @@ def one_to_one(left: DataFrame, right: DataFrame, key: str, how: str = "inner")
     return require_unique(left, key).join(require_unique(right, key), key, how)
 
 
+def paired_outer(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """The full outer one-to-one join under a contract: a key that only one side has is an error, named with its side."""
+    a, b = require_unique(left, key).withColumn("_l", F.lit(True)), require_unique(right, key).withColumn("_r", F.lit(True))
+    both = a.join(b, key, "full")
+    side = F.when(F.col("_r").isNull(), F.lit("left")).otherwise(F.lit("right"))
+    fault = F.raise_error(F.concat(F.lit(f"{key} "), F.col(key).cast("string"), F.lit(" is only on the "), side)).cast("boolean")
+    return both.where(F.when(F.col("_l") & F.col("_r"), F.lit(True)).otherwise(fault)).drop("_l", "_r")
+
+
 def unambiguous(df: DataFrame, key: str, value: str) -> DataFrame:
     """(key, value) for keys with exactly one distinct value."""
     return df.groupBy(key).agg(F.countDistinct(value).alias("_k"), F.min(value).alias(value)).where("_k = 1").drop("_k")

@@ -49,3 +49,19 @@ def stratified(rows: DataFrame, key: str, stratum: str, share: float, seed: int)
     quota = q.crossJoin(F.broadcast(extra)).withColumn("quota", F.col("base") + (F.row_number().over(order) <= F.col("extra")).cast("int"))
     r = hash_positions(rows, key, seed, (stratum,))
     return r.join(quota.select(stratum, "quota"), stratum).select(key, F.when(F.col("_rn") < F.col("quota"), "test").otherwise("train").alias("split"))
+
+
+def leaks(assigned: DataFrame, group: str, split: str) -> DataFrame:
+    """(group, splits): groups whose rows lie in more than one split; rows without a group or split don't count."""
+    held = assigned.where(F.col(group).isNotNull() & F.col(split).isNotNull())
+    return held.groupBy(group).agg(F.count_distinct(split).alias("splits")).where("splits > 1")
+
+
+def interleaved(rows: DataFrame, key: str, pool: str, seed: int) -> DataFrame:
+    """(key, pool, turn, place): pools in hash order dealt out one row a turn, pools by name within a turn; place counts from 0.
+
+    A turn has a row a pool at most; places come from running counts of the turns."""
+    dealt = hash_positions(rows.select(key, pool), key, seed, (pool,)).select(key, pool, F.col("_rn").alias("turn"))
+    before = running(dealt.groupBy("turn").agg(F.count("*").alias("n")), "turn", ["n"]).select("turn", "before_n")
+    within = F.row_number().over(Window.partitionBy("turn").orderBy(pool)) - 1
+    return dealt.withColumn("_w", within).join(before, "turn").select(key, pool, "turn", (F.col("before_n") + F.col("_w")).alias("place"))

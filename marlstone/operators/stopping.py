@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import math
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 #: steps taken, reference value, steps without improvement, best value, its order, whether it has stopped and where.
@@ -68,3 +70,35 @@ def early_stopping_stream(stream: DataFrame, key: str, order: list[str], value:
 
     out = f"{key} {stream.schema[key].dataType.simpleString()}, {STATE}"
     return stream.where(f"{value} is not null").groupBy(key).applyInPandasWithState(run, out, STATE, "update", GroupStateTimeout.NoTimeout)
+
+
+def tail_report(df: DataFrame, key: str, order: list[str], value: str, last: int) -> DataFrame:
+    """(key, n, best, best_step, tail_mean, best_is_recent): the first least value of each key's events in order, the mean of
+    its last `last` values, and whether the best one is among them. Steps count from 1; null and NaN values are passed over.
+
+    Rows are dealt by key and sorted; a task keeps `last` values a key while they stream by.
+    """
+    slim = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(key, *order, value)
+    dealt = slim.repartition(key).sortWithinPartitions(key, *order)
+    names = [key, "n", "best", "best_step", "tail_mean", "best_is_recent"]
+
+    def row(k, n: int, best: float, at: int, tail: deque) -> tuple:
+        return k, n, best, at, sum(tail) / len(tail), at > n - last
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, n, best, at, tail = None, 0, math.inf, 0, deque(maxlen=last)
+        for pdf in batches:
+            done = []
+            for k, v in zip(pdf[key], pdf[value].astype(float)):
+                if n and k != now:
+                    done.append(row(now, n, best, at, tail))
+                    n, best, at, tail = 0, math.inf, 0, deque(maxlen=last)
+                now, n = k, n + 1
+                tail.append(v)
+                if v < best:
+                    best, at = v, n
+            yield pd.DataFrame(done, columns=names)
+        if n:
+            yield pd.DataFrame([row(now, n, best, at, tail)], columns=names)
+
+    return dealt.mapInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, n long, best double, best_step long, tail_mean double, best_is_recent boolean")

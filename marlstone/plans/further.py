@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from marlstone.operators import sparse
+from marlstone.operators import lookups, sparse, splits, stopping
 from marlstone.plans.registry import query
 from marlstone.session import table
 from marlstone.sources import ledger, sequences, sinks
@@ -96,3 +96,44 @@ def _(spark, sf_dir):
     """The association of each sparse column with the account balance beyond the dense covariates."""
     r = sparse.residual_associations(supplier_features(spark, sf_dir), "indices", None, "dense", WIDE, "target", "fold")
     return spark.createDataFrame([(i, round(float(v), 6)) for i, v in enumerate(r)], "feature int, association double")
+
+
+@query(
+    "wn11_tail_and_recent_best",
+    """WITH e AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, count(*) OVER (PARTITION BY user_id) AS n, min(value) OVER (PARTITION BY user_id) AS best FROM events WHERE value IS NOT NULL)
+    SELECT user_id, max(n) AS n, round(max(best), 6) AS best, min(k) FILTER (WHERE value = best) AS best_step, round(avg(value) FILTER (WHERE k > n - 10), 6) AS tail_mean, min(k) FILTER (WHERE value = best) > max(n) - 10 AS best_is_recent FROM e GROUP BY 1""",
+)
+def _(spark, sf_dir):
+    """First best step, mean of the last ten, and whether the best is among them."""
+    told = stopping.tail_report(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "value", 10)
+    return told.select("user_id", "n", F.round("best", 6).alias("best"), "best_step", F.round("tail_mean", 6).alias("tail_mean"), "best_is_recent")
+
+
+@query(
+    "wn17_interleaved_order",
+    """WITH r AS (SELECT c_custkey, c_mktsegment, row_number() OVER (PARTITION BY c_mktsegment ORDER BY sha256(CAST(c_custkey AS STRING) || ':17')) - 1 AS turn FROM customer)
+    SELECT c_custkey, c_mktsegment, turn, row_number() OVER (ORDER BY turn, c_mktsegment) - 1 AS place FROM r""",
+)
+def _(spark, sf_dir):
+    return splits.interleaved(table(spark, sf_dir, "customer"), "c_custkey", "c_mktsegment", 17)
+
+
+@query("jn7_paired_outer", "SELECT c_custkey, c_acctbal, count(o_orderkey) AS orders FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1, 2")
+def _(spark, sf_dir):
+    """Two tables of all customers, paired key by key; a key on one side only would be an error."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
+    o = c.select("c_custkey").join(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey"), "c_custkey", "left").groupBy("c_custkey").agg(F.count("o_orderkey").alias("orders"))
+    return lookups.paired_outer(c, o, "c_custkey")
+
+
+@query(
+    "sp4_leaking_patients",
+    """WITH h AS (SELECT o_orderkey, o_custkey, row_number() OVER (ORDER BY sha256(CAST(o_orderkey AS STRING) || ':17')) - 1 AS k, count(*) OVER () AS n FROM orders),
+    s AS (SELECT o_custkey, CASE WHEN k < floor(n * 0.8) THEN 'train' WHEN k < floor(n * 0.8) + floor(n * 0.1) THEN 'validation' ELSE 'test' END AS split FROM h)
+    SELECT o_custkey AS patient, count(DISTINCT split) AS splits FROM s GROUP BY 1 HAVING count(DISTINCT split) > 1""",
+)
+def _(spark, sf_dir):
+    """Patients that a split by sample, not by patient, puts on several sides."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("patient"))
+    by_sample = splits.group_split(o.select("o_orderkey"), "o_orderkey", seed=17)
+    return splits.leaks(o.join(by_sample, "o_orderkey"), "patient", "split")

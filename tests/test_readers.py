@@ -5,7 +5,7 @@ import math
 import numpy as np
 import pytest
 
-from marlstone.operators import ordered, splits
+from marlstone.operators import lookups, ordered, splits, stopping
 from marlstone.sources import readers
 
 
@@ -55,3 +55,23 @@ def test_places_within_groups_equal_sorted_ones(spark):
         assert [r.k for r in sorted((r for r in got if r.g == g), key=lambda r: r._rn)] == want and {r._n for r in got if r.g == g} == {len(want)}
     q = ordered.quantiles(spark.createDataFrame([(float(v), 1) for v in range(11)], "v double, g int"), "v", [0.0, 0.25, 1.0], ("g",)).first()
     assert q.quantiles == [0.0, 2.5, 10.0]
+
+
+def test_contract_of_the_outer_join_leaks_and_tails(spark):
+    df = lambda rows, s: spark.createDataFrame(rows, s)
+    a, b = df([(1, "x"), (2, "y")], "k int, a string"), df([(1, 5), (2, 6)], "k int, b int")
+    assert sorted(tuple(r) for r in lookups.paired_outer(a, b, "k").collect()) == [(1, "x", 5), (2, "y", 6)]
+    for left, right, side in ((a, b.where("k = 1"), "left"), (a.where("k = 2"), b, "right")):
+        with pytest.raises(Exception, match=f"only on the {side}"):
+            lookups.paired_outer(left, right, "k").collect()
+    with pytest.raises(Exception, match="duplicate key"):
+        lookups.paired_outer(a.union(a), b, "k").collect()
+    rows = df([("p", "train"), ("p", "train"), ("q", "train"), ("q", "test"), (None, "test"), (None, "train"), ("r", None)], "g string, s string")
+    assert [tuple(r) for r in splits.leaks(rows, "g", "s").collect()] == [("q", 2)]
+    by_group = splits.group_split(rows.select("g").where("g is not null").distinct(), "g", 1)
+    assert splits.leaks(rows.join(by_group, "g"), "g", "split").count() == 0
+    t = df([(1, e, v) for e, v in enumerate([3.0, 1.0, 1.0, math.nan, 5.0, 7.0])] + [(2, 0, 4.0), (3, 0, None)], "u int, e int, v double")
+    got = {r.u: tuple(r)[1:] for r in stopping.tail_report(t, "u", ["e"], "v", 2).collect()}
+    assert got == {1: (5, 1.0, 2, 6.0, False), 2: (1, 4.0, 1, 4.0, True)}
+    places = splits.interleaved(df([(i, "ab"[i % 3 > 0]) for i in range(9)], "k int, p string"), "k", "p", 4).orderBy("place").collect()
+    assert [r.p for r in places] == list("abababbbb"[:9]) and [r.place for r in places] == list(range(9))
