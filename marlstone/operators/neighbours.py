@@ -109,8 +109,9 @@ def nearest_vectors(vectors: DataFrame, key: str, vector: str, k: int, queries:
 
     entry = F.struct((-F.col("similarity")).alias("s"), F.col("neighbour").alias("i"))
     best = lambda found: found.groupBy("query").agg(F.slice(F.array_sort(F.collect_list(entry)), 1, k + 1).alias("b"))
-    found = cut(best(met(asking.select("rep", "v", "cell"))))
+    found = best(met(asking.select("rep", "v", "cell")))
     if len(p) > 1:
+        found = cut(found)  # read twice below
         far = F.when(F.size("b") > k, F.col("b")[k]["s"]).alias("worst")
         bound = asking.select("rep", "v", "cell").join(found.select(F.col("query").alias("rep"), far), "rep", "left")
 
@@ -138,5 +139,5 @@ def nearest_vectors(vectors: DataFrame, key: str, vector: str, k: int, queries:
     if metric == "cosine":
         all_ = F.array(*(F.struct(F.lit(-0.0).alias("s"), F.lit(i).cast(kind).alias("i")) for i in least))
         answers = answers.unionByName(ask.where(zero).select("v", all_.alias("b")))
-    told = asked.join(cut(answers), "v").select(F.col("id").alias("query"), F.slice(F.filter("b", lambda e: e["i"] != F.col("id")), 1, k).alias("b"))
+    told = asked.join(answers, "v").select(F.col("id").alias("query"), F.slice(F.filter("b", lambda e: e["i"] != F.col("id")), 1, k).alias("b"))
     return told.select("query", F.posexplode("b").alias("rank", "e")).select("query", (F.col("rank") + 1).cast("long").alias("rank"), F.col("e.i").alias("neighbour"), (-F.col("e.s")).alias("similarity"))
