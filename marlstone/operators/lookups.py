@@ -21,6 +21,34 @@ def lenient_lookup(ids: DataFrame, axis: DataFrame, key: str, flag: str = "found
     return ids.join(axis.withColumn(flag, F.lit(True)), key, "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
 
 
+def _of_width(vector: str, width: int):
+    """The vector; an error where it has another width."""
+    v = F.col(vector)
+    fault = F.raise_error(F.concat(F.lit(f"a vector of width {width} was expected, not "), F.size(v).cast("string")))
+    return F.when(v.isNull() | (F.size(v) == width), v).otherwise(fault.cast("array<float>"))
+
+
+def aligned_gather(axis: DataFrame, store: DataFrame, key: str, vector: str, width: int, fill: bool = False) -> DataFrame:
+    """axis with the store's vector of each of its rows and `covered`: false where the store lacks the key or has no vector.
+
+    Without a vector a row holds null, or zeros with fill. Keys stand once in the store; axis rows may repeat, and all stay.
+    """
+    held = require_unique(store.select(key, vector), key)
+    got = axis.join(held.withColumn(vector, _of_width(vector, width)), key, "left").withColumn("covered", F.col(vector).isNotNull())
+    return got.withColumn(vector, F.coalesce(vector, F.array_repeat(F.lit(0).cast("float"), width))) if fill else got
+
+
+def strict_gather(ids: DataFrame, store: DataFrame, key: str, vector: str, width: int) -> DataFrame:
+    """ids (repeats stay) with the store's vectors: an error for a key that the store lacks, or whose vector is null, not
+    finite or of another width. Nothing is left out.
+    """
+    v = F.col(vector)
+    sound = F.coalesce(~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))), F.lit(False))
+    fault = F.raise_error(F.concat(F.lit(f"{key} "), F.col(key).cast("string"), F.lit(" has no finite vector"))).cast("array<float>")
+    got = aligned_gather(ids, store, key, vector, width).drop("covered")
+    return got.withColumn(vector, F.when(sound, v).otherwise(fault))
+
+
 def one_to_one(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
     return require_unique(left, key).join(require_unique(right, key), key, how)
 
