@@ -2,8 +2,8 @@
 
 The field is trained here, from a small labelled table of tokens (`starter_labels`, or the caller's; at most TABLE rows
 reach the driver): gradient ascent on the exact log-likelihood by the forward-backward recursion, in numpy. Features of a
-token are its collapsed shape, its cue (title, street word, ...), the length of its digits and its closing punctuation,
-each for the token itself and its two neighbours. Tokens are decoded by Viterbi in numpy batches: sentences of like
+token are its collapsed shape, its cue (title, given name, street word, ...), its count of letters and of digits and its
+closing punctuation, each for the token itself and the two on either side. Tokens are decoded by Viterbi in numpy batches: sentences of like
 length are the rows of one array, all steps are taken for all of them together. Distinct tokens are looked at once a
 worker; the table of known tokens is emptied when it is full.
 
@@ -13,7 +13,9 @@ one by one, so repeated rows, ties and extra columns change nothing; offsets are
 
 from __future__ import annotations
 
+import functools
 import itertools
+import random
 import re
 from collections.abc import Iterator
 
@@ -35,15 +37,23 @@ SPANS = "array<struct<kind:string,start:int,end:int>>"
 
 LABELS = ("O", "B-name", "I-name", "B-address", "I-address", "B-id", "I-id")
 #: Rows of a labelled table, distinct tokens a worker remembers, tokens decoded together, epochs, step and penalty.
-TABLE, KNOWN, TOKENS, EPOCHS, STEP, PENALTY = 50_000, 400_000, 400_000, 150, 0.15, 0.01
+TABLE, KNOWN, TOKENS, EPOCHS, STEP, PENALTY = 50_000, 400_000, 400_000, 90, 0.15, 0.02
+
+#: A token's features act on its own step and on the steps this far off.
+OFFSETS = (0, 1, -1, 2, -2)
 
 # Cue words in lower case.
 CUES = {
-    "title": "mr mrs ms dr prof herr frau monsieur madame señor señora sir".split(),
-    "call": "name contact signed named patient customer sincerely".split(),
-    "street": "street road avenue lane drive straße strasse rue calle platz square boulevard".split(),
-    "place": "address lives residing adresse dirección".split(),
-    "number": "ssn passport iban id license licence tax account ausweis nif".split(),
+    "title": "mr mrs ms miss dr prof herr frau monsieur madame mme señor señora sr sra sir don doña".split(),
+    "call": "name named patient customer sincerely signed regards dear hello hi contact liebe lieber cher chère estimado estimada hola bonjour hallo gezeichnet signé firmado nombre nom kunde client cliente paciente".split(),
+    "street": "street road avenue lane drive court way terrace square boulevard straße strasse weg platz gasse allee rue chemin impasse calle plaza avenida paseo camino".split(),
+    "place": "address lives living residing adresse dirección wohnt wohnhaft habite domicilié vive reside anschrift domicilio".split(),
+    "number": "ssn passport iban id license licence tax account ausweis reisepass steuernummer nif dni passeport pasaporte number nummer numéro número no nr".split(),
+    "given": """anna peter maria josé claire thomas ingrid paul laura david sarah michael emma james robert linda susan karen jessica
+        daniel kevin barack wei ahmed fatima ivan olga yuki priya raj hans klaus jürgen heike sabine wolfgang ursula petra stefan
+        markus katrin andreas monika jean pierre marie jacques françois sophie camille julien nathalie antoine isabelle luc carlos juan
+        pedro lucía carmen javier miguel sofía elena pablo manuel rosa antonio francisco giulia marco luca alessandro francesca john
+        mary elizabeth william richard joseph charles christopher matthew anthony andrew steven barbara patricia jennifer""".split(),
 }
 CUE = {w: k for k, ws in CUES.items() for w in ws}
 TRIM = "\"'()[]{}<>.,;:!?#*$%&"
@@ -104,12 +114,25 @@ def features(token: str) -> tuple[str, ...]:
     word = token.strip(TRIM)
     digits = sum(c.isdigit() for c in word)
     last = token[-1:] if token[-1:] in ".!?,;:" else ""
-    sizes = "0" if not digits else "s" if digits < 3 else "m" if digits < 6 else "l"
-    return ("shape=" + shape(word), "cue=" + CUE.get(word.lower(), ""), "digits=" + sizes, "end=" + last)
+    sizes = "0" if not digits else "s" if digits < 3 else "m" if digits < 6 else "l" if digits < 10 else "x"
+    letters = min(sum(c.isalpha() for c in word), 4)
+    return ("any", "shape=" + shape(word)[:8], "cue=" + cue(word), f"letters={letters}", "digits=" + sizes, "end=" + last)
+
+
+def cue(word: str) -> str:
+    """The cue of a word; names of streets in one word count by their end."""
+    low = word.lower()
+    return CUE.get(low) or ("street" if low.endswith(("straße", "strasse", "gasse")) else "")
+
+
+def ends_sentence(token: str) -> bool:
+    """Whether a sentence ends with the token; titles, initials and two-letter abbreviations don't end one."""
+    word = token.strip(TRIM)
+    return token[-1:] in ".!?" and not (token.endswith(".") and 0 < len(word) and (len(word) <= 2 or CUE.get(word.lower()) == "title"))
 
 
 class Field:
-    """Weights: features of the token, of the one before and of the one after (each features x labels), and transitions."""
+    """Weights: features x labels for each of OFFSETS, and transitions."""
 
     def __init__(self, names: list[str], around: list[np.ndarray], move: np.ndarray, begin: np.ndarray):
         self.number = {f: i for i, f in enumerate(names)}
@@ -119,11 +142,11 @@ class Field:
         return [self.number[f] for f in features(token) if f in self.number]
 
     def parts(self, tokens: list[str]) -> np.ndarray:
-        """For each token what it adds to its own score, its follower's and its predecessor's: tokens x 3 x labels."""
-        out = np.zeros((len(tokens), 3, len(LABELS)))
+        """For each token what it adds to the scores at each of OFFSETS from it: tokens x offsets x labels."""
+        out = np.zeros((len(tokens), len(OFFSETS), len(LABELS)))
         for i, t in enumerate(tokens):
             r = self.rows(t)
-            for k in range(3):
+            for k in range(len(OFFSETS)):
                 out[i, k] = self.around[k][r].sum(axis=0)
         return out
 
@@ -152,14 +175,14 @@ ALLOWED = np.array([[b[0] != "I" or (a != "O" and a[2:] == b[2:]) for b in LABEL
 BEGIN = np.array([0.0 if b[0] != "I" else -1e4 for b in LABELS])
 
 
-def sentence_scores(parts: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """Sentences x steps x labels from the parts of all tokens in a row."""
-    steps = int(length.max())
-    at = start[:, None] + np.minimum(np.arange(steps), (length - 1)[:, None])
-    out = parts[at, 0].copy()
-    out[:, 1:] += parts[at[:, :-1], 1]
-    after = np.minimum(np.arange(1, steps + 1), (length - 1)[:, None])
-    out += np.where((np.arange(1, steps + 1) < length[:, None])[:, :, None], parts[start[:, None] + after, 2], 0.0)
+def sentence_scores(parts: np.ndarray, rows: np.ndarray, inside: np.ndarray) -> np.ndarray:
+    """Sentences x steps x labels: rows says which row of parts a step's token has, inside which steps count."""
+    out = parts[rows, 0].copy()
+    for k, o in enumerate(OFFSETS[1:], 1):
+        if o > 0:
+            out[:, o:] += parts[rows[:, :-o], k]
+        else:
+            out[:, :o] += np.where(inside[:, -o:, None], parts[rows[:, -o:], k], parts.dtype.type(0))
     return out
 
 
@@ -167,7 +190,7 @@ def train(sentences: list[list[tuple[str, str]]], epochs: int = EPOCHS, step: fl
     """Field from labelled sentences: Adam on the penalised log-likelihood, all sentences together, fixed start."""
     names = sorted({f for s in sentences for t, _ in s for f in features(t)})
     k = len(LABELS)
-    field = Field(names, [np.zeros((len(names), k)) for _ in range(3)], np.where(ALLOWED, 0.0, -1e4), BEGIN)
+    field = Field(names, [np.zeros((len(names), k)) for _ in OFFSETS], np.where(ALLOWED, 0.0, -1e4), BEGIN)
     tokens = [t for s in sentences for t, _ in s]
     gold = np.array([LABELS.index(y) for s in sentences for _, y in s])
     length = np.array([len(s) for s in sentences])
@@ -179,7 +202,7 @@ def train(sentences: list[list[tuple[str, str]]], epochs: int = EPOCHS, step: fl
     at = start[:, None] + np.arange(steps)
     real = np.arange(steps) < length[:, None]
     at = np.where(real, at, 0)
-    before, after = real & (np.arange(steps) > 0), real & (np.arange(steps) + 1 < length[:, None])
+    reach = [real & (np.arange(steps) - o >= 0) & (np.arange(steps) - o < length[:, None]) for o in OFFSETS]
     truth = np.zeros((n, steps, k))
     truth[real] = np.eye(k)[gold]
     pairs_true = np.einsum("nti,ntj->ij", truth[:, :-1], truth[:, 1:])
@@ -191,8 +214,8 @@ def train(sentences: list[list[tuple[str, str]]], epochs: int = EPOCHS, step: fl
         return (top + np.log(np.exp(a - top).sum(axis=axis, keepdims=True))).squeeze(axis)
 
     for epoch in range(1, epochs + 1):
-        scores = sentence_scores(np.stack([x @ w for w in weights[:3]], axis=1), start, length)
-        move = weights[3]
+        scores = sentence_scores(np.stack([x @ w for w in weights[:-1]], axis=1), at, real)
+        move = weights[-1]
         alpha, beta = np.zeros((n, steps, k)), np.zeros((n, steps, k))
         alpha[:, 0] = scores[:, 0] + BEGIN
         for t in range(1, steps):
@@ -206,82 +229,183 @@ def train(sentences: list[list[tuple[str, str]]], epochs: int = EPOCHS, step: fl
         both = alpha[:, :-1, :, None] + move + (scores[:, 1:] + beta[:, 1:])[:, :, None, :] - z[:, None, None, None]
         pairs = np.where(real[:, 1:, None, None], np.exp(np.minimum(both, 0)), 0.0).sum(axis=(0, 1))
         off = truth - marginal
-        # a token's features act on its own step, on the next one and on the one before
-        gradient = [
-            x.T @ off[real],
-            x[(at - 1)[before]].T @ off[before],
-            x[(at + 1)[after]].T @ off[after],
-            np.where(ALLOWED, pairs_true - pairs, 0.0),
-        ]
+        gradient = [x[(at - o)[r]].T @ off[r] for o, r in zip(OFFSETS, reach)]
+        gradient.append(np.where(ALLOWED, pairs_true - pairs, 0.0))
         for i, g in enumerate(gradient):
             g = g / n - penalty / n * np.where(weights[i] < -1e3, 0.0, weights[i])
             first[i] = 0.9 * first[i] + 0.1 * g
             second[i] = 0.99 * second[i] + 0.01 * g * g
             weights[i] += step * (first[i] / (1 - 0.9**epoch)) / (np.sqrt(second[i] / (1 - 0.99**epoch)) + 1e-8)
-    field.around, field.move = weights[:3], weights[3]
+    field.around, field.move = weights[:-1], weights[-1]
     return field
 
 
 # ---- the small labelled table ----------------------------------------------------------------------------------
 
 
-def starter_sentences() -> list[list[tuple[str, str]]]:
-    """Labelled sentences from patterns; each bracketed part is an entity, words come from short lists in turn."""
-    given = "Anna Peter Maria José Claire Thomas Ingrid Paul".split()
-    family = "Müller Smith Garcia Dupont Novak Jones Keller Martin".split()
-    road = "Main High Garden Station Victor Mozart".split()
-    filler = "The And Over Where Then This Nothing Outside".split()
-    word = "report paper garden window answer morning water letter".split()
-    patterns = [
-        "Please contact [name G F] about the W .",
-        "Dear Mr. [name F] , thank you for the W .",
-        "Dr. [name G F] will see you this W .",
-        "Signed [name G F]",
-        "Patient [name G F] was seen in the W .",
-        "The customer name is [name G F] .",
-        "She lives at [address N R Street] near the W .",
-        "Address: [address N R Road] , second floor .",
-        "residing at [address N R Avenue] since the W .",
-        "Her passport [id P] was found in the W .",
-        "SSN [id S] belongs to the W .",
-        "Tax id [id P] is on the W .",
-    ]
-    plain = [
-        "C W and the W were in the W .",
-        "C the W of the W . C",
-        "C W",
-        "C C W the N of W",
-        "in N the W had N W and C W .",
-        "C of C the W , C and W .",
-        "the W W W C W W N .",
-        "C",
-        "W",
-        "W X W X C X",
-        "X W the X N X",
-        "W | C | C. | W | C | C, | W. | C |",
-        "C C C C C C C C C C C C of W W",
-        "W W C C C C C C C the W .",
-        "the C C License, Version N .",
-        "C under CC BY-NC N the W",
-        "W, C C and C W, W C",
-        "C! C C! C, C? C W!! C!! C!! W!!",
-        "W: C C W; C N C W .",
-        "C N C of N C W",
-        "| C W | C C | N | C N C |",
-        "CC C XX C CC W CC",
-    ]
+# Patterns of the labelled table. A bracketed part is an entity. G given name, F family name, I word that
+# looks like a name, T title, R road, K road word, N number, P and S identifiers, W word, C capitalised word, X digits, Q dotted digits, Y Z V a call number.
+PATTERNS = """
+Please contact [name G F] about the W .
+Dear T [name F] , thank you for the W .
+T [name G F] will see you this W .
+T [name I F] W the W .
+Signed , [name G F]
+Kind regards , [name I F]
+Patient [name G F] was seen in the W .
+The customer name is [name G F] .
+W W by [name G F] and [name G F] in the W .
+[name G F] W the W of the C W .
+Yesterday [name G F] W to C with the W .
+My W is called [name G] , and the W W .
+Hi [name G] , the W is W .
+I met [name G F] at the W last C .
+T [name F] of the W W N W .
+T [name F] W W .
+I W with [name G F] on C .
+C [name G F] W C .
+[name G N. F] W the W .
+Then [name G F] , the W , W .
+She lives at [address N R K] near the W .
+Address: [address N R K] , second floor .
+They moved from [address N R K] to [address N R K] in the W .
+residing at [address N R R K] since the W .
+Send it to [address N R K] , C .
+[address N R K] , C
+Her passport [id P] was found in the W .
+SSN [id S] belongs to the W .
+Tax id [id P] is on the W .
+The passport number is [id P] .
+His SSN is [id S] , and the W W .
+Bitte rufen Sie Herrn [name F] an .
+Herr [name G F] W die W .
+Liebe Frau [name F] , W W W .
+[name G F] W in C und W .
+Gestern hat [name G F] die W W .
+Mein Kunde [name G F] W die W .
+Er wohnt in der [address Rstraße N] in C .
+Adresse: [address Rstraße N] , C
+Die W liegt am [address R Platz N] .
+Sein Ausweis [id P] ist W .
+Steuernummer [id P] , W .
+Monsieur [name F] W la W .
+Madame [name G F] est W de la W .
+Bonjour [name G] , la W est W .
+Hier , [name G F] a W le W de C .
+Il habite [address N rue de R] à C .
+Adresse : [address N rue R] , C
+Elle reste au [address N avenue de R] .
+Son passeport [id P] est W .
+Numéro [id P] , W .
+El señor [name F] W la W .
+La señora [name G F] W en la W .
+Hola [name G] , la W W .
+Ayer [name G F F] W el W de C .
+Mi cliente [name G F] W .
+Vive en la [address calle R N] de C .
+Dirección: [address calle de R N] , C
+Su pasaporte [id P] W .
+DNI [id P] de la W .
+""".strip().splitlines()
+PLAIN = """
+C W and the W were in the W .
+C the W of the W . C
+C W
+C C W the N of W
+in N the W had N W and C W .
+C of C the W , C and W .
+the W W W C W W N .
+C
+W
+W X W X C X
+X W the X N X
+W | C | C. | W | C | C, | W. | C |
+C C C C C C C of W W
+C C C W W C C .
+W W C C C C C C C the W .
+the C C License, Version N .
+C under CC BY-NC N the W
+W, C C and C W, W C
+C! C C! C, C? C W!! C!! C!! W!!
+W: C C W; C N C W .
+C N C of N C W
+N C W . C N
+N C C W N .
+| C W | C C | N | C N C |
+CC C XX C CC W CC
+C W W , W W W W . C W W W , de W W la W W .
+C W la W de C . C W les W , un W .
+W W der W , und W W . C W W N W .
+The street was W , and the road W to C .
+The name of the W is W .
+His address W the W , and no number W .
+C C Street W W .
+The W id is a number of the W .
+Dear W , the W of C .
+No W , no W . C is W .
+contact W W C the W .
+C lives W the W .
+C , W .
+C , W W W .
+C , W W , W . C
+C , W C W , W .
+W . C , W .
+C , C , W .
+W Y Z V W .
+C W Y Z V C
+C W Q , W Q .
+W Q W W
+W C X W .
+X the . C
+La calle W , la plaza W .
+La rue W et W .
+Die straße W und W .
+""".strip().splitlines()
+FAMILY = """Müller Smith Garcia Dupont Novak Jones Keller Martin Rossi Schmidt Fischer Weber Becker Lefebvre Moreau Laurent
+    Fernández López Sánchez Romero Torres Brown Taylor Wilson Walker Kowalski Nguyen Kim Patel Silva""".split()
+TITLES = "Mr. Mrs. Ms. Dr. Prof. Mr Mrs Dr Sir".split()
+ROADS = "Main High Garden Station Victor Mozart Lincoln Oak Church Mill Park Schiller Goethe Haupt Berg Pasteur Verdun Mayor Colón Bilbao".split()
+ROAD_WORDS = "Street Road Avenue Lane Drive Court Way Terrace Square Boulevard".split()
+WORDS = """report paper garden window answer morning water letter house was has went says writes calls met works gave took
+    found sehr haben gehen Haus Zeit est a fait maison jour avec para casa tiene hoy muy with of from to and""".split()
+CAPITALS = """The And Over Where Then This Nothing Outside Monday March London Berlin Paris Madrid Europe New York United Nations
+    Central Bank English German French Spanish Company Section Table Figure Chapter In On It We They He She Der Die Das Es Un La Le Les El En""".split()
+STEMS = "ar be con dan el far gor hin is jen kal lor mon nes or pin ral sten tor ul ver wen zor tion ing ch th é ß ñ ión eau".split()
+
+
+def starter_sentences(copies: int = 12, seed: int = 7) -> list[list[tuple[str, str]]]:
+    """Labelled sentences in four languages: each pattern several times over, half of the words from lists, half made up."""
+    dice = random.Random(seed)
+    made = lambda: "".join(dice.choice(STEMS) for _ in range(dice.randint(1, 4)))
+    plain = lambda: made() if dice.random() < 0.6 else dice.choice(WORDS)
+    digits = lambda n: "".join(dice.choice("0123456789") for _ in range(n))
+    capital = lambda n: "".join(dice.choice("ABCDEFGHKLMNPRTXYZ") for _ in range(n))
+    given = [w.capitalize() for w in CUES["given"]]
+    make = {
+        "G": lambda: dice.choice(given),
+        "F": lambda: dice.choice(FAMILY) if dice.random() < 0.4 else made().capitalize(),
+        "I": lambda: made().capitalize(),
+        "T": lambda: dice.choice(TITLES),
+        "R": lambda: dice.choice(ROADS) if dice.random() < 0.5 else made().capitalize(),
+        "Rstraße": lambda: (dice.choice(ROADS) if dice.random() < 0.5 else made().capitalize()) + dice.choice(["straße", "strasse", "gasse"]),
+        "K": lambda: dice.choice(ROAD_WORDS),
+        "C": lambda: made().capitalize() if dice.random() < 0.6 else dice.choice(CAPITALS),
+        "W": plain,
+        "N": lambda: str(dice.randint(1, 240)) + ("" if dice.random() < 0.9 else dice.choice("AB")),
+        "N.": lambda: capital(1) + ".",
+        "P": lambda: dice.choice([capital(1) + digits(7), capital(2) + digits(6), capital(1) + digits(2) + capital(1) + digits(4) + capital(1), digits(8) + capital(1), digits(9)]),
+        "S": lambda: f"{digits(3)}-{digits(2)}-{digits(4)}",
+        "X": lambda: digits(16),
+        "Y": lambda: "+" + str(dice.randint(1, 49)),
+        "Z": lambda: f"({digits(3)})",
+        "V": lambda: f"{digits(3)}-{digits(4)}",
+        "Q": lambda: ".".join(str(dice.randint(1, 255)) for _ in range(4)),
+    }
     out = []
-    for i, p in enumerate(6 * patterns + 12 * plain):
-        turn = itertools.count(i)
-        pick = lambda ws: ws[next(turn) * 5 % len(ws)]
-        make = {
-            "G": lambda: pick(given), "F": lambda: pick(family), "R": lambda: pick(road), "C": lambda: pick(filler), "W": lambda: pick(word),
-            "N": lambda: str(1 + next(turn) * 37 % 240), "P": lambda: f"{'CKX'[next(turn) % 3]}{1000000 + next(turn) * 7919 % 8999999}",
-            "S": lambda: f"{100 + next(turn) * 31 % 800}-{10 + next(turn) % 80}-{1000 + next(turn) * 77 % 8000}",
-            "X": lambda: str(10**15 + next(turn) * 123456789),
-        }
-        sentence, kind, begin = [], None, False
-        for t in p.split():
+    for pattern in copies * PATTERNS + copies * PLAIN:
+        sentence: list[tuple[str, str]] = []
+        kind, begin = None, False
+        for t in pattern.split():
             if t.startswith("["):
                 kind, begin = t[1:], True
                 continue
@@ -289,17 +413,13 @@ def starter_sentences() -> list[list[tuple[str, str]]]:
             t = t.rstrip("]")
             label = "O" if kind is None else ("B-" if begin else "I-") + kind
             begin = False
-            sentence.append((make[t]() if t in make else t, label))
+            if t in (".", ",") and sentence:  # punctuation belongs to the token before it
+                sentence[-1] = (sentence[-1][0] + t, sentence[-1][1])
+            else:
+                sentence.append((make[t]() if t in make else t, label))
             if close:
                 kind = None
-        # punctuation belongs to the token before it
-        joined: list[tuple[str, str]] = []
-        for t, y in sentence:
-            if t in (".", ",") and joined:
-                joined[-1] = (joined[-1][0] + t, joined[-1][1])
-            else:
-                joined.append((t, y))
-        out.append(joined)
+        out.append(sentence)
     return out
 
 
@@ -315,7 +435,13 @@ def train_from(labelled: DataFrame) -> Field:
     if len(rows) > TABLE:
         raise ValueError(f"a labelled table has at most {TABLE} rows")
     rows = sorted(rows, key=lambda r: (r.sentence, r.position))
-    return train([[(r.token, r.label) for r in g] for _, g in itertools.groupby(rows, key=lambda r: r.sentence)])
+    return trained(tuple(tuple((r.token, r.label) for r in g) for _, g in itertools.groupby(rows, key=lambda r: r.sentence)))
+
+
+@functools.lru_cache(maxsize=2)
+def trained(sentences: tuple) -> Field:
+    """The field of a table's sentences; the same table isn't learned twice by one driver."""
+    return train([list(s) for s in sentences])
 
 
 # ---- decoding --------------------------------------------------------------------------------------------------
@@ -332,7 +458,7 @@ class Decoder:
         """A token's class is its tuple of features; scores belong to classes."""
         self.token: dict[str, int] = {}
         self.kind: dict[tuple, int] = {}
-        self.parts = np.zeros((0, 3, len(LABELS)))
+        self.parts = np.zeros((0, len(OFFSETS), len(LABELS)), np.float32)
         self.ends = np.zeros(0, bool)
 
     def classes(self, tokens: list[str]) -> np.ndarray:
@@ -340,15 +466,15 @@ class Decoder:
             self.forget()
         new_kinds = []
         for t in set(tokens).difference(self.token):
-            f = features(t)
+            f = (features(t), ends_sentence(t))
             k = self.kind.get(f)
             if k is None:
                 k = self.kind[f] = len(self.kind)
                 new_kinds.append(t)
             self.token[t] = k
         if new_kinds:
-            self.parts = np.concatenate([self.parts, self.field.parts(new_kinds)])
-            self.ends = np.append(self.ends, [t[-1] in ".!?" for t in new_kinds])
+            self.parts = np.concatenate([self.parts, self.field.parts(new_kinds).astype(np.float32)])
+            self.ends = np.append(self.ends, [ends_sentence(t) for t in new_kinds])
         return np.fromiter(map(self.token.__getitem__, tokens), np.int64, len(tokens))
 
     def labels(self, tokens: list[str], counts: list[int]) -> np.ndarray:
@@ -364,7 +490,6 @@ class Decoder:
         begin[1:] |= self.ends[c[:-1]]
         start = np.flatnonzero(begin)
         length = np.diff(np.append(start, n))
-        parts = self.parts.astype(np.float32)
         order = np.argsort(length, kind="stable")
         lo = 0
         while lo < len(order):
@@ -374,13 +499,9 @@ class Decoder:
             s, size = start[rows], length[rows]
             steps = int(size.max())
             at = s[:, None] + np.minimum(np.arange(steps), (size - 1)[:, None])
-            k = c[at]
-            scores = parts[k, 0]
-            scores[:, 1:] += parts[k[:, :-1], 1]
-            follows = np.arange(1, steps)[None] < size[:, None]
-            scores[:, :-1] += np.where(follows[:, :, None], parts[k[:, 1:], 2], np.float32(0))
-            got = self.field.best(scores, size)
             inside = np.arange(steps) < size[:, None]
+            scores = sentence_scores(self.parts, c[at], inside)
+            got = self.field.best(scores, size)
             out[at[inside]] = got[inside]
             lo = hi
         return out
@@ -393,6 +514,8 @@ def field_spans(text: str, labels: np.ndarray) -> list[tuple[str, int, int]]:
         if not y:
             continue
         word = m.group()
+        if not word.strip(TRIM):
+            continue
         a = m.start() + len(word) - len(word.lstrip(TRIM))
         b = m.end() - (len(word) - len(word.rstrip(TRIM)))
         kind = LABELS[y]
