@@ -104,11 +104,13 @@ def auroc_replicates(df: DataFrame, arm: str, score: str, positive: Column, bloc
     return {a: (float(value(v, np.ones((1, g)))[0]), value(v, draws)) for a, v in _added(flat, arm, part, g * g + 2 * g).items()}
 
 
-def spearman_replicates(df: DataFrame, arm: str, x: str, y: str, block: str, blocks: list, draws: np.ndarray) -> dict:
-    """arm -> (Spearman, its replicates): Pearson of weighted mid-ranks, from two orderings and one scan."""
+def spearman_replicates(df: DataFrame, arm: str, x: str, y: str, block: str, blocks: list, draws: np.ndarray, weight: Column | None = None) -> dict:
+    """arm -> (Spearman, its replicates): Pearson of weighted mid-ranks, from two orderings and one scan.
+
+    weight: what a row counts (of mean 1 or so); a draw multiplies it."""
     g = len(blocks)
     rows = _numbered(df.where(F.col(x).isNotNull() & F.col(y).isNotNull() & F.col(block).isNotNull()), block, blocks)
-    cells = rows.groupBy(arm, x, y, "_g").agg(F.count("*").alias("_c"))
+    cells = rows.groupBy(arm, x, y, "_g").agg((F.count("*") if weight is None else F.sum(weight)).alias("_c"))
 
     def below(v: str, name: str) -> DataFrame:
         groups = cells.groupBy(arm, v).agg(*_held("n", g, F.col("_c")))
@@ -141,6 +143,21 @@ def spearman_replicates(df: DataFrame, arm: str, x: str, y: str, block: str, blo
     return {a: (float(value(v, np.ones((1, g)))[0]), value(v, draws)) for a, v in _added(flat, arm, part, 3 * cube + 2 * g * g + g).items()}
 
 
+def ratio_replicates(df: DataFrame, arm: str, over: Column, under: Column, block: str, blocks: list, draws: np.ndarray) -> dict:
+    """arm -> (sum of over / sum of under, its replicates); NaN where a draw's divisor is 0. A row an arm and block comes back."""
+    place = {b: i for i, b in enumerate(blocks)}
+    held: dict = {}
+    for r in df.groupBy(F.col(arm).alias("a"), F.col(block).alias("b")).agg(F.sum(over).alias("p"), F.sum(under).alias("q")).collect():
+        held.setdefault(r.a, np.zeros((2, len(blocks))))[:, place[r.b]] = [r.p or 0.0, r.q or 0.0]
+    m = np.vstack([np.ones((1, len(blocks))), draws])
+    out = {}
+    for a, (p, q) in held.items():
+        with np.errstate(invalid="ignore", divide="ignore"):
+            v = np.where(m @ q != 0, (m @ p) / (m @ q), np.nan)
+        out[a] = (float(v[0]), v[1:])
+    return out
+
+
 def interval(replicates: np.ndarray, alpha: float = 0.05) -> tuple[float, float]:
     """Percentile interval of the finite replicates."""
     r = replicates[np.isfinite(replicates)]
