@@ -26,4 +26,4 @@ def query(name: str, oracle: str | None = None):
 
 def load() -> None:
     """Import the modules that register queries."""
-    from marlstone.plans import analysis, campaign, complete, endpoints, extra, further, positional, probes, representations, scalar, statistics  # noqa: F401
+    from marlstone.plans import analysis, assessment, campaign, complete, endpoints, extra, further, positional, probes, representations, scalar, statistics  # noqa: F401

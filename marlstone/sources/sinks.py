@@ -63,6 +63,13 @@ def fresh_folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/marlstone-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df written to a fresh folder and read again: for a table that several branches of a plan read."""
+    path = fresh_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_matrix(values: DataFrame, path: str) -> None:
     """A long matrix (chrom, sample, locus, beta), a row for each cell: cells with several probes hold their mean."""
     cells = values.groupBy("chrom", "sample", "locus").agg(F.avg("beta").alias("beta"), F.count("beta").alias("probes"))
