@@ -63,3 +63,12 @@ def test_few_rows_and_none(spark):
     check(spark, np.ones((1, 2)), "euclidean")
     empty = spark.createDataFrame([], "id long, v array<double>")
     assert neighbours.nearest_vectors(empty, "id", "v", 3).count() == 0
+
+
+def test_queries_that_visit_every_cell_are_written_once(spark, monkeypatch):
+    """A query that pivots cannot guide goes to each block, not to each cell, and no table of such copies is written."""
+    monkeypatch.setattr(neighbours, "BLOCK", 100)
+    written, cut = [], neighbours.cut
+    monkeypatch.setattr(neighbours, "cut", lambda df: written.append(cut(df)) or written[-1])
+    check(spark, np.random.default_rng(4).normal(size=(400, 24)), "cosine")
+    assert max(df.count() for df in written) <= 400
