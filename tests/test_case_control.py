@@ -108,3 +108,12 @@ def test_matching_query_keeps_its_contract(spark, sf):
     for r in got:
         c, p = where[r.case_id], where[r.control_id]
         assert c.c_nationkey < 5 <= p.c_nationkey and c.c_mktsegment == p.c_mktsegment and abs(c.b - p.b) <= 400
+
+
+def test_crowded_stretches_end_in_few_rounds(spark, monkeypatch):
+    """Cases that all prefer the same few controls: a round settles whole stretches, not only the first cases of each."""
+    monkeypatch.setattr(case_control, "STRETCH", 40)
+    rng = np.random.default_rng(6)
+    row = lambda i, k: (int(i), "s", (float(np.round(rng.uniform(0, 100), 2)), float(k)))
+    got = check(spark, [row(i, rng.integers(0, 5)) for i in range(150)], [row(i, rng.integers(5, 25)) for i in range(150, 750)], (4.0, None), n=2)
+    assert got.rounds <= 8
