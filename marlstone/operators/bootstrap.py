@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from marlstone.operators import ordered
 from marlstone.operators.contracts import require_unique
 from marlstone.operators.splits import hash_positions
+from marlstone.sources.sinks import written
 
 #: Blocks at most: the moments of a correlation are blocks**3 numbers.
 MOST_BLOCKS = 64
@@ -187,7 +188,8 @@ def paired_crossed(reference: DataFrame, alternative: DataFrame, unit: str, item
     same = F.col("_in_r") & F.col("_in_a") & (F.abs(F.col("_t") - F.col("_u")) <= 1e-7) & (F.col("_n") == F.col("_m"))
     fault = F.raise_error(F.lit("predictions are not paired on identical keys, targets and counts")).cast("double")
     pairs = r.join(a, key, "full").withColumn("_d", F.when(same, F.col("_a") - F.col("_r")).otherwise(fault))
-    cells = pairs.groupBy(unit, block).agg(F.sum(F.col("_n") * F.col("_d")).alias("delta"), F.sum(F.col("_n") * F.col("_r")).alias("base"), F.sum("_n").alias("obs"), F.count("*").alias("pairs"))
+    # a row a unit and block: written, since five branches read it and the pairs must be made once
+    cells = written(pairs.groupBy(unit, block).agg(F.sum(F.col("_n") * F.col("_d")).alias("delta"), F.sum(F.col("_n") * F.col("_r")).alias("base"), F.sum("_n").alias("obs"), F.count("*").alias("pairs")))
     units, blocks = (hash_positions(cells.select(c).distinct(), c, seed).select(c, F.col("_rn").alias(f"_{c}")) for c in (unit, block))
     nu, nb = units.count(), blocks.count()
     if nu < 2 or nb < 2:

@@ -131,3 +131,11 @@ def test_seed_mixture_equals_a_loop(spark):
     got = rows["delta", "a"]
     assert got.comparison == "a - b" and np.allclose([got.ci_lo, got.ci_hi], np.quantile(diff, [0.025, 0.975])) and rows["auc", "a"].p is None
     assert abs(got.p - min(1, 2 * (min((diff <= 0).mean(), (diff >= 0).mean()) + 1 / 31))) < 1e-12
+
+
+def test_crossed_pairs_are_made_once(spark):
+    cells = spark.range(300).select((F.col("id") % 6).alias("u"), F.col("id").alias("item"), (F.col("id") % 4).alias("b"), F.lit(0.5).alias("target"), F.lit(1).alias("n"))
+    r, a = (cells.withColumn("squared_error", F.rand(s)) for s in (3, 4))
+    out = bootstrap.paired_crossed(r, a, "u", "item", "b", 10, 1)
+    assert "FullOuter" not in out._jdf.queryExecution().optimizedPlan().toString()  # branches read the written cells, not the pairs
+    assert out.first().n_pairs == 300
