@@ -22,6 +22,8 @@ from marlstone.sources.sinks import written
 
 #: Blocks at most: the moments of a correlation are blocks**3 numbers.
 MOST_BLOCKS = 64
+#: Pairs whose scores one task holds.
+PART = 500_000
 
 
 def drawn(n: Column | int, *parts: Column | str | int) -> Column:
@@ -220,6 +222,7 @@ def seed_mixture(pairs: DataFrame, match_seed: str, block: str, pair: str, arms:
 
     arms: name -> (score of the positive, score of the negative) of a pair; a drawn pair brings both its scores into every
     arm alike. Pair ids (numeric) are unique within a match seed. Seeds are few; the work is pairs x replicates / seeds rows.
+    Each draw is shuffled once, as a number of the drawn pair and its replicate, and meets the pair's scores unsorted.
     """
     seeds = [r[0] for r in pairs.select(match_seed).where(F.col(match_seed).isNotNull()).distinct().orderBy(match_seed).limit(10_001).collect()]
     if not 0 < len(seeds) <= 10_000:
@@ -228,14 +231,22 @@ def seed_mixture(pairs: DataFrame, match_seed: str, block: str, pair: str, arms:
     chosen = spark.range(replicates).select(F.col("id").alias("replicate"), F.element_at(F.array(*(F.lit(s) for s in seeds)), (drawn(len(seeds), seed, F.lit("seed"), "id") + 1).cast("int")).alias(match_seed))
     scores = [c for v in arms.values() for c in v]
     slim = pairs.select(match_seed, block, pair, *dict.fromkeys(scores)).withColumn("_one", F.lit(1))
-    numbered = ordered.running(slim, pair, ["_one"], (match_seed, block)).withColumnsRenamed({"before__one": "_k", "all__one": "_m"}).drop("_one")
-    # draw k of a block falls on pair `_at`; replicates are few, so their table goes to the rows
-    hits = numbered.select(match_seed, block, "_k", "_m").join(F.broadcast(chosen), match_seed).withColumn("_at", drawn(F.col("_m"), seed, "replicate", block, "_k"))
-    times = hits.groupBy("replicate", match_seed, block, F.col("_at").alias("_k")).agg(F.count("*").alias("_w"))
-    drawn_pairs = times.join(numbered, [match_seed, block, "_k"])
+    numbered = ordered.running(slim, pair, ["_one"], (match_seed, block)).withColumnsRenamed({"before__one": "_k", "all__one": "_m"})
+    numbered = written(numbered.select(match_seed, block, "_k", "_m", *dict.fromkeys(scores)))  # read for the groups' sizes, the draws and the scores
+    # groups (seeds x blocks, few) follow each other in one numbering of all pairs
+    sizes = numbered.groupBy(match_seed, block).agg(F.max("_m").alias("_size"))
+    first = Window.orderBy(match_seed, block).rowsBetween(Window.unboundedPreceding, -1)
+    placed = numbered.join(F.broadcast(sizes.withColumn("_first", F.coalesce(F.sum("_size").over(first), F.lit(0))).drop("_size")), [match_seed, block])
+    # draw k of a block falls on one of its pairs; replicates are few, so their table goes to the rows
+    hits = placed.select(match_seed, block, "_k", "_m", "_first").join(F.broadcast(chosen), match_seed)
+    hits = hits.select("replicate", (F.col("_first") + drawn(F.col("_m"), seed, "replicate", block, "_k")).alias("_place"))
+    held = placed.select((F.col("_first") + F.col("_k")).alias("_place"), match_seed, *dict.fromkeys(scores))
+    # so many parts that a part's scores are a small table
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), numbered.count() // PART + 1)
+    drawn_pairs = hits.repartition(parts, "_place").join(held.repartition(parts, "_place").hint("shuffle_hash"), "_place")
     sides = F.explode(F.array(*(F.struct(F.lit(a).alias("arm"), F.lit(i == 0).alias("positive"), F.col(c).cast("double").alias("score")) for a, v in arms.items() for i, c in enumerate(v)))).alias("s")
-    rows = drawn_pairs.select("replicate", match_seed, "_w", sides).select("replicate", match_seed, "_w", "s.*")
-    return ordered.auroc(rows, "score", F.col("positive"), ("arm", "replicate", match_seed), F.col("_w").cast("double")).select("arm", "replicate", match_seed, "auroc")
+    rows = drawn_pairs.select("replicate", match_seed, sides).select("replicate", match_seed, "s.*")
+    return ordered.auroc(rows, "score", F.col("positive"), ("arm", "replicate", match_seed)).select("arm", "replicate", match_seed, "auroc")
 
 
 def mixture_report(pairs: DataFrame, match_seed: str, block: str, pair: str, arms: dict[str, tuple[str, str]], replicates: int, seed: int, comparisons: list[tuple[str, str]]) -> DataFrame:

@@ -139,3 +139,10 @@ def test_crossed_pairs_are_made_once(spark):
     out = bootstrap.paired_crossed(r, a, "u", "item", "b", 10, 1)
     assert "FullOuter" not in out._jdf.queryExecution().optimizedPlan().toString()  # branches read the written cells, not the pairs
     assert out.first().n_pairs == 300
+
+
+def test_draws_of_a_mixture_are_shuffled_once(spark):
+    n = F.col("id")
+    df = spark.range(200).select((n % 2).alias("ms"), (n % 3).cast("string").alias("chrom"), n.alias("pair"), F.rand(1).alias("p"), F.rand(2).alias("q"))
+    plan = bootstrap.seed_mixture(df, "ms", "chrom", "pair", {"a": ("p", "q")}, 8, 7)._jdf.queryExecution().sparkPlan().toString()
+    assert "ShuffledHashJoin [_place" in plan  # no count by pair before, no sort of the draws
