@@ -9,6 +9,7 @@ from marlstone.operators import contracts, lookups, ordered, pair_space, splits,
 from marlstone.operators import intervals as spans
 from marlstone.plans.registry import query
 from marlstone.session import table
+from marlstone.sources import sinks
 
 
 @query("jn1_strict_lookup", "SELECT l_orderkey, l_linenumber, p_brand FROM lineitem JOIN part ON p_partkey = l_partkey")
@@ -320,9 +321,13 @@ def _(spark, sf_dir):
 )
 def _(spark, sf_dir):
     s = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("p")).distinct()
-    k = s.groupBy("s").agg(F.count("*").alias("n"))
-    o = s.join(s.select(F.col("s").alias("t"), "p"), "p").where("s <> t").groupBy("s", "t").agg(F.count("*").alias("c"))
-    j = o.join(k, "s").join(k.select(F.col("s").alias("t"), F.col("n").alias("m")), "t")
+    sized = sinks.written(s.join(s.groupBy("s").agg(F.count("*").cast("int").alias("n")), "s"))  # a set's size goes with its rows
+    # a part's sets, in lists of some hundreds, go to each of them: pairs are first made where they are counted
+    lists = sized.join(sized.groupBy("p").agg(F.count("*").alias("k")), "p").groupBy("p", F.pmod(F.xxhash64("s"), F.ceil(F.col("k") / 512)).alias("_part")).agg(F.collect_list(F.struct("s", "n")).alias("l"))
+    lists = lists.select("p", F.transform("l", lambda v: v["s"]).alias("t"), F.transform("l", lambda v: v["n"]).alias("m"))
+    met = sized.join(lists, "p").select("s", "n", "t", "m").repartition("s")
+    met = met.select("s", "n", F.explode(F.arrays_zip("t", "m")).alias("o")).select("s", "n", "o.t", "o.m").where("s <> t")
+    j = met.groupBy("s", "t", "n", "m").agg(F.count("*").alias("c"))
     j = j.select("s", "t", F.round(F.col("c") / (F.col("n") + F.col("m") - F.col("c")), 6).alias("jaccard"))
     best = j.groupBy("s").agg(F.max(F.struct("jaccard", (-F.col("t")).alias("t"))).alias("b"))
     return best.select("s", (-F.col("b.t")).alias("partner"), F.col("b.jaccard").alias("jaccard"))

@@ -62,3 +62,19 @@ def test_overlaps_of_mixed_lengths(spark):
     inside = [(r.id, r.r_locus) for r in intervals.expand_blocks(df(a), loci, ("t",)).collect()]
     assert sorted(inside) == sorted((x[0], i) for x in a for i in range(-50, 200, 3) if hit(x, (0, "xy"[i % 2], i, i)))
     assert intervals.overlap_pairs(df(a), df([]), ("t",)).count() == 0 == intervals.overlap_pairs(df([]), df(b), ("t",)).count()
+
+
+def test_partners_are_shuffled_as_lists(spark, tmp_path):
+    """200 sets that share one part: 39,800 pairs, which no shuffle writes."""
+    import __spark_entry__ as entry
+
+    line = spark.range(200).selectExpr("id AS l_suppkey", "7L AS l_partkey", "'R' AS l_returnflag")
+    line.write.parquet(f"{tmp_path}/lineitem.parquet")
+    out = entry.queries()["jn32_best_overlap_partner"](spark, str(tmp_path))
+    store = spark.sparkContext._jsc.sc().statusStore()
+    array = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+    stages = lambda: {s.stageId(): s.shuffleWriteRecords() for s in spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(store.stageList(None, False, False, array, None))}
+    before = set(stages())
+    rows = {r.s: (r.partner, r.jaccard) for r in out.collect()}
+    assert rows == {s: (0 if s else 1, 1.0) for s in range(200)}
+    assert max(n for s, n in stages().items() if s not in before) < 5_000
