@@ -15,9 +15,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.operators.eigen import lobpcg
+from marlstone.sources.sinks import written
 
 #: Columns of a block that is added up by one task.
 COLUMNS = 4_096
+#: Sparse entries that a product takes at a time: its work space is these times the columns of the right side.
+ENTRIES = 65_536
 
 
 def _rows(pdf: pd.DataFrame, dense: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -32,7 +35,9 @@ def _rows(pdf: pd.DataFrame, dense: int) -> tuple[np.ndarray, np.ndarray, np.nda
 def _times(row: np.ndarray, column: np.ndarray, value: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
     """Sparse rows times a dense matrix."""
     out = np.zeros((n, right.shape[1]))
-    np.add.at(out, row, value[:, None] * right[column])
+    for at in range(0, len(row), ENTRIES):
+        own = slice(at, at + ENTRIES)
+        np.add.at(out, row[own], value[own, None] * right[column[own]])
     return out
 
 
@@ -119,7 +124,7 @@ def fit_transform_map(df: DataFrame, indices: str, data: str | None, dense: str,
 
     columns: of the sparse part. Two rows are needed at least. The driver holds (columns + dense) x 3 (width + 8) numbers.
     """
-    slim = _slim(df, indices, data, dense)
+    slim = written(_slim(df, indices, data, dense))  # each product reads it
     p = len(slim.select("z").first().z) if (n := slim.count()) else 0
     if n < 2:
         raise ValueError("two fit rows at least")
@@ -152,8 +157,7 @@ def fit_transform_map(df: DataFrame, indices: str, data: str | None, dense: str,
             row, column, value, z = _rows(pdf, p)
             value, z = value * scale, (z - mean) / std * dense_scale
             y = _times(row, column, value, v[:columns], len(pdf)) + z @ v[columns:]
-            out = np.zeros((d, v.shape[1]))
-            np.add.at(out, column, value[:, None] * y[row])
+            out = _times(column, row, value, y, d)
             out[columns:] = z.T @ y
             return {"s": out}
 
@@ -180,9 +184,7 @@ def residual_associations(df: DataFrame, indices: str, data: str | None, dense:
         row, column, value, z = _rows(pdf, 1)
         z, t = np.column_stack([np.ones(len(pdf)), z]), pdf.y.to_numpy(float)
         both = np.column_stack([z, t])
-        cross = np.zeros((columns, both.shape[1]))
-        np.add.at(cross, column, value[:, None] * both[row])
-        return {"cross": cross, "small": both.T @ both, "energy": np.bincount(column, value * value, columns)[:, None]}
+        return {"cross": _times(column, row, value, both, columns), "small": both.T @ both, "energy": np.bincount(column, value * value, columns)[:, None]}
 
     sums = _added(slim, part, "f")
     folds = sorted({f for f, _ in sums})

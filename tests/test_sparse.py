@@ -1,5 +1,7 @@
 """Sparse estimators against dense ones on the same rows."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 
@@ -71,3 +73,15 @@ def test_eigenpairs_of_close_values():
     assert np.allclose(values, e[:4], rtol=1e-12) and worst < 1e-13 and made < 60
     assert np.allclose(np.abs((q[:, :4] * found).sum(0)), 1, atol=1e-10)
     assert eigen.lobpcg(lambda b: 0 * b, 5, 2)[0].tolist() == [0, 0]
+
+
+def test_products_take_bounded_work_space():
+    entries, width = 1_000_000, 48
+    rng = np.random.default_rng(1)
+    row, column, right = np.sort(rng.integers(0, 10_000, entries)), rng.integers(0, 400, entries), rng.normal(size=(400, width))
+    tracemalloc.start()
+    got = sparse._times(row, column, np.ones(entries), right, 10_000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak - got.nbytes < 100e6  # entries x width doubles are 384 MB
+    assert np.allclose(got[17], right[column[row == 17]].sum(0))
