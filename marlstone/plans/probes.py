@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from marlstone.functions import maths, vectors
 from marlstone.operators import inference, ordered, probes
 from marlstone.plans.registry import query
 from marlstone.session import table
+from marlstone.sources import sinks
 
 ALPHAS = (0.1, 1.0, 10.0, 100.0, 1000.0)
 LOO_ALPHAS = tuple(float(a) for a in np.logspace(-2, 4, 13))
@@ -103,7 +105,7 @@ def _(spark, sf_dir):
     lead = e.where("positive = 1").select((F.col("vec_id") + 1).alias("vec_id"), F.col("vec_id").alias("pair"), F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(4)).alias("strength"))
     control = e.where("positive = 0").join(lead, "vec_id")
     case = e.where("positive = 1").join(control.select(F.col("pair").alias("vec_id"), "pair", "strength"), "vec_id")
-    rows = case.unionByName(control).select("pair", "strength", "fold", "embedding", "positive")
+    rows = sinks.written(case.unionByName(control).select("pair", "strength", "fold", "embedding", "positive"))  # each pass of the probes reads it
     out = None
     for least in (0, 2):
         kept = rows.where(F.col("strength") >= least)

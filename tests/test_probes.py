@@ -136,3 +136,25 @@ def test_compartments_find_two_halves(spark):
 
 def test_group_folds_are_balanced():
     assert probes.group_folds({1: 5, 2: 5, 3: 9, 4: 1}, 2) == {3: 0, 2: 1, 1: 1, 4: 0}
+
+
+def test_last_wanted_hash_is_exact(spark):
+    from marlstone.plans import probes as plans
+
+    rng = np.random.default_rng(6)
+    rows = [(g, int(h)) for g in range(4) for h in rng.integers(-(2**63), 2**63 - 1, 500)] + [(3, -5)] * 40 + [(4, 9)]
+    want = {0: 1, 1: 250, 2: 499, 3: 260, 4: 7}
+    got = plans.last_wanted(spark.createDataFrame(rows, "g long, h long").repartition(4), spark.createDataFrame(list(want.items()), "g long, want long"), "h", ["g"], ["g"])
+    assert "rangepartitioning" not in got._jdf.queryExecution().executedPlan().toString()
+    held = {g: sorted(h for k, h in rows if k == g) for g in want}
+    assert {r.g: r["last"] for r in got.collect()} == {g: held[g][min(n, len(held[g])) - 1] for g, n in want.items()}
+
+
+def test_membership_pairs_are_made_once(spark, sf, monkeypatch):
+    from marlstone.plans import probes as plans
+    from marlstone.plans import registry
+
+    seen = []
+    monkeypatch.setattr(plans.probes, "blocked_logistic", lambda df, *_: seen.append(df._jdf.queryExecution().optimizedPlan().toString()) or ({f: np.zeros(65) for f in range(5)}, {}))
+    registry.QUERIES["cq5_membership_probe"](spark, sf)
+    assert len(seen) == 2 and not any("Join" in plan for plan in seen)  # every pass of the fits reads the written pairs
