@@ -145,6 +145,25 @@ def _(spark, sf_dir):
 
 
 SEEDS, ARMS, VARIANTS, REPLICATES = 4, 2, 2, 500
+#: Leading bits of a hash that are counted first.
+BITS = 12
+
+
+def last_wanted(rows, wanted, h, by, per):
+    """(by, last): the greatest of the `want` (table wanted, keyed by per) least 64-bit hashes h of each group, repeats counted; in a group
+    with fewer rows its greatest.
+
+    Hashes are counted by their leading bits, which tasks add up; only the hashes of the bin where the count is reached are ordered.
+    """
+    bins = rows.withColumn("bin", F.shiftright(h, 64 - BITS))
+    counts = bins.groupBy(*by, "bin").agg(F.count("*").alias("n"))
+    so_far = Window.partitionBy(*by).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)  # at most 2 ** BITS rows a group
+    reached = counts.withColumn("before", F.coalesce(F.sum("n").over(so_far), F.lit(0))).join(F.broadcast(wanted), per).where("before < want")
+    held = reached.groupBy(*by).agg(F.max_by(F.struct("bin", "before", "want"), "bin").alias("at"))
+    inside = bins.join(F.broadcast(held.select(*by, "at.*")), [*by, "bin"])
+    order = Window.partitionBy(*by).orderBy(h).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = inside.groupBy(*by, "before", "want", h).agg(F.count("*").alias("n")).withColumn("place", F.col("before") + F.sum("n").over(order) - F.col("n"))
+    return placed.where("place < want").groupBy(*by).agg(F.max(h).alias("last"))
 
 
 @query("cq25_set_robustness")
@@ -161,9 +180,9 @@ def _(spark, sf_dir):
     each = e.withColumn("trait", F.explode(F.array(*(F.lit(v) for v in labels)))).withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(SEEDS - 1)))).withColumn("case", F.col("label") == F.col("trait"))
     each = each.withColumn("h", F.when(~F.col("case"), F.xxhash64("vec_id", "trait", "seed")))
     wanted = e.groupBy(F.col("label").alias("trait"), "fold").agg(F.count("*").alias("want"))
-    control = ordered.running(each.where(~F.col("case")).groupBy("trait", "seed", "fold", "h").agg(F.count("*").alias("n")), "h", ["n"], ("trait", "seed", "fold"))
-    control = control.join(F.broadcast(wanted), ["trait", "fold"]).where(F.col("before_n") < F.col("want")).select("trait", "seed", "fold", "h")
-    rows = each.where("case").drop("h").unionByName(each.join(control, ["trait", "seed", "fold", "h"], "left_semi").drop("h"))
+    last = last_wanted(each.where("h is not null"), wanted, "h", ["trait", "seed", "fold"], ["trait", "fold"])
+    # a row a set, seed and fold
+    rows = each.join(F.broadcast(last), ["trait", "seed", "fold"], "left").where(F.col("case") | (F.col("h") <= F.col("last"))).drop("h", "last")
     rows = rows.withColumn("variant", F.explode(F.when(F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(10)) == 0, F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))))
     rows = rows.withColumn("arm", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("half", F.floor(F.size("embedding") / 2).cast("int"))
     rows = rows.withColumn("x", F.slice("embedding", F.col("arm") * F.col("half") + 1, F.col("half"))).withColumn("t", F.array(F.col("case").cast("double")))
