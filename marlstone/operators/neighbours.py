@@ -44,6 +44,20 @@ def _classes(df: DataFrame, keep: int) -> DataFrame:
     return few.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")).select(F.col("ids")[0].alias("rep"), "ids", "v")
 
 
+def _rows_at_once(columns: int) -> int:
+    """Rows whose distances to so many pivots or cells are held at once."""
+    return max(1, ROOM // max(1, columns))
+
+
+def _located(x: np.ndarray, p: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest pivot of each row and its distance, by ROOM distances at most."""
+    cell, away, step = np.zeros(len(x), np.int32), np.zeros(len(x)), _rows_at_once(len(p))
+    for lo in range(0, len(x), step):
+        d = _distance(_likeness(x[lo : lo + step], p, metric), metric)
+        cell[lo : lo + step], away[lo : lo + step] = d.argmin(1), d.min(1)
+    return cell, away
+
+
 def _near_order(p: np.ndarray, metric: str) -> list[int]:
     """Pivots in a chain from each to the nearest one left."""
     out, left = [0], np.ones(len(p), bool)
@@ -129,8 +143,7 @@ def nearest_vectors(vectors: DataFrame, key: str, vector: str, k: int, queries:
     def locate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
-                d = _distance(_likeness(_scaled(pdf.v, metric), p, metric), metric)
-                pdf["cell"], pdf["away"] = d.argmin(1).astype(np.int32), d.min(1)
+                pdf["cell"], pdf["away"] = _located(_scaled(pdf.v, metric), p, metric)
                 yield pdf
 
     def located(df: DataFrame) -> DataFrame:
@@ -164,10 +177,14 @@ def nearest_vectors(vectors: DataFrame, key: str, vector: str, k: int, queries:
 
     def bounds(pdf: pd.DataFrame, x: np.ndarray, which: np.ndarray) -> np.ndarray:
         """Whether each query must visit each of the cells `which`, by its k-th distance so far (`worst`, null: unknown)."""
-        d = _distance(_likeness(x, p[which], metric), metric)
-        worst = pdf.worst.to_numpy(float)
-        reach = np.where(np.isnan(worst), np.inf, _distance(-np.where(np.isnan(worst), 0, worst), metric))
-        return np.maximum(d - radius[which], (d - pdf.away.to_numpy(float)[:, None]) / 2) <= reach[:, None] + slack
+        worst, away = pdf.worst.to_numpy(float), pdf.away.to_numpy(float)
+        reach = np.where(np.isnan(worst), np.inf, _distance(-np.where(np.isnan(worst), 0, worst), metric)) + slack
+        go, step = np.zeros((len(x), len(which)), bool), _rows_at_once(len(which))
+        for lo in range(0, len(x), step):
+            at = slice(lo, lo + step)
+            d = _distance(_likeness(x[at], p[which], metric), metric)
+            go[at] = np.maximum(d - radius[which], (d - away[at, None]) / 2) <= reach[at, None]
+        return go
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         q, b = pdf[pdf.asks], pdf[~pdf.asks].sort_values(["cell", "rep"], kind="stable")

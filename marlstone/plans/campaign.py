@@ -12,6 +12,7 @@ from marlstone.functions import vectors
 from marlstone.operators import bootstrap, inference, neighbours, probes
 from marlstone.plans.registry import query
 from marlstone.session import table
+from marlstone.sources.sinks import written
 
 #: Endpoint -> (class, statistic).
 ENDPOINTS = {
@@ -66,27 +67,30 @@ def by_arm(df, endpoint, *keep):
 
 
 def statistics(spark, sf_dir) -> dict[tuple[str, str], tuple[float, object]]:
-    """(endpoint, arm) -> (value, replicates): all under one table of draws."""
-    ends = loci(spark, sf_dir)
+    """(endpoint, arm) -> (value, replicates): all under one table of draws.
+
+    Loci, pairs, predictions and scores are written once each: every statistic reads its rows several times.
+    """
+    ends = written(loci(spark, sf_dir))
     blocks = [r[0] for r in ends.select("block").distinct().orderBy("block").limit(65).collect()]  # 64 at most, checked by the operator
     draws = bootstrap.hash_draws(spark, len(blocks), DRAWS, SEED)
     n = table(spark, sf_dir, "embeddings").count()
     ids = ends.select("i")
     drawn = ids.select("i", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("k")).select("i", bootstrap.drawn(n, SEED, "i", "k").alias("j")).where("i <> j").distinct()
-    pairs = compared(drawn, ends, "profile", "activity")
-    like = lambda c: F.round(vectors.paired_pearson(F.col(f"{c}_i"), F.col(f"{c}_j")), 9).alias("y")
+    like = lambda c: F.round(vectors.paired_pearson(F.col(f"{c}_i"), F.col(f"{c}_j")), 9).alias(c)
+    pairs = written(compared(drawn, ends, "profile", "activity").select("block_i", "block_j", like("profile"), like("activity"), *(f"cos_{a}" for a in ARMS)))
     stratum = (F.col("block_i") == F.col("block_j")).alias("within")
-    profile = pairs.select("block_i", stratum, like("profile"), *(f"cos_{a}" for a in ARMS)).where("y is not null")
+    profile = pairs.select("block_i", stratum, F.col("profile").alias("y"), *(f"cos_{a}" for a in ARMS)).where("y is not null")
     strata = profile.groupBy("within").agg(F.count("*").alias("_n"))  # two rows: each stratum weighs the same in all
     whole = strata.agg(F.sum("_n").alias("_t"), F.count("*").alias("_k"))
     profile = profile.join(F.broadcast(strata.crossJoin(F.broadcast(whole))), "within").withColumn("w", F.col("_t") / (F.col("_k") * F.col("_n")))
     ranked = by_arm(profile, "profile_similarity", "y", "block_i", "w")
-    ranked = ranked.unionByName(by_arm(pairs.select("block_i", like("activity"), F.lit(1.0).alias("w"), *(f"cos_{a}" for a in ARMS)), "activity_similarity", "y", "block_i", "w"))
+    ranked = ranked.unionByName(by_arm(pairs.select("block_i", F.col("activity").alias("y"), F.lit(1.0).alias("w"), *(f"cos_{a}" for a in ARMS)), "activity_similarity", "y", "block_i", "w"))
 
     # contacts: loci of one order; each has a control with the same first end
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderstatus")
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").cast("long").alias("i")).join(ids, "i").distinct()
-    met = li.join(li.withColumnRenamed("i", "j"), "l_orderkey").where("i < j").join(o, "l_orderkey").groupBy("i", "j").agg(F.max((F.col("o_orderstatus") == "F").cast("int")).alias("second"))
+    met = written(li.join(li.withColumnRenamed("i", "j"), "l_orderkey").where("i < j").join(o, "l_orderkey").groupBy("i", "j").agg(F.max((F.col("o_orderstatus") == "F").cast("int")).alias("second")))
     control = met.select("i", bootstrap.drawn(n, SEED + 1, "i", "j").alias("k"), "second").where("i <> k")
     control = control.select(F.least("i", "k").alias("i"), F.greatest("i", "k").alias("j"), "second").join(met.select("i", "j"), ["i", "j"], "left_anti").groupBy("i", "j").agg(F.max("second").alias("second"))
     both = compared(met.withColumn("y", F.lit(1)).unionByName(control.withColumn("y", F.lit(0))), ends)
@@ -98,7 +102,7 @@ def statistics(spark, sf_dir) -> dict[tuple[str, str], tuple[float, object]]:
         held = ends.select("i", "block", "fold", F.col(arm).alias("x"), "member", "domain", "consensus", "a", "b")
         joint = held.where("a is not null and b is not null and domain is not null").withColumn("t", F.array("a", "b", F.col("domain").cast("double")))
         fit, _ = probes.blocked_ridge(probes.sums(joint, "x", "t", "fold"), ALPHAS)
-        p = probes.predicted(joint, "x", "fold", fit, "p")
+        p = written(probes.predicted(joint, "x", "fold", fit, "p").select("p", "a", "b", "domain", "block"))
         for k, name in enumerate(("compartment_probe_a", "compartment_probe_b")):
             ranked = ranked.unionByName(p.select(F.lit(f"{name}|{arm}").alias("key"), F.col("p")[k].alias("x"), F.col("ab"[k]).alias("y"), F.col("block").alias("block_i"), F.lit(1.0).alias("w")))
         scored = scored.unionByName(p.select(F.lit(f"domain_probe|{arm}").alias("key"), F.col("p")[2].alias("x"), F.col("domain").alias("y"), F.col("block").alias("block_i")))
@@ -117,8 +121,8 @@ def statistics(spark, sf_dir) -> dict[tuple[str, str], tuple[float, object]]:
         near = q if near is None else near.unionByName(q)
     told = near.join(marks, "i").join(F.broadcast(share), "marker").join(marks.select(F.col("i").alias("neighbour"), F.col("marker").alias("other")), "neighbour")
     found = bootstrap.ratio_replicates(told, "key", F.coalesce((F.col("marker") == F.col("other")).cast("double"), F.lit(0.0)), F.col("expected"), "block", blocks, draws)
-    found |= bootstrap.auroc_replicates(scored, "key", "x", F.col("y") == 1, "block_i", blocks, draws)
-    found |= bootstrap.spearman_replicates(ranked, "key", "x", "y", "block_i", blocks, draws, F.col("w"))
+    found |= bootstrap.auroc_replicates(written(scored), "key", "x", F.col("y") == 1, "block_i", blocks, draws)
+    found |= bootstrap.spearman_replicates(written(ranked), "key", "x", "y", "block_i", blocks, draws, F.col("w"))
     for key, v in found.items():
         out[tuple(key.split("|"))] = v
     return out

@@ -89,3 +89,11 @@ def test_enrichment_equals_brute_force(told, spark, sf):
         near = np.argsort(-s[asked], axis=1, kind="stable")[:, : campaign.NEIGHBOURS]
         observed = (marker[near] == marker[asked][:, None]).sum()
         assert abs(told["marker_neighbours", arm][0] - observed / sum(share[m] * campaign.NEIGHBOURS for m in marker[asked])) < 1e-9
+
+
+def test_statistics_read_written_rows(spark, sf, monkeypatch):
+    read = {}
+    for name in ("auroc_replicates", "spearman_replicates"):
+        monkeypatch.setattr(bootstrap, name, lambda df, *a, name=name, **k: read.update({name: df._jdf.queryExecution().optimizedPlan().toString()}) or {})
+    campaign.statistics(spark, sf)
+    assert len(read) == 2 and not any(k in plan for plan in read.values() for k in ("ArrowEvalPython", "Join", "Aggregate"))  # no second fit, join or prediction

@@ -72,3 +72,13 @@ def test_queries_that_visit_every_cell_are_written_once(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "cut", lambda df: written.append(cut(df)) or written[-1])
     check(spark, np.random.default_rng(4).normal(size=(400, 24)), "cosine")
     assert max(df.count() for df in written) <= 400
+
+
+def test_distances_held_at_once_are_bounded(monkeypatch):
+    rng, held, plain = np.random.default_rng(5), [], neighbours._likeness
+    x, p = rng.normal(size=(900, 4)), rng.normal(size=(64, 4))
+    want = plain(x, p, "euclidean").argmax(1)
+    monkeypatch.setattr(neighbours, "_likeness", lambda *a: held.append(len(a[0]) * len(a[1])) or plain(*a))
+    monkeypatch.setattr(neighbours, "ROOM", 6_400)
+    cell, away = neighbours._located(x, p, "euclidean")
+    assert (cell == want).all() and np.allclose(away, np.sqrt(((x - p[want]) ** 2).sum(1))) and max(held) <= 6_400
