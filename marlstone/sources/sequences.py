@@ -1,7 +1,7 @@
 """FASTA files read by splits, CG positions, and window counts at any position from prefix sums.
 
-A split knows its lines in order but neither the record nor the offset that it begins in; both are carried in from one small
-row for each earlier split, as is the one base after a split's last line.
+A split's lines are dealt out in pieces. A piece knows its lines in order but neither the record nor the offset that it begins
+in; both are carried in from one small row for each earlier piece of the file, as is the one base after a piece's last line.
 """
 
 from __future__ import annotations
@@ -15,14 +15,18 @@ from pyspark.sql import functions as F
 
 from marlstone.operators import lookups, ordered
 
+#: Lines of a piece are at most two to this power: a split of 128 MB as one piece is gigabytes in the sorts of its windows.
+PIECE = 14
+
 
 def fasta_lines(spark: SparkSession, path: str) -> DataFrame:
     """(record, offset, bases, next_base): each line of bases in upper case, the record's bases before it, and the base after it.
 
     record is the first word of the header. Blank lines are passed over; bases before any header are an error; next_base
-    is null at a record's end. A task sorts the lines of one split; a line itself is one string.
+    is null at a record's end. Windows hold the lines of one piece of a split; a line itself is one string.
     """
-    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"), F.btrim("value").alias("v")).where("v <> ''")
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"), F.btrim("value").alias("v")).where("v <> ''")
+    raw = raw.withColumn("split", F.struct("start", F.shiftright("at", PIECE).alias("piece")))  # numbers rise within a split
     head = F.col("v").startswith(">")
     lines = raw.select("file", "split", "at", head.alias("head"), F.when(head, F.regexp_extract("v", r"^>\s*(\S*)", 1)).alias("name"), F.when(~head, F.upper("v")).alias("bases"))
     order = Window.partitionBy("file", "split").orderBy("at")
@@ -31,7 +35,7 @@ def fasta_lines(spark: SparkSession, path: str) -> DataFrame:
     inside = Window.partitionBy("file", "split", "part").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     follow = F.struct(F.lead("head").over(order).alias("h"), F.substring(F.lead("bases").over(order), 1, 1).alias("b"))
     lines = lines.withColumns({"local": F.coalesce(F.sum("len").over(inside), F.lit(0)), "follow": follow})
-    # a row a split: what the splits after it need
+    # a row a piece: what the pieces after it need
     parts = lines.groupBy("file", "split", "part").agg(F.sum("len").alias("len"), F.max("own").alias("own"), F.min_by(F.struct("head", F.substring("bases", 1, 1).alias("b")), "at").alias("first"))
     ends = parts.groupBy("file", "split").agg(F.max_by("len", "part").alias("tail"), F.max_by("own", "part").alias("name"), F.max("part").alias("heads"), F.min_by("first", "part").alias("first"))
     by_split = Window.partitionBy("file").orderBy("split")
@@ -107,7 +111,7 @@ def composition(positions: DataFrame, prefixes: DataFrame, key: str, window: int
 def cg_rate_at_offsets(positions: DataFrame, prefixes: DataFrame, key: str, offsets: tuple[int, ...] = (-1, 0, 1), stretch: float = 1e6) -> DataFrame:
     """(shift, n, rate): the share of positions for which the base `shift` further on is the C of a CG."""
     moved = positions.withColumn("shift", F.explode(F.array(*(F.lit(o) for o in offsets)))).withColumn("_w", F.concat_ws(":", key, "shift"))
-    spans = moved.select("_w", "shift", "record", (F.col("pos") - 1 + F.col("shift")).alias("lo"), (F.col("pos") + F.col("shift")).alias("hi"))
-    hits = window_counts(spans.select("_w", "record", "lo", "hi"), prefixes, "_w", stretch)
-    hits = hits.join(spans.select("_w", "shift"), "_w")
+    spans = moved.select("_w", "record", (F.col("pos") - 1 + F.col("shift")).alias("lo"), (F.col("pos") + F.col("shift")).alias("hi"))
+    hits = window_counts(spans, prefixes, "_w", stretch)
+    hits = hits.withColumn("shift", F.substring_index("_w", ":", -1).cast("int"))  # a window's key ends in its shift
     return hits.groupBy("shift").agg(F.count("cg").alias("n"), F.avg("cg").alias("rate"))

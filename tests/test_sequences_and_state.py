@@ -130,3 +130,16 @@ def test_early_stopping_of_table_and_stream(spark, tmp_path):
     for r in sorted(spark.table("stops").collect(), key=lambda r: r.steps):
         last[r.user] = same(r)
     assert last == want
+
+
+def test_a_split_is_dealt_out_in_pieces(spark, tmp_path, monkeypatch):
+    s = {k: "".join(np.random.default_rng(n).choice(list("ACGT"), n)) for k, n in (("a", 7000), ("b", 31), ("c", 2000))}
+    (tmp_path / "x.fa").write_text("".join(f">{k}\n" + "\n".join(v[i : i + 10] for i in range(0, len(v), 10)) + "\n\n" for k, v in s.items()))
+    assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() == 1
+    monkeypatch.setattr(sequences, "PIECE", 5, raising=False)
+    lines = sequences.fasta_lines(spark, str(tmp_path))
+    rows = lines.collect()
+    for k, v in s.items():
+        told = sorted((r.offset, r.bases, r.next_base) for r in rows if r.record == k)
+        assert told == [(i, v[i : i + 10], v[i + 10 : i + 11] or None) for i in range(0, len(v), 10)]
+    assert "piece" in lines._jdf.queryExecution().optimizedPlan().toString()  # the windows' key is a piece, not the whole split
