@@ -82,7 +82,9 @@ def last_at_or_before(points: DataFrame, marks: DataFrame, at: str, payload: lis
     mark = F.when(F.col("_side") == 0, F.struct(at, *payload))
     inside = Window.partitionBy(*by, "_b").orderBy(at, "_side").rowsBetween(Window.unboundedPreceding, 0)
     own = both.withColumn("_own", F.last(mark, ignorenulls=True).over(inside)).where("_side = 1")
-    ends = both.groupBy(*by, "_b").agg(F.max(mark).alias("_end"))
+    # marks alone are sorted for their latest; points only say which stretches there are
+    latest = both.where("_side = 0").groupBy(*by, "_b").agg(F.max(F.struct(at, *payload)).alias("_end"))
+    ends = both.where("_side = 1").select(*by, "_b").distinct().join(latest, [*by, "_b"], "full")
     before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     carried = ends.select(*by, "_b", F.last("_end", ignorenulls=True).over(before).alias("_carried"))
     got = own.drop(*payload).join(carried, [*by, "_b"])

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from marlstone.operators import stopping
+from marlstone.operators import lookups, stopping
 from marlstone.sources import ledger, sequences
 
 
@@ -143,3 +143,10 @@ def test_a_split_is_dealt_out_in_pieces(spark, tmp_path, monkeypatch):
         told = sorted((r.offset, r.bases, r.next_base) for r in rows if r.record == k)
         assert told == [(i, v[i : i + 10], v[i + 10 : i + 11] or None) for i in range(0, len(v), 10)]
     assert "piece" in lines._jdf.queryExecution().optimizedPlan().toString()  # the windows' key is a piece, not the whole split
+
+
+def test_points_are_not_sorted_for_the_latest_mark(spark):
+    p, m = spark.createDataFrame([(1, 5), (2, 45), (3, 2), (4, None)], "id int, at long"), spark.createDataFrame([(3, "x"), (11, "y")], "at long, v string")
+    got = lookups.last_at_or_before(p, m, "at", ["v"], width=10.0)
+    assert sorted(map(tuple, got.collect())) == [(1, 5, 3, "x"), (2, 45, 11, "y"), (3, 2, None, None)]
+    assert "FullOuter" in got._jdf.queryExecution().optimizedPlan().toString()  # marks' latest meets the points' stretches
