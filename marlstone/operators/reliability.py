@@ -6,6 +6,10 @@ loci, pairs and donors aren't bounded. Ranks and distribution functions come fro
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,12 +56,23 @@ def check_edges(pairs: DataFrame, variance: str, mean: str, v_edges: list[float]
     return {"v": list(got.v), "m": list(got.m)}
 
 
-def in_cells(pairs: DataFrame, distance_class: str, across: str, variance: str, mean: str) -> DataFrame:
-    """pairs with a row for each cell (column cell); the edges are quantiles of the pairs themselves."""
-    at = pairs.crossJoin(F.broadcast(edges(pairs, variance, mean).toDF("_v", "_m")))  # one row
+def with_cells(rows: DataFrame, at_edges: DataFrame, distance_class: str, across: str, variance: str, mean: str) -> DataFrame:
+    """rows with the names of their cells (column cells, an array) between the given edges, as from `edges`."""
+    at = rows.crossJoin(F.broadcast(at_edges.toDF("_v", "_m")))  # one row
     v, m = F.col("_v"), F.col("_m")
     names = cells(F.col(distance_class), across, F.col(variance), [v[k] for k in range(3)], v[3], F.col(mean), [m[k] for k in range(3)])
-    return at.withColumn("cell", F.explode(names)).drop("_v", "_m")
+    return at.withColumn("cells", names).drop("_v", "_m")
+
+
+def in_cells(pairs: DataFrame, distance_class: str, across: str, variance: str, mean: str) -> DataFrame:
+    """pairs with a row for each cell (column cell); the edges are quantiles of the pairs themselves."""
+    return with_cells(pairs, edges(pairs, variance, mean), distance_class, across, variance, mean).withColumn("cell", F.explode("cells")).drop("cells")
+
+
+def cell_names(classes: list[str]) -> list[str]:
+    """The names of all cells that pairs of these distance classes can lie in."""
+    quarters = [f"{kind}_Q{k}" for kind in "VM" for k in range(1, 5)]
+    return ["all", *(f"dist_{c}" for c in classes), "chrom_inter", "chrom_intra", *quarters, "V_top10pct"]
 
 
 def pearson(a: Column, b: Column, least: int, floor: float = 1e-12) -> Column:
@@ -78,6 +93,25 @@ def pearson(a: Column, b: Column, least: int, floor: float = 1e-12) -> Column:
     return F.aggregate(both, start, add, done)
 
 
+def pearson_rows(x: pa.ListArray, y: pa.ListArray, groups: int, least: int, floor: float = 1e-12) -> list[pa.Array]:
+    """`pearson` for each stretch of `groups` values of two columns of arrays, all of one length: an array for each stretch."""
+
+    def table(c):
+        flat = c.flatten()
+        return flat.fill_null(0.0).to_numpy().reshape(len(c), -1, groups), flat.is_valid().to_numpy(zero_copy_only=False).reshape(len(c), -1, groups)
+
+    (a, has_a), (b, has_b) = table(x), table(y)
+    both = has_a & has_b
+    a, b = np.where(both, a, 0.0), np.where(both, b, 0.0)
+    total = lambda v: sum((v[:, :, g] for g in range(groups)), np.zeros(v.shape[:2]))
+    n, sx, sy = both.sum(axis=2), total(a), total(b)
+    with np.errstate(all="ignore"):
+        vx, vy = total(a * a) / n - (sx / n) ** 2, total(b * b) / n - (sy / n) ** 2
+        r = (total(a * b) / n - sx * sy / (n * n)) / np.sqrt(vx * vy)
+    known = (n >= least) & ~(vx <= floor) & ~(vy <= floor)  # a figure that isn't a number counts as large, as in Spark
+    return [pa.array(np.ascontiguousarray(r[:, k]), pa.float64(), mask=~known[:, k]) for k in range(r.shape[1])]
+
+
 def halves(donors: DataFrame, donor: str, group: str, repetitions: int, seed: int = 0) -> DataFrame:
     """(donor, group, rep, half): in each repetition the donors of a group in hash order, the first half and the rest.
 
@@ -90,31 +124,60 @@ def halves(donors: DataFrame, donor: str, group: str, repetitions: int, seed: in
     return placed.select(donor, group, "rep", (F.col("_rn") >= F.floor(F.col("_n") / 2)).cast("int").alias("half"))
 
 
+def half_tables(values: DataFrame, split: DataFrame, locus: str, donor: str, group: str, value: str, groups: list, reps: list[int]) -> DataFrame:
+    """(locus, mean, var, reps): mean and variance of a locus' group means over all donors, and for each repetition (few)
+    the profiles a and b of both halves, a mean over a half's donors with a value for each group; null without one.
+
+    values has a row for each locus and donor. Each is shuffled once by locus, for all repetitions together.
+    """
+    sides = split.groupBy(donor, group).agg(*(F.max(F.when(F.col("rep") == r, F.col("half"))).alias(f"_h{k}") for k, r in enumerate(reps)))
+    at = values.select(locus, donor, value).where(F.col(value).isNotNull()).join(sides, donor).drop(donor)
+    of = lambda k, h: F.avg(F.when(F.col(f"_h{k}") == h, F.col(value)))
+    names = [f"_{s}{k}" for k in range(len(reps)) for s in "ab"]
+    means = at.repartition(locus).groupBy(locus, group).agg(F.avg(value).alias("_m"), *(of(k, h).alias(f"_{s}{k}") for k in range(len(reps)) for h, s in enumerate("ab")))
+    held = means.groupBy(locus).agg(F.avg("_m").alias("mean"), F.var_pop("_m").alias("var"), F.map_from_entries(F.collect_list(F.struct(group, F.struct(*names)))).alias("_by"))
+    held = held.select(locus, "mean", "var", *(F.try_element_at("_by", F.lit(g)).alias(f"_g{n}") for n, g in enumerate(groups)))
+    side = lambda c: F.array(*(F.col(f"_g{n}")[c] for n in range(len(groups))))
+    return held.select(locus, "mean", "var", F.array(*(F.struct(F.lit(r).alias("rep"), side(f"_a{k}").alias("a"), side(f"_b{k}").alias("b")) for k, r in enumerate(reps))).alias("reps"))
+
+
 def half_profiles(values: DataFrame, split: DataFrame, locus: str, donor: str, group: str, value: str, groups: list) -> DataFrame:
-    """(rep, locus, a, b): the profiles of both halves, a mean over a half's donors with a value for each group; null without one.
+    """(rep, locus, a, b): the profiles of both halves of each repetition, as in `half_tables`; loci without a value are left out."""
+    reps = sorted(r.rep for r in split.select("rep").distinct().collect())  # few
+    return half_tables(values, split, locus, donor, group, value, groups, reps).select(locus, F.explode("reps").alias("_r")).select("_r.rep", locus, "_r.a", "_r.b")
+
 
-    values has a row for each locus and donor. Only sums by half and group are shuffled, and a locus' array is 2 x groups.
+def half_similarities(pairs: DataFrame, tables: DataFrame, locus: str, i: str, j: str, reps: list[int], groups: int, least: int, also: tuple[Column, ...] = ()) -> DataFrame:
+    """pairs x rep with ta and tb, the similarity of a pair's profiles (of that many groups) within each half; tables as from
+    `half_tables` with the same reps, pairs without them are left out. A pair is joined once for all repetitions.
+
+    also: further columns of a pair, made of mean_i, var_i, mean_j, var_j of its loci.
     """
-    at = values.select(locus, donor, value).where(F.col(value).isNotNull()).join(split, donor)
-    means = at.groupBy("rep", locus, "half", group).agg(F.avg(value).alias("_m"))
-    held = means.groupBy("rep", locus).agg(F.map_from_entries(F.collect_list(F.struct(F.struct("half", group), "_m"))).alias("_by"))
-    side = lambda h: F.array(*(F.try_element_at("_by", F.struct(F.lit(h).alias("half"), F.lit(g).alias(group))) for g in groups))
-    return held.select("rep", locus, side(0).alias("a"), side(1).alias("b"))
+    flat = F.flatten(F.transform("reps", lambda r: F.concat(r["a"], r["b"])))
+    of = lambda k, s: tables.select(F.col(locus).alias(k), F.col("mean").alias(f"mean_{s}"), F.col("var").alias(f"var_{s}"), flat.alias(f"_{s}"))
+    both = pairs.join(of(i, "i"), i).join(of(j, "j"), j).select(*pairs.columns, *also, "_i", "_j")
+    kept = [c for c in both.columns if c not in ("_i", "_j")]
+    names = [f"_t{side}{k}" for k in range(len(reps)) for side in "ab"]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            told = pearson_rows(b.column("_i"), b.column("_j"), groups, least) if len(b) else [pa.array([], pa.float64()) for _ in names]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), *told], [*kept, *names])
 
-def half_similarities(pairs: DataFrame, profiles: DataFrame, locus: str, i: str, j: str, least: int) -> DataFrame:
-    """pairs x rep with ta and tb, the similarity of a pair's profiles within each half; pairs without a profile are left out."""
-    p = profiles.select("rep", F.col(locus).alias(i), F.col("a").alias("_ai"), F.col("b").alias("_bi"))
-    q = profiles.select("rep", F.col(locus).alias(j), F.col("a").alias("_aj"), F.col("b").alias("_bj"))
-    both = pairs.join(p, i).join(q, ["rep", j])
-    t = lambda x, y: F.round(pearson(F.col(x), F.col(y), least), PLACES)
-    return both.withColumns({"ta": t("_ai", "_aj"), "tb": t("_bi", "_bj")}).drop("_ai", "_aj", "_bi", "_bj")
+    fields = [f"`{c}` {both.schema[c].dataType.simpleString()}" for c in kept]
+    t = both.mapInArrow(run, ", ".join([*fields, *(f"{c} double" for c in names)]))
+    each = F.explode(F.array(*(F.struct(F.lit(r).alias("rep"), F.col(f"_ta{k}").alias("ta"), F.col(f"_tb{k}").alias("tb")) for k, r in enumerate(reps))))
+    return t.select(*kept, each.alias("_r")).select(*kept, "_r.rep", F.round("_r.ta", PLACES).alias("ta"), F.round("_r.tb", PLACES).alias("tb"))
 
 
 def reliability(similarities: DataFrame, by: list[str], fewest: int = 10) -> DataFrame:
     """(by, n, r_spearman, r_pearson, rho_sb, ceiling) of ta against tb; null figures where fewer than `fewest` pairs have both."""
     ok = similarities.where("ta is not null and tb is not null")
     ranked = ordered.mid_ranks(ordered.mid_ranks(ok, "ta", "_ra", tuple(by)), "tb", "_rb", tuple(by))
+    return _figures(ranked, by, fewest)
+
+
+def _figures(ranked: DataFrame, by: list[str], fewest: int) -> DataFrame:
     told = ranked.groupBy(*by).agg(F.count("*").alias("n"), maths.safe_corr(F.col("_ra"), F.col("_rb")).alias("r_spearman"), maths.safe_corr(F.col("ta"), F.col("tb")).alias("r_pearson"))
     enough = lambda c: F.when(F.col("n") >= fewest, c)
     told = told.withColumns({"r_spearman": enough(F.col("r_spearman")), "r_pearson": enough(F.col("r_pearson"))})
@@ -122,6 +185,17 @@ def reliability(similarities: DataFrame, by: list[str], fewest: int = 10) -> Dat
     return told.withColumn("ceiling", maths.ceiling(F.col("rho_sb"), F.lit(1.0)))
 
 
+def reliability_in_cells(similarities: DataFrame, cells: str, names: list[str], by: list[str], fewest: int = 10) -> DataFrame:
+    """`reliability` by cell and by, for rows with an array of their cells (few: names holds them all). A row is ranked in all
+    its cells at once (see `ordered.ranks_in_sets`)."""
+    known = F.array(*map(F.lit, names))
+    sets = similarities.withColumn("_sets", F.transform(cells, lambda c: (F.array_position(known, c) - 1).cast("int"))).drop(cells)
+    ranked = ordered.ranks_in_sets(sets, {"ta": "_pa", "tb": "_pb"}, "_sets", len(names), tuple(by))
+    each = ranked.select(*by, "ta", "tb", F.explode(F.arrays_zip("_sets", "_pa", "_pb")).alias("_z"))
+    told = _figures(each.select(*by, "ta", "tb", F.col("_z._sets").alias("_set"), F.col("_z._pa").alias("_ra"), F.col("_z._pb").alias("_rb")), [*by, "_set"], fewest)
+    return told.withColumn("cell", F.get(known, F.col("_set"))).drop("_set")
+
+
 def over_repetitions(told: DataFrame, by: str, columns: tuple[str, ...] = ("n", "r_spearman", "rho_sb", "ceiling")) -> DataFrame:
     """(by, <c>_median, <c>_q025, <c>_q975): over the repetitions (few) that have the figure."""
     out = [F.percentile(F.col(c).cast("double"), F.lit(q)).alias(f"{c}_{n}") for c in columns for n, q in (("median", 0.5), ("q025", 0.025), ("q975", 0.975))]

@@ -40,21 +40,30 @@ def donor_values(spark, sf_dir):
     return li.groupBy(F.col("l_partkey").alias("locus"), F.col("l_suppkey").alias("donor")).agg(F.avg(F.col("l_discount") * 10).alias("v"))
 
 
-def pairs(spark, sf_dir):
-    """(i, j, chrom, dist, vmin, mmean): sampled pairs of loci with their stratum, lesser variance and mean level."""
-    placed = splits.hash_positions(table(spark, sf_dir, "part").select("p_partkey", "p_type"), "p_partkey", 41)
+def sampled(spark, sf_dir):
+    """(i, j, chrom, dist): sampled pairs of loci with their stratum."""
+    placed = splits.hash_positions(table(spark, sf_dir, "part").select("p_partkey", "p_type"), "p_partkey", 41).select("p_partkey", "p_type", "_rn")
+    placed = sinks.written(placed)  # read on both sides of the join
     a = placed.select(F.col("p_partkey").alias("p"), F.col("p_type").alias("tp"), "_rn").withColumn("_rn", F.explode(F.array(F.col("_rn") + 1, F.col("_rn") + 2)))
     b = placed.select(F.col("p_partkey").alias("q"), F.col("p_type").alias("tq"), "_rn")
     gap = F.abs(F.col("p") - F.col("q"))
     dist = F.when(F.col("tp") != F.col("tq"), "interchromosomal").when(gap < 50, "<50").when(gap <= 500, "50-500").otherwise(">500")
     chrom = F.when(F.col("p") < F.col("q"), F.col("tp")).otherwise(F.col("tq"))
-    pr = a.join(b, "_rn").select(F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), chrom.alias("chrom"), dist.alias("dist"))
+    return a.join(b, "_rn").select(F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), chrom.alias("chrom"), dist.alias("dist"))
+
+
+def levels():
+    """vmin and mmean of a pair with the mean and variance of both loci."""
+    return F.round(F.least("var_i", "var_j"), 9).alias("vmin"), F.round((F.col("mean_i") + F.col("mean_j")) / 2, 9).alias("mmean")
+
+
+def pairs(spark, sf_dir):
+    """(i, j, chrom, dist, vmin, mmean): sampled pairs of loci with their stratum, lesser variance and mean level."""
     means = donor_values(spark, sf_dir).join(donors(spark, sf_dir), "donor").groupBy("locus", "grp").agg(F.avg("v").alias("m"))
     s = means.groupBy("locus").agg(F.avg("m").alias("mean"), F.var_pop("m").alias("var"))
     at = lambda k: s.select(F.col("locus").alias(k), F.col("mean").alias(f"mean_{k}"), F.col("var").alias(f"var_{k}"))
-    both = pr.join(at("i"), "i").join(at("j"), "j")
-    told = both.select("i", "j", "chrom", "dist", F.round(F.least("var_i", "var_j"), 9).alias("vmin"), F.round((F.col("mean_i") + F.col("mean_j")) / 2, 9).alias("mmean"))
-    return sinks.written(told)  # read for the quantiles and for the ranks
+    both = sampled(spark, sf_dir).join(at("i"), "i").join(at("j"), "j")
+    return sinks.written(both.select("i", "j", "chrom", "dist", *levels()))  # read for the quantiles and for the ranks
 
 
 @query("cq10_pair_cells", f"WITH {CELLS} SELECT cell, count(*) AS n, round(avg(vmin), 6) AS vmin, round(avg(mmean), 6) AS mmean FROM c GROUP BY 1")
@@ -81,13 +90,15 @@ def _(spark, sf_dir):
 )
 def _(spark, sf_dir):
     """Donors split in halves within their group, repeatedly: how well the halves' profile similarities agree in each cell."""
+    reps = list(range(REPETITIONS))
     split = reliability.halves(donors(spark, sf_dir), "donor", "grp", REPETITIONS, seed=7)
-    profiles = reliability.half_profiles(donor_values(spark, sf_dir), split, "locus", "donor", "grp", "v", REGIONS)
-    p = pairs(spark, sf_dir)
-    held = reliability.half_similarities(p.select("i", "j"), profiles, "locus", "i", "j", LEAST)
-    of = reliability.in_cells(p, "dist", "interchromosomal", "vmin", "mmean").select("i", "j", "cell")
-    both = sinks.written(held.join(of, ["i", "j"]))  # ranked twice
-    told = reliability.over_repetitions(reliability.reliability(both, ["rep", "cell"]), "cell")
+    tables = reliability.half_tables(donor_values(spark, sf_dir), split, "locus", "donor", "grp", "v", REGIONS, reps)
+    held = reliability.half_similarities(sampled(spark, sf_dir), sinks.written(tables), "locus", "i", "j", reps, len(REGIONS), LEAST, levels())  # a pair joins two loci
+    held = sinks.written(held.drop("chrom"))  # read for the quantiles and for the ranks
+    at = sinks.written(reliability.edges(held.where("rep = 0"), "vmin", "mmean"))
+    placed = reliability.with_cells(held, at, "dist", "interchromosomal", "vmin", "mmean").select("i", "j", "rep", "ta", "tb", "cells")
+    told = reliability.reliability_in_cells(placed, "cells", reliability.cell_names(STRATA), ["rep"])
+    told = reliability.over_repetitions(told, "cell")
     names = ["r_spearman_median", "r_spearman_q025", "r_spearman_q975", "rho_sb_median", "ceiling_median"]
     return told.select("cell", "n_median", *(F.round(c, 5).alias(c) for c in names))
 

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from marlstone.operators import audits, probes, reliability
+from marlstone.operators import audits, ordered, probes, reliability
 
 
 def ranks(v):
@@ -70,6 +70,50 @@ def test_reliability_with_ties_and_few(spark):
     assert (told.rho_median, told.rho_q025, told.rho_q975) == pytest.approx((2.0, *np.quantile(range(5), [0.025, 0.975])))
 
 
+def test_ranks_in_all_sets_at_once(spark):
+    rng = np.random.default_rng(6)
+    rows = [(k, int(k % 2), float(rng.choice([0.25, rng.normal()], p=[0.4, 0.6]).round(2)), float(rng.integers(0, 5)), sorted({0, int(rng.integers(1, 4))})) for k in range(600)]
+    rows += [(600, 0, None, 1.0, [0]), (601, 2, 0.5, 0.5, [3]), (602, 0, 0.1, 0.1, [])]
+    d = spark.createDataFrame(rows, "id int, rep int, a double, b double, sets array<int>")
+    for ranges in (1, 3, 64):
+        got = {r.id: r for r in ordered.ranks_in_sets(d, {"a": "ra", "b": "rb"}, "sets", 4, ("rep",), ranges).collect()}
+        assert sorted(got) == [k for k in range(603) if k != 600] and got[602].ra == [] and got[601].ra == [1.0]
+        for rep in (0, 1):
+            for s in range(4):
+                own = [r for r in rows if r[1] == rep and s in r[4] and r[2] is not None]
+                for c, name in ((2, "ra"), (3, "rb")):
+                    assert [got[r[0]][name][r[4].index(s)] for r in own] == ranks([r[c] for r in own]).tolist()
+    x = spark.createDataFrame([(k / 7, [0.5 * b for b in range(n)]) for n in (0, 1, 5, 64) for k in range(-3, 240)], "x double, b array<double>")
+    assert all(r.p == sum(b < r.x for b in r.b) for r in x.select("*", ordered.place(F.col("b"), F.col("x"), 64).alias("p")).collect())
+
+
+def test_reliability_of_arrays_of_cells_equals_rows(spark):
+    rng = np.random.default_rng(8)
+    rows = [(int(k % 2), float(a), float(a + rng.integers(0, 4)), ["all", *(["odd"] if k % 3 else [])]) for k, a in enumerate(rng.integers(0, 9, 90))]
+    d = spark.createDataFrame(rows, "rep int, ta double, tb double, cells array<string>")
+    told = {(r.rep, r.cell): r for r in reliability.reliability_in_cells(d, "cells", ["odd", "all", "none"], ["rep"]).collect()}
+    want = reliability.reliability(d.withColumn("cell", F.explode("cells")).drop("cells"), ["rep", "cell"]).collect()
+    assert len(told) == len(want) == 4
+    for r in want:
+        t = told[r.rep, r.cell]
+        assert (t.n, t.r_spearman, t.r_pearson) == (r.n, pytest.approx(r.r_spearman), pytest.approx(r.r_pearson))
+
+
+def test_half_similarities_equal_pearson_over_shared_groups(spark):
+    rng = np.random.default_rng(9)
+    side = lambda: [None if rng.random() < 0.3 else float(rng.normal()) for _ in range(5)]
+    loci = [(k, float(k), 1.0, [(r, side(), [1.0] * 5 if k == 3 else side()) for r in (4, 7)]) for k in range(12)]
+    tables = spark.createDataFrame(loci, "locus int, mean double, var double, reps array<struct<rep:int,a:array<double>,b:array<double>>>")
+    pairs = spark.createDataFrame([(i, j) for i in range(12) for j in range(i + 1, 13)], "i int, j int")  # locus 12 has no profile
+    got = {(r.i, r.j, r.rep): r for r in reliability.half_similarities(pairs, tables, "locus", "i", "j", [4, 7], 5, 3, (F.col("mean_j").alias("m"),)).collect()}
+    assert len(got) == 66 * 2
+    flat = spark.createDataFrame([(i, j, r, x[s], y[s]) for i in range(12) for j in range(i + 1, 12) for r, x, y in zip((4, 7), loci[i][3], loci[j][3]) for s in (1, 2)], "i int, j int, rep int, x array<double>, y array<double>")
+    want = {}
+    for r in flat.select("*", F.round(reliability.pearson(F.col("x"), F.col("y"), 3), 9).alias("t")).collect():
+        want.setdefault((r.i, r.j, r.rep), []).append(r.t)
+    assert all((r.ta, r.tb) == tuple(want[k]) and r.m == k[1] for k, r in got.items()) and any(r.ta is None for r in got.values())
+
+
 def test_strata_matrices_and_composition(spark):
     rng = np.random.default_rng(3)
     rows = [(s, float(np.round(rng.normal(k), 1)), str(rng.integers(0, 3 + k))) for k, s in enumerate("abc") for _ in range(40)] + [("a", None, None), ("z", 1.0, "0")]
