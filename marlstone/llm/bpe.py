@@ -8,7 +8,8 @@
    the pairs at the touched neighbours enter the index anew. Per word that is the order of the public library: the least
    rank first, leftmost among equals. A word that is a token as a whole is that token.
 3. The result is broadcast: at most TABLE_WORDS words of WORD_CHARS characters or less. Each task looks its words up
-   there and replays the merges of the other ones, together for a chunk of documents, by the same index.
+   there and replays the merges of the other ones, together for a chunk of documents, by the same index. Stretches
+   between spaces that are such words are never split anew.
 
 Ids don't depend on what the table holds. Looking every word up in a joined table of all words was built and measured
 too: the words of each chunk, their ids and the documents as word numbers are several times the input (see README).
@@ -39,6 +40,8 @@ TABLE_WORDS, WORD_CHARS = 150_000, 64
 COUNTED = 150_000
 #: Distinct words and pieces beyond that table that a task remembers with their ids.
 KNOWN_WORDS = 200_000
+#: Places of a rank up to which they are merged one by one.
+FEW = 16
 #: Characters of text whose new words are merged together.
 CHUNK_CHARS = 2 << 20
 
@@ -57,6 +60,33 @@ class Numbered(dict):
         return np.fromiter(map(self.__getitem__, keys), np.int64, len(keys)), self.new
 
 
+class Spelling:
+    """Bytes for each number below a width, laid end to end, so that those of many numbers are gathered in one array."""
+
+    #: Numbers gathered together.
+    STEP = 1 << 17
+
+    def __init__(self, of: dict[int, bytes], width: int):
+        parts = [of.get(k, b"") for k in range(width)]
+        self.size = np.fromiter(map(len, parts), np.int64, width)
+        self.at = np.cumsum(self.size) - self.size
+        self.flat = np.frombuffer(b"".join(parts), np.uint8)
+
+    def text(self, ids: np.ndarray) -> bytes:
+        """The bytes of all numbers, joined."""
+        out = []
+        for lo in range(0, len(ids), self.STEP):
+            part = ids[lo : lo + self.STEP]
+            size = self.size[part]
+            ends = np.cumsum(size)
+            out.append(self.flat[np.arange(ends[-1]) + np.repeat(self.at[part] - (ends - size), size)].tobytes())
+        return b"".join(out)
+
+    def cuts(self, ids: np.ndarray, ends: np.ndarray) -> list[int]:
+        """Where in `text` stretches of numbers end."""
+        return np.append(0, np.cumsum(self.size[ids]))[ends].tolist()
+
+
 class Codec:
     """Ranks (lines of base64 token and rank) with the pattern that splits text before the merges."""
 
@@ -74,20 +104,28 @@ class Codec:
         ]
         codes = np.array(sorted(pairs), np.int64).reshape(-1, 2)
         self.pair, self.made = np.append(codes[:, 0], -1), np.append(codes[:, 1], -1)
+        self.pair_rank = dict(pairs)
         self.known = known
         self.common: dict[str, int] = {}
         self.common_ids, self.common_size = np.zeros(0, np.int32), np.zeros(0, np.int64)
+        self.common_pieces: dict[str, int] = {}
+        self.common_entry = np.zeros(0, np.int64)
         if common is not None and len(common):
             ids = common.column("ids").combine_chunks()
             self.common = {w: i for i, w in enumerate(common.column("word").to_pylist())}
             self.common_ids, self.common_size = ids.flatten().to_numpy(), ids.value_lengths().to_numpy().astype(np.int64)
+            if "alone" in common.column_names:  # such a word with its space is what a piece splits into
+                pieces = [(w[1:], i) for (w, i), alone in zip(self.common.items(), common.column("alone").to_pylist()) if alone and is_piece(w)]
+                self.common_pieces = {p: n for n, (p, _) in enumerate(pieces)}
+                self.common_entry = np.array([i for _, i in pieces], np.int64)
+        self.spelled, self.listed = Spelling(self.token, width), Spelling({r: b"%d," % r for r in self.token}, width)
         self.forget()
 
     def forget(self) -> None:
-        """Drop the known words and pieces but for the common words; self.pool holds their ids, self.at and self.size
+        """Drop the known words and pieces but for the common ones; self.pool holds their ids, self.at and self.size
         say where."""
-        self.word, self.piece = Numbered(self.common), Numbered()
-        self.word_entry, self.piece_entry, self.odd = np.arange(len(self.common)), np.zeros(0, np.int64), np.zeros(0, bool)
+        self.word, self.piece = Numbered(self.common), Numbered(self.common_pieces)
+        self.word_entry, self.piece_entry, self.odd = np.arange(len(self.common)), self.common_entry, np.zeros(len(self.common_entry), bool)
         self.pool, self.size = self.common_ids, self.common_size
         self.at = np.cumsum(self.size) - self.size
 
@@ -153,9 +191,46 @@ class Codec:
                     places[rank] = [q]
                     heapq.heappush(heap, rank)
 
+        def note_one(p: int) -> None:
+            got = self.pair_rank.get(sym.item(p) * self.width + sym.item(after.item(p)))
+            if got is None:
+                return
+            if got in places:
+                places[got].append(p)
+            else:
+                places[got] = [p]
+                heapq.heappush(heap, got)
+
+        def merge_few(found: list[int], rank: int) -> None:
+            last, later = -1, []
+            for p in sorted(set(found)):
+                q = after.item(p)
+                if q < 0 or not alive.item(p) or self.pair_rank.get(sym.item(p) * self.width + sym.item(q)) != rank:
+                    continue
+                w = word.item(p)
+                if w == last:  # as below: a word's next place waits
+                    later.append(p)
+                    continue
+                last, nxt = w, after.item(q)
+                sym[p], alive[q], after[p] = rank, False, nxt
+                if nxt >= 0:
+                    before[nxt] = p
+                    note_one(p)
+                prev = before.item(p)
+                if prev >= 0:
+                    note_one(prev)
+            if later:
+                if rank not in places:
+                    places[rank] = []
+                    heapq.heappush(heap, rank)
+                places[rank] += later
+
         while heap:
             rank = heapq.heappop(heap)
             found = places.pop(rank)
+            if len(found) <= FEW and sum(x.size if isinstance(x, np.ndarray) else 1 for x in found) <= FEW:
+                merge_few([p for x in found for p in (x.tolist() if isinstance(x, np.ndarray) else (x,))], rank)
+                continue
             many = [x for x in found if isinstance(x, np.ndarray)]
             if len(many) < len(found):
                 many.append(np.array([x for x in found if not isinstance(x, np.ndarray)], np.int64))
@@ -212,7 +287,7 @@ class Codec:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, and how many each has."""
-        if len(self.piece) + len(self.word) - len(self.common) > self.known:
+        if len(self.piece) - len(self.common_pieces) + len(self.word) - len(self.common) > self.known:
             self.forget()
         pieces, counts = [], []
         for t in texts:
@@ -236,10 +311,26 @@ class Codec:
         upto = np.append(0, np.cumsum(sizes))[np.append(0, np.cumsum(counts)).astype(np.int64)]
         return ids, np.diff(upto)
 
+    def digests(self, ids: np.ndarray, counts: np.ndarray) -> tuple[list[str], list[str]]:
+        """For each text the digests of its ids' list and of the bytes that its ids decode to."""
+        ends = np.append(0, np.cumsum(counts))
+
+        def of(spelling: Spelling, last: int) -> list[str]:
+            text, cuts = memoryview(spelling.text(ids)), spelling.cuts(ids, ends)
+            return [hashlib.sha256(text[a : max(a, z - last)]).hexdigest() for a, z in zip(cuts, cuts[1:])]
+
+        return of(self.listed, 1), of(self.spelled, 0)  # the list without its last comma
+
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.token.__getitem__, ids))
 
 
+def is_piece(word: str) -> bool:
+    """Whether a word is a space and a piece that isn't odd and holds no space (see `Codec.learn`)."""
+    p = word[1:]
+    return word[:1] == " " and p != "" and " " not in p and not p[0].isspace() and not p[-1].isspace()
+
+
 _codecs: dict[str, Codec] = {}
 
 
@@ -286,7 +377,8 @@ def word_counts(docs: DataFrame, pattern: str, text_col: str = "text") -> DataFr
 
 
 def common_words(docs: DataFrame, ranks: bytes, pattern: str, text_col: str = "text", most: int = TABLE_WORDS) -> pa.Table:
-    """(word, ids) of the words that reach the least count which at most `most` words reach."""
+    """(word, ids, alone) of the words that reach the least count which at most `most` words reach; alone: whether the
+    pattern leaves the word whole where nothing else stands."""
     scratch = Scratch(docs.sparkSession)
     counts = scratch.table(word_counts(docs, pattern, text_col))
     step = F.floor(F.log2("n") * 8)  # a few hundred steps at any size
@@ -300,12 +392,13 @@ def common_words(docs: DataFrame, ranks: bytes, pattern: str, text_col: str = "t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Codec(ranks, pattern)
         for b in batches:
-            ids, sizes = own.merge([w.encode() for w in b.column("word").to_pylist()])
+            words = b.column("word").to_pylist()
+            ids, sizes = own.merge([w.encode() for w in words])
             lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(ids, pa.int32()))
-            yield pa.RecordBatch.from_arrays([b.column("word"), lists], ["word", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column("word"), lists, pa.array([own.split(w) == [w] for w in words], pa.bool_())], ["word", "ids", "alone"])
 
     chosen = counts.where(F.col("n") >= F.lit(least)).select("word").repartition(docs.sparkSession.sparkContext.defaultParallelism, "word")
-    out = chosen.mapInArrow(run, "word string, ids array<int>").toArrow()
+    out = chosen.mapInArrow(run, "word string, ids array<int>, alone boolean").toArrow()
     scratch.drop(counts)
     return out
 
@@ -379,18 +472,11 @@ def bpe_round_trip(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = given()
-        shown = {r: str(r) for r in own.token}.__getitem__
-        sha = lambda x: hashlib.sha256(x).hexdigest()
         for b in batches:
             all_texts = b.column("text").to_pylist()
             for s in blocks(all_texts):
                 ids, counts = own.encode(all_texts[s])
-                ends = np.cumsum(counts).tolist()
-                ids_sha, data_sha = [], []
-                for a, z in zip([0, *ends], ends):
-                    one = ids[a:z].tolist()
-                    ids_sha.append(sha(",".join(map(shown, one)).encode()))
-                    data_sha.append(sha(own.decode(one)))
+                ids_sha, data_sha = own.digests(ids, counts)
                 columns = {
                     "doc_id": b.column("doc_id")[s.start : s.stop],
                     "n_tokens": pa.array(counts, pa.int64()),

@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -163,6 +164,24 @@ def test_known_words_can_be_forgotten():
         assert a.encode(t)[0].tolist() == b.encode(t)[0].tolist()
 
 
+def test_pieces_of_common_words_outlive_forgetting():
+    raw = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    plain = bpe.Codec(raw, public_tokenizers.PATTERN)
+    words = ["one", " two", " three", " zqxj", "  ", " ", " 4"]
+    ids, sizes = plain.merge([w.encode() for w in words])
+    lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(ids, pa.int32()))
+    alone = [plain.split(w) == [w] for w in words]
+    own = bpe.Codec(raw, public_tokenizers.PATTERN, known=1, common=pa.table({"word": words, "ids": lists, "alone": alone}))
+    for t in (["one two three four"], ["two  zqxj zqxj", "one 4", ""], ["six two three"], ["bcbc" * 40 + " abab" * 9]):
+        got, counts = own.encode(t)
+        assert got.tolist() == plain.encode(t)[0].tolist()
+        ends = np.append(0, np.cumsum(counts)).tolist()
+        of = [got[a:z].tolist() for a, z in zip(ends, ends[1:])]
+        assert own.digests(got, counts) == ([sha(",".join(map(str, x))) for x in of], [sha(x) for x in t])
+    own.forget()
+    assert {"two", "three", "zqxj"} <= set(own.piece) and "six" not in own.piece
+
+
 def test_the_common_words_are_the_most_frequent(spark):
     raw = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     rows = [(1, "aa bb aa bb aa cc"), (2, None), (3, "aa bb " + "x" * 100), (3, "aa bb")]
