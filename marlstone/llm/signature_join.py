@@ -4,11 +4,13 @@ A document's set is its distinct SHINGLE-word shingles. Two sets link at Jaccard
 
 1. Equal sets are one class from the start: copies are never joined to each other.
 2. In one order of all shingles the (1 - similarity) share of a set that comes first, plus one, is its prefix; linked
-   sets have a prefix shingle in common. Shingles that many documents have come last (they are a short list: their
+   sets have a prefix shingle in common. Shingles of rare words come first, so that unlike texts hardly share one by
+   chance, however many texts there are. Shingles that many documents have come last (they are a short list: their
    document frequencies add up to at most the mean set size over HEAVY), so common passages hardly enter prefixes.
 3. Classes that share a prefix shingle meet under its head, the least class that has it. There their parity sketches are
    compared: every differing shingle flips one bit, so sketches that differ in more bits than linked sets differ in
    shingles prove that the sets aren't linked. What stays connects classes to families; every link is within a family.
+   A head of more than NEAR classes is dealt into cells by size, and by pairs of parts: any two that may link meet.
 4. A family's members travel once, with all their shingles as 64-bit hashes, to the cell of the family. There they are
    leaves of a signature tree: nodes hold the OR of the token bitmaps below and the range of set sizes. The dual traversal
    drops node pairs whose largest possible overlap is too small for the smallest sizes; the leaves that are left are compared
@@ -39,7 +41,9 @@ from marlstone.llm.components import connected_components
 SHINGLE, PER_CENT = 4, 85
 #: Share of the documents from which a shingle is heavy, and the same within what a task has read at a time (HELD hashes).
 HEAVY, HEAVY_LOCAL, HELD = 0.002, 0.001, 1_000_000
-#: Classes under one head whose sketches are compared; a larger head's classes are one family as they are.
+#: Bits of its share of all words from which a word is rare.
+RARE_BITS = 14
+#: Classes whose sketches are compared in one cell; a larger head's are dealt into several.
 NEAR = 8_192
 #: Shingles of a cell, common members of a large family's parts.
 CELL_TOKENS, ANCHORS = 4_000_000, 64
@@ -51,29 +55,41 @@ IS_WORD = np.ones(256, bool)
 IS_WORD[[32, 9, 10, 11, 12, 13]] = False
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """(row, shingle) for the distinct shingles of each row, by row, then hash."""
+def word_rows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of each word."""
     data = LOWER[data]
     starts, ends, row = words(data, offsets, IS_WORD)
-    h = word_hashes(data, starts, ends)
+    return row, word_hashes(data, starts, ends)
+
+
+def distinct_shingles(row: np.ndarray, h: np.ndarray, m: int, size: int, bits: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, shingle, bits) for the distinct shingles of each of m rows, by row, then hash; bits: sums over their words."""
     n = len(h)
+    bits = np.zeros(n, np.int64) if bits is None else bits
     if not n:
-        return row, h
-    count = np.bincount(row, minlength=len(offsets) - 1)
+        return row, h, bits
+    count = np.bincount(row, minlength=m)
     left = np.cumsum(count)[row] - np.arange(n)  # words from here to the end of the row
     take = (left >= size) | ((count[row] < size) & (left == count[row]))
     at = np.flatnonzero(take)
     width = np.minimum(count[row[at]], size)
     s = mix(width.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    total = np.zeros(len(at), np.int64)
     for k in range(size):
         inside = k < width
         s[inside] = mix(s[inside] * np.uint64(0x9FB21C651E98DF25) + h[at[inside] + k])
+        total[inside] += bits[at[inside] + k]
     row = row[at]
     o = np.argsort(s, kind="stable")
     o = o[np.argsort(row[o], kind="stable")]
-    row, s = row[o], s[o]
+    row, s, total = row[o], s[o], total[o]
     new = np.append(True, (row[1:] != row[:-1]) | (s[1:] != s[:-1]))
-    return row[new], s[new]
+    return row[new], s[new], total[new]
+
+
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """(row, shingle) for the distinct shingles of each row, by row, then hash."""
+    return distinct_shingles(*word_rows(data, offsets), len(offsets) - 1, size)[:2]
 
 
 def set_hashes(row: np.ndarray, s: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -98,41 +114,52 @@ def least_overlap(n: np.ndarray, m: np.ndarray, per_cent: int) -> np.ndarray:
     return -(-per_cent * (n + m) // (100 + per_cent))
 
 
-def heavy_shingles(rows: DataFrame, size: int) -> np.ndarray:
-    """Sorted hashes of the shingles that more than HEAVY of the documents have, by count, then hash.
+def frequent(rows: DataFrame, size: int, scratch: Scratch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the shingles that more than HEAVY of the documents have, by count, then hash; sorted hashes of the words that
+    aren't rare (at most 2**RARE_BITS), and the bits of their share of all words.
 
-    What tasks leave out because few of their documents have it only changes the order of shingles, never a result."""
+    What tasks leave out because few of their texts have it only changes the order of shingles, never a result."""
     n = rows.count()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, docs = [], 0
+        held, docs, total = [], 0, 0
 
         def out():
-            s, c = np.unique(np.concatenate(held), return_counts=True)
-            keep = c >= max(4, HEAVY_LOCAL * docs)
-            return pa.RecordBatch.from_arrays([pa.array(s[keep].view(np.int64)), pa.array(c[keep].astype(np.int64))], ["s", "c"])
+            s, c = np.unique(np.concatenate([x for x, _ in held]), return_counts=True)
+            w, d = np.unique(np.concatenate([x for _, x in held]), return_counts=True)
+            heavy, common = c >= max(4, HEAVY_LOCAL * docs), d >= total / 2 ** (RARE_BITS + 1)
+            kinds = np.repeat([0, 1, 2], [heavy.sum(), common.sum(), 1]).astype(np.int32)
+            hashes = np.concatenate([s[heavy], w[common], np.zeros(1, np.uint64)]).view(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(hashes), pa.array(np.concatenate([c[heavy], d[common], [total]]).astype(np.int64))], ["kind", "h", "c"])
 
         for b in batches:
             for _, data, offsets in chunks(b):
-                held.append(shingle_sets(data, offsets, size)[1])
+                row, h = word_rows(data, offsets)
+                held.append((distinct_shingles(row, h, len(offsets) - 1, size)[1], h))
                 docs += len(offsets) - 1
-                if sum(map(len, held)) > HELD:
+                total += len(h)
+                if total > HELD:
                     yield out()
-                    held, docs = [], 0
+                    held, docs, total = [], 0, 0
         if held:
             yield out()
 
-    found = rows.select("text").mapInArrow(count, "s long, c long").groupBy("s").agg(F.sum("c").alias("c")).where(F.col("c") >= max(8, HEAVY * n)).toPandas()
-    found = found.sort_values(["c", "s"])
-    return found["s"].to_numpy(np.int64).view(np.uint64)
+    found = scratch.table(rows.select("text").mapInArrow(count, "kind int, h long, c long").groupBy("kind", "h").agg(F.sum("c").alias("c")))
+    heavy = found.where((F.col("kind") == 0) & (F.col("c") >= max(8, HEAVY * n))).toPandas().sort_values(["c", "h"])
+    total = found.where("kind = 2").agg(F.sum("c")).first()[0] or 1
+    common = found.where((F.col("kind") == 1) & (F.col("c") > total / 2**RARE_BITS)).toPandas()
+    scratch.drop(found)
+    names, bits = common["h"].to_numpy(np.int64).view(np.uint64), np.floor(np.log2(total / common["c"].to_numpy(np.float64))).astype(np.int64)
+    o = np.argsort(names)
+    return heavy["h"].to_numpy(np.int64).view(np.uint64), names[o], bits[o]
 
 
 # ---- sets, prefixes and sketches ---------------------------------------------------------------------------------
 
 
 def sketch_bits(n: np.ndarray) -> np.ndarray:
-    """Bits of the sketch of a set of n: a power of two from half of n to n, 64 at least."""
-    return np.maximum(64, 1 << np.ceil(np.log2(np.maximum(n, 2) / 2)).astype(np.int64))
+    """Bits of the sketch of a set of n: a power of two from n to twice n, 64 at least."""
+    return np.maximum(64, 1 << np.ceil(np.log2(np.maximum(n, 2))).astype(np.int64))
 
 
 def parity_sketches(row: np.ndarray, s: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -145,26 +172,34 @@ def parity_sketches(row: np.ndarray, s: np.ndarray, n: np.ndarray) -> tuple[np.n
     return np.packbits(odd, bitorder="little"), ends // 8
 
 
-def document_rows(rows: DataFrame, heavy: np.ndarray, size: int, per_cent: int) -> DataFrame:
+def document_rows(rows: DataFrame, heavy: np.ndarray, names: np.ndarray, bits: np.ndarray, size: int, per_cent: int) -> DataFrame:
     """(id, key, n, one, two, light, late, sketch) from (id, key, text): set size, two hashes of the set, its prefix
-    without and with the heavy shingles only, and its parity sketch."""
+    without and with the heavy shingles only, and its parity sketch. names, bits: words that aren't rare."""
     by_hash = np.argsort(heavy)
     sorted_heavy = heavy[by_hash]
 
     def lists(s: np.ndarray, count: np.ndarray) -> pa.Array:
         return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(count)), pa.int32()), pa.array(s.view(np.int64)))
 
+    def rarity(h: np.ndarray) -> np.ndarray:
+        if not len(names):
+            return np.full(len(h), RARE_BITS, np.int64)
+        i = np.searchsorted(names, h)
+        i[i == len(names)] = 0
+        return np.where(names[i] == h, bits[i], RARE_BITS)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for rows_, data, offsets in chunks(b):
-                row, s = shingle_sets(data, offsets, size)
                 m = len(offsets) - 1
+                row, h = word_rows(data, offsets)
+                row, s, rare = distinct_shingles(row, h, m, size, rarity(h))
                 n, one, two = set_hashes(row, s, m)
                 i = np.searchsorted(sorted_heavy, s)
                 i[i == len(heavy)] = 0
                 last = np.where(sorted_heavy[i] == s, by_hash[i] + 1, 0) if len(heavy) else np.zeros(len(s), np.int64)
                 bytes_, cuts = parity_sketches(row, s, n)
-                o = np.lexsort((s, last, row))
+                o = np.lexsort((np.where(last > 0, last, -rare), row))  # stable, and s is in order
                 p = np.where(n > 0, prefix_size(n, per_cent), 0)
                 take = np.arange(len(s)) - (np.cumsum(n) - n)[row] < p[row]
                 ordered, late, of = s[o][take], last[o][take] > 0, row[take]
@@ -221,6 +256,23 @@ def near_roots(n: np.ndarray, sketches: list[bytes], per_cent: int) -> np.ndarra
     return root
 
 
+def crowd_cells(members: DataFrame, per_cent: int, near: int) -> DataFrame:
+    """(head, uid), head being a cell of about near classes at most, from (head, uid, n) of larger heads: any two classes of a
+    head with sizes that linked sets can have share a cell.
+
+    A band holds the sizes up to 100 / per_cent times its least, and a little more; it meets itself and the band below. What
+    is larger is dealt into parts, and each two parts are a cell."""
+    own = F.floor(F.log("n") / (np.log(100 / per_cent) + 0.01))
+    banded = members.select("head", "uid", own.alias("own"), F.explode(F.array(own, own + 1)).alias("band"))
+    counts = banded.groupBy("head", "band").agg(F.count("*").alias("c"), F.max(F.col("own") == F.col("band")).alias("any"))
+    k = F.when(F.col("c") <= near, 1).otherwise(F.ceil(2 * F.col("c") / near)).cast("int")
+    part = F.pmod(F.xxhash64("uid", F.lit(3)), F.col("k")).cast("int")
+    others = F.filter(F.sequence(F.lit(0), F.col("k") - 1), lambda p: (p != part) | (F.col("k") == 1))
+    homes = F.transform(others, lambda p: F.struct(F.least(p, part).alias("i"), F.greatest(p, part).alias("j")))
+    dealt = banded.join(counts.where("c > 1 and any").select("head", "band", k.alias("k")), ["head", "band"])
+    return dealt.withColumn("home", F.explode(homes)).select(F.xxhash64("head", "band", "home").alias("head"), "uid")
+
+
 def near_edges(met: DataFrame, per_cent: int) -> DataFrame:
     """(a, b) that connect the families among the classes (head, uid, n, sketch) of each head."""
 
@@ -497,7 +549,7 @@ def jaccard_components(
     scratch = Scratch(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.struct(F.col(id_col).alias("id")).alias("id"), F.xxhash64(F.col(id_col), text).alias("key"), text.alias("text"))
-    sets = scratch.table(document_rows(rows, heavy_shingles(rows, size), size, per_cent))
+    sets = scratch.table(document_rows(rows, *frequent(rows, size, scratch), size, per_cent))
     classes = sets.where("n > 0").groupBy("one", "two").agg(F.min("id").alias("id"), F.min("key").alias("key"), *(F.first(c).alias(c) for c in ("n", "light", "late", "sketch")))
     reps = scratch.table(classes.withColumn("uid", F.monotonically_increasing_id()))
 
@@ -508,13 +560,16 @@ def jaccard_components(
     late = reps.select("uid", F.explode("late").alias("token"))
     late = late.join(late.groupBy("token").agg(F.min("uid").alias("head")), "token").select("uid", "head")
     met = scratch.table(light.unionByName(late).distinct())
-    crowds = met.groupBy("head").agg(F.count("*").alias("c")).where(F.col("c") > near).select("head")
-    close = met.join(crowds, "head", "left_anti").join(reps.select("uid", "n", "sketch"), "uid").select("head", "uid", "n", "sketch")
-    crowded = met.join(crowds, "head", "left_semi").where("uid <> head").select(F.col("uid").alias("a"), F.col("head").alias("b"))
-    edges = scratch.table(near_edges(close, per_cent).unionByName(crowded))
+    crowds = scratch.table(met.groupBy("head").agg(F.count("*").alias("c")).where(F.col("c") > near).select("head"))
+    if not crowds.isEmpty():
+        crowded = met.join(crowds, "head", "left_semi").join(reps.select("uid", "n"), "uid")
+        cells = scratch.table(met.join(crowds, "head", "left_anti").unionByName(crowd_cells(crowded, per_cent, near)))
+        scratch.drop(met)
+        met = cells
+    edges = scratch.table(near_edges(met.join(reps.select("uid", "n", "sketch"), "uid").select("head", "uid", "n", "sketch"), per_cent))
     near_by = connected_components(edges).select(F.col("node").alias("uid"), F.col("component").alias("label"))
     found = scratch.table(reps.join(near_by, "uid").select("uid", "label", "n", "key", "one", "two"))
-    scratch.drop(met, edges)
+    scratch.drop(met, crowds, edges)
 
     parts = partitions(docs.sparkSession)
     wanted = found.select("key", "uid", "label", "one", "two").repartition(parts, "key").hint("shuffle_hash")

@@ -132,6 +132,48 @@ def test_jaccard_components(spark, cell_tokens, near):
     assert got == brute_components(rows)
 
 
+def test_unlike_texts_with_a_common_passage_are_no_family(spark, monkeypatch):
+    """More classes under a head than a cell takes: their texts don't travel, for no two of them may link."""
+    rng, links, held = random.Random(3), signature_join.family_links, []
+    rows = []
+    for p in range(6):
+        passage = [f"p{p}x{i}" for i in range(12)]
+        rows += [(10 * p + k, " ".join([f"c{rng.randrange(40)}" for _ in range(60)] + passage)) for k in range(7)]
+
+    def seen(members, families, *rest):
+        held.append(families.count())
+        return links(members, families, *rest)
+
+    monkeypatch.setattr(signature_join, "family_links", seen)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in signature_join.components_report(frame(spark, rows), cell_tokens=300, near=4).collect()}
+    assert got == brute_components(rows) and held == [0]
+
+
+def test_texts_of_common_words_do_not_meet_by_chance(spark, monkeypatch):
+    rng, edges, held = random.Random(4), signature_join.near_edges, []
+    rows = [(d, " ".join([f"c{rng.randrange(12)}" for _ in range(200)] + [f"d{d}x{i}" for i in range(40)])) for d in range(40)]
+
+    def seen(met, per_cent):
+        held.append(met.count())
+        return edges(met, per_cent)
+
+    monkeypatch.setattr(signature_join, "near_edges", seen)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in signature_join.components_report(frame(spark, rows)).collect()}
+    assert got == brute_components(rows) and held == [0]
+
+
+def test_any_two_classes_of_a_crowd_that_may_link_share_a_cell(spark):
+    rng = random.Random(6)
+    rows = [(h, 1000 * h + u, rng.choice([1, 2, 17, 20, 85, 100, rng.randint(1, 400)])) for h in (1, 2) for u in range(250)]
+    got = signature_join.crowd_cells(spark.createDataFrame(rows, "head long, uid long, n long"), 85, 32).collect()
+    cells = {}
+    for r in got:
+        cells.setdefault(r.head, set()).add(r.uid)
+    met = {frozenset((a, b)) for c in cells.values() for a in c for b in c}
+    assert all(frozenset((u, v)) in met for h, u, n in rows for g, v, m in rows if h == g and 100 * n >= 85 * m and 100 * m >= 85 * n and u != v)
+    assert max(map(len, cells.values())) <= 64 and all(len({u // 1000 for u in c}) == 1 for c in cells.values())
+
+
 def test_jaccard_edges(spark):
     got = sorted((r.doc_id is None, r.doc_id or 0, r.n_shingles, r.component_id) for r in signature_join.components_report(frame(spark, [(None, "a b c d e"), (4, "x y z"), (4, "x y z"), (9, "x y z")])).collect())
     assert got == [(False, 4, 1, 4), (False, 4, 1, 4), (False, 9, 1, 4), (True, 0, 2, None)]
