@@ -455,8 +455,9 @@ def tree_links(cells: DataFrame, per_cent: int) -> DataFrame:
                 members.append((side, label, tokens))
         yield out()
 
+    # by a hash of the cell: a union of joins that are dealt by cell counts as dealt by cell, and adaptive execution coalesces each by itself
     parts = partitions(cells.sparkSession)
-    return cells.repartition(parts, "cell").sortWithinPartitions("cell", "side", "uid").mapInArrow(run, "a long, b long")
+    return cells.repartition(parts, F.xxhash64("cell")).sortWithinPartitions("cell", "side", "uid").mapInArrow(run, "a long, b long")
 
 
 def packed_texts(rows: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from marlstone.llm import signature_join, suffix_dedup
 from marlstone.llm import queries as registered
+from marlstone.llm.common import Scratch
 from marlstone.llm.components import connected_components
 
 
@@ -174,6 +175,27 @@ def test_any_two_classes_of_a_crowd_that_may_link_share_a_cell(spark):
     assert max(map(len, cells.values())) <= 64 and all(len({u // 1000 for u in c}) == 1 for c in cells.values())
 
 
+def test_strays_meet_the_members_of_other_parts(spark, monkeypatch):
+    """A path of links through one family that is dealt into parts, with joins that leave rows dealt by cell."""
+    monkeypatch.setattr(signature_join, "ANCHORS", 4)
+    rng = np.random.default_rng(2)
+    token = rng.integers(0, 1 << 62, 700).astype(np.uint64)
+    rows = [(i, 0, 100, np.sort(token[5 * i : 5 * i + 100]).tobytes()) for i in range(120)]
+    members = spark.createDataFrame(rows, "uid long, label long, n long, tokens binary").repartition(4)
+    families = members.select("uid", F.col("label").alias("family"), "n")
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k"}
+    old = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        links = signature_join.family_links(members, families, Scratch(spark), 85, 3000)
+        got = {r.node: r.component for r in connected_components(links).collect()}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert got == {i: 0 for i in range(120)}
+
+
 def test_jaccard_edges(spark):
     got = sorted((r.doc_id is None, r.doc_id or 0, r.n_shingles, r.component_id) for r in signature_join.components_report(frame(spark, [(None, "a b c d e"), (4, "x y z"), (4, "x y z"), (9, "x y z")])).collect())
     assert got == [(False, 4, 1, 4), (False, 4, 1, 4), (False, 9, 1, 4), (True, 0, 2, None)]
