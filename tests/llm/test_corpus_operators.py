@@ -189,6 +189,7 @@ def test_strays_meet_the_members_of_other_parts(spark, monkeypatch):
         for k, v in conf.items():
             spark.conf.set(k, v)
         links = signature_join.family_links(members, families, Scratch(spark), 85, 3000)
+        assert "REPARTITION_BY_NUM" in links._jdf.queryExecution().executedPlan().toString()  # the cells are dealt anew
         got = {r.node: r.component for r in connected_components(links).collect()}
     finally:
         for k, v in old.items():
